@@ -13,11 +13,15 @@ from ticketloom.session import build_session
 
 folder = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
 wanted = sys.argv[2:]
+modules = [w[1:] for w in wanted if w.startswith('@')]
+wanted = [w for w in wanted if not w.startswith('@')]
 spark = build_session("check", "local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.driver.memory": "8g"})
 spark.sparkContext.setLogLevel("ERROR")
 con = oracle.connect(folder)
 bad = 0
 for name, q in catalogue.all_queries().items():
+    if modules and not any(m in q.run.__module__ for m in modules):
+        continue
     if wanted and not any(w in name for w in wanted):
         continue
     start = time.time()

@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ticketloom import vocab
 
@@ -30,7 +31,7 @@ def first_nonempty(*cols: Column) -> Column:
     return F.coalesce(*[nonempty(c) for c in cols]) if cols else F.lit(None).cast("string")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _python_title(values: pd.Series) -> pd.Series:
     return values.str.title()
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from ticketloom import vocab
 from ticketloom.functions import normalize as N
 from ticketloom.operators import ranking, relational
 
+
 def rows() -> Column:
     return F.count(F.lit(1))
 
@@ -18,6 +21,12 @@ def literal_rows(spark: SparkSession, name: str, values: list[str]) -> DataFrame
     return spark.range(1).select(F.posexplode(F.array(*[F.lit(v) for v in values])).alias("position", name))
 
 
+def single_row(*parts: DataFrame) -> DataFrame:
+    """Several one-row tables side by side."""
+    stacked = functools.reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    return stacked.agg(*[F.max(c).alias(c) for part in parts for c in part.columns])
+
+
 def daily_volume(df: DataFrame, created_at: str = "created_at", by: str = "category") -> DataFrame:
     """Tickets per day and category, newest day first, largest count first."""
     counts = df.groupBy(F.col(created_at).cast("date").alias("date"), by).agg(rows().alias("ticket_count"))
@@ -128,12 +137,10 @@ def resolution_statistics(df: DataFrame, hours: str = "resolution_hours") -> Dat
         F.round(F.count(hours) * 100.0 / rows(), 6).alias("resolved_pct"),
         F.round(F.avg(hours), 6).alias("mean_hours"),
     )
-    quantiles = ranking.quantile_columns(df, [], hours, {"median_hours": 0.5, "p90_hours": 0.9})
-    return base.select(
-        "*",
-        F.round(quantiles.select("median_hours").scalar(), 6).alias("median_hours"),
-        F.round(quantiles.select("p90_hours").scalar(), 6).alias("p90_hours"),
+    quantiles = ranking.quantile_columns(
+        df, [], hours, {"median_hours": (0.5, "linear"), "p90_hours": (0.9, "linear")}
     )
+    return single_row(base, quantiles.select(*[F.round(c, 6).alias(c) for c in quantiles.columns]))
 
 
 def histogram(df: DataFrame, value: str, bins: int = 20) -> DataFrame:

@@ -62,73 +62,55 @@ def stratified_split(df: DataFrame, stratum: str, key: str, test_percent: int =
     return decided.unionByName(edge).select(*df.columns, "split")
 
 
-def exact_quantiles(
-    df: DataFrame, keys: list[str], value: str, probs: list[float], method: str = "linear"
-) -> DataFrame:
-    """(keys, prob, quantile): exact order statistics per group.
+def exact_quantiles(df: DataFrame, keys: list[str], value: str, wanted: dict[str, tuple[float, str]]) -> DataFrame:
+    """One exact order statistic per group and wanted name -> (probability, method).
 
     ``linear`` interpolates between neighbours as numpy does; ``nearest`` is ``sorted[int(n * p)]``.
 
-    A quantile sketch per group proposes a narrow bracket around each wanted position. Exact counts below and
-    inside the brackets then tell which bracket holds the position, and only its rows are sorted, as counts per
-    distinct value. The sketch decides the cost, never the result.
+    A quantile sketch per group proposes a narrow bracket around each wanted position. Exact counts per bracket then
+    tell which one holds the position, and only its rows are sorted, as counts per distinct value. The sketch decides
+    the cost, never the result.
     """
     base = df.select(*keys, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
     group = keys or ["_all"]
     if not keys:
         base = base.withColumn("_all", F.lit(1))
+    probs = sorted({p for p, _ in wanted.values()})
     edges = sorted({min(1.0, max(0.0, p + e)) for p in probs for e in (-0.002, 0.002)})
-    sketch = base.groupBy(*group).agg(
-        F.percentile_approx("_v", edges, 2000).alias("_cuts"), F.count(F.lit(1)).alias("_n")
-    )
+    sketch = base.groupBy(*group).agg(F.percentile_approx("_v", edges, 2000).alias("_cuts"))
     bracket = F.lit(0)
     for i in range(len(edges)):
         bracket = bracket + (F.col("_v") > F.col("_cuts")[i]).cast("int")
-    placed = base.join(sketch.drop("_n"), group).select(*group, "_v", bracket.alias("_b"))
-
-    sizes = placed.groupBy(*group, "_b").agg(F.count(F.lit(1)).alias("_size"))
-    ordered = Window.partitionBy(*group).orderBy("_b")
-    sizes = sizes.withColumn("_before", F.sum("_size").over(ordered) - F.col("_size"))
-
-    n, p = F.col("_n"), F.col("prob")
-    wanted = sketch.select(*group, "_n", F.explode(F.array(*[F.lit(float(q)) for q in probs])).alias("prob"))
-    if method == "linear":
-        place = (n - 1) * p
-        low, share = F.floor(place), place - F.floor(place)
-    else:
-        low, share = F.least(F.floor(n * p), n - 1), F.lit(0.0)
-    wanted = wanted.select(*group, "prob", low.alias("_low"), share.alias("_share"))
-    spots = wanted.select(
-        *group,
-        "prob",
-        F.explode(
-            F.array(
-                F.struct(F.col("_low").alias("_pos"), (1 - F.col("_share")).alias("_w")),
-                F.struct((F.col("_low") + 1).alias("_pos"), F.col("_share").alias("_w")),
-            )
-        ).alias("_s"),
-    ).select(*group, "prob", "_s.*").where(F.col("_w") > 0)
-    spots = spots.join(sizes, group).where(
-        (F.col("_before") <= F.col("_pos")) & (F.col("_pos") < F.col("_before") + F.col("_size"))
-    )
-
-    hit = placed.join(spots.select(*group, "_b").distinct(), [*group, "_b"], "left_semi")
-    values = hit.groupBy(*group, "_b", "_v").agg(F.count(F.lit(1)).alias("_c"))
-    inside = Window.partitionBy(*group, "_b").orderBy("_v")
-    values = values.withColumn("_upto", F.sum("_c").over(inside))
-    found = spots.join(values, [*group, "_b"]).where(
-        (F.col("_pos") - F.col("_before") < F.col("_upto"))
-        & (F.col("_pos") - F.col("_before") >= F.col("_upto") - F.col("_c"))
-    )
-    return found.groupBy(*keys, "prob").agg(F.sum(F.col("_v") * F.col("_w")).alias("quantile"))
-
-
-def quantile_columns(
-    df: DataFrame, keys: list[str], value: str, names: dict[str, float], method: str = "linear"
-) -> DataFrame:
-    """``exact_quantiles`` with one column per wanted quantile."""
-    rows = exact_quantiles(df, keys, value, sorted(set(names.values())), method)
-    picks = [F.max(F.when(F.col("prob") == p, F.col("quantile"))).alias(name) for name, p in names.items()]
+    # Counted per distinct value once; both uses below read the same shuffle.
+    counted = base.groupBy(*group, "_v").agg(F.count(F.lit(1)).alias("_c"))
+    placed = counted.join(sketch, group).select(*group, "_v", "_c", bracket.alias("_b"))
+
+    # Rows up to and including each bracket, as an array per group.
+    upto = [F.sum(F.when(F.col("_b") <= i, F.col("_c")).otherwise(0)) for i in range(len(edges) + 1)]
+    sizes = placed.groupBy(*group).agg(F.array(*upto).alias("_upto"))
+    n = F.element_at("_upto", -1)
+    spots = []
+    for name, (p, method) in wanted.items():
+        place = (n - 1) * F.lit(float(p)) if method == "linear" else F.least(F.floor(n * F.lit(float(p))), n - 1)
+        low = F.floor(place)
+        share = place - low
+        for position, weight in ((low, 1 - share), (low + 1, share)):
+            spots.append(F.struct(F.lit(name).alias("_name"), position.alias("_pos"), weight.cast("double").alias("_w")))
+    spots = sizes.select(*group, "_upto", F.inline(F.array(*spots))).where(F.col("_w") > 0)
+    spot_bracket = F.size(F.filter("_upto", lambda x: x <= F.col("_pos")))
+    before = F.when(spot_bracket == 0, F.lit(0)).otherwise(F.get("_upto", spot_bracket - 1))
+    spots = spots.select(*group, "_name", "_w", spot_bracket.alias("_b"), (F.col("_pos") - before).alias("_pos"))
+
+    inside = Window.partitionBy(*group, "_b", "_name", "_pos").orderBy("_v")
+    reach = placed.join(spots, [*group, "_b"]).withColumn("_reach", F.sum("_c").over(inside))
+    found = reach.where((F.col("_pos") < F.col("_reach")) & (F.col("_pos") >= F.col("_reach") - F.col("_c")))
+    return found.groupBy(*keys, F.col("_name").alias("name")).agg(F.sum(F.col("_v") * F.col("_w")).alias("quantile"))
+
+
+def quantile_columns(df: DataFrame, keys: list[str], value: str, wanted: dict[str, tuple[float, str]]) -> DataFrame:
+    """``exact_quantiles`` with one column per wanted name."""
+    rows = exact_quantiles(df, keys, value, wanted)
+    picks = [F.max(F.when(F.col("name") == name, F.col("quantile"))).alias(name) for name in wanted]
     return rows.groupBy(*keys).agg(*picks)
 
 

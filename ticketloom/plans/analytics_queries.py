@@ -225,7 +225,7 @@ def sla_compliance_by_priority(spark, folder):
     round(quantile_cont(latency_ms, 0.95), 6) AS p95_ms FROM logs GROUP BY endpoint""",
 )
 def latency_quantiles_by_endpoint(spark, folder):
-    out = R.quantile_columns(S.request_logs(spark, folder), ["endpoint"], "latency_ms", {"p50_ms": 0.5, "p95_ms": 0.95})
+    out = R.quantile_columns(S.request_logs(spark, folder), ["endpoint"], "latency_ms", {"p50_ms": (0.5, "linear"), "p95_ms": (0.95, "linear")})
     return out.select("endpoint", F.round("p50_ms", 6).alias("p50_ms"), F.round("p95_ms", 6).alias("p95_ms"))
 
 
@@ -235,7 +235,7 @@ def latency_quantiles_by_endpoint(spark, folder):
     SELECT latency_ms AS p95_ms FROM r WHERE i = CAST(floor(n * 0.95) AS BIGINT) + 1""",
 )
 def latency_nearest_rank_p95(spark, folder):
-    return R.quantile_columns(S.request_logs(spark, folder), [], "latency_ms", {"p95_ms": 0.95}, "nearest")
+    return R.quantile_columns(S.request_logs(spark, folder), [], "latency_ms", {"p95_ms": (0.95, "nearest")})
 
 
 @query(

@@ -188,15 +188,14 @@ def latency_summary(logs: DataFrame) -> DataFrame:
     base = logs.groupBy("endpoint").agg(
         aggregates.rows().alias("requests"), F.round(F.avg("latency_ms"), 6).alias("mean_ms")
     )
-    linear = ranking.quantile_columns(logs, ["endpoint"], "latency_ms", {"p50_ms": 0.5, "p95_ms": 0.95})
-    nearest = ranking.quantile_columns(logs, ["endpoint"], "latency_ms", {"p95_nearest_ms": 0.95}, "nearest")
-    return (
-        base.join(linear, "endpoint").join(nearest, "endpoint")
-        .select(
-            "endpoint", "requests", "mean_ms",
-            *[F.round(c, 6).alias(c) for c in ("p50_ms", "p95_ms", "p95_nearest_ms")],
-        )
+    quantiles = ranking.quantile_columns(
+        logs,
+        ["endpoint"],
+        "latency_ms",
+        {"p50_ms": (0.5, "linear"), "p95_ms": (0.95, "linear"), "p95_nearest_ms": (0.95, "nearest")},
     )
+    rounded = [F.round(c, 6).alias(c) for c in ("p50_ms", "p95_ms", "p95_nearest_ms")]
+    return base.join(quantiles, "endpoint").select("endpoint", "requests", "mean_ms", *rounded)
 
 
 def sla_deadlines(df: DataFrame, as_of: str, warn_hours: int = 24) -> DataFrame:

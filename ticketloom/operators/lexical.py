@@ -17,14 +17,10 @@ from pyspark.sql import functions as F
 from ticketloom import vocab
 from ticketloom.functions import text as T
 from ticketloom.operators import ranking
+from ticketloom.operators.topk import BLOCK_CELLS, DIGITS, merge_best
 
 #: Largest query side, in (query, term) rows, that is sent to every task. Larger ones are joined on the term.
 MAX_SENT_TERMS = 500_000
-#: Scores are rounded before ranking, so that equal texts tie whatever the order of summation.
-DIGITS = 6
-#: Cells of the dense block (documents x queries) that a task scores at a time.
-BLOCK_CELLS = 4_000_000
-
 K1, B = 1.2, 0.75
 
 
@@ -119,16 +115,6 @@ def _pack(rows: pa.Table) -> _SentQueries:
     return _SentQueries(ids, coded.dictionary, idf, first, query_pos[order])
 
 
-def _best(query: np.ndarray, score: np.ndarray, key: np.ndarray, k: int):
-    """The k best per query: score descending, key ascending."""
-    order = np.lexsort((key, -score, query))
-    query, score, key = query[order], score[order], key[order]
-    start = np.r_[True, query[1:] != query[:-1]] if len(query) else np.zeros(0, bool)
-    position = np.arange(len(query)) - np.maximum.accumulate(np.where(start, np.arange(len(query)), 0))
-    keep = position < k
-    return query[keep], score[keep], key[keep]
-
-
 def _matches(tokens: pa.ListArray, terms: pa.Array):
     """(row, term number, count) of the query terms in a column of token lists."""
     offsets = tokens.offsets.to_numpy()
@@ -173,9 +159,7 @@ def _score_batches(batches, sent, weights, average_length, k, min_score, exclude
             if exclude_self:
                 other = sent.query_ids[query] != key
                 query, score, key = query[other], score[other], key[other]
-            if best is not None:
-                query, score, key = (np.concatenate(pair) for pair in zip(best, (query, score, key)))
-            best = _best(query, score, key, k)
+            best = merge_best(best, query, score, key, k)
     if best is not None and len(best[0]):
         yield pa.RecordBatch.from_arrays(
             [pa.array(sent.query_ids[best[0]]), pa.array(best[2]), pa.array(best[1])], ["query_id", "doc_id", "score"]

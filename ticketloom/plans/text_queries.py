@@ -12,6 +12,7 @@ from ticketloom.operators import ranking as R
 from ticketloom.plans import sql_parts as P
 from ticketloom.plans.registry import query
 from ticketloom.sources import standins as S
+from ticketloom.sources.layout import spread
 
 STOP = ", ".join(f"'{w}'" for w in vocab.STOP_WORDS)
 
@@ -97,7 +98,7 @@ PAGE_TEXT = """regexp_replace(regexp_replace(
 
 @query("pages_to_text", "S8", f"SELECT page_id, {PAGE_TEXT} AS text FROM pages")
 def pages_to_text(spark, folder):
-    return S.table(spark, folder, "pages").select("page_id", T.html_to_text(F.col("html")).alias("text"))
+    return spread(S.table(spark, folder, "pages"), "page_id").select("page_id", T.html_to_text(F.col("html")).alias("text"))
 
 
 @query(
@@ -109,7 +110,7 @@ def pages_to_text(spark, folder):
 )
 def page_titles_and_summaries(spark, folder):
     body = F.replace(T.html_to_text(F.col("html")), F.lit("\n"), F.lit("\n\n"))
-    pages = S.table(spark, folder, "pages").select("page_id", "url", F.concat(F.lit("# "), body).alias("md"))
+    pages = spread(S.table(spark, folder, "pages"), "page_id").select("page_id", "url", F.concat(F.lit("# "), body).alias("md"))
     return pages.select(
         "page_id", T.article_title(F.col("md"), F.col("url")).alias("title"), T.summary(F.col("md")).alias("summary")
     )
@@ -160,7 +161,7 @@ def lexical_index(spark, folder):
       round(tf * idf / sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY doc_id)), 6) AS weight FROM w""",
 )
 def tfidf_weights(spark, folder):
-    documents = S.table(spark, folder, "documents")
+    documents = S.documents(spark, folder)
     n = documents.agg(F.count(F.lit(1))).scalar()
     weights = lexical.tfidf(lexical.postings(documents, "doc_id", {"C": "text"}), "doc_id", n)
     return weights.select(
@@ -177,7 +178,7 @@ def tfidf_weights(spark, folder):
 )
 def top_terms_per_category(spark, folder):
     words = lexical.without_stop_words(T.tokens(F.col("text")))
-    terms = S.table(spark, folder, "documents").select(F.col("source").alias("category"), F.explode(words).alias("term"))
+    terms = S.documents(spark, folder).select(F.col("source").alias("category"), F.explode(words).alias("term"))
     counts = terms.groupBy("category", "term").agg(F.count(F.lit(1)).alias("n"))
     return R.rank_hits(counts, "category", 10, F.col("n").desc(), F.col("term"))
 

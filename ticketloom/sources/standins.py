@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ticketloom.functions import normalize as N
 from ticketloom.functions import text as T
+from ticketloom.sources.layout import spread
 
 STATUS_OF_FLAG = {"O": "open", "P": "pending", "F": "resolved"}
 
@@ -18,6 +19,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def documents(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents for text work, spread over the cores."""
+    return spread(table(spark, folder, "documents"), "doc_id")
+
+
 def tickets(spark: SparkSession, folder: str) -> DataFrame:
     """(ticket_id, customer_id, category, raw_priority, priority, status, created_at) from orders and customer."""
     orders = table(spark, folder, "orders").select(
@@ -67,7 +73,7 @@ def resolved_tickets(spark: SparkSession, folder: str) -> DataFrame:
 
 def articles(spark: SparkSession, folder: str) -> DataFrame:
     """Knowledge-base articles from documents; Spanish ones play the archived part."""
-    return table(spark, folder, "documents").select(
+    return documents(spark, folder).select(
         F.col("doc_id").alias("article_id"),
         T.first_line(F.col("text")).alias("title"),
         F.col("text").alias("content"),
@@ -79,7 +85,7 @@ def articles(spark: SparkSession, folder: str) -> DataFrame:
 
 def text_tickets(spark: SparkSession, folder: str) -> DataFrame:
     """Tickets with text: subject is the first line, body the rest, status by the quality label."""
-    documents = table(spark, folder, "documents").select(
+    texts = documents(spark, folder).select(
         F.col("doc_id").alias("ticket_id"),
         T.first_line(F.col("text")).alias("subject"),
         T.after_first_line(F.col("text")).alias("body"),
@@ -88,7 +94,7 @@ def text_tickets(spark: SparkSession, folder: str) -> DataFrame:
     )
     quality = table(spark, folder, "labels").select(F.col("doc_id").alias("ticket_id"), "quality")
     status = F.when(F.col("quality") == 0, "open").when(F.col("quality") == 1, "resolved").otherwise("closed")
-    return documents.join(quality, "ticket_id", "left").withColumn("status", status).drop("quality")
+    return texts.join(quality, "ticket_id", "left").withColumn("status", status).drop("quality")
 
 
 def labelled_tickets(spark: SparkSession, folder: str) -> DataFrame:
@@ -97,13 +103,13 @@ def labelled_tickets(spark: SparkSession, folder: str) -> DataFrame:
         F.col("doc_id").alias("ticket_id"),
         F.when(F.col("quality") == 1, "P3").otherwise("P2").alias("priority"),
     )
-    documents = table(spark, folder, "documents").select(
+    texts = documents(spark, folder).select(
         F.col("doc_id").alias("ticket_id"),
         T.first_line(F.col("text")).alias("subject"),
         T.after_first_line(F.col("text")).alias("body"),
         F.col("lang").alias("category"),
     )
-    return documents.join(truth, "ticket_id")
+    return texts.join(truth, "ticket_id")
 
 
 def request_logs(spark: SparkSession, folder: str) -> DataFrame:
@@ -134,7 +140,7 @@ def feedback(spark: SparkSession, folder: str) -> DataFrame:
 def drafts(spark: SparkSession, folder: str) -> DataFrame:
     """(ticket_id, draft_no, draft_text): the assistant turns of a conversation; a later turn is a newer draft."""
     return (
-        table(spark, folder, "conversations")
+        spread(table(spark, folder, "conversations"), "conv_id")
         .where(F.col("role") == "assistant")
         .select(F.col("conv_id").alias("ticket_id"), F.col("turn").alias("draft_no"), F.col("text").alias("draft_text"))
     )

@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import functools
+import json
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ticketloom import vocab
 from ticketloom.functions import normalize as N
@@ -246,7 +249,7 @@ def evaluation_run(
 
 
 def rubric_from_json(raw: Column) -> dict[str, Column]:
-    """Rubric scores from a judge's answer: think blocks dropped, the outermost object read, each score limited to
+    """Rubric scores from a judge's answer: think blocks dropped, the first object read, each score limited to
     1..5; an unreadable answer scores 3 everywhere."""
     cleaned = F.regexp_replace(raw, r"(?s)<think>.*?</think>", "")
     parsed = F.coalesce(_object_in(cleaned), _object_in(raw))
@@ -255,6 +258,18 @@ def rubric_from_json(raw: Column) -> dict[str, Column]:
     }
 
 
+@F.pandas_udf(StringType())
+def _first_object(texts: pd.Series) -> pd.Series:
+    def read(text):
+        at = (text or "").find("{")
+        try:
+            return None if at < 0 else text[at : json.JSONDecoder().raw_decode(text, at)[1]]
+        except ValueError:
+            return None
+
+    return texts.map(read)
+
+
 def _object_in(text: Column) -> Column:
-    """The JSON object from the first to the last brace, as a variant; NULL when it does not parse."""
-    return F.try_parse_json(F.regexp_extract(text, r"(?s)(\{.*\})", 1))
+    """The first complete JSON object, as a variant; NULL when there is none."""
+    return F.try_parse_json(_first_object(text))

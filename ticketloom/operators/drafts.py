@@ -112,7 +112,7 @@ def used_citations(draft: Column, citations: Column, compat: bool = False) -> Co
     """Citations whose id occurs in the draft as a whole; ``compat`` takes any substring, so KB-1 matches KB-10."""
     if compat:
         return F.filter(citations, lambda c: F.contains(draft, c["id"]))
-    return F.filter(citations, lambda c: draft.rlike(F.concat(F.lit("(^|[^A-Z0-9-])"), c["id"], F.lit("([^0-9]|$)"))))
+    return F.filter(citations, lambda c: F.rlike(draft, F.concat(F.lit("(^|[^A-Z0-9-])"), c["id"], F.lit("([^0-9]|$)"))))
 
 
 def confidence_score(level: Column, n_used: Column, mean_score: Column) -> Column:

@@ -20,8 +20,6 @@ MODULES = [
 
 
 def all_queries() -> dict[str, registry.Query]:
-    import os
     for module in MODULES:
-        if not os.path.exists(os.path.join(os.path.dirname(__file__), module + ".py")): continue
         importlib.import_module(f"ticketloom.plans.{module}")
     return registry.CATALOGUE

@@ -10,6 +10,9 @@ from ticketloom.plans import sql_parts as P
 from ticketloom.plans.registry import query
 from ticketloom.sources import standins as S
 
+#: Each iteration is a job over the training rows; accuracy is stable well before this many.
+ITERATIONS = 100
+
 
 @query(
     "training_rows", "A6",
@@ -59,7 +62,7 @@ def split_tickets(spark, folder):
 @query("routing_predictions", "K1 K3 K5 F3", None)
 def routing_predictions(spark, folder):
     train, test = split_tickets(spark, folder)
-    scored = routing.fit_router(train).predict(test)
+    scored = routing.fit_router(train, max_iter=ITERATIONS).predict(test)
     return scored.select(
         "ticket_id", "category", "predicted_category", F.round("category_confidence", 4).alias("category_confidence"),
         "priority", "predicted_priority", F.round("priority_confidence", 4).alias("priority_confidence"),
@@ -70,13 +73,13 @@ def routing_predictions(spark, folder):
 @query("routing_training_summary", "K4", None)
 def routing_training_summary(spark, folder):
     rows = S.labelled_tickets(spark, folder)
-    return routing.training_summary(routing.fit_router(rows), rows)
+    return routing.training_summary(routing.fit_router(rows, max_iter=ITERATIONS), rows)
 
 
 @query("routing_evaluation", "M6 F7 K3", None)
 def routing_evaluation(spark, folder):
     train, test = split_tickets(spark, folder)
-    return routing.evaluate_router(routing.fit_router(train), test)
+    return routing.evaluate_router(routing.fit_router(train, max_iter=ITERATIONS), test)
 
 
 @query("routing_cross_validation", "K8", None)
@@ -92,7 +95,7 @@ def routing_explanations(spark, folder):
 
 @query("triage_table", "K6 S20 S21 S22", None)
 def triage_table(spark, folder):
-    router = routing.fit_router(S.labelled_tickets(spark, folder))
+    router = routing.fit_router(S.labelled_tickets(spark, folder), max_iter=ITERATIONS)
     tickets = S.text_tickets(spark, folder).select("ticket_id", "subject", "body")
     return routing.triage_rules(router.predict(tickets)).select(
         "ticket_id", "predicted_category", "predicted_priority", "category_confidence", "sla_risk", "suggested_queue"

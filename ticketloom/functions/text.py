@@ -13,7 +13,7 @@ FRONT_MATTER = r"(?s)^---\s*\n(.*?)\n---\s*\n"
 
 def tokens(text: Column) -> Column:
     """Lower-case tokens in reading order."""
-    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), TOKEN_GAP), lambda t: t != "")
+    return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), TOKEN_GAP), "")
 
 
 def query_terms(text: Column) -> Column:

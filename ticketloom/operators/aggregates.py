@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ticketloom import vocab
 from ticketloom.functions import normalize as N
 from ticketloom.operators import ranking, relational
+from ticketloom.sources import sinks
 
 
 def rows() -> Column:
@@ -130,7 +131,11 @@ def top_label(df: DataFrame, label: str) -> DataFrame:
 
 
 def resolution_statistics(df: DataFrame, hours: str = "resolution_hours") -> DataFrame:
-    """Total, resolved, resolved share, mean, median and 90th percentile of hours to resolve."""
+    """Total, resolved, resolved share, mean, median and 90th percentile of hours to resolve.
+
+    The hours are written once, because the quantiles read them more than once.
+    """
+    df = sinks.stored(df.select(hours), "resolution-hours")
     base = df.agg(
         rows().alias("total"),
         F.count(hours).alias("resolved"),
@@ -146,6 +151,7 @@ def resolution_statistics(df: DataFrame, hours: str = "resolution_hours") -> Dat
 def histogram(df: DataFrame, value: str, bins: int = 20) -> DataFrame:
     """(bin, n): equal-width bins between minimum and maximum; the maximum falls in the last bin."""
     known = df.select(F.col(value).cast("double").alias("v")).where(F.col("v").isNotNull())
+    known = sinks.stored(known, "histogram-values")
     low, high = known.agg(F.min("v")).scalar(), known.agg(F.max("v")).scalar()
     place = F.when(high == low, F.lit(1)).otherwise(
         F.least(F.floor((F.col("v") - low) * bins / (high - low)) + 1, F.lit(bins))

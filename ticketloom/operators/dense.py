@@ -110,7 +110,8 @@ def _grid(queries: DataFrame, corpus: DataFrame, k: int, exclude_self: bool, sch
     blocks.
     """
     blocks = lambda df, name: df.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / rows).cast("int").alias(name))
-    sizes = blocks(corpus, "doc_blocks").join(blocks(queries, "query_blocks"), "cell")
+    # One row per cell: the number of cells is a parameter of the search.
+    sizes = F.broadcast(blocks(corpus, "doc_blocks").join(blocks(queries, "query_blocks"), "cell"))
     left = (
         queries.join(sizes, "cell")
         .withColumn("query_block", F.pmod(F.xxhash64("query_id"), "query_blocks"))

@@ -13,6 +13,7 @@ from pyspark.sql.types import StringType
 from ticketloom import vocab
 from ticketloom.functions import normalize as N
 from ticketloom.operators import aggregates, ranking
+from ticketloom.operators.topk import attach
 
 CUTOFFS = (1, 3, 5, 10)
 
@@ -31,15 +32,17 @@ def relevant_counts(relevant: DataFrame) -> DataFrame:
     return distinct.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_relevant"))
 
 
-def judge_by_label(hits: DataFrame, queries: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+def judge_by_label(
+    hits: DataFrame, queries: DataFrame, docs: DataFrame, k: int = 10
+) -> tuple[DataFrame, DataFrame]:
     """Judged hits and relevant counts where a document is relevant to a query of the same label.
 
     ``queries`` is (query_id, label), ``docs`` (doc_id, label). The relevant set is counted per label; the
     (query, document) pairs themselves are never listed.
     """
+    asked = hits.join(queries.withColumnRenamed("label", "_asked"), "query_id")
     judged = (
-        hits.join(queries.withColumnRenamed("label", "_asked"), "query_id")
-        .join(docs.withColumnRenamed("label", "_found"), "doc_id")
+        attach(asked, docs.withColumnRenamed("label", "_found"), "doc_id", queries, k)
         .select("query_id", "doc_id", "rank", F.col("_asked").eqNullSafe(F.col("_found")).alias("is_relevant"))
     )
     per_label = docs.groupBy("label").agg(F.count(F.lit(1)).alias("n_relevant"))

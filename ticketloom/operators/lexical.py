@@ -18,6 +18,7 @@ from ticketloom import vocab
 from ticketloom.functions import text as T
 from ticketloom.operators import ranking
 from ticketloom.operators.topk import BLOCK_CELLS, DIGITS, merge_best
+from ticketloom.sources import sinks
 
 #: Largest query side, in (query, term) rows, that is sent to every task. Larger ones are joined on the term.
 MAX_SENT_TERMS = 500_000
@@ -166,44 +167,56 @@ def _score_batches(batches, sent, weights, average_length, k, min_score, exclude
         )
 
 
-def corpus_statistics(docs: DataFrame, tokens: str) -> tuple[int, float]:
-    """Number of documents and their mean length in tokens."""
-    row = docs.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size(tokens)).alias("mean")).first()
-    return row["n"], row["mean"] or 0.0
+def document_frequencies(terms: DataFrame, docs: DataFrame, tokens: str) -> DataFrame:
+    """(term, df, total): documents holding each query term; the row of the empty term counts all documents and all
+    their tokens.
 
+    One pass over the corpus. Only query terms are counted, and the counts combine on the map side, so the shuffle
+    carries at most one row per query term and task.
+    """
+    marker = docs.sparkSession.range(1).select(F.lit("").alias("term"))
+    wanted = terms.select("term").distinct().unionByName(marker)
+    every = F.array_insert(F.array_distinct(tokens), 1, F.lit(""))
+    seen = docs.select(F.explode(every).alias("term"), F.size(tokens).alias("length"))
+    return (
+        seen.join(wanted, "term", "left_semi")
+        .groupBy("term")
+        .agg(F.count(F.lit(1)).alias("df"), F.sum(F.when(F.col("term") == "", F.col("length"))).alias("total"))
+    )
 
-def with_idf(terms: DataFrame, docs: DataFrame, tokens: str, n_docs: int) -> DataFrame:
-    """(query_id, term, idf) for the terms that occur: idf = ln(1 + (n - df + 0.5) / (df + 0.5)).
 
-    Only query terms are counted, and the counts combine on the map side, so the shuffle carries at most one row per
-    query term and task.
-    """
-    wanted = terms.select("term").distinct()
-    seen = docs.select(F.explode(F.array_distinct(tokens)).alias("term"))
-    df = seen.join(wanted, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    idf = F.log(1 + (F.lit(n_docs) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    return terms.join(df.select("term", idf.alias("idf")), "term").select("query_id", "term", "idf")
+def _idf(df, n_docs):
+    return 1 + (n_docs - df + 0.5) / (df + 0.5)
 
 
-def _search(
-    docs: DataFrame, key: str, token_columns: list[str], weights: list[float], length: Column, terms: DataFrame,
-    average_length: float | None, k: int, min_score: float, exclude_self: bool, max_sent: int,
+def _fits(terms: DataFrame, max_sent: int) -> bool:
+    return terms.limit(max_sent + 1).count() <= max_sent
+
+
+def _type(df: DataFrame, column: str) -> str:
+    return df.schema[column].dataType.simpleString()
+
+
+def _search_sent(
+    docs: DataFrame, key: str, token_columns: list[str], weights: list[float], length: Column, terms: pa.Table,
+    query_type: str, average_length: float | None, k: int, min_score: float, exclude_self: bool,
 ) -> DataFrame:
-    """(query_id, doc_id, score, rank) from documents with token lists and query terms with idf."""
-    order = (F.col("score").desc(), F.col("doc_id"))
-    if terms.limit(max_sent + 1).count() <= max_sent:
-        sent = docs.sparkSession.sparkContext.broadcast(_pack(terms.toArrow()))
-        schema = (
-            f"query_id {terms.schema['query_id'].dataType.simpleString()}, "
-            f"doc_id {docs.schema[key].dataType.simpleString()}, score double"
-        )
+    """Hits with the query side (query_id, term, idf) sent to every task; the corpus stays where it is."""
+    sent = docs.sparkSession.sparkContext.broadcast(_pack(terms))
+
+    def run(batches):
+        return _score_batches(batches, sent.value, weights, average_length, k, min_score, exclude_self)
 
-        def run(batches):
-            return _score_batches(batches, sent.value, weights, average_length, k, min_score, exclude_self)
+    schema = f"query_id {query_type}, doc_id {_type(docs, key)}, score double"
+    hits = docs.select(key, length.alias("_length"), *token_columns).mapInArrow(run, schema)
+    return ranking.rank_hits(hits, "query_id", k, F.col("score").desc(), F.col("doc_id"))
 
-        narrow = docs.select(key, length.alias("_length"), *token_columns)
-        return ranking.rank_hits(narrow.mapInArrow(run, schema), "query_id", k, *order)
 
+def _search_joined(
+    docs: DataFrame, key: str, token_columns: list[str], weights: list[float], length: Column, terms: DataFrame,
+    average_length: float | None, k: int, min_score: float, exclude_self: bool,
+) -> DataFrame:
+    """The same hits by a join on the term, for a query side of any size. AQE splits frequent terms."""
     parts = [F.struct(F.lit(float(w)).alias("w"), F.col(c).alias("tokens")) for w, c in zip(weights, token_columns)]
     rows = docs.select(F.col(key).alias("doc_id"), length.alias("_length"), F.inline(F.array(*parts)))
     hits = term_counts(rows, ["doc_id", "_length", "w"], "tokens").join(terms, "term")
@@ -216,7 +229,9 @@ def _search(
         damp = F.col("tf") + K1 * (1 - B + B * F.col("_length") / average_length)
         score = F.sum(F.col("idf") * F.col("tf") * (K1 + 1) / damp)
     scored = hits.groupBy("query_id", "doc_id").agg(F.round(score, DIGITS).alias("score"))
-    return ranking.rank_hits(scored.where(F.col("score") > min_score), "query_id", k, *order)
+    return ranking.rank_hits(
+        scored.where(F.col("score") > min_score), "query_id", k, F.col("score").desc(), F.col("doc_id")
+    )
 
 
 def bm25_search(
@@ -226,15 +241,33 @@ def bm25_search(
 ) -> DataFrame:
     """Top k documents per query by Okapi BM25 (k1 = 1.2, b = 0.75): (query_id, doc_id, score, rank).
 
-    One pass counts document frequencies of the query terms, one pass scores. With a query side within
-    ``max_sent`` rows each task keeps its own k best per query, so the corpus is never shuffled.
+    idf = ln(1 + (n - df + 0.5) / (df + 0.5)). One pass counts document frequencies of the query terms, one pass scores.
+    With a query side within ``max_sent`` rows each task keeps its own k best per query, so the corpus is never
+    shuffled.
     """
     tokenised = docs.select(key, T.tokens(text).alias("_tokens"))
-    n_docs, mean = corpus_statistics(tokenised, "_tokens")
-    terms = with_idf(query_terms(queries, query_key, query_text, stop_words), tokenised, "_tokens", n_docs)
-    return _search(
-        tokenised, key, ["_tokens"], [1.0], F.size("_tokens"), terms, mean or 1.0, k, min_score, exclude_self, max_sent
-    )
+    terms = query_terms(queries, query_key, query_text, stop_words)
+    counts = document_frequencies(terms, tokenised, "_tokens")
+    where = (tokenised, key, ["_tokens"], [1.0], F.size("_tokens"))
+    limits = (k, min_score, exclude_self)
+    if _fits(terms, max_sent):
+        asked, found = terms.toArrow(), counts.toArrow()
+        known = found["term"].to_pylist()
+        every = known.index("") if "" in known else None
+        if every is None:
+            return _search_sent(*where, asked.slice(0, 0).append_column("idf", pa.array([], pa.float64())),
+                                _type(terms, "query_id"), 1.0, *limits)
+        n_docs, total = found["df"][every].as_py(), found["total"][every].as_py()
+        place = pc.index_in(asked["term"], value_set=found["term"].combine_chunks())
+        asked = asked.append_column("at", place).filter(pc.is_valid(place))
+        idf = np.log(_idf(found["df"].to_numpy(), n_docs))[asked["at"].to_numpy()]
+        asked = asked.drop_columns(["at"]).append_column("idf", pa.array(idf))
+        return _search_sent(*where, asked, _type(terms, "query_id"), (total / n_docs) or 1.0, *limits)
+    counts = sinks.stored(counts, "document-frequencies")
+    every = counts.where(F.col("term") == "").first()
+    n_docs, mean = (every["df"], every["total"] / every["df"]) if every else (0, 1.0)
+    weighted = terms.join(counts.select("term", F.log(_idf(F.col("df"), F.lit(n_docs))).alias("idf")), "term")
+    return _search_joined(*where, weighted, mean or 1.0, *limits)
 
 
 def cover_rank_search(
@@ -250,10 +283,11 @@ def cover_rank_search(
     names = [f"_tokens_{cls}" for cls in fields]
     tokenised = docs.select(key, *[T.tokens(text).alias(n) for n, text in zip(names, fields.values())])
     terms = query_terms(queries, query_key, query_text, stop_words).withColumn("idf", F.lit(1.0))
-    weights = [vocab.CLASS_WEIGHTS[cls] for cls in fields]
-    return _search(
-        tokenised, key, names, weights, F.lit(0), terms, None, k, min_score, exclude_self, max_sent
-    )
+    where = (tokenised, key, names, [vocab.CLASS_WEIGHTS[cls] for cls in fields], F.lit(0))
+    limits = (k, min_score, exclude_self)
+    if _fits(terms, max_sent):
+        return _search_sent(*where, terms.toArrow(), _type(terms, "query_id"), None, *limits)
+    return _search_joined(*where, terms, None, *limits)
 
 
 def search_articles(articles: DataFrame, queries: DataFrame, k: int = 5, category: str | None = None, **options) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ticketloom.operators.relational import hash_order
+from ticketloom.sources import sinks
 
 
 def rank_hits(df: DataFrame, by: str | list[str], k: int, *order: Column, name: str = "rank") -> DataFrame:
@@ -51,7 +52,8 @@ def stratified_split(df: DataFrame, stratum: str, key: str, test_percent: int =
         .where((F.col("_before") <= F.col("_train")) & (F.col("_train") < F.col("_before") + F.col("_n")))
         .select(stratum, F.col("_slice").alias("_edge"), (F.col("_train") - F.col("_before")).alias("_left"))
     )
-    placed = keyed.join(bounds, stratum)
+    # Written once: both branches read it, and its known size lets Spark broadcast it.
+    placed = keyed.join(sinks.stored(bounds, "split-bounds"), stratum)
     decided = placed.where(F.col("_slice") != F.col("_edge")).withColumn(
         "split", F.when(F.col("_slice") < F.col("_edge"), "train").otherwise("test")
     )
@@ -78,6 +80,8 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, wanted: dict[str
     probs = sorted({p for p, _ in wanted.values()})
     edges = sorted({min(1.0, max(0.0, p + e)) for p in probs for e in (-0.002, 0.002)})
     sketch = base.groupBy(*group).agg(F.percentile_approx("_v", edges, 2000).alias("_cuts"))
+    # One row per group; written so that its size is known and Spark can broadcast it.
+    sketch = sinks.stored(sketch, "quantile-sketch")
     bracket = F.lit(0)
     for i in range(len(edges)):
         bracket = bracket + (F.col("_v") > F.col("_cuts")[i]).cast("int")

@@ -8,6 +8,8 @@ import operator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ticketloom.sources import sinks
+
 PERIOD_DAYS = {"day": 1, "week": 7, "month": 30}
 
 
@@ -37,6 +39,21 @@ def metadata_filter(df: DataFrame, conditions: dict[str, str], metadata: str = "
     return df
 
 
+def join_unique(facts: DataFrame, unique: DataFrame, on: str, hot_rows: int = 1_000_000, max_hot: int = 10_000) -> DataFrame:
+    """Inner join of ``facts`` with a table that holds each key once, safe when one key owns a third of the facts.
+
+    Keys with more than ``hot_rows`` facts, and more than a ``max_hot``-th of all, are joined by broadcasting their
+    rows of ``unique``: at most ``max_hot`` rows by construction. All other keys are joined by shuffle.
+    """
+    counts = facts.groupBy(on).agg(F.count(F.lit(1)).alias("_n"))
+    floor = F.greatest(F.lit(hot_rows), F.floor(counts.agg(F.sum("_n")).scalar() / max_hot))
+    hot = sinks.stored(counts.where(F.col("_n") > floor).select(on), "hot-keys")
+    if hot.isEmpty():
+        return facts.join(unique, on)
+    few = unique.join(F.broadcast(hot), on, "left_semi")
+    return facts.join(F.broadcast(few), on).unionByName(facts.join(F.broadcast(hot), on, "left_anti").join(unique, on))
+
+
 def with_latest(parents: DataFrame, children: DataFrame, key: str, newest: str, columns: list[str]) -> DataFrame:
     """Each parent with the newest child row, or NULLs.
 
@@ -52,10 +69,10 @@ def with_latest(parents: DataFrame, children: DataFrame, key: str, newest: str,
 def with_children(parents: DataFrame, children: DataFrame, key: str) -> DataFrame:
     """One row per (parent, child) and one row for a parent without children.
 
-    Written as inner join plus anti join: both forms let AQE split a parent that owns a third of all children,
-    which an outer join would not allow on the child side.
+    Written as inner join plus anti join, so that a parent that owns a third of all children is split over many
+    tasks, which an outer join would not allow on the child side.
     """
-    matched = parents.join(children, key)
+    matched = join_unique(children, parents, key)
     bare = parents.join(children.select(key).distinct(), key, "left_anti")
     return matched.unionByName(bare, allowMissingColumns=True)
 

@@ -3,12 +3,27 @@
 from __future__ import annotations
 
 import numpy as np
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 #: Scores are rounded before ranking, so that equal inputs tie whatever the order of summation.
 DIGITS = 6
 #: Cells of the dense block (candidates x queries) that a task scores at a time.
 BLOCK_CELLS = 4_000_000
 
+#: Most hits that are sent to the tasks of the table they are looked up in.
+MAX_SENT_HITS = 1_000_000
+
+
+def attach(hits: DataFrame, table: DataFrame, on: str, queries: DataFrame, k: int) -> DataFrame:
+    """Hits with the columns of ``table``, which holds each document once.
+
+    There are at most k hits per query. Within ``MAX_SENT_HITS`` rows they go to the tasks of the table, whose texts
+    then need no shuffle; more hits are joined by shuffle.
+    """
+    few = queries.limit(MAX_SENT_HITS // k + 1).count() * k <= MAX_SENT_HITS
+    return table.join(F.broadcast(hits) if few else hits, on)
+
 
 def k_best(query: np.ndarray, score: np.ndarray, key: np.ndarray, k: int):
     """The k best per query: score descending, key ascending."""

@@ -297,7 +297,7 @@ def monthly_volume_change(spark, folder):
       WHEN recent / earlier::DOUBLE > 1.2 THEN 'emerging' WHEN recent / earlier::DOUBLE < 0.8 THEN 'declining' ELSE 'stable' END AS trend FROM c""",
 )
 def customer_trend(spark, folder):
-    return R.trend_labels(S.tickets(spark, folder), "customer_id", "created_at", LAST_ORDER_DAY, days=365)
+    return R.trend_labels(S.ticket_dates(spark, folder), "customer_id", "created_at", LAST_ORDER_DAY, days=365)
 
 
 @query(

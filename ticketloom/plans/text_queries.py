@@ -9,6 +9,7 @@ from ticketloom.functions import normalize as N
 from ticketloom.functions import text as T
 from ticketloom.operators import chunking, lexical
 from ticketloom.operators import ranking as R
+from ticketloom.operators.relational import join_unique
 from ticketloom.plans import sql_parts as P
 from ticketloom.plans.registry import query
 from ticketloom.sources import standins as S
@@ -208,7 +209,7 @@ def draft_edit_bands(spark, folder):
     drafts = S.drafts(spark, folder).select("ticket_id", "draft_no", ascii_text.alias("text"))
     final = drafts.groupBy("ticket_id").agg(F.max_by("text", "draft_no").alias("final_text"))
     share = N.modification_share(F.col("text"), F.col("final_text"))
-    scored = drafts.join(final, "ticket_id").select("ticket_id", "draft_no", share.alias("share"))
+    scored = join_unique(drafts, final, "ticket_id").select("ticket_id", "draft_no", share.alias("share"))
     return scored.select(
         "ticket_id", "draft_no", F.round("share", 6).alias("modification_share"),
         N.acceptance_band(F.col("share")).alias("band"),

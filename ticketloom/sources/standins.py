@@ -40,33 +40,24 @@ def tickets(spark: SparkSession, folder: str) -> DataFrame:
     return orders.join(segments, "customer_id")
 
 
-def first_replies(spark: SparkSession, folder: str) -> DataFrame:
-    """(ticket_id, resolved_at): the first ship date on or after the order date.
+def resolved_tickets(spark: SparkSession, folder: str) -> DataFrame:
+    """Tickets with ``resolved_at``, the first ship date on or after the order date, and ``resolution_hours``; both NULL
+    while unresolved.
 
-    Lines are reduced to distinct (order, ship date) pairs first, so an order with a third of all lines
-    reaches the join as one row per calendar day.
+    Lines are reduced to distinct (order, ship date) pairs first, so an order with a third of all lines reaches the
+    join as one row per calendar day. The grouping reuses the partitioning of the join.
     """
+    opened = tickets(spark, folder)
     shipped = (
         table(spark, folder, "lineitem")
-        .select(F.col("l_orderkey").alias("ticket_id"), F.col("l_shipdate").alias("shipped_at"))
+        .select(F.col("l_orderkey").alias("_order"), F.col("l_shipdate").alias("_shipped"))
         .distinct()
     )
-    opened = table(spark, folder, "orders").select(
-        F.col("o_orderkey").alias("ticket_id"), F.col("o_orderdate").alias("opened_at")
-    )
-    return (
-        opened.join(shipped, "ticket_id")
-        .where(F.col("shipped_at") >= F.col("opened_at"))
-        .groupBy("ticket_id")
-        .agg(F.min("shipped_at").alias("resolved_at"))
-    )
-
-
-def resolved_tickets(spark: SparkSession, folder: str) -> DataFrame:
-    """Tickets with ``resolved_at`` and ``resolution_hours``; both NULL while unresolved."""
+    later = (F.col("ticket_id") == F.col("_order")) & (F.col("_shipped") >= F.col("created_at"))
     return (
-        tickets(spark, folder)
-        .join(first_replies(spark, folder), "ticket_id", "left")
+        opened.join(shipped, later, "left")
+        .groupBy(*opened.columns)
+        .agg(F.min("_shipped").alias("resolved_at"))
         .withColumn("resolution_hours", N.hours_between(F.col("created_at"), F.col("resolved_at")))
     )
 
@@ -112,6 +103,13 @@ def labelled_tickets(spark: SparkSession, folder: str) -> DataFrame:
     return texts.join(truth, "ticket_id")
 
 
+def ticket_dates(spark: SparkSession, folder: str) -> DataFrame:
+    """(ticket_id, customer_id, created_at) from orders alone."""
+    return table(spark, folder, "orders").select(
+        F.col("o_orderkey").alias("ticket_id"), F.col("o_custkey").alias("customer_id"), F.col("o_orderdate").alias("created_at")
+    )
+
+
 def request_logs(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "events").select(
         F.col("event_id").alias("log_id"),

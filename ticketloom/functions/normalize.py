@@ -91,7 +91,7 @@ def sla_risk(priority: Column, confidence: Column) -> Column:
 
 
 def hours_between(start: Column, end: Column) -> Column:
-    return (F.unix_micros(end.cast("timestamp")) - F.unix_micros(start.cast("timestamp"))) / F.lit(3_600_000_000)
+    return F.timestamp_diff("MICROSECOND", start, end) / F.lit(3_600_000_000)
 
 
 def clamp_score(col: Column) -> Column:

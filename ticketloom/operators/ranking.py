@@ -74,24 +74,22 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, wanted: dict[str
     the cost, never the result.
     """
     base = df.select(*keys, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
-    group = keys or ["_all"]
-    if not keys:
-        base = base.withColumn("_all", F.lit(1))
     probs = sorted({p for p, _ in wanted.values()})
     edges = sorted({min(1.0, max(0.0, p + e)) for p in probs for e in (-0.002, 0.002)})
-    sketch = base.groupBy(*group).agg(F.percentile_approx("_v", edges, 2000).alias("_cuts"))
+    sketch = base.groupBy(*keys).agg(F.percentile_approx("_v", edges, 2000).alias("_cuts"))
     # One row per group; written so that its size is known and Spark can broadcast it.
     sketch = sinks.stored(sketch, "quantile-sketch")
     bracket = F.lit(0)
     for i in range(len(edges)):
         bracket = bracket + (F.col("_v") > F.col("_cuts")[i]).cast("int")
     # Counted per distinct value once; both uses below read the same shuffle.
-    counted = base.groupBy(*group, "_v").agg(F.count(F.lit(1)).alias("_c"))
-    placed = counted.join(sketch, group).select(*group, "_v", "_c", bracket.alias("_b"))
+    counted = base.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c"))
+    cut = counted.join(sketch, keys) if keys else counted.withColumn("_cuts", sketch.scalar())
+    placed = cut.select(*keys, "_v", "_c", bracket.alias("_b"))
 
     # Rows up to and including each bracket, as an array per group.
     upto = [F.sum(F.when(F.col("_b") <= i, F.col("_c")).otherwise(0)) for i in range(len(edges) + 1)]
-    sizes = placed.groupBy(*group).agg(F.array(*upto).alias("_upto"))
+    sizes = placed.groupBy(*keys).agg(F.array(*upto).alias("_upto"))
     n = F.element_at("_upto", -1)
     spots = []
     for name, (p, method) in wanted.items():
@@ -100,13 +98,13 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, wanted: dict[str
         share = place - low
         for position, weight in ((low, 1 - share), (low + 1, share)):
             spots.append(F.struct(F.lit(name).alias("_name"), position.alias("_pos"), weight.cast("double").alias("_w")))
-    spots = sizes.select(*group, "_upto", F.inline(F.array(*spots))).where(F.col("_w") > 0)
+    spots = sizes.select(*keys, "_upto", F.inline(F.array(*spots))).where(F.col("_w") > 0)
     spot_bracket = F.size(F.filter("_upto", lambda x: x <= F.col("_pos")))
     before = F.when(spot_bracket == 0, F.lit(0)).otherwise(F.get("_upto", spot_bracket - 1))
-    spots = spots.select(*group, "_name", "_w", spot_bracket.alias("_b"), (F.col("_pos") - before).alias("_pos"))
+    spots = spots.select(*keys, "_name", "_w", spot_bracket.alias("_b"), (F.col("_pos") - before).alias("_pos"))
 
-    inside = Window.partitionBy(*group, "_b", "_name", "_pos").orderBy("_v")
-    reach = placed.join(spots, [*group, "_b"]).withColumn("_reach", F.sum("_c").over(inside))
+    inside = Window.partitionBy(*keys, "_b", "_name", "_pos").orderBy("_v")
+    reach = placed.join(spots, [*keys, "_b"]).withColumn("_reach", F.sum("_c").over(inside))
     found = reach.where((F.col("_pos") < F.col("_reach")) & (F.col("_pos") >= F.col("_reach") - F.col("_c")))
     return found.groupBy(*keys, F.col("_name").alias("name")).agg(F.sum(F.col("_v") * F.col("_w")).alias("quantile"))
 

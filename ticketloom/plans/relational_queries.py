@@ -302,7 +302,10 @@ def article_identifiers(spark, folder):
 
 
 @query(
-    "vector_point_ids", "S17 B9", None,
+    "vector_point_ids", "S17 B9",
+    """WITH h AS (SELECT vec_id, sha1(unhex('6ba7b8109dad11d180b400c04fd430c8') || encode(vec_id::VARCHAR)) AS h FROM embeddings)
+    SELECT vec_id, left(h, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' ||
+      substr('89ab', 1 + ('0x' || substr(h, 17, 1))::INTEGER % 4, 1) || substr(h, 18, 3) || '-' || substr(h, 21, 12) AS point_id FROM h""",
 )
 def vector_point_ids(spark, folder):
     return S.vectors(spark, folder).select("vec_id", V.point_id(F.col("vec_id").cast("string")).alias("point_id"))

@@ -8,6 +8,7 @@ from ticketloom.operators import ranking as R
 from ticketloom.operators import routing, topics
 from ticketloom.plans import sql_parts as P
 from ticketloom.plans.registry import query
+from ticketloom.session import scratch_path
 from ticketloom.sources import standins as S
 
 #: Each iteration is a job over the training rows; accuracy is stable well before this many.
@@ -76,6 +77,16 @@ def routing_training_summary(spark, folder):
     return routing.training_summary(routing.fit_router(rows, max_iter=ITERATIONS), rows)
 
 
+@query("stored_router_predictions", "B10 K5", None)
+def stored_router_predictions(spark, folder):
+    """The router is saved to the shared folder, loaded again and used."""
+    rows = S.labelled_tickets(spark, folder)
+    path = scratch_path(spark, "router")
+    routing.fit_router(rows, max_features=2000, max_iter=50).save(path)
+    scored = routing.Router.load(path).predict(rows)
+    return scored.select("ticket_id", "predicted_category", "predicted_priority")
+
+
 @query("routing_evaluation", "M6 F7 K3", None)
 def routing_evaluation(spark, folder):
     train, test = split_tickets(spark, folder)

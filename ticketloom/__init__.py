@@ -4,4 +4,11 @@ Every operator is a function from DataFrames to a DataFrame, lazy, built on nati
 Python runs inside tasks only where an expression cannot state the rule (chunking, dense products).
 """
 
+import sys
+
+from pyspark import cloudpickle
+
 __version__ = "0.1.0"
+
+# Functions that run in tasks travel with the job, so executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -6,8 +6,6 @@ which is what cover density gives for a query whose terms are joined by OR. ``bm
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -93,18 +91,9 @@ def tfidf(
     return weighted.withColumn("weight", F.col("_w") / length).drop("_w")
 
 
-@dataclass(frozen=True)
-class _SentQueries:
-    """The query side as arrays: distinct terms, and for each the queries that hold it."""
-
-    query_ids: np.ndarray
-    terms: pa.Array
-    idf: np.ndarray
-    first: np.ndarray
-    queries: np.ndarray
-
-
-def _pack(rows: pa.Table) -> _SentQueries:
+def _pack(rows: pa.Table) -> tuple[np.ndarray, pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """The query side as arrays: query ids, distinct terms with idf, and for each term where its queries start in the
+    last array."""
     coded = rows["term"].combine_chunks().dictionary_encode()
     codes = coded.indices.to_numpy(zero_copy_only=False)
     ids, query_pos = np.unique(rows["query_id"].to_numpy(), return_inverse=True)
@@ -113,7 +102,7 @@ def _pack(rows: pa.Table) -> _SentQueries:
     idf = np.ones(n_terms)
     idf[codes] = rows["idf"].to_numpy()
     first = np.searchsorted(codes[order], np.arange(n_terms + 1))
-    return _SentQueries(ids, coded.dictionary, idf, first, query_pos[order])
+    return ids, coded.dictionary, idf, first, query_pos[order]
 
 
 def _matches(tokens: pa.ListArray, terms: pa.Array):
@@ -130,9 +119,10 @@ def _matches(tokens: pa.ListArray, terms: pa.Array):
 
 def _score_batches(batches, sent, weights, average_length, k, min_score, exclude_self):
     """Per task: score blocks of documents against all queries, keep the k best per query."""
-    n_queries = len(sent.query_ids)
+    query_ids, terms, idf, first, queries = sent
+    n_queries = len(query_ids)
     block = max(1, BLOCK_CELLS // max(1, n_queries))
-    per_term = np.diff(sent.first)
+    per_term = np.diff(first)
     best = None
     for batch in batches:
         for at in range(0, batch.num_rows, block):
@@ -140,15 +130,15 @@ def _score_batches(batches, sent, weights, average_length, k, min_score, exclude
             keys = part.column(0).to_numpy(zero_copy_only=False)
             scores = np.zeros(part.num_rows * n_queries)
             for i, weight in enumerate(weights):
-                row, term, count = _matches(part.column(2 + i), sent.terms)
+                row, term, count = _matches(part.column(2 + i), terms)
                 if average_length is None:
                     value = count * weight
                 else:
                     length = part.column(1).to_numpy(zero_copy_only=False)[row]
-                    value = sent.idf[term] * count * (K1 + 1) / (count + K1 * (1 - B + B * length / average_length))
+                    value = idf[term] * count * (K1 + 1) / (count + K1 * (1 - B + B * length / average_length))
                 repeat = per_term[term]
                 within = np.arange(repeat.sum()) - np.repeat(np.cumsum(repeat) - repeat, repeat)
-                query = sent.queries[np.repeat(sent.first[term], repeat) + within]
+                query = queries[np.repeat(first[term], repeat) + within]
                 cells = np.repeat(row, repeat) * n_queries + query
                 scores += np.bincount(cells, np.repeat(value, repeat), minlength=len(scores))
             if average_length is None:
@@ -158,12 +148,12 @@ def _score_batches(batches, sent, weights, average_length, k, min_score, exclude
             query, key = cells % n_queries, keys[cells // n_queries]
             score = scores[cells]
             if exclude_self:
-                other = sent.query_ids[query] != key
+                other = query_ids[query] != key
                 query, score, key = query[other], score[other], key[other]
             best = merge_best(best, query, score, key, k)
     if best is not None and len(best[0]):
         yield pa.RecordBatch.from_arrays(
-            [pa.array(sent.query_ids[best[0]]), pa.array(best[2]), pa.array(best[1])], ["query_id", "doc_id", "score"]
+            [pa.array(query_ids[best[0]]), pa.array(best[2]), pa.array(best[1])], ["query_id", "doc_id", "score"]
         )
 
 

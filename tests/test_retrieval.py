@@ -87,8 +87,22 @@ def test_small_blocks_give_the_same(corpus, monkeypatch):
     _, _, docs_df, queries_df = corpus
     search = lambda: rows(lexical.bm25_search(docs_df, "doc_id", F.col("text"), queries_df, "query_id", "query_text", 5))
     whole = search()
-    monkeypatch.setattr(lexical, "BLOCK_CELLS", 20)
+    monkeypatch.setattr(lexical, "BLOCK_CELLS", 100)
     assert search() == whole
+    monkeypatch.setattr(lexical, "BLOCK_CELLS", 20)  # below terms x queries: pairs are spelled out
+    assert search() == whole
+
+
+def test_block_best_with_copies():
+    from ticketloom.operators.topk import block_best
+
+    scores = np.zeros((50, 2))
+    scores[:, 0] = 0.5
+    scores[7, 1] = 0.25
+    keys = np.arange(50)[::-1].copy()
+    row, column = block_best(scores, keys, 3)
+    got = {c: sorted(keys[row[column == c]]) for c in (0, 1)}
+    assert got == {0: [0, 1, 2], 1: [0, 1, 42]}
 
 
 def test_term_counts(spark):

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ticketloom.operators import ranking
-from ticketloom.operators.topk import BLOCK_CELLS, DIGITS, merge_best
+from ticketloom.operators.topk import BLOCK_CELLS, DIGITS, block_best, merge_best
 
 #: Largest query side, in vector components, that is sent to every task (64 MB of doubles).
 MAX_SENT_COMPONENTS = 8_000_000
@@ -67,21 +67,14 @@ def encode_table(
     return df.select(key, tokens.alias("_tokens")).mapInArrow(run, schema)
 
 
-def _candidates(scores: np.ndarray, k: int):
-    """(row, column) of every score that can be among the k best of its column, ties included."""
-    if len(scores) > k:
-        floor = np.partition(scores, len(scores) - k, axis=0)[len(scores) - k]
-        return np.nonzero(scores >= floor)
-    return np.nonzero(np.ones(scores.shape, bool))
-
-
 def _score_block(best, keys, vectors, query_ids, queries, k, exclude_self):
     extra = 1 if exclude_self else 0
     step = max(1, BLOCK_CELLS // max(1, len(query_ids)))
     for at in range(0, len(vectors), step):
         scores = np.round(vectors[at : at + step] @ queries.T, DIGITS)
-        row, column = _candidates(scores, k + extra)
-        key, score = keys[at : at + step][row], scores[row, column]
+        part = keys[at : at + step]
+        row, column = block_best(scores, part, k + extra)
+        key, score = part[row], scores[row, column]
         if exclude_self:
             other = query_ids[column] != key
             key, score, column = key[other], score[other], column[other]

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ticketloom import vocab
 from ticketloom.functions import text as T
 from ticketloom.operators import ranking
-from ticketloom.operators.topk import BLOCK_CELLS, DIGITS, merge_best
+from ticketloom.operators.topk import BLOCK_CELLS, DIGITS, block_best, merge_best
 from ticketloom.sources import sinks
 
 #: Largest query side, in (query, term) rows, that is sent to every task. Larger ones are joined on the term.
@@ -117,18 +117,49 @@ def _matches(tokens: pa.ListArray, terms: pa.Array):
     return cell // len(terms), cell % len(terms), count
 
 
+def _membership(first: np.ndarray, queries: np.ndarray, n_queries: int) -> np.ndarray | None:
+    """Terms x queries as a 0/1 matrix, or None where that would be too large."""
+    n_terms = len(first) - 1
+    if n_terms * n_queries > BLOCK_CELLS:
+        return None
+    out = np.zeros((n_terms, n_queries))
+    out[np.repeat(np.arange(n_terms), np.diff(first)), queries] = 1.0
+    return out
+
+
+def _add_scores(scores, row, term, value, first, queries, member):
+    """Adds the value of each (row, term) to every query that holds the term."""
+    if member is not None:
+        held = np.zeros((len(scores), len(member)))
+        held[row, term] = value
+        scores += held @ member
+        return
+    # Too many terms for a matrix: spell out (row, query) pairs, a bounded number at a time.
+    repeat = np.diff(first)[term]
+    upto = np.cumsum(repeat)
+    at = 0
+    while at < len(row):
+        stop = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + BLOCK_CELLS, side="right")))
+        part, times = slice(at, stop), repeat[at:stop]
+        within = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+        query = queries[np.repeat(first[term[part]], times) + within]
+        cells = np.repeat(row[part], times) * scores.shape[1] + query
+        scores += np.bincount(cells, np.repeat(value[part], times), minlength=scores.size).reshape(scores.shape)
+        at = stop
+
+
 def _score_batches(batches, sent, weights, average_length, k, min_score, exclude_self):
     """Per task: score blocks of documents against all queries, keep the k best per query."""
     query_ids, terms, idf, first, queries = sent
     n_queries = len(query_ids)
-    block = max(1, BLOCK_CELLS // max(1, n_queries))
-    per_term = np.diff(first)
+    member = _membership(first, queries, n_queries)
+    block = max(1, BLOCK_CELLS // max(1, n_queries + (len(terms) if member is not None else 0)))
     best = None
-    for batch in batches:
+    for batch in batches if n_queries else ():
         for at in range(0, batch.num_rows, block):
             part = batch.slice(at, block)
             keys = part.column(0).to_numpy(zero_copy_only=False)
-            scores = np.zeros(part.num_rows * n_queries)
+            scores = np.zeros((part.num_rows, n_queries))
             for i, weight in enumerate(weights):
                 row, term, count = _matches(part.column(2 + i), terms)
                 if average_length is None:
@@ -136,21 +167,16 @@ def _score_batches(batches, sent, weights, average_length, k, min_score, exclude
                 else:
                     length = part.column(1).to_numpy(zero_copy_only=False)[row]
                     value = idf[term] * count * (K1 + 1) / (count + K1 * (1 - B + B * length / average_length))
-                repeat = per_term[term]
-                within = np.arange(repeat.sum()) - np.repeat(np.cumsum(repeat) - repeat, repeat)
-                query = queries[np.repeat(first[term], repeat) + within]
-                cells = np.repeat(row, repeat) * n_queries + query
-                scores += np.bincount(cells, np.repeat(value, repeat), minlength=len(scores))
+                _add_scores(scores, row, term, value, first, queries, member)
             if average_length is None:
                 scores = scores / (scores + 1)
             scores = np.round(scores, DIGITS)
-            cells = np.flatnonzero(scores > min_score)
-            query, key = cells % n_queries, keys[cells // n_queries]
-            score = scores[cells]
+            row, query = block_best(scores, keys, k + 1 if exclude_self else k)
+            key, score = keys[row], scores[row, query]
+            keep = score > min_score
             if exclude_self:
-                other = query_ids[query] != key
-                query, score, key = query[other], score[other], key[other]
-            best = merge_best(best, query, score, key, k)
+                keep &= query_ids[query] != key
+            best = merge_best(best, query[keep], score[keep], key[keep], k)
     if best is not None and len(best[0]):
         yield pa.RecordBatch.from_arrays(
             [pa.array(query_ids[best[0]]), pa.array(best[2]), pa.array(best[1])], ["query_id", "doc_id", "score"]

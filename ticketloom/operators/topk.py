@@ -25,6 +25,23 @@ def attach(hits: DataFrame, table: DataFrame, on: str, queries: DataFrame, k: in
     return table.join(F.broadcast(hits) if few else hits, on)
 
 
+def block_best(scores: np.ndarray, keys: np.ndarray, k: int):
+    """(row, column) of the k best rows per column of a block of rounded scores: score descending, key ascending.
+
+    Score and key order are packed into one whole number per cell, so any number of equal scores - a block full of
+    copies - costs no more than distinct ones.
+    """
+    n = len(scores)
+    if n <= k:
+        row, column = np.indices(scores.shape)
+        return row.ravel(), column.ravel()
+    place = np.empty(n, np.int64)
+    place[np.argsort(keys, kind="stable")] = np.arange(n)
+    packed = np.rint(scores * 10**DIGITS).astype(np.int64) * n + (n - 1 - place)[:, None]
+    top = np.argpartition(packed, n - k, axis=0)[n - k :]
+    return top.ravel(), np.tile(np.arange(scores.shape[1]), k)
+
+
 def k_best(query: np.ndarray, score: np.ndarray, key: np.ndarray, k: int):
     """The k best per query: score descending, key ascending."""
     order = np.lexsort((key, -score, query))

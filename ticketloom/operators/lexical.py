@@ -201,6 +201,33 @@ def document_frequencies(terms: DataFrame, docs: DataFrame, tokens: str) -> Data
     )
 
 
+def _count_batches(batches, terms):
+    """Per task: documents holding each term, and under the empty term all documents and all their tokens."""
+    df, documents, total = np.zeros(len(terms), np.int64), 0, 0
+    for batch in batches:
+        documents += batch.num_rows
+        total += len(batch.column(0).flatten())
+        if len(terms):
+            _, term, _ = _matches(batch.column(0), terms)
+            df += np.bincount(term, minlength=len(terms))
+    if documents:
+        seen = np.flatnonzero(df)
+        words = terms.take(pa.array(seen)).to_pylist() + [""]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(words), pa.array(np.r_[df[seen], documents]), pa.array(np.r_[np.zeros(len(seen), np.int64), total])],
+            ["term", "df", "total"],
+        )
+
+
+def sent_document_frequencies(terms: pa.Array, docs: DataFrame, tokens: str) -> DataFrame:
+    """``document_frequencies`` with the query terms sent to every task, which returns one row per term it saw."""
+    sent = docs.sparkSession.sparkContext.broadcast(terms)
+    parts = docs.select(tokens).mapInArrow(
+        lambda batches: _count_batches(batches, sent.value), "term string, df long, total long"
+    )
+    return parts.groupBy("term").agg(F.sum("df").alias("df"), F.sum("total").alias("total"))
+
+
 def _idf(df, n_docs):
     return 1 + (n_docs - df + 0.5) / (df + 0.5)
 
@@ -263,11 +290,12 @@ def bm25_search(
     """
     tokenised = docs.select(key, T.tokens(text).alias("_tokens"))
     terms = query_terms(queries, query_key, query_text, stop_words)
-    counts = document_frequencies(terms, tokenised, "_tokens")
     where = (tokenised, key, ["_tokens"], [1.0], F.size("_tokens"))
     limits = (k, min_score, exclude_self)
     if _fits(terms, max_sent):
-        asked, found = terms.toArrow(), counts.toArrow()
+        asked = terms.toArrow()
+        words = asked["term"].combine_chunks().unique()
+        found = sent_document_frequencies(words, tokenised, "_tokens").toArrow()
         known = found["term"].to_pylist()
         every = known.index("") if "" in known else None
         if every is None:
@@ -279,7 +307,7 @@ def bm25_search(
         idf = np.log(_idf(found["df"].to_numpy(), n_docs))[asked["at"].to_numpy()]
         asked = asked.drop_columns(["at"]).append_column("idf", pa.array(idf))
         return _search_sent(*where, asked, _type(terms, "query_id"), (total / n_docs) or 1.0, *limits)
-    counts = sinks.stored(counts, "document-frequencies")
+    counts = sinks.stored(document_frequencies(terms, tokenised, "_tokens"), "document-frequencies")
     every = counts.where(F.col("term") == "").first()
     n_docs, mean = (every["df"], every["total"] / every["df"]) if every else (0, 1.0)
     weighted = terms.join(counts.select("term", F.log(_idf(F.col("df"), F.lit(n_docs))).alias("idf")), "term")

@@ -14,11 +14,21 @@ def con(folder):
     return oracle.connect(folder)
 
 
-@pytest.mark.parametrize("name", [n for n, q in QUERIES.items() if q.sql])
+# Refuses the smallest data set, which has fewer than 100 labelled tickets.
+NEEDS_MORE_ROWS = {"training_rows"}
+
+
+@pytest.mark.parametrize("name", [n for n, q in QUERIES.items() if q.sql and n not in NEEDS_MORE_ROWS])
 def test_matches_sql(spark, folder, con, name):
     assert oracle.difference(QUERIES[name].run(spark, folder), con, QUERIES[name].sql) is None
 
 
+@pytest.mark.parametrize("name", sorted(NEEDS_MORE_ROWS))
+def test_matches_sql_on_more_rows(spark, name):
+    larger = "/root/testdata/sf0.01"
+    assert oracle.difference(QUERIES[name].run(spark, larger), oracle.connect(larger), QUERIES[name].sql) is None
+
+
 def test_entry_has_rows(spark):
     assert entry_module.entry(spark).count() > 0
 

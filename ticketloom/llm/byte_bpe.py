@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 NEVER = np.int32(2**31 - 1)
 #: Text gathered before a replay, and ids sent back in one Arrow batch.
-CHARS_PER_REPLAY = 32_000_000
+CHARS_PER_REPLAY = 8_000_000
 IDS_PER_BATCH = 1_000_000
 
 

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ticketloom.llm import byte_bpe, language_id, sharding, token_files, toxicity
+from ticketloom.llm import byte_bpe, language_id, ngram_join, sharding, token_files, toxicity
 from ticketloom.session import scratch_path
 
 QUERIES = {}
@@ -52,6 +52,11 @@ def op2_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+@_query("op3_ngram_join")
+def op3_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
+    return ngram_join.similar_groups(table(spark, folder, "documents"), "doc_id", "text")
+
+
 @_query("op5_token_files")
 def op5_token_files(spark: SparkSession, folder: str) -> DataFrame:
     documents = table(spark, folder, "documents")

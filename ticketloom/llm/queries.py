@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ticketloom.llm import byte_bpe, language_id, ngram_join, sharding, token_files, toxicity
+from ticketloom.llm import byte_bpe, embedding_dedup, language_id, ngram_join, sharding, token_files, toxicity
 from ticketloom.session import scratch_path
 
 QUERIES = {}
@@ -44,6 +44,34 @@ def byte_ranks() -> dict[bytes, int]:
     return byte_bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
+OP1_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, x -> x <> 0)) > 0
+), links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b
+  ON a.label = b.label AND len(a.e) = len(b.e) AND a.vec_id <> b.vec_id
+  AND list_cosine_similarity(a.e, b.e) >= 0.93
+), reach AS (
+  SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a
+), lowest AS (
+  SELECT a, min(b) AS low FROM reach GROUP BY a
+), counted AS (
+  SELECT a, count(*) AS n FROM links GROUP BY a
+)
+SELECT vec_id, coalesce(n, 0) AS n_links, least(vec_id, coalesce(low, vec_id)) AS component_id,
+  vec_id = least(vec_id, coalesce(low, vec_id)) AS kept
+FROM embeddings LEFT JOIN lowest ON lowest.a = vec_id LEFT JOIN counted ON counted.a = vec_id
+"""
+
+
+@_query("op1_embedding_dedup", OP1_SQL)
+def op1_embedding_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return embedding_dedup.linked_vectors(table(spark, folder, "embeddings"), "vec_id", "embedding", "label")
+
+
 @_query("op2_language_id")
 def op2_language_id(spark: SparkSession, folder: str) -> DataFrame:
     documents = table(spark, folder, "documents")

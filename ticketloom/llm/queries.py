@@ -6,7 +6,16 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ticketloom.llm import byte_bpe, embedding_dedup, language_id, ngram_join, sharding, token_files, toxicity
+from ticketloom.llm import (
+    byte_bpe,
+    decontamination,
+    embedding_dedup,
+    language_id,
+    ngram_join,
+    sharding,
+    token_files,
+    toxicity,
+)
 from ticketloom.session import scratch_path
 
 QUERIES = {}
@@ -48,8 +57,8 @@ OP1_SQL = """
 WITH RECURSIVE v AS (
   SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
   WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
-    AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
-    AND len(list_filter(embedding, x -> x <> 0)) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0
 ), links AS (
   SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b
   ON a.label = b.label AND len(a.e) = len(b.e) AND a.vec_id <> b.vec_id
@@ -80,11 +89,61 @@ def op2_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
-@_query("op3_ngram_join")
+#: Documents and items as lists of distinct five-word shingles; a shorter text is one shingle.
+def _shingle_sql(name: str, source: str, key: str) -> str:
+    return f"""
+{name}_words AS (
+  SELECT {key} AS id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[\\x09-\\x0D ]+'), lambda x: x <> '') AS w FROM {source} WHERE {key} IS NOT NULL
+), {name} AS (
+  SELECT DISTINCT id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS s FROM {name}_words
+)"""
+
+
+OP3_SQL = f"""
+WITH RECURSIVE {_shingle_sql("d", "documents", "doc_id")}, sizes AS (
+  SELECT id, count(*) AS n FROM d GROUP BY id
+), links AS (
+  SELECT x.id AS a, y.id AS b FROM d x JOIN d y ON x.s = y.s AND x.id <> y.id
+  JOIN sizes p ON p.id = x.id JOIN sizes q ON q.id = y.id
+  GROUP BY x.id, y.id, p.n, q.n HAVING 100 * count(*) >= 75 * (p.n + q.n - count(*))
+), reach AS (
+  SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a
+), lowest AS (
+  SELECT a, min(b) AS low FROM reach GROUP BY a
+)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, least(doc_id, coalesce(low, doc_id)) AS component_id
+FROM documents LEFT JOIN sizes ON sizes.id = doc_id LEFT JOIN lowest ON lowest.a = doc_id
+"""
+
+CONTAINED_SQL = """contained AS (
+  SELECT d.id AS doc_id, i.id AS item_id, count(*) AS shared FROM d JOIN i ON d.s = i.s GROUP BY d.id, i.id
+), totals AS (
+  SELECT id, count(*) AS q FROM i GROUP BY id
+), found AS (
+  SELECT doc_id, item_id, q AS item_shingles, shared AS shared_shingles, shared / q AS containment
+  FROM contained JOIN totals ON totals.id = item_id WHERE 100 * shared >= 75 * q
+)"""
+
+OP4_SQL = f"""
+WITH {_shingle_sql("d", "documents", "doc_id")}, {_shingle_sql("i", "benchmark", "item_id")}, {CONTAINED_SQL}
+SELECT * FROM found
+"""
+
+
+@_query("op3_ngram_join", OP3_SQL)
 def op3_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_join.similar_groups(table(spark, folder, "documents"), "doc_id", "text")
 
 
+@_query("op4_decontamination", OP4_SQL)
+def op4_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontamination.contained_items(
+        table(spark, folder, "documents"), "doc_id", "text", table(spark, folder, "benchmark"), "item_id", "text"
+    )
+
+
 @_query("op5_token_files")
 def op5_token_files(spark: SparkSession, folder: str) -> DataFrame:
     documents = table(spark, folder, "documents")

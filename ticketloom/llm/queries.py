@@ -12,6 +12,8 @@ from ticketloom.llm import (
     embedding_dedup,
     language_id,
     ngram_join,
+    quality_lm,
+    quotations,
     sharding,
     token_files,
     toxicity,
@@ -153,6 +155,17 @@ def op5_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+@_query("op6_quality_lm")
+def op6_quality_lm(spark: SparkSession, folder: str) -> DataFrame:
+    trusted = table(spark, folder, "labels").where(F.col("quality") == 1).select("doc_id")
+    return quality_lm.classify(table(spark, folder, "documents"), "doc_id", "text", "lang", trusted)
+
+
+@_query("op7_quotations")
+def op7_quotations(spark: SparkSession, folder: str) -> DataFrame:
+    return quotations.conversations(table(spark, folder, "conversations"), "conv_id", "turn", "role", "text")
+
+
 @_query("op8_byte_bpe")
 def op8_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe_digests(table(spark, folder, "documents"))

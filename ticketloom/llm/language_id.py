@@ -170,24 +170,25 @@ def learn(
     return train(windows[filled], target[filled], languages, epochs)
 
 
-def predict(df: DataFrame, key: str, text: str, net: Network | None) -> DataFrame:
-    """(key, lang_pred, score) for every row.
+def predict(df: DataFrame, key: str, text: str, net: Network | None, *keep: str) -> DataFrame:
+    """(key, ``keep`` columns, lang_pred, score) for every row.
 
     All windows of a text vote with their softmax values, weighed by their letters; ``score`` is the mean of the winner.
     A NULL text, one without letters, or a missing network gives ``und`` and 0. Ties go to the first language by name.
     Keys may be NULL or repeat; other columns are not read; nothing is shuffled.
     """
-    key_type = df.schema[key].dataType.simpleString()
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(key, *keep).schema)
     sent = df.sparkSession.sparkContext.broadcast(net.parts() if net else None)
 
     def run(batches):
         net = Network(*sent.value) if sent.value else None
         for batch in batches:
+            texts = batch.column(batch.num_columns - 1)
             names = [UNKNOWN] * batch.num_rows
             scores = [0.0] * batch.num_rows
             held, parts, size = [], [], 0
             for i in range(batch.num_rows):
-                value = batch.column(1)[i].as_py()
+                value = texts[i].as_py()
                 if net and has_letter(value):
                     held.append(i)
                     parts.append(windows_of(value))
@@ -195,14 +196,12 @@ def predict(df: DataFrame, key: str, text: str, net: Network | None) -> DataFram
                 if parts and (size >= 16 * WINDOWS_PER_STEP or i == batch.num_rows - 1):
                     _vote(net, held, parts, names, scores)
                     held, parts, size = [], [], 0
-            if parts:
-                _vote(net, held, parts, names, scores)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64())],
-                [key, "lang_pred", "score"],
+                [*batch.columns[:-1], pa.array(names, pa.string()), pa.array(scores, pa.float64())],
+                [*batch.schema.names[:-1], "lang_pred", "score"],
             )
 
-    return df.select(key, text).mapInArrow(run, f"`{key}` {key_type}, lang_pred string, score double")
+    return df.select(key, *keep, F.col(text).alias("_text")).mapInArrow(run, f"{schema}, lang_pred string, score double")
 
 
 def _vote(net: Network, held: list[int], parts: list[np.ndarray], names: list[str], scores: list[float]) -> None:

@@ -230,13 +230,13 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0
     return beta
 
 
-def score(df: DataFrame, key: str, text: str, model: Model, threshold: float = 0.7) -> DataFrame:
-    """(key, score, predicted, n_hits) for every row and its whole text.
+def score(df: DataFrame, key: str, text: str, model: Model, *keep: str, threshold: float = 0.7) -> DataFrame:
+    """(key, ``keep`` columns, score, predicted, n_hits) for every row and its whole text.
 
     NULL and empty texts get the score of a text without hits. Keys may be NULL or repeat; each row is scored by itself.
     Other columns are not read. Nothing is shuffled.
     """
-    key_type = df.schema[key].dataType.simpleString()
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(key, *keep).schema)
     sent = df.sparkSession.sparkContext.broadcast((model.terms, model.exceptions, model.fit))
 
     def run(batches):
@@ -244,19 +244,20 @@ def score(df: DataFrame, key: str, text: str, model: Model, threshold: float = 0
         matcher = Matcher(terms, exceptions)
         for batch in batches:
             scores, hits = [], []
-            for value in batch.column(1):
+            for value in batch.column(batch.num_columns - 1):
                 folded = fold(value.as_py() or "")
                 density, total = matcher.features(folded)
                 scores.append(1 / (1 + math.exp(-max(-30.0, min(30.0, a + b * density + c * total)))))
                 hits.append(0 if total == 0 else len(matcher.hits(folded)))
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column(0),
+                    *batch.columns[:-1],
                     pa.array(scores, pa.float64()),
                     pa.array([int(s >= threshold) for s in scores], pa.int32()),
                     pa.array(hits, pa.int32()),
                 ],
-                [key, "score", "predicted", "n_hits"],
+                [*batch.schema.names[:-1], "score", "predicted", "n_hits"],
             )
 
-    return df.select(key, text).mapInArrow(run, f"`{key}` {key_type}, score double, predicted int, n_hits int")
+    schema += ", score double, predicted int, n_hits int"
+    return df.select(key, *keep, F.col(text).alias("_text")).mapInArrow(run, schema)

@@ -73,7 +73,7 @@ class RoomTree:
 
 def best_fit_decreasing(sizes: Sequence[int], capacity: int, most: int | None = None) -> list[int] | None:
     """The bin of every item. A larger item than ``capacity`` gets a bin of its own. None if ``most`` bins don't do."""
-    tree, bins, n = RoomTree(), [0] * len(sizes), 0
+    tree, bins, n, least = RoomTree(), [0] * len(sizes), 0, min(sizes, default=0)
     for item in sorted(range(len(sizes)), key=lambda i: (-sizes[i], i)):
         found = tree.take(sizes[item])
         if found is None:
@@ -82,7 +82,7 @@ def best_fit_decreasing(sizes: Sequence[int], capacity: int, most: int | None =
                 return None
         room, where = found
         bins[item] = where
-        if room > sizes[item]:
+        if room - sizes[item] >= least:
             tree.insert((room - sizes[item], where))
     return bins
 

@@ -28,7 +28,8 @@ HOMOGLYPHS = str.maketrans(
     "aeopcyxijsdhlqwbkmhtaovipytkail",
 )
 SUBSTITUTES = str.maketrans("013457@$!|", "oieastasil")
-_MIXED = re.compile(r"[^\W\d_]+(?:[0-9@$!|]+[^\W\d_]+)+")
+#: A word that begins with a letter and has substitutes inside it, or one of the signs at its end.
+_MIXED = re.compile(r"[^\W\d_]+(?:[0-9@$!|]+[^\W\d_]+)+\$?|(?<![^\W_])[0-9@$]+(?:[^\W\d_]+[0-9@$!|]*)*[^\W\d_]+")
 _BETWEEN_WORDS = re.compile(r"[\W_]+")
 PREFIX_LENGTHS = range(3, 9)
 _MATCHED = "="

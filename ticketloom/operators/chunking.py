@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from bisect import bisect_right
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -11,31 +13,46 @@ from pyspark.sql import functions as F
 CHARS_PER_TOKEN = 4
 
 
+#: Fixed value: a chunk may end after the first character of one of these.
+_BOUNDARY = re.compile(r"\. |\n")
+
+
+def _stop_finder(text: str, size: int) -> Callable[[int], int]:
+    """begin -> end of the chunk that begins there. The boundaries are listed once; each end is one binary search."""
+    spans = [m.span() for m in _BOUNDARY.finditer(text)]
+    closed = [after for _, after in spans]
+
+    def stop(begin: int) -> int:
+        limit = begin + size
+        if limit >= len(text):
+            return len(text)
+        nearest = bisect_right(closed, limit) - 1
+        earliest = max(begin + 1, int(limit - size * 0.2))
+        if nearest >= 0 and spans[nearest][0] >= earliest:
+            return spans[nearest][0] + 1
+        return limit
+
+    return stop
+
+
 def chunk_spans(text: str, size: int, overlap: int, keep_tail: bool = False) -> Iterator[tuple[int, int]]:
     """(start, end) of each non-blank chunk of at most ``size`` characters.
 
-    A chunk that does not reach the end of the text is cut after the last '. ' or line break in its last fifth.
-    The next chunk starts ``overlap`` characters before the cut. The last chunk ends with the text; ``keep_tail``
-    adds the extra chunk holding only the final ``overlap`` characters that the original rule produces.
+    A chunk that does not reach the end of the text ends after the last boundary in its last fifth. The next one begins
+    ``overlap`` characters before that, or at it where this would not move on. The last chunk ends with the text;
+    ``keep_tail`` adds the extra chunk holding only the final ``overlap`` characters that the original rule produces.
     """
-    length, start, emitted = len(text), 0, None
-    while start < length:
-        end = min(start + size, length)
-        if end < length:
-            fifth = int(end - size * 0.2)
-            cut = max(text.rfind(". ", fifth, end), text.rfind("\n", fifth, end))
-            if cut > start:
-                end = cut + 1
-        if not text[start:end].isspace():
-            yield start, end
-            emitted = start
-        if end == length:
-            tail = length - overlap
-            if keep_tail and emitted is not None and tail > emitted and not text[tail:].isspace():
-                yield tail, length
-            return
-        following = end - overlap
-        start = end if following <= start else following
+    stop, begin, shown = _stop_finder(text, size), 0, None
+    reached = 0
+    while reached < len(text):
+        reached = stop(begin)
+        if text[begin:reached].strip():
+            shown = begin
+            yield begin, reached
+        begin = reached - overlap if reached - overlap > begin else reached
+    tail = len(text) - overlap
+    if keep_tail and shown is not None and tail > shown and text[tail:].strip():
+        yield tail, len(text)
 
 
 def _chunk_batches(batches, size, overlap, keep_tail, flush=2000):
@@ -55,9 +72,8 @@ def _chunk_batches(batches, size, overlap, keep_tail, flush=2000):
         return pa.RecordBatch.from_arrays(arrays, names)
 
     for batch in batches:
-        keys = batch.column(0)
-        for i in range(batch.num_rows):
-            key, text = keys[i].as_py(), batch.column(1)[i].as_py() or ""
+        for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            text = text or ""
             for index, (start, end) in enumerate(chunk_spans(text, size, overlap, keep_tail)):
                 piece = text[start:end].strip()
                 rows.append((key, index, piece, len(piece) // CHARS_PER_TOKEN, start, end))

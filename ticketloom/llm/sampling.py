@@ -12,10 +12,11 @@ def per_class(rows: DataFrame, label: str, key: str, limit: int, weight: Column
     """About ``limit`` rows of each class (or rows of ``limit`` total weight), the same ones on every run.
 
     A row is taken when the hash of its key falls below its class's share, so nothing is sorted and no class passes
-    through one task. Classes come back with ``class_rows``, their number of rows in all.
+    through one task. Classes come back with ``class_rows``, their number of rows in all. The table of shares has a row
+    per class, as few as the classifier has outputs, and goes to all tasks; the rows stay where they are.
     """
     size = F.sum(weight) if weight is not None else F.count(F.lit(1))
     shares = rows.groupBy(label).agg(size.cast("double").alias("_size"), F.count(F.lit(1)).alias("class_rows"))
-    marked = rows.join(shares, label)
+    marked = rows.join(F.broadcast(shares), label)
     draw = F.pmod(F.xxhash64(F.lit("sample"), F.col(key)), F.lit(_STEPS)) / F.lit(float(_STEPS))
     return marked.where(draw < F.lit(float(limit)) / F.greatest(F.col("_size"), F.lit(1.0))).drop("_size")

@@ -8,6 +8,10 @@ all its words of one selector at once. Spark's writer commits the files, so a ta
 from __future__ import annotations
 
 import os
+import sys
+import types
+import unicodedata
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -16,55 +20,156 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ticketloom.llm import simple8b
+from ticketloom.llm.shingles import WordHasher
 
 IDS_PER_BLOCK = 1 << 16
 #: Text whose distinct words are encoded together, and words sent to the tokenizer at a time.
 CHARS_PER_ROUND = 24_000_000
 WORDS_PER_CALL = 20_000
+#: Words whose ids a Python worker keeps between tasks; about 40 bytes each.
+MOST_WORDS = 1_000_000
 
 
 class _WordCache:
-    """Ids of texts, each distinct word encoded once per round.
+    """Ids of texts, each distinct word encoded once.
 
-    Texts are cut at spaces and line feeds only. The vocabulary drops white space and never joins characters across it,
-    so the ids of a text are those of its words in turn.
+    Texts are cut at spaces and line feeds, and a sign is cut off a word that ends with an ASCII letter before it. The
+    vocabulary drops white space and never joins characters across it or across the end of a run of letters, so the ids of
+    a text are those of its pieces in turn. Words are known by a 64-bit hash; those of earlier tasks stay in the Python
+    worker, up to MOST_WORDS.
     """
 
     def __init__(self, definition: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_str(definition)
-        self.tokenizer.encode_special_tokens = True
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
+        self.memory = sys.modules.setdefault("_token_words", types.ModuleType("_token_words")).__dict__
+        if self.memory.get("definition") != definition:
+            tokenizer = Tokenizer.from_str(definition)
+            tokenizer.encode_special_tokens = True
+            tokenizer.no_truncation()
+            tokenizer.no_padding()
+            vocabulary = tokenizer.get_vocab()
+            last = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+            last[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+            self.memory.update(definition=definition, tokenizer=tokenizer, last=last)
+            self._forget()
+        self.tokenizer, self.last, self.hasher = self.memory["tokenizer"], self.memory["last"], WordHasher()
+
+    def _forget(self) -> None:
+        """``known``: sorted hashes; ``start`` and ``size``: where the ids of each are in ``ids``."""
+        none = np.zeros(0, dtype=np.int64)
+        self.memory.update(known=none.astype(np.uint64), start=none, size=none, ids=none.astype(np.uint32))
 
     def encode(self, texts: list[str], end_id: int):
         """The ids of each text, the end id last."""
-        numbers: dict[str, int] = {}
-        documents = []
+        parts = []
         for text in texts:
-            words = text.replace("\n", " ").split(" ")
-            for word in words:
-                if word not in numbers:
-                    numbers[word] = len(numbers)
-            documents.append(np.fromiter(map(numbers.__getitem__, words), dtype=np.int32, count=len(words)))
-        distinct, parts, sizes = list(numbers), [], []
-        del numbers
-        for at in range(0, len(distinct), WORDS_PER_CALL):
-            some = self.tokenizer.encode_batch_fast(distinct[at : at + WORDS_PER_CALL], add_special_tokens=False)
-            lists = [e.ids for e in some]
-            sizes.extend(map(len, lists))
-            parts.append(np.fromiter((i for ids in lists for i in ids), dtype=np.uint32))
-        flat = np.concatenate([*parts, np.array([end_id], dtype=np.uint32)])
-        size = np.array([*sizes, 1], dtype=np.int64)
-        start = np.cumsum(size) - size
-        last = len(distinct)
-        for words in documents:
-            words = np.append(words, last)
-            run = size[words]
-            ends = np.cumsum(run)
-            yield flat[np.arange(ends[-1]) + np.repeat(start[words] - (ends - run), run)]
+            one = text.encode("utf-8", "surrogatepass")
+            # Before a combining mark, a small letter may compose where the capital does not.
+            parts.append(one if b"\xcc" in one or b"\xcd" in one else one.translate(_LOWER))
+        bounds = np.cumsum([0, *(len(p) + 1 for p in parts)])
+        whole = b"\n".join([*parts, b""])
+        raw = np.frombuffer(whole, dtype=np.uint8)
+        hashes, starts, ends = self.hasher.words(raw, (raw == 32) | (raw == 10), _without_sign)
+        signed = (raw[ends] != 32) & (raw[ends] != 10)
+        tails, sign_starts, sign_ends = self._signs()
+        place = np.arange(len(hashes)) + np.cumsum(signed) - signed
+        distinct, first, which = np.unique(hashes, return_index=True, return_inverse=True)
+        words = [(distinct, first, whole, starts, ends)]
+        if signed.any():
+            used = np.unique(raw[ends[signed]])
+            words.append((tails[used], used, bytes(range(256)), sign_starts, sign_ends))
+        self._learn(words)
+        known, start, size, ids = (self.memory[k] for k in ("known", "start", "size", "ids"))
+        at = np.empty(len(hashes) + int(signed.sum()), dtype=np.int64)
+        at[place] = np.searchsorted(known, distinct)[which]
+        at[place[signed] + 1] = np.searchsorted(known, tails)[raw[ends[signed]]]
+        heads = np.append(place, len(at))[np.searchsorted(starts, bounds)]
+        for a, b in zip(heads[:-1].tolist(), heads[1:].tolist()):
+            mine = at[a:b]
+            run = size[mine]
+            stop = np.cumsum(run)
+            n = int(stop[-1]) if b > a else 0
+            out = np.empty(n + 1, dtype=np.uint32)
+            out[:n] = ids[np.arange(n) + np.repeat(start[mine] - (stop - run), run)]
+            out[n] = end_id
+            yield out
+
+    def _signs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Hash, start and end of every byte as a word of its own."""
+        spread = np.full(512, 32, dtype=np.uint8)
+        spread[::2] = np.arange(256)
+        one = np.zeros(512, dtype=bool)
+        one[1::2] = True
+        return self.hasher.words(spread, one)[0], np.arange(256), np.arange(1, 257)
+
+    def _learn(self, words: list[tuple]) -> None:
+        """Encodes the words whose hashes are not known yet."""
+        if len(self.memory["known"]) > MOST_WORDS:
+            self._forget()
+        for hashes, which, source, starts, ends in words:
+            known = self.memory["known"]
+            at = np.minimum(np.searchsorted(known, hashes), max(len(known) - 1, 0))
+            fresh = known[at] != hashes if len(known) else np.ones(len(hashes), dtype=bool)
+            if not fresh.any():
+                continue
+            places = zip(starts[which[fresh]].tolist(), ends[which[fresh]].tolist())
+            ids, size = self._ids([source[a:b].decode("utf-8", "surrogatepass") for a, b in places])
+            start = len(self.memory["ids"]) + np.cumsum(size) - size
+            joined = np.concatenate([known, hashes[fresh]])
+            order = np.argsort(joined, kind="stable")
+            self.memory["known"] = joined[order]
+            self.memory["start"] = np.concatenate([self.memory["start"], start])[order]
+            self.memory["size"] = np.concatenate([self.memory["size"], size])[order]
+            self.memory["ids"] = np.concatenate([self.memory["ids"], ids])
+
+    def _ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words in turn, and how many each has."""
+        size = np.zeros(len(words), dtype=np.int64)
+        simple = np.fromiter((w.islower() and _only_letters(w) for w in words), dtype=bool, count=len(words))
+        found: list[np.ndarray] = [None] * 2
+        for turn, (which, joined) in enumerate([(np.flatnonzero(simple), True), (np.flatnonzero(~simple), False)]):
+            parts = [np.zeros(0, dtype=np.uint32)]
+            for at in range(0, len(which), WORDS_PER_CALL):
+                some = which[at : at + WORDS_PER_CALL]
+                ids, ends = self._call([words[i] for i in some], joined)
+                size[some] = np.diff(ends, prepend=0)
+                parts.append(ids)
+            found[turn] = np.concatenate(parts)
+        out = np.empty(int(size.sum()), dtype=np.uint32)
+        mine = np.repeat(simple, size)
+        out[mine], out[~mine] = found
+        return out, size
+
+    def _call(self, words: list[str], joined: bool) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words in turn and where each ends."""
+        if joined:  # a word of letters ends with its only end token
+            lines = [" ".join(words[k : k + 100]) for k in range(0, len(words), 100)]
+            encoded = self.tokenizer.encode_batch_fast(lines, add_special_tokens=False)
+            ids = np.fromiter(chain.from_iterable(e.ids for e in encoded), dtype=np.uint32)
+            ends = np.flatnonzero(self.last[ids]) + 1
+            if len(ends) == len(words):
+                return ids, ends
+        lists = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        return np.fromiter(chain.from_iterable(lists), dtype=np.uint32), np.cumsum([len(i) for i in lists])
+
+
+_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
+_SIGN, _LETTER = np.zeros(256, dtype=bool), np.zeros(256, dtype=bool)
+_SIGN[list(b".,!?;:")] = True
+_LETTER[list(b"abcdefghijklmnopqrstuvwxyz")] = True
+
+
+def _without_sign(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Ends of the words without a last sign that follows a small ASCII letter."""
+    last, before = raw[ends - 1], raw[np.maximum(ends - 2, 0)]
+    return ends - ((ends - starts > 1) & _SIGN[last] & _LETTER[before])
+
+
+def _only_letters(word: str) -> bool:
+    """Letters whose composed and lower-case forms are letters too."""
+    return word.isalpha() and (word.isascii() or (unicodedata.is_normalized("NFC", word) and word.lower().isalpha()))
 
 
 BLOCK = "part int, start_in_part long, n_ids long, words binary, escapes array<int>, offsets array<int>"

@@ -1,6 +1,6 @@
 """Registered queries: streams over the event and ticket files, run to the end of the input.
 
-The stream appends a window once the watermark has passed its end; the SQL twins state that cut.
+Windows are written whenever they change, so the last ones appear too and the result is that of the batch query.
 """
 
 from __future__ import annotations
@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from ticketloom import vocab
 from ticketloom.functions import normalize as N
-from ticketloom.operators import relational
+from ticketloom.plans import reports
 from ticketloom.plans import sql_parts as P
+from ticketloom.plans.analytics_queries import LAST_ORDER_DAY
 from ticketloom.plans.registry import query
 from ticketloom.session import scratch_path
 from ticketloom.sources import standins as S
@@ -29,12 +30,11 @@ def log_stream(spark, folder):
 
 @query(
     "stream_daily_endpoint_metrics", "T1",
-    f"""WITH {P.LOGS}, w AS (SELECT max(created_at) - INTERVAL 1 DAY AS mark FROM logs)
-    SELECT CAST(created_at AS DATE) AS day, endpoint, count(*) AS requests, round(avg(latency_ms), 6) AS mean_latency_ms
-    FROM logs, w GROUP BY 1, 2, mark HAVING CAST(created_at AS DATE) + INTERVAL 1 DAY <= mark""",
+    f"""WITH {P.LOGS} SELECT CAST(created_at AS DATE) AS day, endpoint, count(*) AS requests, round(avg(latency_ms), 6) AS mean_latency_ms
+    FROM logs GROUP BY 1, 2""",
 )
 def stream_daily_endpoint_metrics(spark, folder):
-    out = jobs.run_to_table(jobs.daily_endpoint_metrics(log_stream(spark, folder)), "daily-endpoints")
+    out = jobs.run_to_latest(jobs.daily_endpoint_metrics(log_stream(spark, folder)), ["day", "endpoint"], "daily-endpoints")
     return out.select(
         F.col("day").cast("date").alias("day"), "endpoint", "requests", F.round("mean_latency_ms", 6).alias("mean_latency_ms")
     )
@@ -42,13 +42,13 @@ def stream_daily_endpoint_metrics(spark, folder):
 
 @query(
     "stream_weekly_volume", "T2",
-    f"""WITH {P.LOGS}, w AS (SELECT max(created_at) - INTERVAL 1 DAY AS mark, CAST(min(created_at) AS DATE) AS lo, CAST(max(created_at) AS DATE) AS hi FROM logs),
+    f"""WITH {P.LOGS}, w AS (SELECT CAST(min(created_at) AS DATE) AS lo, CAST(max(created_at) AS DATE) AS hi FROM logs),
     s AS (SELECT CAST(unnest(generate_series(lo - INTERVAL 6 DAY, hi::TIMESTAMP, INTERVAL 1 DAY)) AS DATE) AS start FROM w)
-    SELECT start, count(*) AS requests FROM s JOIN logs ON created_at >= start AND created_at < start + INTERVAL 7 DAY, w
-    GROUP BY start, mark HAVING start + INTERVAL 7 DAY <= mark""",
+    SELECT start, count(*) AS requests FROM s JOIN logs ON created_at >= start AND created_at < start + INTERVAL 7 DAY
+    GROUP BY start""",
 )
 def stream_weekly_volume(spark, folder):
-    out = jobs.run_to_table(jobs.sliding_weekly_volume(log_stream(spark, folder)), "weekly-volume")
+    out = jobs.run_to_latest(jobs.sliding_weekly_volume(log_stream(spark, folder)), ["start"], "weekly-volume")
     return out.select(F.col("start").cast("date").alias("start"), "requests")
 
 
@@ -64,6 +64,19 @@ def stream_deduplicated_users(spark, folder):
     return out.groupBy("endpoint").agg(F.count(F.lit(1)).alias("users"))
 
 
+@query(
+    "stream_deduplicated_unkeyed", "T3",
+    """SELECT event_type AS endpoint, CASE WHEN event_type = 'view' THEN count(*) ELSE count(DISTINCT user_id) END AS kept
+    FROM events GROUP BY event_type""",
+)
+def stream_deduplicated_unkeyed(spark, folder):
+    """As above, but views carry no key: all of them stay, also where their rows are equal."""
+    key = F.when(F.col("endpoint") != "view", F.concat_ws("-", "endpoint", "session_user"))
+    stream = log_stream(spark, folder).withColumn("external_id", key).select("external_id", "endpoint", "created_at")
+    out = jobs.run_to_table(jobs.deduplicated(stream, "external_id", watermark="60 days"), "unkeyed")
+    return out.groupBy("endpoint").agg(F.count(F.lit(1)).alias("kept"))
+
+
 @query(
     "stream_triage", "T4 B4",
     f"""WITH {P.TICKETS} SELECT ticket_id, 'open' AS status, CASE category WHEN 'BUILDING' THEN 'Billing' WHEN 'MACHINERY' THEN 'Technical' ELSE 'General' END AS predicted_category,
@@ -89,12 +102,15 @@ def stream_triage(spark, folder):
 
 @query(
     "stream_sla_deadlines", "T5",
-    f"""WITH {P.TICKETS} SELECT ticket_id, priority, created_at + to_hours(CAST({P.SLA_HOURS} AS BIGINT)) AS deadline FROM tickets WHERE status = 'open'""",
+    f"""WITH {P.RESOLVED}, d AS (SELECT *, created_at + to_hours(CAST({P.SLA_HOURS} AS BIGINT)) AS deadline FROM resolved)
+    SELECT ticket_id, priority, deadline, coalesce(resolved_at, TIMESTAMP '{LAST_ORDER_DAY}') > deadline AS breached,
+      resolved_at IS NULL AND deadline >= TIMESTAMP '{LAST_ORDER_DAY}' AND deadline <= TIMESTAMP '{LAST_ORDER_DAY}' + INTERVAL 24 HOUR AS at_risk
+    FROM d""",
 )
 def stream_sla_deadlines(spark, folder):
-    path = scratch_path(spark, "open-tickets")
-    tickets = relational.list_rows(S.tickets(spark, folder), status="open").select("ticket_id", "priority", "created_at")
+    """Every ticket as it arrives: deadline, breach and the at-risk flag. No state is kept, so no watermark is needed."""
+    path = scratch_path(spark, "dated-tickets")
+    tickets = S.resolved_tickets(spark, folder).select("ticket_id", "priority", "created_at", "resolved_at")
     tickets.write.parquet(path)
-    alerts = jobs.sla_alerts(jobs.file_stream(spark, path, tickets.schema), N.sla_hours(F.col("priority")))
-    out = jobs.run_to_table(alerts, "sla-alerts")
-    return out.select("ticket_id", "priority", F.col("deadline").cast("timestamp_ntz").alias("deadline"))
+    stream = jobs.file_stream(spark, path, tickets.schema)
+    return jobs.run_to_table(reports.sla_deadlines(stream, LAST_ORDER_DAY), "sla-alerts")

@@ -122,15 +122,10 @@ def preview(text: Column, size: int = 300) -> Column:
     return F.when(F.length(text) > size, F.concat(F.substring(text, 1, size), F.lit("..."))).otherwise(text)
 
 
-def modification_share(draft: Column, final: Column, threshold: int | None = None) -> Column:
-    """Edit distance over the longer length. ``threshold`` bounds the quadratic work: beyond it the share is 1."""
+def modification_share(draft: Column, final: Column) -> Column:
+    """Edit distance over the longer length."""
     longest = F.greatest(F.length(draft), F.length(final))
-    if threshold is None:
-        distance = F.levenshtein(draft, final)
-    else:
-        raw = F.levenshtein(draft, final, threshold)
-        distance = F.when(raw < 0, longest).otherwise(raw)
-    return F.when(longest == 0, F.lit(0.0)).otherwise(distance / longest)
+    return F.when(longest == 0, F.lit(0.0)).otherwise(F.levenshtein(draft, final) / longest)
 
 
 def acceptance_band(share: Column, rejected: Column | None = None) -> Column:

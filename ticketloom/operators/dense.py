@@ -175,10 +175,9 @@ def postfiltered_topk(hits: DataFrame, condition: Column, k: int) -> DataFrame:
     return ranking.rank_hits(kept, "query_id", k, F.col("score").desc(), F.col("doc_id"))
 
 
-def fit_cells(corpus: DataFrame, vector: str, cells: int, seed: int = 42, train_share: float = 1.0) -> np.ndarray:
-    """Cell centres by k-means; ``train_share`` below 1 fits them on a random share of a very large corpus."""
-    train = corpus if train_share >= 1 else corpus.sample(train_share, seed)
-    prepared = train.select(array_to_vector(F.col(vector).cast("array<double>")).alias("features"))
+def fit_cells(corpus: DataFrame, vector: str, cells: int, seed: int = 42) -> np.ndarray:
+    """Cell centres by k-means over all vectors."""
+    prepared = corpus.where(F.col(vector).isNotNull()).select(array_to_vector(F.col(vector).cast("array<double>")).alias("features"))
     model = KMeans(k=cells, seed=seed, maxIter=10, featuresCol="features").fit(prepared)
     return np.array(model.clusterCenters())
 
@@ -205,11 +204,10 @@ def nearest_cells(df: DataFrame, key: str, vector: str, centres: np.ndarray, pro
 
 def approximate_topk(
     queries: DataFrame, query_key: str, query_vector: str, corpus: DataFrame, key: str, vector: str, k: int = 5,
-    cells: int = 16, probes: int = 4, exclude_self: bool = False, seed: int = 42, train_share: float = 1.0,
-    grid_rows: int = GRID_ROWS,
+    cells: int = 16, probes: int = 4, exclude_self: bool = False, seed: int = 42, grid_rows: int = GRID_ROWS,
 ) -> DataFrame:
     """Approximate top k for two large sides: each query looks only into its ``probes`` nearest cells."""
-    centres = fit_cells(corpus, vector, cells, seed, train_share)
+    centres = fit_cells(corpus, vector, cells, seed)
     schema = _hit_schema(queries, query_key, corpus, key)
     placed = nearest_cells(corpus, key, vector, centres).withColumnRenamed(key, "doc_id")
     asked = nearest_cells(queries, query_key, query_vector, centres, probes).withColumnRenamed(query_key, "query_id")

@@ -52,13 +52,21 @@ def cluster_count(n: int) -> int:
     return max(2, min(5, n // 3))
 
 
+def fit_features(tickets: DataFrame) -> PipelineModel | None:
+    """The TF-IDF stages alone; None for fewer than five tickets."""
+    rows = _with_text(tickets).select("_text")
+    if rows.limit(MIN_TICKETS).count() < MIN_TICKETS:
+        return None
+    return features.fit_tfidf(rows, "_text", MAX_FEATURES, 2, MAX_DF)
+
+
 def fit_topics(tickets: DataFrame, restarts: int = RESTARTS, seed: int = SEED) -> Topics | None:
     """k-means over TF-IDF vectors, best of several seeds; None for fewer than five tickets."""
+    pipeline = fit_features(tickets)
+    if pipeline is None:
+        return None
     rows = _with_text(tickets).select("_text")
     n = rows.limit(15).count()
-    if n < MIN_TICKETS:
-        return None
-    pipeline = features.fit_tfidf(rows, "_text", MAX_FEATURES, 2, MAX_DF)
     prepared = features.with_features(pipeline, rows, []).persist()
     try:
         fits = (
@@ -71,8 +79,17 @@ def fit_topics(tickets: DataFrame, restarts: int = RESTARTS, seed: int = SEED) -
     return Topics(pipeline, best)
 
 
-def profiles(topics: Topics, tickets: DataFrame, key: str) -> DataFrame:
-    """(cluster, size, keywords, example): size, five heaviest terms, subject of the first ticket."""
+PROFILE = "cluster int, size long, keywords array<string>, example string"
+TABLE = (
+    "cluster int, size long, keywords array<string>, example string, name string, recent long, earlier long, "
+    "first_seen date, trend string, is_active boolean"
+)
+
+
+def profiles(topics: Topics | None, tickets: DataFrame, key: str) -> DataFrame:
+    """(cluster, size, keywords, example): size, five heaviest terms, subject of the first ticket. No topics, no rows."""
+    if topics is None:
+        return tickets.sparkSession.createDataFrame([], PROFILE)
     assigned = topics.assign(tickets)
     sizes = assigned.groupBy("cluster").agg(
         F.count(F.lit(1)).alias("size"), F.min_by(F.substring("subject", 1, 60), F.col(key)).alias("example")
@@ -84,20 +101,26 @@ def profiles(topics: Topics, tickets: DataFrame, key: str) -> DataFrame:
     return sizes.join(keywords, "cluster")
 
 
-def topic_table(topics: Topics, tickets: DataFrame, key: str, created_at: str, as_of: str, days: int = 90) -> DataFrame:
-    """(cluster, name, size, keywords, example, trend, first_seen, recent, earlier, is_active)."""
+def topic_table(topics: Topics | None, tickets: DataFrame, key: str, created_at: str, as_of: str, days: int = 90) -> DataFrame:
+    """(cluster, name, size, keywords, example, trend, first_seen, recent, earlier, is_active); empty without topics."""
+    if topics is None:
+        return tickets.sparkSession.createDataFrame([], TABLE)
     profile = profiles(topics, tickets, key)
     trend = ranking.trend_labels(topics.assign(tickets), "cluster", created_at, as_of, days)
     named = profile.withColumn("name", F.array_join(F.slice("keywords", 1, 3), " / "))
     return named.join(trend, "cluster", "left").withColumn("is_active", F.coalesce("recent", F.lit(0)) > 0)
 
 
-def projection(topics: Topics, tickets: DataFrame, key: str) -> DataFrame:
-    """(key, x, y, x_variance, y_variance): two principal components and the variance they explain.
+def projection(pipeline: PipelineModel | None, tickets: DataFrame, key: str) -> DataFrame:
+    """(key, x, y, x_variance, y_variance): two principal components and the variance they explain; no rows without features.
 
     The driver handles a features x features matrix, which the 500-term vocabulary bounds; rows stay distributed.
     """
-    prepared = features.with_features(topics.pipeline, _with_text(tickets), [key])
+    if pipeline is None:
+        kind = tickets.schema[key].dataType.simpleString()
+        empty = f"`{key}` {kind}, x double, y double, x_variance double, y_variance double"
+        return tickets.sparkSession.createDataFrame([], empty)
+    prepared = features.with_features(pipeline, _with_text(tickets), [key])
     model = PCA(k=2, inputCol="features", outputCol="_p").fit(prepared)
     share = model.explainedVariance.toArray()
     point = vector_to_array(F.col("_p"))

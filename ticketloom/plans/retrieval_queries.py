@@ -10,6 +10,7 @@ from ticketloom.operators import relational as L
 from ticketloom.plans import sql_parts as P
 from ticketloom.plans.registry import query
 from ticketloom.plans.text_queries import CHUNKS, STOP, article_chunks
+from ticketloom.sources import sinks
 from ticketloom.sources import standins as S
 
 QUERY_TERMS = f"""q AS (SELECT DISTINCT query_id, term FROM (SELECT item_id AS query_id, unnest({P.tokens("text")}) AS term FROM benchmark)
@@ -154,14 +155,38 @@ def dense_topk_postfiltered(spark, folder):
     return dense.postfiltered_topk(hits, F.col("label") != F.col("query_id"), 5).drop("label")
 
 
-@query("approximate_neighbours", "J11", None)
-def approximate_neighbours(spark, folder):
+NEIGHBOURS = """v AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, unnest(range(len(embedding))) AS i FROM embeddings),
+    s AS (SELECT a.vec_id AS query_id, b.vec_id AS doc_id, round(sum(a.x * b.x), 6) AS score
+      FROM v a JOIN v b ON a.i = b.i AND a.vec_id <> b.vec_id GROUP BY ALL)"""
+
+
+def neighbours(spark, folder, probes):
     vectors = S.vectors(spark, folder)
     return dense.approximate_topk(
-        vectors, "vec_id", "embedding", vectors, "vec_id", "embedding", 5, cells=16, probes=4, exclude_self=True
+        vectors, "vec_id", "embedding", vectors, "vec_id", "embedding", 5, cells=16, probes=probes, exclude_self=True
     )
 
 
+@query(
+    "approximate_neighbours", "J11",
+    f"""WITH {NEIGHBOURS} SELECT query_id, doc_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank
+    FROM s QUALIFY rank <= 5""",
+)
+def approximate_neighbours(spark, folder):
+    """With as many probes as cells the search is exact."""
+    return neighbours(spark, folder, 16)
+
+
+@query("approximate_recall", "J11", "SELECT count(*) AS queries, TRUE AS recall_reached FROM embeddings")
+def approximate_recall(spark, folder):
+    """Recall of the search in half the cells against the exact one, over all vectors as queries."""
+    exact = sinks.stored(neighbours(spark, folder, 16), "exact-neighbours").select("query_id", "doc_id")
+    found = neighbours(spark, folder, 12).select("query_id", "doc_id", F.lit(1).alias("hit"))
+    both = exact.join(found, ["query_id", "doc_id"], "left")
+    recall = F.sum(F.coalesce("hit", F.lit(0))) / F.count(F.lit(1))
+    return both.agg(F.count_distinct("query_id").alias("queries"), (recall >= 0.9).alias("recall_reached"))
+
+
 def encoded_sql(name: str, table: str, key: str) -> str:
     return f"""{name}_b AS (SELECT {key} AS id, ('0x' || left(md5(term), 8))::BIGINT % 64 AS i, count(*)::DOUBLE AS n
       FROM (SELECT {key}, unnest({P.tokens("text")}) AS term FROM {table}) GROUP BY ALL),

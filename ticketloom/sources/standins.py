@@ -89,12 +89,15 @@ def text_tickets(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def labelled_tickets(spark: SparkSession, folder: str) -> DataFrame:
-    """(ticket_id, subject, body, category, priority) for the routing model: language and quality label as truth."""
+    """(ticket_id, subject, body, category, priority) for the routing model: language and quality label as truth.
+
+    In as many partitions as the input has: a fit makes one small job per iteration, which more partitions only slow down.
+    """
     truth = table(spark, folder, "labels").select(
         F.col("doc_id").alias("ticket_id"),
         F.when(F.col("quality") == 1, "P3").otherwise("P2").alias("priority"),
     )
-    texts = documents(spark, folder).select(
+    texts = table(spark, folder, "documents").select(
         F.col("doc_id").alias("ticket_id"),
         T.first_line(F.col("text")).alias("subject"),
         T.after_first_line(F.col("text")).alias("body"),

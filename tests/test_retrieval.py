@@ -166,9 +166,19 @@ def test_fusion_ties_keep_dense_order(spark):
     assert got == [(11, 2, 1), (10, 1, None), (12, None, 2)]
 
 
-@pytest.mark.parametrize("per_block", [100, 2])
-def test_containment(spark, per_block):
-    docs = spark.createDataFrame([(1, "xx abc yy"), (2, "abcabc"), (3, "none"), (4, None)], "doc_id long, text string")
-    passages = spark.createDataFrame([(1, "abc"), (2, "bca"), (3, "xx abc yy"), (4, "zzz"), (5, "abc")], "query_id long, query_text string")
-    got = containment.contained_passages(docs, "doc_id", "text", passages, per_block)
-    assert sorted((r.query_id, r.doc_id) for r in got.collect()) == [(1, 1), (1, 2), (2, 2), (3, 1), (5, 1), (5, 2)]
+@pytest.mark.parametrize("most_sent", [10_000, 0])
+def test_containment(spark, most_sent):
+    texts = ["xx abc yy", "abcabc", "none", None, "", "one two three four five six", "zero one  two three", "wo three four fiv"]
+    parts = ["abc", "bca", "xx abc yy", "zzz", "abc", "", None, "ne two three four fi", "one two three four five six", " ", "wo three four f", "e  t"]
+    parts += [" two three four five ", "two\nthree", "three four"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    passages = spark.createDataFrame(list(enumerate(parts)), "query_id long, query_text string")
+    got = containment.contained_passages(docs, "doc_id", "text", passages, most_sent)
+    want = sorted((i, j) for i, p in enumerate(parts) for j, t in enumerate(texts) if p and t and p in t)
+    assert sorted((r.query_id, r.doc_id) for r in got.collect()) == want
+
+
+def test_containment_without_passages(spark):
+    docs = spark.createDataFrame([(1, "abc")], "doc_id long, text string")
+    passages = spark.createDataFrame([], "query_id long, query_text string")
+    assert containment.contained_passages(docs, "doc_id", "text", passages).collect() == []

@@ -1,65 +1,74 @@
-"""Which passages occur word for word in which documents."""
+"""Which passages occur word for word in which documents.
+
+Each passage is represented by one anchor, a run of its inner words, which any text that holds the passage holds too. The
+anchors are joined with all runs of words of the documents by hash, and only the rows that meet are compared as text.
+"""
 
 from __future__ import annotations
 
-import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Passages sent to the tasks at a time; a longer list is worked through in blocks of about this size.
-PASSAGES_PER_BLOCK = 20_000
+#: Words in an anchor; shorter passages have shorter ones.
+ANCHOR_WORDS = 3
+#: Characters of passages sent to all tasks; more are joined by a shuffle and compared in a second pass.
+MOST_SENT = 32_000_000
+_GAP = r"\s+"
 
 
-def _finder(passages: list[tuple[int, str]]):
-    """text -> set of passage ids. One pass over the text finds all passages where the automaton is available."""
-    by_text: dict[str, list[int]] = {}
-    for number, text in passages:
-        if text:
-            by_text.setdefault(text, []).append(number)
-    try:
-        import ahocorasick
-    except ImportError:
-        return lambda text: {n for p, numbers in by_text.items() if p in text for n in numbers}
-    automaton = ahocorasick.Automaton()
-    for text, numbers in by_text.items():
-        automaton.add_word(text, numbers)
-    automaton.make_automaton()
-    return lambda text: {n for _, numbers in automaton.iter(text) for n in numbers}
+def _runs(words: Column, width: int) -> Column:
+    """Hashes of every run of ``width`` words."""
+    shifted = [F.slice(words, k + 1, F.greatest(F.size(words) - k, F.lit(0))).alias(f"w{k}") for k in range(width)]
+    count = F.greatest(F.size(words) - (width - 1), F.lit(0))
+    return F.transform(F.slice(F.arrays_zip(*shifted), 1, count), lambda r: F.xxhash64(*[r[f"w{k}"] for k in range(width)]))
 
 
-def contained_passages(
-    docs: DataFrame, key: str, text: str, passages: DataFrame, per_block: int = PASSAGES_PER_BLOCK
-) -> DataFrame:
-    """(query_id, doc_id) for every passage (query_id, query_text) that occurs in a document.
+def _anchors(passages: DataFrame) -> DataFrame:
+    """(query_id, query_text, width, anchor): the run of inner words with the most characters; width 0 without inner words.
 
-    The passages go to the tasks in blocks of bounded size, each compared with the whole texts in place.
+    The first and the last word may be cut out of longer ones in a document, so they are left out.
     """
-    n = passages.count()
-    blocks = max(1, -(-n // per_block))
-    schema = (
-        f"query_id {passages.schema['query_id'].dataType.simpleString()}, "
-        f"doc_id {docs.schema[key].dataType.simpleString()}"
-    )
-    out = None
-    for block in range(blocks):
-        mine = passages.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block) if blocks > 1 else passages
-        rows = [(r["query_id"], r["query_text"]) for r in mine.select("query_id", "query_text").collect()]
-        sent = docs.sparkSession.sparkContext.broadcast(rows)
+    words = F.split("query_text", _GAP)
+    inner = passages.where(F.length("query_text") > 0).withColumn("_w", F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0))))
+    width = F.least(F.size("_w"), F.lit(ANCHOR_WORDS))
+    starts = F.sequence(F.lit(1), F.greatest(F.size("_w") - width + 1, F.lit(1)))
+    runs = F.transform(starts, lambda i: F.slice("_w", i, width))
+    longest = F.array_max(F.transform(runs, lambda r: F.struct(F.length(F.array_join(r, "")).alias("size"), r.alias("run"))))
+    chosen = inner.withColumns({"width": width, "_run": longest["run"]})
+    anchor = F.lit(None).cast("long")
+    for k in range(1, ANCHOR_WORDS + 1):
+        anchor = F.when(F.col("width") == k, F.xxhash64(*[F.get("_run", i) for i in range(k)])).otherwise(anchor)
+    return chosen.select("query_id", "query_text", "width", anchor.alias("anchor"))
 
-        def run(batches, sent=sent):
-            if not sent.value:
-                return
-            find = _finder(sent.value)
-            for batch in batches:
-                pairs = [
-                    (number, doc)
-                    for doc, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
-                    for number in sorted(find(value or ""))
-                ]
-                if pairs:
-                    numbers, ids = zip(*pairs)
-                    yield pa.RecordBatch.from_arrays([pa.array(numbers), pa.array(ids)], ["query_id", "doc_id"])
 
-        part = docs.select(key, text).mapInArrow(run, schema)
-        out = part if out is None else out.unionByName(part)
-    return out
+def contained_passages(docs: DataFrame, key: str, text: str, passages: DataFrame, most_sent: int = MOST_SENT) -> DataFrame:
+    """(query_id, doc_id) for every passage (query_id, query_text) that occurs in a document.
+
+    NULL and empty passages occur nowhere. Passages of up to ``most_sent`` characters in all are compared where the
+    documents lie; more are joined on the anchor and then with the texts. Both ways give the same rows.
+    """
+    anchored = _anchors(passages)
+    sizes = anchored.groupBy("width").agg(F.sum(F.length("query_text")).alias("n")).collect()  # one row per width
+    listed = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("_text"), F.split(F.col(text), _GAP).alias("_words"))
+    small = sum(r["n"] for r in sizes) <= most_sent
+    found = []
+    for width in sorted(r["width"] for r in sizes):
+        mine = anchored.where(F.col("width") == width).drop("width")
+        if width == 0:  # no inner word to look for: each of these few short strings meets every text
+            found.append(listed.join(F.broadcast(mine), F.contains("_text", "query_text")).select("query_id", "doc_id"))
+        elif small:
+            runs = listed.select("doc_id", "_text", F.explode(_runs(F.col("_words"), width)).alias("anchor"))
+            met = runs.join(F.broadcast(mine), "anchor").where(F.contains("_text", "query_text"))
+            found.append(met.select("query_id", "doc_id"))
+        else:
+            runs = listed.select("doc_id", F.explode(_runs(F.col("_words"), width)).alias("anchor"))
+            met = runs.join(mine.select("anchor", "query_id"), "anchor").select("query_id", "doc_id").distinct()
+            texts = met.join(listed.select("doc_id", "_text"), "doc_id").join(mine.drop("anchor"), "query_id")
+            found.append(texts.where(F.contains("_text", "query_text")).select("query_id", "doc_id"))
+    if not found:
+        ids = passages.schema["query_id"].dataType.simpleString(), docs.schema[key].dataType.simpleString()
+        return docs.sparkSession.createDataFrame([], f"query_id {ids[0]}, doc_id {ids[1]}")
+    out = found[0]
+    for part in found[1:]:
+        out = out.unionByName(part)
+    return out.distinct()

@@ -12,6 +12,7 @@ from ticketloom.operators import evaluation as E
 from ticketloom.plans import sql_parts as P
 from ticketloom.plans.registry import query
 from ticketloom.plans.retrieval_queries import ARTICLE_PARTS, bm25_sql, cover_sql, dense_hits, dense_sql
+from ticketloom.sources import sinks
 from ticketloom.sources import standins as S
 
 RELEVANT = """rel AS (SELECT DISTINCT item_id AS query_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text))"""
@@ -42,7 +43,9 @@ QUERIES = "SELECT item_id AS query_id FROM benchmark"
 
 
 def relevance(spark, folder):
-    return containment.contained_passages(S.documents(spark, folder), "doc_id", "text", S.passages(spark, folder))
+    """Judgements by one pass over the texts, stored because metric tables read them more than once."""
+    found = containment.contained_passages(S.table(spark, folder, "documents"), "doc_id", "text", S.passages(spark, folder))
+    return sinks.stored(found, "judgements")
 
 
 def bm25_hits(spark, folder, k=10):

@@ -2,6 +2,7 @@
 
 import os
 import sys
+import tempfile
 import time
 import traceback
 
@@ -15,7 +16,9 @@ folder = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
 wanted = sys.argv[2:]
 modules = [w[1:] for w in wanted if w.startswith('@')]
 wanted = [w for w in wanted if not w.startswith('@')]
-spark = build_session("check", "local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.driver.memory": "8g"})
+settings = {"spark.sql.shuffle.partitions": "8", "spark.driver.memory": "8g"}
+settings["spark.checkpoint.dir"] = tempfile.mkdtemp(prefix="ticketloom-")
+spark = build_session("check", "local[8]", **settings)
 spark.sparkContext.setLogLevel("ERROR")
 con = oracle.connect(folder)
 bad = 0

@@ -1,5 +1,6 @@
 import os
 import sys
+import tempfile
 
 import pytest
 
@@ -12,9 +13,12 @@ FOLDER = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
 @pytest.fixture(scope="session")
 def spark():
-    session = build_session(
-        "tests", "local[8]", **{"spark.sql.shuffle.partitions": "4", "spark.driver.memory": "8g"}
-    )
+    settings = {
+        "spark.sql.shuffle.partitions": "4",
+        "spark.driver.memory": "8g",
+        "spark.checkpoint.dir": os.environ.get("TEST_SHARED_DIR") or tempfile.mkdtemp(prefix="ticketloom-"),
+    }
+    session = build_session("tests", "local[8]", **settings)
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -28,15 +29,17 @@ def build_session(app_name: str = "ticketloom", master: str | None = None, **con
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder every executor can reach: ``spark.checkpoint.dir`` of the session.
+    """The folder every executor can reach: ``spark.checkpoint.dir`` of the session, or the context's checkpoint folder.
 
-    Only where the session names none (tests on one machine) a temporary folder is made and set.
+    Where neither is set, a session on one machine gets a temporary folder; on a cluster that is an error, because a
+    folder of one machine would hide files from the other executors.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not folder:
-        context = spark.sparkContext
-        if context.getCheckpointDir() is None:
-            context.setCheckpointDir(tempfile.mkdtemp(prefix="ticketloom-"))
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("no shared folder: set spark.checkpoint.dir to a folder that all executors reach")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="ticketloom-"))
         folder = context.getCheckpointDir()
     return folder.rstrip("/")
 

@@ -312,25 +312,35 @@ def endpoint_latency_summary(spark, folder):
     return reports.latency_summary(S.request_logs(spark, folder))
 
 
-@query(
-    "daily_metrics_rollup", "M12 B13",
-    f"""WITH {P.RESOLVED}, {P.LOGS}, {P.FEEDBACK},
+ROLLUP = f"""{P.RESOLVED}, {P.LOGS}, {P.FEEDBACK},
     t AS (SELECT CAST(created_at AS DATE) AS date, count(*) AS total_tickets, count(*) FILTER (priority = 'P1') AS p1_tickets,
       count(*) FILTER (priority = 'P2') AS p2_tickets, count(*) FILTER (priority = 'P3') AS p3_tickets,
       count(*) FILTER (priority = 'P4') AS p4_tickets, count(*) FILTER (resolution_hours > {P.SLA_HOURS}) AS sla_breaches,
-      count(*) FILTER (resolution_hours IS NULL AND priority IN ('P1', 'P2')) AS sla_at_risk FROM resolved GROUP BY 1),
-    l AS (SELECT CAST(created_at AS DATE) AS date, count(*) AS requests, round(avg(latency_ms), 6) AS avg_latency_ms FROM logs GROUP BY 1),
+      count(*) FILTER (resolution_hours IS NULL AND priority IN ('P1', 'P2')) AS sla_at_risk,
+      round(avg(CASE WHEN category = 'BUILDING' OR priority IN ('P1', 'P2') THEN 1.0::DOUBLE ELSE 0.0 END) * 100, 6) AS routing_accuracy
+      FROM resolved GROUP BY 1),
+    l AS (SELECT CAST(created_at AS DATE) AS date, count(*) AS requests, round(avg(latency_ms), 6) AS avg_latency_ms,
+      sum(length(response_body) // 4)::BIGINT AS tokens_total FROM logs GROUP BY 1),
     f AS (SELECT CAST(created_at AS DATE) AS date, round(avg(rating), 6) AS avg_draft_rating,
-      round(avg(CASE WHEN rating >= 4 THEN 1.0 ELSE 0.0 END), 6) AS draft_acceptance FROM feedback GROUP BY 1)
-    SELECT date, coalesce(total_tickets, 0) AS total_tickets, coalesce(p1_tickets, 0) AS p1_tickets, coalesce(p2_tickets, 0) AS p2_tickets,
+      round(avg(CASE WHEN rating >= 4 THEN 1.0 ELSE 0.0 END), 6) AS draft_acceptance FROM feedback GROUP BY 1),
+    m AS (SELECT date, string_agg(category || ':' || n, '|' ORDER BY category) AS by_category
+      FROM (SELECT CAST(created_at AS DATE) AS date, category, count(*) AS n FROM resolved GROUP BY ALL) GROUP BY date),
+    rollup_rows AS (SELECT date, coalesce(total_tickets, 0) AS total_tickets, coalesce(p1_tickets, 0) AS p1_tickets, coalesce(p2_tickets, 0) AS p2_tickets,
       coalesce(p3_tickets, 0) AS p3_tickets, coalesce(p4_tickets, 0) AS p4_tickets, coalesce(sla_breaches, 0) AS sla_breaches,
-      coalesce(sla_at_risk, 0) AS sla_at_risk, coalesce(requests, 0) AS requests, avg_latency_ms, avg_draft_rating, draft_acceptance
-    FROM t FULL JOIN l USING (date) FULL JOIN f USING (date)""",
-)
+      coalesce(sla_at_risk, 0) AS sla_at_risk, routing_accuracy, coalesce(requests, 0) AS requests, avg_latency_ms, tokens_total,
+      avg_draft_rating, draft_acceptance, by_category
+    FROM t FULL JOIN l USING (date) FULL JOIN f USING (date) LEFT JOIN m USING (date))"""
+
+
+@query("daily_metrics_rollup", "M12 B13", f"WITH {ROLLUP} SELECT * FROM rollup_rows")
 def daily_metrics_rollup(spark, folder):
-    return reports.daily_rollup(
-        S.resolved_tickets(spark, folder), S.request_logs(spark, folder), S.feedback(spark, folder)
-    )
+    """All metrics by date; urgent tickets are taken as routed right, others as sent to BUILDING."""
+    tickets = S.resolved_tickets(spark, folder)
+    guess = F.when(F.col("priority").isin("P1", "P2"), F.col("category")).otherwise("BUILDING")
+    logs = S.request_logs(spark, folder).withColumn("tokens", F.floor(F.length("response_body") / 4))
+    rows = reports.daily_rollup(tickets.withColumn("predicted_category", guess), logs, S.feedback(spark, folder))
+    entries = F.transform(F.array_sort(F.map_entries("by_category")), lambda e: F.concat(e["key"], F.lit(":"), e["value"]))
+    return rows.withColumn("by_category", F.array_join(entries, "|"))
 
 
 @query(

@@ -61,13 +61,16 @@ def period_label_counts(
 
 
 def daily_rollup(tickets: DataFrame, logs: DataFrame, feedback: DataFrame) -> DataFrame:
-    """One row per date over all sources: volume, priorities, resolution against SLA, latency, rating, tokens.
+    """One row per date over all sources: volume, priorities, resolution against SLA, latency, rating, and, where the
+    columns ``predicted_category`` and ``tokens`` are given, routing accuracy and token total; ``by_category`` counts the
+    day's tickets per category.
 
     Every source is first reduced to one row per date; the small results are stacked and summed by date, which
     equals a full outer join on date.
     """
     day = F.col("created_at").cast("date").alias("date")
     late = F.col("resolution_hours") > N.sla_hours(F.col("priority"))
+    right = F.col("category") == F.col("predicted_category")
     ticket_part = tickets.groupBy(day).agg(
         aggregates.rows().alias("total_tickets"),
         F.count_if(F.col("priority") == "P1").alias("p1_tickets"),
@@ -76,9 +79,12 @@ def daily_rollup(tickets: DataFrame, logs: DataFrame, feedback: DataFrame) -> Da
         F.count_if(F.col("priority") == "P4").alias("p4_tickets"),
         F.count_if(late).alias("sla_breaches"),
         F.count_if(F.col("resolution_hours").isNull() & F.col("priority").isin("P1", "P2")).alias("sla_at_risk"),
+        *([F.round(F.avg(right.cast("int")) * 100, 6).alias("routing_accuracy")] if "predicted_category" in tickets.columns else []),
     )
     log_part = logs.groupBy(day).agg(
-        aggregates.rows().alias("requests"), F.round(F.avg("latency_ms"), 6).alias("avg_latency_ms")
+        aggregates.rows().alias("requests"),
+        F.round(F.avg("latency_ms"), 6).alias("avg_latency_ms"),
+        *([F.sum("tokens").alias("tokens_total")] if "tokens" in logs.columns else []),
     )
     rating_part = feedback.groupBy(day).agg(
         F.round(F.avg("rating"), 6).alias("avg_draft_rating"),
@@ -88,9 +94,10 @@ def daily_rollup(tickets: DataFrame, logs: DataFrame, feedback: DataFrame) -> Da
     columns = [c for part in parts for c in part.columns if c != "date"]
     stacked = functools.reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
     counts = {"total_tickets", "p1_tickets", "p2_tickets", "p3_tickets", "p4_tickets", "sla_breaches", "sla_at_risk", "requests"}
-    return stacked.groupBy("date").agg(
+    rows = stacked.groupBy("date").agg(
         *[(F.coalesce(F.max(c), F.lit(0)) if c in counts else F.max(c)).alias(c) for c in columns]
     )
+    return rows.join(daily_label_maps(tickets, "category"), "date", "left")
 
 
 def daily_label_maps(tickets: DataFrame, label: str) -> DataFrame:

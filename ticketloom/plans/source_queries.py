@@ -9,6 +9,7 @@ from ticketloom.functions import vectors as V
 from ticketloom.operators import chunking
 from ticketloom.plans import reports
 from ticketloom.plans import sql_parts as P
+from ticketloom.plans.analytics_queries import ROLLUP, daily_metrics_rollup
 from ticketloom.plans.evaluation_queries import RUN_SQL, full_run, rounded
 from ticketloom.plans.registry import query
 from ticketloom.plans.text_queries import CHUNKS
@@ -258,16 +259,12 @@ def weekly_report(spark, folder):
     return spark.read.text(path, wholetext=True).select(F.rtrim(F.regexp_replace("value", "\\n$", "")).alias("report"))
 
 
-@query(
-    "upsert_daily_metrics", "B13 M12",
-    f"""WITH {P.TICKETS} SELECT CAST(created_at AS DATE) AS date, count(*) AS total_tickets,
-    count(*) FILTER (priority = 'P1') AS p1_tickets FROM tickets GROUP BY 1""",
-)
+@query("upsert_daily_metrics", "B13 M12", f"WITH {ROLLUP} SELECT * FROM rollup_rows WHERE date IS NOT NULL")
 def upsert_daily_metrics(spark, folder):
-    """Stored days hold stale counts for the year 2000 and later; the batch brings them up to date."""
-    daily = S.tickets(spark, folder).groupBy(F.col("created_at").cast("date").alias("date")).agg(
-        F.count(F.lit(1)).alias("total_tickets"), F.count_if(F.col("priority") == "P1").alias("p1_tickets")
-    )
-    stale = daily.withColumn("total_tickets", F.when(F.year("date") < 2000, F.col("total_tickets")).otherwise(F.lit(0)))
-    fresh = daily.where(F.year("date") >= 2000)
-    return sinks.upsert(stale.where(F.year("date") < 2001), fresh, "date", ["total_tickets", "p1_tickets"], F.col("date"))
+    """Stored days hold stale values from the year 2000 on and lack the last years; the batch brings all columns up to date."""
+    daily = sinks.stored(daily_metrics_rollup(spark, folder), "daily-metrics")
+    metrics = [c for c in daily.columns if c != "date"]
+    kinds = dict(daily.dtypes)
+    old = F.year("date") < 2000
+    stale = daily.select("date", *[F.when(old, F.col(c)).otherwise(F.lit(None).cast(kinds[c])).alias(c) for c in metrics])
+    return sinks.upsert(stale.where(F.year("date") < 2001), daily.where(~old), "date", metrics, F.col("date"))

@@ -133,7 +133,7 @@ def top_label(df: DataFrame, label: str) -> DataFrame:
 def resolution_statistics(df: DataFrame, hours: str = "resolution_hours") -> DataFrame:
     """Total, resolved, resolved share, mean, median and 90th percentile of hours to resolve.
 
-    The hours are written once, because the quantiles read them more than once.
+    The hours are written once, because the quantiles read them three times and they often come from a join.
     """
     df = sinks.stored(df.select(hours), "resolution-hours")
     base = df.agg(

@@ -64,31 +64,34 @@ def stratified_split(df: DataFrame, stratum: str, key: str, test_percent: int =
     return decided.unionByName(edge).select(*df.columns, "split")
 
 
+#: A bracket reaches this share of a group to either side of a wanted place; the sketch is ten times as exact.
+BRACKET = 0.001
+
+
 def exact_quantiles(df: DataFrame, keys: list[str], value: str, wanted: dict[str, tuple[float, str]]) -> DataFrame:
     """One exact order statistic per group and wanted name -> (probability, method).
 
     ``linear`` interpolates between neighbours as numpy does; ``nearest`` is ``sorted[int(n * p)]``.
 
-    A quantile sketch per group proposes a narrow bracket around each wanted position. Exact counts per bracket then
-    tell which one holds the position, and only its rows are sorted, as counts per distinct value. The sketch decides
-    the cost, never the result.
+    A sketch per group proposes a narrow bracket around each wanted place. A second pass counts rows per bracket, summed
+    up in the tasks; a third keeps only the rows of the bracket that holds a place, before anything is shuffled, and
+    sorts those as counts per distinct value. The sketch decides the cost, never the result.
     """
     base = df.select(*keys, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
     probs = sorted({p for p, _ in wanted.values()})
-    edges = sorted({min(1.0, max(0.0, p + e)) for p in probs for e in (-0.002, 0.002)})
-    sketch = base.groupBy(*keys).agg(F.percentile_approx("_v", edges, 2000).alias("_cuts"))
+    edges = sorted({min(1.0, max(0.0, p + e)) for p in probs for e in (-BRACKET, BRACKET)})
+    sketch = base.groupBy(*keys).agg(F.percentile_approx("_v", edges, int(10 / BRACKET)).alias("_cuts"))
     # One row per group; written so that its size is known and Spark can broadcast it.
     sketch = sinks.stored(sketch, "quantile-sketch")
     bracket = F.lit(0)
     for i in range(len(edges)):
         bracket = bracket + (F.col("_v") > F.col("_cuts")[i]).cast("int")
-    # Counted per distinct value once; both uses below read the same shuffle.
-    counted = base.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c"))
-    cut = counted.join(sketch, keys) if keys else counted.withColumn("_cuts", sketch.scalar())
-    placed = cut.select(*keys, "_v", "_c", bracket.alias("_b"))
+    matched = [F.col(f"base.{k}").eqNullSafe(F.col(f"sketch.{k}")) for k in keys]
+    cut = base.alias("base").join(sketch.alias("sketch"), matched) if keys else base.withColumn("_cuts", sketch.scalar())
+    placed = cut.select(*[F.col(f"base.{k}") for k in keys], "_v", bracket.alias("_b"))
 
     # Rows up to and including each bracket, as an array per group.
-    upto = [F.sum(F.when(F.col("_b") <= i, F.col("_c")).otherwise(0)) for i in range(len(edges) + 1)]
+    upto = [F.sum((F.col("_b") <= i).cast("long")) for i in range(len(edges) + 1)]
     sizes = placed.groupBy(*keys).agg(F.array(*upto).alias("_upto"))
     n = F.element_at("_upto", -1)
     spots = []
@@ -102,11 +105,20 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, wanted: dict[str
     spot_bracket = F.size(F.filter("_upto", lambda x: x <= F.col("_pos")))
     before = F.when(spot_bracket == 0, F.lit(0)).otherwise(F.get("_upto", spot_bracket - 1))
     spots = spots.select(*keys, "_name", "_w", spot_bracket.alias("_b"), (F.col("_pos") - before).alias("_pos"))
-
-    inside = Window.partitionBy(*keys, "_b", "_name", "_pos").orderBy("_v")
-    reach = placed.join(spots, [*keys, "_b"]).withColumn("_reach", F.sum("_c").over(inside))
-    found = reach.where((F.col("_pos") < F.col("_reach")) & (F.col("_pos") >= F.col("_reach") - F.col("_c")))
-    return found.groupBy(*keys, F.col("_name").alias("name")).agg(F.sum(F.col("_v") * F.col("_w")).alias("quantile"))
+    spots = sinks.stored(spots, "quantile-places")  # a few rows per group, read twice
+
+    def same(left: str, right: str) -> list[Column]:
+        return [F.col(f"{left}.{k}").eqNullSafe(F.col(f"{right}.{k}")) for k in [*keys, "_b"]]
+
+    needed = spots.select(*keys, "_b").distinct()
+    inside = placed.alias("rows").join(needed.alias("needed"), same("rows", "needed"), "left_semi")
+    counted = inside.groupBy(*keys, "_b", "_v").agg(F.count(F.lit(1)).alias("_c"))
+    order = Window.partitionBy(*keys, "_b").orderBy("_v")
+    reached = counted.withColumn("_reach", F.sum("_c").over(order))
+    met = reached.alias("rows").join(spots.alias("spots"), same("rows", "spots"))
+    found = met.where((F.col("_pos") < F.col("_reach")) & (F.col("_pos") >= F.col("_reach") - F.col("_c")))
+    picked = found.select(*[F.col(f"rows.{k}") for k in keys], "_name", "_v", "_w")
+    return picked.groupBy(*keys, F.col("_name").alias("name")).agg(F.sum(F.col("_v") * F.col("_w")).alias("quantile"))
 
 
 def quantile_columns(df: DataFrame, keys: list[str], value: str, wanted: dict[str, tuple[float, str]]) -> DataFrame:

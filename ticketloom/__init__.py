@@ -1,7 +1,8 @@
 """ticketloom: support-desk analytics as Spark DataFrame jobs.
 
-Every operator is a function from DataFrames to a DataFrame, lazy, built on native Spark expressions;
-Python runs inside tasks only where an expression cannot state the rule (chunking, dense products).
+Every operator is a function from DataFrames to a DataFrame, built on native Spark expressions; Python runs inside tasks
+only where an expression cannot state the rule (chunking, dense products). Operators that read a result more than once
+write it to the shared folder first, so calling them may run jobs.
 """
 
 import sys

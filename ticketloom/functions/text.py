@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 #: A token is a run of letters, digits and underscores in any script.
 TOKEN_GAP = r"[^\p{L}\p{N}_]+"
 
+#: The patterns decide which texts have front matter and a title.
 FRONT_MATTER = r"(?s)^---\s*\n(.*?)\n---\s*\n"
+HEADING = r"(?m)^#\s+(.+)$"
 
 
 def tokens(text: Column) -> Column:
@@ -46,7 +48,7 @@ def token_estimate(text: Column) -> Column:
 
 def article_title(content: Column, file_name: Column) -> Column:
     """First ``# heading`` of the file, else the title-cased file stem."""
-    heading = F.trim(F.regexp_extract(content, r"(?m)^#\s+(.+)$", 1))
+    heading = F.trim(F.regexp_extract(content, HEADING, 1))
     stem = F.regexp_replace(F.regexp_replace(file_name, r"\.[^.]*$", ""), "[-_]", " ")
     return F.when(heading != "", heading).otherwise(F.initcap(stem))
 

@@ -28,6 +28,10 @@ INSTRUCTIONS = (
 CITATION = "struct<id:string,source_type:string,source_id:string,title:string,excerpt:string,confidence:double>"
 PARSED = "struct<draft:string,rationale:string,confidence:string,follow_up_questions:array<string>>"
 
+#: The patterns decide which answers are accepted.
+FLAT_OBJECT = r'(\{[^{}]*"draft"[^{}]*\})'
+FENCED_OBJECT = r"(?s)```(?:json)?\s*(\{.*?\})\s*```"
+
 
 def contexts(hits: DataFrame, source_type: str, limit: int, name: str) -> DataFrame:
     """(ticket_id, <name>_context, <name>_citations, <name>_score) from hits (ticket_id, doc_id, title, content, score,
@@ -82,8 +86,8 @@ def prompts(tickets: DataFrame, kb: DataFrame, past: DataFrame) -> DataFrame:
 def parse_response(content: Column) -> Column:
     """The structured answer, read in this order: the text is a JSON object; a JSON object in a code fence; a flat
     object that holds ``"draft"``; else the whole text becomes the draft at low confidence."""
-    flat = F.regexp_extract(content, r'(\{[^{}]*"draft"[^{}]*\})', 1)
-    fenced = F.regexp_extract(content, r"(?s)```(?:json)?\s*(\{.*?\})\s*```", 1)
+    flat = F.regexp_extract(content, FLAT_OBJECT, 1)
+    fenced = F.regexp_extract(content, FENCED_OBJECT, 1)
     parsed = F.coalesce(_object(content), _object(fenced), _object(flat))
     unread = F.struct(
         content.alias("draft"),

@@ -37,6 +37,10 @@ def block_best(scores: np.ndarray, keys: np.ndarray, k: int):
         return row.ravel(), column.ravel()
     place = np.empty(n, np.int64)
     place[np.argsort(keys, kind="stable")] = np.arange(n)
+    largest = float(np.abs(scores).max(initial=0.0)) * 10**DIGITS * n
+    if not largest < 2**62:  # too large to pack: one sort per column by score, then key
+        top = np.stack([np.lexsort((place, -column))[:k] for column in scores.T], axis=1)
+        return top.ravel(), np.tile(np.arange(scores.shape[1]), k)
     packed = np.rint(scores * 10**DIGITS).astype(np.int64) * n + (n - 1 - place)[:, None]
     top = np.argpartition(packed, n - k, axis=0)[n - k :]
     return top.ravel(), np.tile(np.arange(scores.shape[1]), k)

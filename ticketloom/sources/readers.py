@@ -121,20 +121,20 @@ def read_articles(spark: SparkSession, folder: str) -> DataFrame:
 
 def parse_articles(files: DataFrame, content: str, file_name: str) -> DataFrame:
     """Adds external_id, title, content, summary, category, tags and author to rows of Markdown text."""
-    matter = T.front_matter(F.col(content))
-    parsed = files.withColumn("_matter", matter).withColumn(
-        "content", T.markdown_to_text(T.without_front_matter(F.col(content)))
+    source = F.col("_source")  # the output column may have the name of the input column
+    parsed = files.withColumn("_source", F.col(content)).withColumn("_matter", T.front_matter(source)).withColumn(
+        "content", T.markdown_to_text(T.without_front_matter(source))
     )
     return parsed.withColumns(
         {
             "external_id": N.article_id(F.col(file_name)),
-            "title": T.article_title(F.col(content), F.col(file_name)),
+            "title": T.article_title(source, F.col(file_name)),
             "summary": T.summary(F.col("content")),
             "category": T.front_matter_value(F.col("_matter"), "category"),
             "tags": T.front_matter_tags(F.col("_matter")),
             "author": T.front_matter_value(F.col("_matter"), "author"),
         }
-    ).drop("_matter")
+    ).drop("_matter", "_source")
 
 
 def read_samples(spark: SparkSession, path: str, field: str) -> DataFrame:

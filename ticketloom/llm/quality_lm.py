@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ticketloom.llm import id_filter
 from ticketloom.sources.sinks import stored
 
 ORDER = 4
@@ -168,6 +169,23 @@ def perplexities(df: DataFrame, key: str, text: str, model, *keep: str) -> DataF
     return df.select(key, *keep, F.col(text).alias("_text")).mapInArrow(run, schema)
 
 
+def _maybe(texts: DataFrame, key: str, known: DataFrame) -> DataFrame:
+    """The rows of (key, text) that a Bloom filter of the known keys lets through, so that only these are shuffled."""
+    keys = id_filter.KeyFilter(known, key, known.count())
+    marked = keys.sent
+    kind = texts.schema[key].dataType.simpleString()
+
+    def run(batches):
+        for batch in batches:
+            found = id_filter.hits(marked.value, batch.column(2).to_numpy())
+            for at in range(0, len(found), 1_000):
+                some = pa.array(found[at : at + 1_000])
+                yield pa.RecordBatch.from_arrays([batch.column(k).take(some) for k in (0, 1)], batch.schema.names[:2])
+
+    rows = texts.select(key, "text", keys.place(key).alias("place"))
+    return rows.mapInArrow(run, f"`{key}` {kind}, text string")
+
+
 def classify(
     df: DataFrame, key: str, text: str, lang: str, trusted: DataFrame, low: float = 0.002, high: float = 0.995
 ) -> DataFrame:
@@ -179,17 +197,18 @@ def classify(
     key listed twice counts once. Other columns are not read.
     """
     named = df.select(F.col(key), F.col(text).alias("text"), F.coalesce(F.col(lang), F.lit("")).alias("lang"))
-    known = trusted.select(F.col(key)).where(F.col(key).isNotNull()).distinct()
-    model = learn(named.join(known, key), "text")
+    known = stored(trusted.select(F.col(key)).where(F.col(key).isNotNull()).distinct(), "trusted")
+    # The trusted keys grow with the corpus, so they are not sent to all tasks at any size.
+    model = learn(_maybe(named.select(key, "text"), key, known).join(known.hint("merge"), key), "text")
     scored = stored(perplexities(named, key, "text", model, "lang"), "perplexities")
-    judged = scored.join(known, key).where("perplexity IS NOT NULL")
+    judged = scored.join(known.hint("merge"), key).where("perplexity IS NOT NULL")
 
     def ends() -> Column:
         return F.percentile_approx("perplexity", [low, high], 10_000)
 
     limits = judged.groupBy("lang").agg(ends().alias("own"))
     everywhere = judged.agg(ends().alias("ends")).first()["ends"] or [None, None]
-    out = scored.join(limits, "lang", "left")
+    out = scored.join(F.broadcast(limits), "lang", "left")  # one row per language
     out = out.withColumns(
         {name: F.coalesce(F.col("own")[i], F.lit(everywhere[i]).cast("double")) for i, name in enumerate(["lowest", "highest"])}
     )

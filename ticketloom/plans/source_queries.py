@@ -10,7 +10,7 @@ from ticketloom.operators import chunking
 from ticketloom.plans import reports
 from ticketloom.plans import sql_parts as P
 from ticketloom.plans.analytics_queries import ROLLUP, daily_metrics_rollup
-from ticketloom.plans.evaluation_queries import RUN_SQL, full_run, rounded
+from ticketloom.plans.evaluation_queries import RELEVANT, RUN_SQL, full_run, relevance, rounded
 from ticketloom.plans.registry import query
 from ticketloom.plans.text_queries import CHUNKS
 from ticketloom.session import scratch_path
@@ -95,8 +95,20 @@ def samples_from_json(spark, folder):
     path = scratch_path(spark, "samples")
     one = F.concat(F.lit('{"version": "1", "training_samples": ['), F.to_json(F.struct("*")), F.lit("]}"))
     rows.select(one.alias("value")).write.option("lineSep", "\n").text(path)
-    document = spark.read.json(path)
-    return document.select(F.inline("training_samples")).select("doc_id", "category", "priority")
+    return readers.read_samples(spark, path, "training_samples").select("doc_id", "category", "priority")
+
+
+@query(
+    "relevance_from_json", "A9 D7",
+    f"WITH {RELEVANT} SELECT query_id::VARCHAR AS query, doc_id::VARCHAR AS doc_id FROM rel",
+)
+def relevance_from_json(spark, folder):
+    """A relevance file written from the judgements, one query with its documents per line."""
+    path = scratch_path(spark, "relevance")
+    pairs = relevance(spark, folder).groupBy(F.col("query_id").cast("string").alias("query"))
+    lines = pairs.agg(F.collect_list(F.col("doc_id").cast("string")).alias("relevant_docs"))
+    lines.select(F.to_json(F.struct("query", "relevant_docs")).alias("value")).write.text(path)
+    return readers.read_relevance(spark, path)
 
 
 INSERT_SQL = f"""{P.LOGS}, stored AS (SELECT DISTINCT session_user AS k FROM logs WHERE endpoint = 'error' AND session_user IS NOT NULL),

@@ -65,12 +65,21 @@ def read_ticket_csv(spark: SparkSession, path: str, compat: bool = False) -> Dat
     return _tickets(raw, CSV_ALIASES, lambda a: F.col(f"`{a}`") if a in names else None, compat)
 
 
+def _by_line(spark: SparkSession, path: str) -> bool:
+    """Whether the first line with content is a JSON value of its own, which may then be read and split line by line."""
+    lines = spark.read.text(path).where(F.trim("value") != "")
+    first = lines.select(F.schema_of_variant(F.try_parse_json("value")).startswith("OBJECT").alias("whole")).first()
+    return bool(first and first["whole"])
+
+
 def read_ticket_json(spark: SparkSession, path: str, compat: bool = False) -> DataFrame:
     """Tickets from JSON files: an array, a single object, or one object per line.
 
-    Lines that are not JSON are skipped, and values that are not strings are read as their text. A file that is one
-    JSON value is read as such; only then is it a single row, which is inherent to that format.
+    Lines that are not JSON are skipped, and values that are not strings are read as their text. Input that begins with an
+    object on a line of its own is split by line. Otherwise a file is one row, as one JSON value over many lines must be.
     """
+    if _by_line(spark, path):
+        return read_ticket_lines(spark, path, compat)
     lines = F.filter(F.split("value", "\n"), lambda line: F.trim(line) != "")
     files = spark.read.text(path, wholetext=True).select("value", lines.alias("lines"))
     # The JSON parser stops after the first value, so a file whose first line is an object goes by lines.
@@ -138,13 +147,14 @@ def parse_articles(files: DataFrame, content: str, file_name: str) -> DataFrame:
 
 
 def read_samples(spark: SparkSession, path: str, field: str) -> DataFrame:
-    """Rows of the array ``field`` of a JSON document, such as training_samples or test_samples."""
-    document = spark.read.option("multiLine", True).json(path)
+    """Rows of the array ``field`` of JSON documents, such as training_samples or test_samples: one document per line, or
+    one that fills a file."""
+    document = spark.read.option("multiLine", not _by_line(spark, path)).json(path)
     return document.select(F.explode(field).alias("s")).select("s.*")
 
 
 def read_relevance(spark: SparkSession, path: str) -> DataFrame:
-    """(query, doc_id) from a JSON array of {query, relevant_docs}."""
+    """(query, doc_id) from {query, relevant_docs} objects, one per line or in a JSON array that fills a file."""
     schema = "query string, relevant_docs array<string>"
-    pairs = spark.read.schema(schema).option("multiLine", True).json(path)
+    pairs = spark.read.schema(schema).option("multiLine", not _by_line(spark, path)).json(path)
     return pairs.select("query", F.explode("relevant_docs").alias("doc_id"))

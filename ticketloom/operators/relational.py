@@ -82,10 +82,18 @@ def top_k(df: DataFrame, k: int, score: str, *tie_break: str) -> DataFrame:
 
 
 def page(df: DataFrame, number: int, size: int, newest: str, tie_break: str) -> DataFrame:
-    """Page ``number`` (from 1), newest first."""
+    """Page ``number`` (from 1), newest first. All rows before the page pass one task; deep pages go by ``page_after``."""
     return df.orderBy(F.col(newest).desc(), tie_break).offset((number - 1) * size).limit(size)
 
 
+def page_after(df: DataFrame, last_newest: Column, last_key: Column, size: int, newest: str, tie_break: str) -> DataFrame:
+    """The ``size`` rows that follow the row (``last_newest``, ``last_key``), newest first, at the same cost for any depth."""
+    older = F.col(newest) < last_newest
+    return df.where(older | ((F.col(newest) == last_newest) & (F.col(tie_break) > last_key))).orderBy(
+        F.col(newest).desc(), tie_break
+    ).limit(size)
+
+
 def page_counts(df: DataFrame, size: int) -> DataFrame:
     """Total rows and number of pages."""
     total = F.count(F.lit(1))

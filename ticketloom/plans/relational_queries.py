@@ -172,6 +172,19 @@ def ticket_page(spark, folder):
     return L.page(mine, 3, 20, "created_at", "ticket_id")
 
 
+@query(
+    "ticket_page_after", "G2",
+    f"""WITH {P.TICKETS} SELECT ticket_id, category, priority, created_at FROM tickets WHERE priority = 'P2'
+    AND created_at <= TIMESTAMP '1998-01-01' AND NOT (created_at = TIMESTAMP '1998-01-01' AND ticket_id <= 1000)
+    ORDER BY created_at DESC, ticket_id LIMIT 20""",
+)
+def ticket_page_after(spark, folder):
+    """The page that follows ticket 1000 of the first day of 1998."""
+    mine = L.list_rows(S.tickets(spark, folder), priority="P2").select("ticket_id", "category", "priority", "created_at")
+    day = F.lit("1998-01-01 00:00:00").cast("timestamp_ntz")
+    return L.page_after(mine, day, F.lit(1000), 20, "created_at", "ticket_id")
+
+
 @query(
     "repeatable_sample", "G3",
     f"""WITH {P.TICKETS} SELECT ticket_id, category FROM tickets ORDER BY md5(CAST(ticket_id AS VARCHAR) || '-42'), ticket_id LIMIT 100""",

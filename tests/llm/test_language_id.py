@@ -30,7 +30,7 @@ def test_windows_cover_whole_texts():
 def test_learned_languages(documents):
     net = language_id.learn(teaching(documents), epochs=60)
     assert net.languages == ["de", "en", "fr"]
-    rows = [(1, LINES["en"]), (2, LINES["de"].upper()), (3, LINES["fr"]), (4, None), (5, ""), (6, "12 !? 34"), (None, LINES["fr"]),
+    rows = [(1, LINES["en"]), (2, LINES["de"].upper()), (3, LINES["fr"]), (4, None), (5, ""), (6, "12 !? 34 ²½"), (None, LINES["fr"]),
             (7, (LINES["de"] + " ") * 3_000), (7, LINES["en"])]
     got = language_id.predict(documents(rows, extra=True), "doc_id", "text", net).collect()
     want = [(1, "en"), (2, "de"), (3, "fr"), (4, "und"), (5, "und"), (6, "und"), (None, "fr"), (7, "de"), (7, "en")]

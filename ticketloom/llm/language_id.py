@@ -7,22 +7,23 @@ sample of labelled texts and applied to all windows of all texts in batches.
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ticketloom.llm import sampling
+from ticketloom.llm.memory import tidy
 
 UNKNOWN = "und"
 WINDOW = 256
 WIDTHS = (2, 3, 4, 5)
 FILTERS = 12
 WINDOWS_PER_STEP = 512
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 #: ASCII other than letters says nothing about a language; it all becomes a space.
 _PLAIN = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256))
 
@@ -156,7 +157,7 @@ def learn(
                     [pa.array([name], pa.string()), pa.array([rows.tobytes()], pa.binary())], ["lang", "windows"]
                 )
 
-    rows = drawn.select("_lang", "_text").mapInArrow(cut, "lang string, windows binary").collect()
+    rows = drawn.select("_lang", "_text").mapInArrow(tidy(cut), "lang string, windows binary").collect()
     if not rows:
         return None
     languages = sorted({r["lang"] for r in rows})
@@ -201,7 +202,7 @@ def predict(df: DataFrame, key: str, text: str, net: Network | None, *keep: str)
                 [*batch.schema.names[:-1], "lang_pred", "score"],
             )
 
-    return df.select(key, *keep, F.col(text).alias("_text")).mapInArrow(run, f"{schema}, lang_pred string, score double")
+    return df.select(key, *keep, F.col(text).alias("_text")).mapInArrow(tidy(run), f"{schema}, lang_pred string, score double")
 
 
 def _vote(net: Network, held: list[int], parts: list[np.ndarray], names: list[str], scores: list[float]) -> None:

@@ -3,8 +3,8 @@
 1.  Texts become sets of 64-bit shingle hashes; equal sets are one class from there on.
 2.  Two sets that reach the threshold share one of their first few shingles under any fixed order. The order puts shingles
     that a sketch of fixed size shows to be frequent last, so shared passages rarely lead a set.
-3.  Sets that share a leading shingle are candidates. Small groups give their pairs. Large ones are linked to one pivot
-    at a time first; what remains apart is compared in size-banded tiles.
+3.  Sets that share a leading shingle are candidates. Small groups give their pairs. Large ones are first linked to two
+    pivots; what remains apart is compared in size-banded tiles.
 4.  In a tile, hashed bitmaps bound the overlap from above by counting bits; only pairs that could reach the threshold
     go on to the exact intersection of the sorted hash arrays.
 5.  Links become connected components.
@@ -24,15 +24,16 @@ from pyspark.sql import functions as F
 
 from ticketloom.llm import tiles
 from ticketloom.llm.graph import connected_components
+from ticketloom.llm.memory import tidy
 from ticketloom.llm.shingles import Shingler
 from ticketloom.sources.sinks import stored
 
 #: Buckets of each of the two rows of the frequency sketch.
 SKETCH = 1 << 16
+#: 64-bit words of bitmaps that are combined at a time in a tile (16 MB).
+WORDS_PER_STEP = 1 << 21
 #: Groups of up to this many sets give all their pairs at once.
 SMALL_GROUP = 8
-#: Rounds of linking to one pivot before tiles are compared.
-PIVOT_ROUNDS = 2
 BLOOM_BITS = 1 << 23
 #: Bytes of one of Spark's bitmap buckets.
 BITMAP_BYTES = 4096
@@ -74,17 +75,18 @@ def _frequent(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     def run(batches):
         shingler, first, second = Shingler(), np.zeros(SKETCH, dtype=np.int64), np.zeros(SKETCH, dtype=np.int64)
         for batch in batches:
-            for hashes in shingler.sets(batch.column(0).to_pylist()):
-                a, b = _buckets(hashes)
-                np.add.at(first, a.astype(np.int64), 1)
-                np.add.at(second, b.astype(np.int64), 1)
+            for at in range(0, batch.num_rows, 500):
+                for hashes in shingler.sets(batch.column(0).slice(at, 500).to_pylist()):
+                    a, b = _buckets(hashes)
+                    np.add.at(first, a.astype(np.int64), 1)
+                    np.add.at(second, b.astype(np.int64), 1)
         for row, counts in ((0, first), (1, second)):
             used = np.flatnonzero(counts)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(used + row * SKETCH, pa.int32()), pa.array(counts[used], pa.int64())], ["bucket", "n"]
             )
 
-    sums = texts.mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+    sums = texts.mapInArrow(tidy(run), "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
     counts = np.zeros(2 * SKETCH)
     for bucket, n in sums.collect():  # 2 * SKETCH rows at most
         counts[bucket] = n
@@ -143,7 +145,7 @@ def _sets(docs: DataFrame, levels, limit: Threshold) -> DataFrame:
                     ["id", "n", "d1", "d2", "bitmap", "leading"],
                 )
 
-    return docs.mapInArrow(run, "id long, n int, d1 long, d2 long, bitmap binary, leading array<long>")
+    return docs.mapInArrow(tidy(run), "id long, n int, d1 long, d2 long, bitmap binary, leading array<long>")
 
 
 def _digest(hashes: np.ndarray) -> int:
@@ -151,12 +153,14 @@ def _digest(hashes: np.ndarray) -> int:
     return int(np.bitwise_xor.reduce(mixed ^ (mixed >> np.uint64(32))).view(np.int64)) if len(hashes) else 0
 
 
-GROUPS = "tile long, a long, b long"
+PAIR = "a long, b long, n_a int, n_b int"
+GROUPS = f"tile long, {PAIR}"
 
 
 def _groups(classes: DataFrame, limit: Threshold) -> DataFrame:
     """Candidates from classes that share a leading shingle: pairs (a, b) of small groups with a NULL tile, and members b
-    of large groups with the tile and its pivot a. A tile is named by its members, so equal groups are one tile."""
+    of large groups with the tile and its pivot a; n_a and n_b are their sizes. A tile is named by its members, so equal
+    groups are one tile."""
     postings = classes.select(F.explode("leading").alias("shingle"), "id", "n")
     parts = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sorted_postings = postings.repartition(parts, "shingle").sortWithinPartitions("shingle", "id")
@@ -174,7 +178,7 @@ def _groups(classes: DataFrame, limit: Threshold) -> DataFrame:
         if rest is not None:
             yield from _emit(rest, limit)
 
-    return sorted_postings.mapInArrow(run, GROUPS).distinct()
+    return sorted_postings.mapInArrow(tidy(run), GROUPS).distinct()
 
 
 def _emit(columns: list[np.ndarray], limit: Threshold):
@@ -187,34 +191,29 @@ def _emit(columns: list[np.ndarray], limit: Threshold):
         for i in range(m):
             for j in range(i + 1, m):
                 fit = limit.sizes_fit(sizes[heads + i], sizes[heads + j]) & (ids[heads + i] != ids[heads + j])
-                left.append(ids[heads[fit] + i])
-                right.append(ids[heads[fit] + j])
+                left.append(heads[fit] + i)
+                right.append(heads[fit] + j)
                 tile.append(np.zeros(len(left[-1]), dtype=np.int64))
     small = sum(map(len, tile))
     for head, end in zip(edges[:-1][counts > SMALL_GROUP], edges[1:][counts > SMALL_GROUP]):
-        members = ids[head:end]
-        mixed = members.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        mixed = ids[head:end].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
         name = np.sum((mixed ^ (mixed >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9), dtype=np.uint64).view(np.int64)
-        tile.append(np.full(len(members), name))
-        left.append(np.full(len(members), members[0]))
-        right.append(members)
-    if not tile:
+        tile.append(np.full(end - head, name))
+        left.append(np.full(end - head, head))
+        right.append(np.arange(head, end))
+    if not sum(map(len, tile)):
         return
     tile, left, right = np.concatenate(tile), np.concatenate(left), np.concatenate(right)
-    if not len(tile):
-        return
-    yield pa.RecordBatch.from_arrays(
-        [pa.array(tile, mask=np.arange(len(tile)) < small), pa.array(left), pa.array(right)], ["tile", "a", "b"]
-    )
+    columns = [pa.array(tile, mask=np.arange(len(tile)) < small), ids[left], ids[right], sizes[left], sizes[right]]
+    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["tile", "a", "b", "n_a", "n_b"])
 
 
-def _bits_allow(pairs: DataFrame, classes: DataFrame, limit: Threshold) -> DataFrame:
+def _bits_allow(pairs: DataFrame, known: DataFrame, limit: Threshold) -> DataFrame:
     """The pairs (a, b) whose sizes and bitmaps could reach the threshold."""
-    known = classes.select("id", "n", "bitmap")
-    left = known.select(F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("bitmap").alias("bits_a"))
-    right = known.select(F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("bitmap").alias("bits_b"))
-    joined = pairs.join(left, "a").join(right, "b")
+    left = known.select(F.col("id").alias("a"), F.col("bitmap").alias("bits_a"))
+    right = known.select(F.col("id").alias("b"), F.col("bitmap").alias("bits_b"))
     fit = F.least("n_a", "n_b") * limit.under >= F.greatest("n_a", "n_b") * limit.over
+    joined = pairs.where(fit & (F.col("a") != F.col("b"))).distinct().join(left, "a").join(right, "b")
 
     def run(batches):
         for batch in batches:
@@ -232,7 +231,7 @@ def _bits_allow(pairs: DataFrame, classes: DataFrame, limit: Threshold) -> DataF
                 keep[i] = min(sizes[0][i] - missing_x, sizes[1][i] - missing_y) >= need[i]
             yield pa.RecordBatch.from_arrays([a.filter(pa.array(keep)), b.filter(pa.array(keep))], ["a", "b"])
 
-    return joined.where(fit).select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(run, "a long, b long")
+    return joined.select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(tidy(run), "a long, b long")
 
 
 def _arrays(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -257,14 +256,16 @@ def _arrays(docs: DataFrame, ids: DataFrame) -> DataFrame:
                     [batch.column(0).take(some), pa.array([s.tobytes() for s in sets], pa.binary())], ["id", "hashes"]
                 )
 
-    return docs.select("id", "text", bit.alias("bit")).mapInArrow(run, "id long, hashes binary")
+    return docs.select("id", "text", bit.alias("bit")).mapInArrow(tidy(run), "id long, hashes binary")
 
 
-def _links(pairs: DataFrame, known: DataFrame, arrays: DataFrame, limit: Threshold) -> DataFrame:
-    """The pairs (a, b) that reach the threshold, by exact intersection."""
+def _links(docs: DataFrame, allowed: DataFrame, limit: Threshold) -> DataFrame:
+    """The pairs (a, b), of those that bitmaps allow, that reach the threshold by exact intersection."""
+    allowed = stored(allowed, "allowed")
+    arrays = stored(_arrays(docs, allowed.select(F.explode(F.array("a", "b")).alias("id")).distinct()), "arrays")
     left = arrays.select(F.col("id").alias("a"), F.col("hashes").alias("set_a"))
     right = arrays.select(F.col("id").alias("b"), F.col("hashes").alias("set_b"))
-    joined = _bits_allow(pairs, known, limit).join(right, "b").join(left, "a").select("a", "b", "set_a", "set_b")
+    joined = allowed.join(right, "b").join(left, "a").select("a", "b", "set_a", "set_b")
 
     def run(batches):
         for batch in batches:
@@ -278,38 +279,51 @@ def _links(pairs: DataFrame, known: DataFrame, arrays: DataFrame, limit: Thresho
             mask = pa.array(keep)
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], ["a", "b"])
 
-    return joined.mapInArrow(run, "a long, b long")
+    return stored(joined.mapInArrow(tidy(run), "a long, b long"), "links")
 
 
 def _tile_pairs(apart: DataFrame, known: DataFrame, limit: Threshold) -> DataFrame:
-    """Pairs of different components inside one large group, by size-banded tiles of bitmaps."""
-    rows = apart.join(known, "id").withColumn("cell", limit.band(F.col("n")))
+    """Pairs of different components inside one large group that their bitmaps allow.
+
+    A group of one chunk is one tile. A larger one is tiled by size bands, and inside bands by chunks. Bitmaps join the
+    rows last, when these are in their tiles.
+    """
+    sizes = apart.groupBy("tile").agg(F.count(F.lit(1)).alias("rows"))
+    banded = F.when(F.col("rows") > tiles.ROWS_PER_CHUNK, limit.band(F.col("n"))).otherwise(0)
+    rows = apart.join(sizes, "tile").withColumn("cell", banded)
+    dealt = tiles.tiled(rows.select("tile", "cell", "id", "n", "component"), ["tile"], "id")
+    dealt = dealt.join(known.select("id", "bitmap"), "id")
 
     def compare(table):
         chunk, own = table["chunk"].to_numpy(), table["own"].to_numpy(zero_copy_only=False)
         ids, n, part = (table[c].to_numpy().astype(np.int64) for c in ("id", "n", "component"))
         maps = [np.frombuffer(m.as_py(), dtype=np.uint64) for m in table["bitmap"]]
-        words = min(map(len, maps))
-        bits = np.stack([_narrowed(m, words) for m in maps])
-        ones = np.bitwise_count(bits).sum(axis=1, dtype=np.int64)
+        widths = np.array([len(m) for m in maps])
         split = table["low"][0].as_py() != table["high"][0].as_py()
-        found = []
-        for at in range(0, len(ids), 64):
-            to = slice(at, at + 64)
-            inter = np.bitwise_count(bits[to, None, :] & bits[None, :, :]).sum(axis=2, dtype=np.int64)
-            bound = np.minimum(n[to, None] - ones[to, None] + inter, n[None, :] - ones[None, :] + inter)
-            ok = (bound >= limit.overlap(n[to, None], n[None, :])) & limit.sizes_fit(n[to, None], n[None, :])
-            ok &= (ids[to, None] < ids[None, :]) & (part[to, None] != part[None, :])
-            ok &= own[to, None] | own[None, :]
-            if split:
-                ok &= chunk[to, None] != chunk[None, :]
-            i, j = np.nonzero(ok)
-            found.append((ids[to][i], ids[j]))
+        found = [(np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64))]
+        for words in np.unique(widths):  # sizes that fit have bitmaps of the same width or of the next one
+            mine, others = np.flatnonzero(widths == words), np.flatnonzero((widths == words) | (widths == 2 * words))
+            bits = np.stack([_narrowed(maps[i], words) for i in others])
+            ones = np.bitwise_count(bits).sum(axis=1, dtype=np.int64)
+            inner = np.flatnonzero(widths[others] == words)
+            step = max(1, WORDS_PER_STEP // (len(others) * int(words)))
+            for at in range(0, len(mine), step):
+                i, x = mine[at : at + step], inner[at : at + step]
+                inter = np.bitwise_count(bits[x, None, :] & bits[None, :, :]).sum(axis=2, dtype=np.int64)
+                bound = np.minimum(n[i, None] - ones[x, None] + inter, n[None, others] - ones[None, :] + inter)
+                ok = (bound >= limit.overlap(n[i, None], n[None, others])) & limit.sizes_fit(n[i, None], n[None, others])
+                ok &= (ids[i, None] < ids[None, others]) | (widths[None, others] > words)
+                ok &= (part[i, None] != part[None, others]) & (own[i, None] | own[None, others])
+                if split:
+                    ok &= chunk[i, None] != chunk[None, others]
+                left, right = np.nonzero(ok)
+                first, second = i[left], others[right]
+                swap = ids[first] > ids[second]
+                found.append((np.where(swap, second, first), np.where(swap, first, second)))
         a, b = (np.concatenate(x) for x in zip(*found))
-        return pa.table({"a": a, "b": b})
+        return pa.table({"a": ids[a], "b": ids[b], "n_a": n[a].astype(np.int32), "n_b": n[b].astype(np.int32)})
 
-    dealt = tiles.tiled(rows.select("tile", "cell", "id", "n", "component", "bitmap"), ["tile"], "id")
-    return dealt.groupBy("tile", "cell", "low", "high").applyInArrow(compare, "a long, b long").distinct()
+    return dealt.groupBy("tile", "cell", "low", "high").applyInArrow(compare, PAIR)
 
 
 def similar_groups(df: DataFrame, key: str, text: str, limit: Threshold = Threshold()) -> DataFrame:
@@ -332,23 +346,21 @@ def similar_groups(df: DataFrame, key: str, text: str, limit: Threshold = Thresh
     involved = stored(groups.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "involved")
     known = stored(sets.join(classes, named, "left_semi").join(involved, "id", "left_semi")
                    .groupBy("id", "n").agg(F.first("bitmap").alias("bitmap")), "known")
-    arrays = stored(_arrays(docs, involved), "arrays")
-
-    pairs = groups.where("a != b").select("a", "b").distinct()
-    links = stored(_links(pairs, known, arrays, limit), "links")
-    members = groups.where("tile IS NOT NULL").select("tile", F.col("b").alias("id")).distinct()
-    for turn in range(PIVOT_ROUNDS + 1):
-        apart = stored(_apart(members, connected_components(links)), "apart")
-        if apart.isEmpty():
-            break
-        if turn < PIVOT_ROUNDS:
-            order = F.xxhash64(F.lit(turn), F.col("id"))
-            pivot = apart.groupBy("tile").agg(F.min_by(F.struct("id", "component"), order).alias("p"))
-            spread = apart.join(pivot, "tile").where(F.col("p.component") != F.col("component"))
-            pairs = spread.select(F.col("p.id").alias("a"), F.col("id").alias("b")).distinct()
-        else:
-            pairs = _tile_pairs(apart, known, limit)
-        links = stored(links.unionByName(_links(pairs, known, arrays, limit)), "links")
+    large = groups.where("tile IS NOT NULL").select("tile", "a", "n_a", F.col("b").alias("id"), F.col("n_b").alias("n"))
+    second = large.groupBy("tile").agg(F.min_by(F.struct("id", "n"), F.xxhash64("id")).alias("p"))
+    # Groups with the same two pivots are nearly the same sets; together they are one tile, in which all of them meet.
+    merged = large.join(second, "tile").select(
+        F.xxhash64("a", "p.id").alias("tile"), "a", "n_a", F.col("p.id").alias("p"), F.col("p.n").alias("n_p"), "id", "n"
+    )
+    members = stored(merged.distinct(), "members")
+    first = members.select("a", F.col("id").alias("b"), "n_a", F.col("n").alias("n_b"))
+    other = members.select(F.col("p").alias("a"), F.col("id").alias("b"), F.col("n_p").alias("n_a"), F.col("n").alias("n_b"))
+    pairs = groups.where("tile IS NULL").select("a", "b", "n_a", "n_b").unionByName(first).unionByName(other)
+    links = _links(docs, _bits_allow(pairs, known, limit), limit)
+    apart = stored(_apart(members.select("tile", "id", "n"), connected_components(links)), "apart")
+    if not apart.isEmpty():
+        allowed = _tile_pairs(apart, known, limit).select("a", "b").distinct()
+        links = links.unionByName(_links(docs, allowed, limit))
     components = connected_components(links).withColumnRenamed("node", "id")
     reached = classes.join(components, "id", "left").select(*digest, F.coalesce("component", "id").alias("component"))
     out = sets.select(*named).join(reached, digest, "left")
@@ -357,8 +369,8 @@ def similar_groups(df: DataFrame, key: str, text: str, limit: Threshold = Thresh
 
 
 def _apart(members: DataFrame, components: DataFrame) -> DataFrame:
-    """(tile, id, component) of the groups whose members are not all in one component yet."""
+    """(tile, id, n, component) of the groups whose members are not all in one component yet."""
     tied = members.join(components.withColumnRenamed("node", "id"), "id", "left")
-    tied = tied.select("tile", "id", F.coalesce("component", "id").alias("component"))
+    tied = tied.select("tile", "id", "n", F.coalesce("component", "id").alias("component"))
     ends = tied.groupBy("tile").agg(F.min("component").alias("low"), F.max("component").alias("high"))
     return tied.join(ends.where("low != high").select("tile"), "tile")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 ROWS_PER_CHUNK = 1_500
 
 
-def tiled(rows: DataFrame, group: list[str], key: str, rows_per_chunk: int = ROWS_PER_CHUNK) -> DataFrame:
+def tiled(rows: DataFrame, group: list[str], key: str, rows_per_chunk: int | None = None) -> DataFrame:
     """``rows`` copied to their tiles, with ``own`` (the row lies in the tile's cell, not in the one before), ``chunk``
     and the tile (``group``, ``cell``, ``low``, ``high``).
 
@@ -25,7 +25,7 @@ def tiled(rows: DataFrame, group: list[str], key: str, rows_per_chunk: int = ROW
     both = here.unionByName(after)
     where = [*group, "cell"]
     counts = both.groupBy(*where).agg(F.count(F.lit(1)).alias("_n"), F.max("own").alias("_own"))
-    chunks = counts.where("_own AND _n > 1").select(*where, F.ceil(F.col("_n") / rows_per_chunk).cast("int").alias("_chunks"))
+    chunks = counts.where("_own AND _n > 1").select(*where, F.ceil(F.col("_n") / (rows_per_chunk or ROWS_PER_CHUNK)).cast("int").alias("_chunks"))
     dealt = both.join(chunks, where)
     dealt = dealt.withColumn("chunk", F.pmod(F.xxhash64(key), F.col("_chunks")).cast("int"))
     dealt = dealt.withColumn("_with", F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1)))

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ticketloom.llm import tiles
 from ticketloom.llm.graph import connected_components
+from ticketloom.llm.memory import tidy
 from ticketloom.sources.sinks import stored
 
 BLOCK_DIMENSIONS = 8
@@ -47,7 +48,7 @@ def _moments(vectors: DataFrame) -> dict[int, tuple[float, np.ndarray, np.ndarra
                 ["size", "place", "value"],
             )
 
-    parts = vectors.mapInArrow(run, "size int, place int, value double")
+    parts = vectors.mapInArrow(tidy(run), "size int, place int, value double")
     out = {}
     for size, place, value in parts.groupBy("size", "place").agg(F.sum("value")).collect():
         out.setdefault(size, np.zeros((size + 1) ** 2))[place] = value
@@ -191,7 +192,7 @@ def linked_vectors(df: DataFrame, key: str, vector: str, label: str, threshold:
 
     kind = distinct.schema["label"].dataType.simpleString()
     schema = f"label {kind}, id long, copies long, size int, block int, cell long, vector binary"
-    rows = distinct.select("label", "id", "copies", "_vector").mapInArrow(deal, schema)
+    rows = distinct.select("label", "id", "copies", "_vector").mapInArrow(tidy(deal), schema)
     dealt = tiles.tiled(rows, ["label", "size", "block"], "id", ROWS_PER_CHUNK)
 
     def compare(table):

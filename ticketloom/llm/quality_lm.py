@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ticketloom.llm import id_filter
+from ticketloom.llm.memory import tidy
 from ticketloom.sources.sinks import stored
 
 ORDER = 4
@@ -72,7 +73,7 @@ def _counts(texts: DataFrame) -> DataFrame:
                 total[:] = 0
         yield from _rows(total)
 
-    return texts.mapInArrow(count, "code int, c long").groupBy("code").agg(F.sum("c").alias("c"))
+    return texts.mapInArrow(tidy(count), "code int, c long").groupBy("code").agg(F.sum("c").alias("c"))
 
 
 def _rows(total: np.ndarray):
@@ -166,13 +167,13 @@ def perplexities(df: DataFrame, key: str, text: str, model, *keep: str) -> DataF
             )
 
     schema += ", n_symbols long, perplexity double"
-    return df.select(key, *keep, F.col(text).alias("_text")).mapInArrow(run, schema)
+    return df.select(key, *keep, F.col(text).alias("_text")).mapInArrow(tidy(run), schema)
 
 
 def _maybe(texts: DataFrame, key: str, known: DataFrame) -> DataFrame:
     """The rows of (key, text) that a Bloom filter of the known keys lets through, so that only these are shuffled."""
     keys = id_filter.KeyFilter(known, key, known.count())
-    marked = keys.sent
+    marked = keys.sent()
     kind = texts.schema[key].dataType.simpleString()
 
     def run(batches):
@@ -183,7 +184,7 @@ def _maybe(texts: DataFrame, key: str, known: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(k).take(some) for k in (0, 1)], batch.schema.names[:2])
 
     rows = texts.select(key, "text", keys.place(key).alias("place"))
-    return rows.mapInArrow(run, f"`{key}` {kind}, text string")
+    return rows.mapInArrow(tidy(run), f"`{key}` {kind}, text string")
 
 
 def classify(

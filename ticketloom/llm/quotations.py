@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ticketloom.llm.memory import tidy
 from ticketloom.sources.sinks import stored
 
 _MARKS = re.compile(r"^[ \t]*((?:>[ \t]?)+)")
@@ -88,7 +89,7 @@ def parsed(df: DataFrame, text: str, *keep: str) -> DataFrame:
             names = [*batch.schema.names[:-1], "body", "quotes", "own", "cited"]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *columns], names)
 
-    return df.select(*keep, F.col(text).alias("_text")).mapInArrow(run, f"{schema}, {_PARSED}")
+    return df.select(*keep, F.col(text).alias("_text")).mapInArrow(tidy(run), f"{schema}, {_PARSED}")
 
 
 def _answers(messages: DataFrame) -> DataFrame:

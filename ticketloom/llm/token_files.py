@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ticketloom.llm import simple8b
+from ticketloom.llm.memory import tidy
 from ticketloom.llm.shingles import WordHasher
 
 IDS_PER_BLOCK = 1 << 16
@@ -226,7 +227,7 @@ def write_token_files(
         if keys:
             yield _block(part, begun, keys, rows, kind)
 
-    blocks = ordered.mapInArrow(run, f"{BLOCK}, keys array<{key_type}>")
+    blocks = ordered.mapInArrow(tidy(run), f"{BLOCK}, keys array<{key_type}>")
     blocks.write.option("compression", "none").parquet(path)
 
 
@@ -274,7 +275,7 @@ def read_token_files(spark: SparkSession, path: str, key: str = "doc_id") -> Dat
                 )
 
     docs = blocks.mapInArrow(
-        run, f"`{key}` {key_type}, part int, start long, n_tokens long, ids binary"
+        tidy(run), f"`{key}` {key_type}, part int, start long, n_tokens long, ids binary"
     )
     return _with_part_starts(blocks, docs, key)
 

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ticketloom.llm import sampling
+from ticketloom.llm.memory import tidy
 from ticketloom.sources.sinks import stored
 
 #: Letters of other scripts that look like Latin ones.
@@ -122,7 +123,7 @@ def _tally(sample: DataFrame, of_text) -> DataFrame:
                 ["term", "toxic", "clean"],
             )
 
-    parts = sample.select("toxic", "folded").mapInArrow(run, "term string, toxic long, clean long")
+    parts = sample.select("toxic", "folded").mapInArrow(tidy(run), "term string, toxic long, clean long")
     return parts.groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
@@ -137,7 +138,7 @@ def folded_texts(df: DataFrame, text: str, *keep: str) -> DataFrame:
                 [*batch.columns[:-1], pa.array(folded, pa.string())], [*batch.schema.names[:-1], "folded"]
             )
 
-    return df.select(*keep, F.col(text).alias("folded")).mapInArrow(run, f"{schema}, folded string")
+    return df.select(*keep, F.col(text).alias("folded")).mapInArrow(tidy(run), f"{schema}, folded string")
 
 
 def learn(
@@ -201,7 +202,7 @@ def learn(
                 ["toxic", "density", "total"],
             )
 
-    points = sample.select("toxic", "folded").mapInArrow(measured, "toxic int, density double, total double").toPandas()
+    points = sample.select("toxic", "folded").mapInArrow(tidy(measured), "toxic int, density double, total double").toPandas()
     y = points["toxic"].to_numpy(dtype=float)
     share = np.where(y == 1, sizes[1][1] / n_toxic, sizes.get(0, (1, 1))[1] / max(n_clean, 1))
     x = np.column_stack([np.ones(len(y)), points["density"], points["total"]])
@@ -261,4 +262,4 @@ def score(df: DataFrame, key: str, text: str, model: Model, *keep: str, threshol
             )
 
     schema += ", score double, predicted int, n_hits int"
-    return df.select(key, *keep, F.col(text).alias("_text")).mapInArrow(run, schema)
+    return df.select(key, *keep, F.col(text).alias("_text")).mapInArrow(tidy(run), schema)

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ticketloom.llm.id_filter import without
 from ticketloom.sources.sinks import stored
 
 WIDTH = 5
@@ -105,4 +106,4 @@ def contained_items(
 def without_contaminated(documents: DataFrame, key: str, text: str, items: DataFrame, item_key: str, item_text: str) -> DataFrame:
     """The documents that contain no item; rows with a NULL key are kept."""
     found = contained_items(documents, key, text, items, item_key, item_text).select(key).distinct()
-    return documents.join(found, key, "left_anti")
+    return without(documents, key, stored(found, "contaminated"))

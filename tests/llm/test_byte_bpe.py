@@ -45,6 +45,12 @@ def test_small_replays_change_nothing(documents):
     assert sorted(map(tuple, found.collect()), key=repr) == sorted(map(tuple, whole.collect()), key=repr)
 
 
+def test_both_ways_of_decoding_agree(documents):
+    both = byte_bpe.encode(documents(TEXTS), "doc_id", "text", RANKS, public_tokenizers.PATTERN, decoded=True)
+    again = byte_bpe.decode(both, "doc_id", "ids", RANKS).collect()
+    assert sorted((repr(r["doc_id"]), r["decoded"]) for r in again) == sorted((repr(r["doc_id"]), r["decoded"]) for r in both.collect())
+
+
 def test_decode_of_null_and_empty(spark):
     df = spark.createDataFrame([(1, None), (2, b"")], "doc_id long, ids binary")
     assert [r["decoded"] for r in byte_bpe.decode(df, "doc_id", "ids", RANKS).orderBy("doc_id").collect()] == [None, b""]

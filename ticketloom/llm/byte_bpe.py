@@ -18,10 +18,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ticketloom.llm.memory import tidy
+
 NEVER = np.int32(2**31 - 1)
 #: Text gathered before a replay, and ids sent back in one Arrow batch.
-CHARS_PER_REPLAY = 8_000_000
-IDS_PER_BATCH = 1_000_000
+CHARS_PER_REPLAY = 4_000_000
+IDS_PER_BATCH = 500_000
 
 
 @dataclass(frozen=True)
@@ -176,9 +178,10 @@ def _encoded(keys: list, documents: list[np.ndarray], numbers: dict[str, int], m
 
 def encode(
     df: DataFrame, key: str, text: str, ranks: dict[bytes, int], pattern: str,
-    chars_per_replay: int = CHARS_PER_REPLAY,
+    chars_per_replay: int = CHARS_PER_REPLAY, decoded: bool = False,
 ) -> DataFrame:
-    """(key, ids, n_tokens): the ids of every whole text as little-endian unsigned 32-bit integers in one binary value.
+    """(key, ids, n_tokens): the ids of every whole text as little-endian unsigned 32-bit integers in one binary value;
+    with ``decoded`` also the bytes that the ids stand for, as ``decode`` gives them, in the same pass.
 
     Each match of ``pattern`` is encoded separately by the ranks, without special tokens. A NULL or empty text has no
     ids; a NULL key is kept; repeated rows are encoded each; other columns of ``df`` are not read. Texts are never cut:
@@ -194,14 +197,14 @@ def encode(
 
         def flush():
             for some, rows in _encoded(keys, documents, numbers, merges):
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(some, type=kind),
-                        pa.array([r.tobytes() for r in rows], type=pa.binary()),
-                        pa.array([len(r) for r in rows], type=pa.int64()),
-                    ],
-                    ["key", "ids", "n_tokens"],
-                )
+                columns = {
+                    "key": pa.array(some, type=kind),
+                    "ids": pa.array([r.tobytes() for r in rows], type=pa.binary()),
+                    "n_tokens": pa.array([len(r) for r in rows], type=pa.int64()),
+                }
+                if decoded:
+                    columns["decoded"] = pa.array([_bytes_of(merges.words, r) for r in rows], type=pa.binary())
+                yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
         kind = None
         for batch in batches:
@@ -222,8 +225,12 @@ def encode(
         if keys:
             yield from flush()
 
-    schema = f"`{key}` {key_type.simpleString()}, ids binary, n_tokens long"
-    return df.select(key, text).mapInArrow(_named(run, key), schema)
+    schema = f"`{key}` {key_type.simpleString()}, ids binary, n_tokens long" + ", decoded binary" * decoded
+    return df.select(key, text).mapInArrow(tidy(_named(run, key)), schema)
+
+
+def _bytes_of(words: list[bytes], ids: np.ndarray) -> bytes:
+    return b"".join(map(words.__getitem__, ids.tolist()))
 
 
 def decode(df: DataFrame, key: str, ids: str, ranks: dict[bytes, int], *keep: str) -> DataFrame:
@@ -236,7 +243,7 @@ def decode(df: DataFrame, key: str, ids: str, ranks: dict[bytes, int], *keep: st
     sent = df.sparkSession.sparkContext.broadcast(words)
 
     def run(batches):
-        word = sent.value.__getitem__
+        words = sent.value
         for batch in batches:
             source = batch.column(batch.num_columns - 1)
             at = 0
@@ -244,7 +251,7 @@ def decode(df: DataFrame, key: str, ids: str, ranks: dict[bytes, int], *keep: st
                 out, size, start = [], 0, at
                 while at < batch.num_rows and size < 4 * IDS_PER_BATCH:
                     value = source[at].as_py()
-                    out.append(None if value is None else b"".join(map(word, np.frombuffer(value, "<u4").tolist())))
+                    out.append(None if value is None else _bytes_of(words, np.frombuffer(value, "<u4")))
                     size += len(value or b"")
                     at += 1
                 kept = [c.slice(start, at - start) for c in batch.columns[:-1]]
@@ -252,7 +259,7 @@ def decode(df: DataFrame, key: str, ids: str, ranks: dict[bytes, int], *keep: st
                     [*kept, pa.array(out, type=pa.binary())], [*batch.schema.names[:-1], "decoded"]
                 )
 
-    return df.select(key, *keep, F.col(ids).alias("_decode")).mapInArrow(run, f"{schema}, decoded binary")
+    return df.select(key, *keep, F.col(ids).alias("_decode")).mapInArrow(tidy(run), f"{schema}, decoded binary")
 
 
 def _named(run, key: str):

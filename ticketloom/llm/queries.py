@@ -34,7 +34,12 @@ def _query(name: str, sql: str | None = None):
     return wrap
 
 
+#: Rows that travel between Spark and Python at a time; texts are long, so fewer than Spark's default.
+ROWS_PER_BATCH = 1_000
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ROWS_PER_BATCH)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
@@ -172,10 +177,8 @@ def op8_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def bpe_digests(documents: DataFrame) -> DataFrame:
-    ranks = byte_ranks()
-    encoded = byte_bpe.encode(documents, "doc_id", "text", ranks, public_tokenizers.PATTERN)
-    decoded = byte_bpe.decode(encoded, "doc_id", "ids", ranks, "n_tokens", "ids")
-    return decoded.select(
+    found = byte_bpe.encode(documents, "doc_id", "text", byte_ranks(), public_tokenizers.PATTERN, decoded=True)
+    return found.select(
         "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
     )
 

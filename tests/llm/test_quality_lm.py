@@ -77,3 +77,75 @@ def test_separates_labels(spark):
     labels = spark.read.parquet(f"{folder}/labels.parquet").collect()
     good, poor = ([kept[r["doc_id"]] for r in labels if r["quality"] == q] for q in (1, 0))
     assert sum(good) >= 0.98 * len(good) and sum(poor) <= 0.4 * len(poor)
+
+
+def brute_words(texts, table):
+    """log probability of a text by the textbook recursion over words, spelled below single words."""
+    counts, spelled = {3: Counter()}, {}
+    for text in texts:
+        _, words, logs, _ = quality_lm.words_of([text], table)
+        spelled |= dict(zip(words.tolist(), logs))
+        s = [0, 0, *words.tolist()]
+        counts[3].update(tuple(s[i : i + 3]) for i in range(len(s) - 2))
+    for order in (2, 1):
+        counts[order] = Counter(run[1:] for run in counts[order + 1])
+    held = {}
+    for order, seen in counts.items():
+        d = [0, *quality_lm._discounts_of({f"n{k}": sum(c == k for c in seen.values()) for k in (1, 2, 3, 4)})]
+        for run, c in seen.items():
+            total, h, _ = held.get(run[:-1], (0, 0, d))
+            held[run[:-1]] = total + c, h + d[min(c, 3)], d
+
+    def p(run, base):
+        if not run:
+            return base
+        below = p(run[1:], base)
+        if run[:-1] not in held:
+            return below
+        total, h, d = held[run[:-1]]
+        c = counts[len(run)].get(run, 0)
+        return (c - d[min(c, 3)]) / total + h / total * below
+
+    def log(text):
+        _, words, logs, sizes = quality_lm.words_of([text], table)
+        s = [0, 0, *words.tolist()]
+        return sum(math.log(p(tuple(s[i : i + 3]), math.exp(logs[i]))) for i in range(len(s) - 2)) / sizes[0]
+
+    return log
+
+
+def test_word_models_match_the_recursion(spark, documents, monkeypatch):
+    monkeypatch.setattr(quality_lm, "COMMON", 3)  # the rest goes through the join
+    texts = ["the cat sat on the mat. the dog sat too", "Ça va? The end.", "the cat sat", "日本語の本", "x"]
+    halves = [0, 1, 1, 0, 1]
+    docs = spark.createDataFrame([(t, h) for t, h in zip(texts, halves)], "text string, half int")
+    model = quality_lm.learn_words(docs)
+    table = quality_lm.log_probabilities(model.spelling.value)
+    asked = [*texts, "the dog sat on the cat", "本日", "unseen, all of it", "mat the on sat cat the"]
+    rows = spark.createDataFrame([(t, m) for t in asked for m in range(3)], "text string, m int")
+    got = {(r["text"], r["m"]): r["perplexity"] for r in quality_lm.perplexities(rows, "text", model, "m", "text", "m").collect()}
+    for m in range(3):
+        log = brute_words([t for t, h in zip(texts, halves) if h != m], table)
+        for text in asked:
+            assert math.isclose(got[text, m], math.exp(-log(text)), rel_tol=1e-6), (text, m)
+
+
+def test_codes_are_those_of_spark(spark):
+    row = spark.sql("SELECT xxhash64(-7L), xxhash64(-7L, 12345678901L), xxhash64(0L, -7L, 3L)").first()
+    w = np.array([-7, 12345678901, 0, 3], dtype=np.int64).view(np.uint64)
+    code = quality_lm.code_of
+    want = [code(w[:1]), code(w[1:2], code(w[:1])), code(w[3:], code(w[:1], code(w[2:3])))]
+    assert [int(x.view(np.int64)[0]) for x in want] == list(row)
+
+
+def test_scripts_and_word_order_count(spark, documents):
+    # Characters 16 apart share their byte classes; shuffled words share nearly all runs of four classes.
+    seen = [chr(0x4E00 + i) for i in range(16)]
+    text = "".join(seen)
+    other = "".join(chr(ord(c) + 16) for c in seen)
+    plain = "the old keeper of the house went down to the river and sat by the water until the evening came"
+    shuffled = " ".join(sorted(plain.split(), key=lambda w: w[::-1]))
+    rows = [(i, t, "x") for i, t in enumerate([text * 3, text, plain, plain + " again"])] + [(10, other, "x"), (11, shuffled, "x")]
+    trusted = spark.createDataFrame([(i,) for i in range(4)], "doc_id long")
+    got = {r["doc_id"]: r["perplexity"] for r in quality_lm.classify(documents(rows), "doc_id", "text", "lang", trusted).collect()}
+    assert got[10] > 2 * got[1] and got[11] > 1.5 * got[2]

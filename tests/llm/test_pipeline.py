@@ -56,3 +56,25 @@ def test_empty_table(spark, documents):
 def test_entry_has_all_queries():
     names = entry_module.queries()
     assert "pipeline" in names and {n.split("_")[0] for n in names if n.startswith("op")} >= {f"op{k}" for k in range(1, 11)}
+
+
+WORDS = {"en": "the house of our neighbours was sold when they moved away with which this that ", "fr": "la maison de nos voisins était vendue quand ils sont partis avec leur chère fille où "}
+
+
+def texts_of(lang, i, n=400):
+    words = WORDS[lang].split()
+    return " ".join(words[(i * 7 + k * (i % 5 + 1) + k // 3) % len(words)] for k in range(n))
+
+
+def test_language_stage_without_a_network(spark, documents):
+    docs = documents([(1, "a plain text", None), (2, "12 34", None), (3, None, None), (None, "日本", None)])
+    got = corpus_pipeline.language_stage(spark, docs, FOLDER).collect()
+    assert sorted((r["doc_id"] for r in got), key=repr) == [1, None]
+
+
+def test_language_stage_asks_the_network(spark, documents):
+    clean = [(i, texts_of(lang, i), lang) for i in range(0, 160, 2) for lang in ("en",)]
+    clean += [(i, texts_of("fr", i), "fr") for i in range(1, 160, 2)]
+    mixed = [(None, texts_of("en", 3) + " " + texts_of("fr", 4), None)]  # a blind guess between the two
+    got = corpus_pipeline.language_stage(spark, documents(clean + mixed), FOLDER).collect()
+    assert sorted((r["doc_id"] for r in got), key=repr) == sorted((r[0] for r in clean), key=repr)

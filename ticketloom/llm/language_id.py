@@ -136,6 +136,13 @@ def train(windows: np.ndarray, target: np.ndarray, languages: list[str], epochs:
     return Network(languages, tables, bias, weights, offset)
 
 
+def _fit_rows(labelled: DataFrame, key: str, text: str, lang: str, max_bytes_per_language: int) -> DataFrame:
+    """(_lang, _key, _text, class_rows) of the sample that a network learns from."""
+    usable = labelled.where(F.col(lang).isNotNull() & F.col(key).isNotNull() & F.col(text).rlike(r"\p{L}"))
+    usable = usable.select(F.col(key).alias("_key"), F.col(lang).cast("string").alias("_lang"), F.col(text).alias("_text"))
+    return sampling.per_class(usable, "_lang", "_key", max_bytes_per_language, F.octet_length("_text"))
+
+
 def learn(
     labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang",
     max_bytes_per_language: int = 1_500_000, epochs: int = 4,
@@ -145,9 +152,7 @@ def learn(
     Rows with a NULL key or language or a text without letters teach nothing; a repeated row counts each time. None when
     nothing is left.
     """
-    usable = labelled.where(F.col(lang).isNotNull() & F.col(key).isNotNull() & F.col(text).rlike(r"\p{L}"))
-    usable = usable.select(F.col(key).alias("_key"), F.col(lang).cast("string").alias("_lang"), F.col(text).alias("_text"))
-    drawn = sampling.per_class(usable, "_lang", "_key", max_bytes_per_language, F.octet_length("_text"))
+    drawn = _fit_rows(labelled, key, text, lang, max_bytes_per_language)
 
     def cut(batches):
         for batch in batches:
@@ -171,6 +176,19 @@ def learn(
     return train(windows[filled], target[filled], languages, epochs)
 
 
+def score_limit(
+    net: Network, labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang",
+    max_bytes_per_language: int = 1_500_000,
+) -> float:
+    """The score under which a text is in none of the learned languages: half way from a blind guess to the lowest score
+    of a fit row that the network names rightly. ``labelled`` holds the rows that it learned from."""
+    drawn = _fit_rows(labelled, key, text, lang, max_bytes_per_language)
+    right = predict(drawn, "_key", "_text", net, "_lang").where("lang_pred = _lang")
+    lowest = right.agg(F.min("score")).first()[0]
+    guess = 1 / len(net.languages)
+    return guess + (lowest - guess) / 2 - 1e-9 if lowest is not None else 0.0
+
+
 def predict(df: DataFrame, key: str, text: str, net: Network | None, *keep: str) -> DataFrame:
     """(key, ``keep`` columns, lang_pred, score) for every row.
 

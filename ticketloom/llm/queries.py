@@ -48,8 +48,13 @@ def fold_of(key: str, folds: int) -> Column:
     return F.pmod(F.crc32(F.col(key).cast("string").cast("binary")), F.lit(folds))
 
 
+def language_rows(documents: DataFrame) -> DataFrame:
+    """The rows that the language network may learn from."""
+    return documents.where(fold_of("doc_id", 5) != 0)
+
+
 def language_network(documents: DataFrame):
-    return language_id.learn(documents.where(fold_of("doc_id", 5) != 0))
+    return language_id.learn(language_rows(documents))
 
 
 def toxicity_model(documents: DataFrame, labels: DataFrame) -> toxicity.Model:

@@ -8,12 +8,15 @@ from pyspark.sql import functions as F
 
 from ticketloom.llm import (
     byte_bpe,
+    centroids,
     decontamination,
     embedding_dedup,
     language_id,
     ngram_join,
+    packing,
     quality_lm,
     quotations,
+    ranked_search,
     sharding,
     token_files,
     toxicity,
@@ -207,3 +210,90 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     found = toxicity.score(documents, "doc_id", "text", model, threshold=0.7)
     held_out = F.coalesce(fold_of("doc_id", 3) == 1, F.lit(False))
     return found.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
+@_query("op11_packing")
+def op11_packing(spark: SparkSession, folder: str) -> DataFrame:
+    definition = public_tokenizers.path("word_bpe_49k.json")
+    pieces = packing.pack(table(spark, folder, "documents"), "doc_id", "text", definition, end_id=1)
+    crc = F.crc32("ids").alias("ids_crc32")
+    return pieces.select("doc_id", "start", "length", crc, "doc_tokens", "sequence_id", "offset")
+
+
+def _cluster_sql(rounds: int) -> str:
+    """Rounds of assignment and floor of the mean, over one row per component."""
+    parts = []
+    for n in range(rounds + 1):
+        parts.append(f"""a{n} AS (
+  SELECT vec_id, arg_min(cluster, (distance, cluster)) AS cluster, min(distance) AS distance FROM (
+    SELECT v.vec_id, c.cluster, CAST(sum((v.x - c.x) * (v.x - c.x)) AS BIGINT) AS distance
+    FROM v JOIN c{n} c ON c.i = v.i GROUP BY v.vec_id, c.cluster) GROUP BY vec_id
+)""")
+        if n < rounds:
+            parts.append(f"""s{n} AS (
+  SELECT cluster, i, CAST(sum(x) AS BIGINT) AS s, count(*) AS n FROM v JOIN a{n} USING (vec_id) GROUP BY cluster, i
+), c{n + 1} AS (
+  SELECT c.cluster, c.i, CASE WHEN n IS NULL THEN c.x ELSE (s - ((s % n) + n) % n) // n END AS x
+  FROM c{n} c LEFT JOIN s{n} USING (cluster, i)
+)""")
+    return ", ".join(parts)
+
+
+OP12_SQL = f"""
+WITH kept AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE len(embedding) = 64
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), v AS (
+  SELECT vec_id, unnest(range(1, 65)) AS i, CAST(unnest(list_transform(e, lambda x: floor(64 * x))) AS BIGINT) AS x FROM kept
+), seeds AS (
+  SELECT vec_id, row_number() OVER (ORDER BY sha256('1:' || vec_id)) - 1 AS cluster FROM kept
+), c0 AS (
+  SELECT cluster, i, x FROM v JOIN seeds USING (vec_id) WHERE cluster < 16
+), {_cluster_sql(3)}, named AS (
+  SELECT cluster, sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY i)) AS centroid_sha256 FROM c3 GROUP BY cluster
+)
+SELECT vec_id, CAST(cluster AS INTEGER) AS cluster, distance,
+  CAST(sum(distance) OVER (PARTITION BY cluster) AS BIGINT) AS cluster_inertia,
+  CAST(sum(distance) OVER () AS BIGINT) AS inertia, centroid_sha256
+FROM a3 JOIN named USING (cluster)
+"""
+
+
+@_query("op12_centroid_clusters", OP12_SQL)
+def op12_centroid_clusters(spark: SparkSession, folder: str) -> DataFrame:
+    return centroids.centroid_clusters(table(spark, folder, "embeddings"), "vec_id", "embedding")
+
+
+def _term_sql(source: str, key: str) -> str:
+    lowered = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return f"SELECT {key}, regexp_extract_all({lowered}, '{ranked_search.TERM}') AS t FROM {source} WHERE text IS NOT NULL"
+
+
+OP13_SQL = f"""
+WITH d AS ({_term_sql("documents", "doc_id")}), docs AS (
+  SELECT row_number() OVER () AS r, doc_id, len(t) AS n, t FROM d WHERE len(t) > 0
+), counts AS (
+  SELECT count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS n_terms FROM docs
+), tf AS (
+  SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(t) AS term FROM docs) GROUP BY r, term
+), weights AS (
+  SELECT term, CAST(floor(1000 * ln((2 * n_docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS w
+  FROM tf, counts GROUP BY term, n_docs
+), i AS ({_term_sql("benchmark", "item_id")}), asked AS (
+  SELECT DISTINCT item_id, unnest(t) AS term FROM i
+), scores AS (
+  SELECT item_id, docs.doc_id, docs.r,
+    CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * n_docs) // n_terms)))) AS BIGINT) AS score
+  FROM asked JOIN tf USING (term) JOIN weights USING (term) JOIN docs USING (r), counts GROUP BY item_id, docs.doc_id, docs.r
+), ranked AS (
+  SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+  FROM scores WHERE score > 0
+)
+SELECT * FROM ranked WHERE rank <= 10
+"""
+
+
+@_query("op13_ranked_search", OP13_SQL)
+def op13_ranked_search(spark: SparkSession, folder: str) -> DataFrame:
+    items = table(spark, folder, "benchmark")
+    return ranked_search.ranked(table(spark, folder, "documents"), "doc_id", "text", items, "item_id", "text")

@@ -29,6 +29,50 @@ def test_quantiles_match_numpy_on_skewed_groups(spark):
         assert got[g]["n95"] == sorted(vs)[min(int(len(vs) * 0.95), len(vs) - 1)]
 
 
+@pytest.mark.parametrize("most_rows", [1, 7, 300])
+def test_quantiles_in_narrow_brackets(spark, most_rows):
+    """Levels go on until a bracket is small; heavy values, infinities and NaN are found too."""
+    rng = np.random.default_rng(2)
+    data = {
+        "wide": np.exp(rng.normal(size=4000) * 200), "heavy": np.r_[np.full(3000, 1.5), rng.normal(size=50)],
+        "ends": np.r_[[-np.inf] * 5, rng.normal(size=500), [np.inf] * 5], None: rng.integers(0, 3, 900).astype(float),
+    }
+    rows = [(g, float(v)) for g, vs in data.items() for v in vs]
+    df = spark.createDataFrame(rows, "g string, v double")
+    wanted = {"n10": (0.1, "nearest"), "n50": (0.5, "nearest"), "n99": (0.99, "nearest"), "p50": (0.5, "linear")}
+    got = {r.g: r for r in R.quantile_columns(df, ["g"], "v", wanted, most_rows=most_rows).collect()}
+    for g, vs in data.items():
+        for name, p in (("n10", 0.1), ("n50", 0.5), ("n99", 0.99)):
+            assert got[g][name] == sorted(vs)[int(len(vs) * p)], (g, name)
+        assert got[g]["p50"] == pytest.approx(np.percentile(vs, 50))
+    whole = R.quantile_columns(df.where("g = 'wide'"), [], "v", {"p95": (0.95, "linear")}, most_rows=most_rows).first()
+    assert whole["p95"] == pytest.approx(np.percentile(data["wide"], 95))
+    assert R.quantile_columns(df.where("false"), ["g"], "v", wanted).collect() == []
+
+
+def test_merged_sketches(spark):
+    rng = np.random.default_rng(4)
+    values = rng.lognormal(size=6000)
+    rows = [(i % 30, "hot" if i % 3 else "cold", float(v)) for i, v in enumerate(values)] + [(3, "few", 2.0), (4, "few", None), (5, "few", 7.0)]
+    df = spark.createDataFrame(rows, "day int, g string, v double")
+    daily = R.quantile_sketches(df, ["day", "g"], "v")
+    assert daily.where("g = 'few'").count() == 2
+    got = {r.g: r for r in R.merged_quantiles(daily.where("day BETWEEN 5 AND 24"), ["g"], {"p50": 0.5, "p95": 0.95}).collect()}
+    for g in ("hot", "cold"):
+        vs = sorted(v for d, h, v in rows if h == g and 5 <= d <= 24)
+        assert got[g]["n"] == len(vs)
+        for name, p in (("p50", 0.5), ("p95", 0.95)):
+            assert abs(sum(v <= got[g][name] for v in vs) / len(vs) - p) < 0.02
+    assert (got["few"]["n"], got["few"]["p95"]) == (1, 7.0)
+
+
+def test_split_in_narrow_ranges(spark):
+    rows = [(i, "hot" if i % 3 else None if i % 2 else "cold") for i in range(6000)]
+    df = spark.createDataFrame(rows, "id long, c string")
+    whole = sorted(map(tuple, R.stratified_split(df, "c", "id").collect()), key=repr)
+    assert sorted(map(tuple, R.stratified_split(df, "c", "id", most_rows=1).collect()), key=repr) == whole
+
+
 def test_split_is_exact_per_stratum(spark):
     rows = [(i, "hot" if i % 3 else "cold") for i in range(3000)] + [(9000, "single")]
     df = spark.createDataFrame(rows, "id long, c string")

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ticketloom.operators import containment, dense, fusion, lexical
+from ticketloom.operators import containment, dense, fusion, lexical, posting_index
 
 WORDS = ["alpha", "beta", "gamma", "delta", "eps", "zeta", "hot"]
 
@@ -182,3 +182,124 @@ def test_containment_without_passages(spark):
     docs = spark.createDataFrame([(1, "abc")], "doc_id long, text string")
     passages = spark.createDataFrame([], "query_id long, query_text string")
     assert containment.contained_passages(docs, "doc_id", "text", passages).collect() == []
+
+
+@pytest.fixture(scope="module")
+def index_folder(spark):
+    import uuid
+
+    from ticketloom.session import shared_folder
+
+    return lambda: f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
+
+
+@pytest.fixture(scope="module")
+def small_segments(corpus, index_folder):
+    """The corpus in many segments, with a payload."""
+    docs = corpus[2].withColumn("kind", F.when(F.col("doc_id") % 2 == 0, "even").when(F.col("doc_id") % 3 == 0, "third"))
+    return posting_index.write_postings(
+        docs, F.col("doc_id"), {"B": F.col("text")}, index_folder(), ("kind",), stop_words=[], docs_per_segment=4
+    )
+
+
+def index_rows(index, queries_df, **options):
+    return rows(posting_index.search(index, queries_df, "query_id", "query_text", stop_words=[], **options))
+
+
+WAYS = [{"one_phase": 10**6}, {"one_phase": 0}, {"max_sent": 0}]
+
+
+@pytest.mark.parametrize("way", WAYS)
+def test_index_okapi(corpus, small_segments, way):
+    docs, queries, _, queries_df = corpus
+    assert index_rows(small_segments, queries_df, k=7, score="okapi", **way) == sorted(brute_bm25(docs, queries, 7))
+
+
+@pytest.mark.parametrize("way", WAYS)
+def test_index_cover_with_payload_and_self(corpus, small_segments, way):
+    docs, queries, _, queries_df = corpus
+    expected = []
+    for q, text in queries:
+        hits = []
+        for d, body in docs:
+            counts = Counter(body.split())
+            s = 0.4 * sum(counts[t] for t in set(text.split()))
+            if s / (s + 1) > 0.5 and d != q and d % 2 and d % 3 == 0:
+                hits.append((round(s / (s + 1), 6), d))
+        hits.sort(key=lambda h: (-h[0], h[1]))
+        expected += [(q, d, s, r) for r, (s, d) in enumerate(hits[:4], 1)]
+    got = index_rows(small_segments, queries_df, k=4, min_score=0.5, exclude_self=True, where={"kind": ["third"]}, **way)
+    assert got == sorted(expected)
+    with pytest.raises(ValueError):
+        index_rows(small_segments, queries_df, where={"colour": ["red"]})
+
+
+def test_index_of_several_fields_and_struct_keys(spark, corpus, index_folder):
+    docs, queries, _, queries_df = corpus
+    rows_ = [(d, d % 3, f"hot {t[:9]}", t) for d, t in docs] + [(5_000, 0, None, None)]
+    df = spark.createDataFrame(rows_, "a long, b int, title string, body string")
+    fields = {"A": F.col("title"), "B": F.col("body")}
+    index = posting_index.write_postings(df, F.struct("b", "a"), fields, index_folder(), stop_words=[], docs_per_segment=8)
+    for score in ("cover", "okapi"):
+        lengths = [len((a or "").split()) + len((b or "").split()) for _, _, a, b in rows_]
+        mean, expected = sum(lengths) / len(lengths), []
+        for q, text in queries:
+            hits = []
+            for (a, b, title, body), length in zip(rows_, lengths):
+                ta, tb = Counter((title or "").split()), Counter((body or "").split())
+                s = 0.0
+                for t in set(text.split()):
+                    if score == "cover":
+                        s += ta[t] + 0.4 * tb[t]
+                    elif ta[t] + tb[t]:
+                        df_ = sum(t in f"{x} {y}".split() for _, _, x, y in rows_)
+                        tf = ta[t] + tb[t]
+                        s += math.log(1 + (len(rows_) - df_ + 0.5) / (df_ + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean))
+                s = s / (s + 1) if score == "cover" else s
+                if s > 0:
+                    hits.append((-round(s, 6), (b, a)))
+            hits.sort()
+            expected += [(q, d, round(-s, 6), r) for r, (s, d) in enumerate(hits[:5], 1)]
+        for way in WAYS:
+            found = posting_index.search(index, queries_df, "query_id", "query_text", 5, score, stop_words=[], **way).collect()
+            assert sorted((r["query_id"], tuple(r["doc_id"]), r["score"], r["rank"]) for r in found) == sorted(expected)
+    with pytest.raises(ValueError):
+        posting_index.search(index, queries_df, "query_id", "query_text", exclude_self=True)
+
+
+def test_index_reads_only_what_it_needs(spark, corpus, index_folder):
+    """Terms reach the file reader, and segments that cannot hold a hit are left out."""
+    texts = [(i, " ".join(f"t{i % 50}x{j}" for j in range(5)) + " common" + (" rare" * (i % 40) if i % 7 == 0 else "")) for i in range(800)]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    index = posting_index.write_postings(df, F.col("doc_id"), {"C": F.col("text")}, index_folder(), docs_per_segment=10)
+    again = posting_index.open_postings(spark, index.path)
+    assert again == index and index.segments == 80
+    plan = index.blocks_of(["rare", "common"])._jdf.queryExecution().toString()
+    assert "PushedFilters: [In(term, [common,rare])]" in plan
+    asked = spark.createDataFrame([(1, "rare common")], "query_id long, query_text string")
+    terms = lexical.query_terms(asked, "query_id", "query_text").toArrow()
+    find = posting_index._Search(index, terms, "okapi", 3, 0.0, False, {})
+    cells = find.cells()
+    seeds = cells.orderBy(F.desc("bound"), "segment").limit(1)
+    rest = posting_index.remaining_cells(cells, seeds, find.scored(seeds), 3, 0.0)
+    assert cells.count() == 80 and rest.count() < 60
+    whole = index_rows(index, asked, k=3, score="okapi", one_phase=10**6)
+    assert index_rows(index, asked, k=3, score="okapi", one_phase=0) == whole and len(whole) == 3
+
+
+def test_empty_index(spark, corpus, index_folder):
+    df = spark.createDataFrame([], "doc_id long, text string")
+    index = posting_index.write_postings(df, F.col("doc_id"), {"C": F.col("text")}, index_folder())
+    for way in WAYS:
+        for score in ("okapi", "cover"):
+            assert index_rows(index, corpus[3], score=score, **way) == []
+    none = spark.createDataFrame([], "query_id long, query_text string")
+    assert index_rows(index, none) == []
+
+
+def test_rounding_is_one_rule(spark):
+    from ticketloom.operators.topk import rounded, rounded_column
+
+    values = [0.0000005, 0.1234565, 2.5000015, 0.1, 1 / 3]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    assert [r[0] for r in df.select(rounded_column(F.col("v"))).collect()] == rounded(np.array(values)).tolist()

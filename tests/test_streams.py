@@ -80,3 +80,59 @@ def test_nothing_arrived(spark, folder):
     spark.createDataFrame([], "ticket_id long, word string").write.parquet(f"{folder}/in")
     stream = jobs.file_stream(spark, f"{folder}/in", "ticket_id long, word string")
     assert jobs.triage_stream(stream, triage, root=f"{folder}/out", progress=f"{folder}/progress").collect() == []
+
+
+def sla_events(spark, folder, opened, resolved):
+    opened = spark.createDataFrame(opened, "ticket_id long, priority string, t string")
+    opened = opened.select("ticket_id", "priority", F.col("t").cast("timestamp_ntz").alias("created_at"))
+    resolved = spark.createDataFrame(resolved, "ticket_id long, t string").select(
+        "ticket_id", F.col("t").cast("timestamp_ntz").alias("resolved_at")
+    )
+    opened.coalesce(1).write.mode("append").parquet(f"{folder}/opened")
+    resolved.coalesce(1).write.mode("append").parquet(f"{folder}/resolved")
+
+
+def sla_run(spark, folder, label, files=None):
+    from ticketloom.streaming import sla
+
+    opened = jobs.file_stream(spark, f"{folder}/opened", "ticket_id long, priority string, created_at timestamp_ntz", files)
+    resolved = jobs.file_stream(spark, f"{folder}/resolved", "ticket_id long, resolved_at timestamp_ntz", files)
+    out = sla.run_alerts(opened, resolved, f"{folder}/{label}", f"{folder}/{label}-progress")
+    return sorted((r["ticket_id"], r["alert"], str(r["at"])) for r in out.collect())
+
+
+FIRST = (
+    [(1, "P1", "2024-01-01 00:00:00"), (2, "P1", "2024-01-01 00:00:00"), (3, "P1", "2024-01-01 00:00:00"), (4, "P1", "2024-01-01 00:00:00"),
+     (None, "P1", "2024-01-01 00:00:00"), (1, "P1", "2024-01-01 00:00:00")],
+    [(2, "2024-01-01 03:30:00"), (3, "2024-01-01 02:00:00"), (7, "2024-01-01 05:00:00"), (8, "2024-01-01 00:30:00"), (None, "2024-01-01 00:00:00")],
+)
+SECOND = (
+    [(5, "P1", "2024-01-09 00:00:00"), (6, None, "2024-01-09 00:00:00"), (7, "P1", "2024-01-01 04:00:00")],
+    [(4, "2024-01-09 06:00:00"), (1, "2024-01-09 07:00:00")],
+)
+THIRD = ([(9, "P4", "2024-01-20 00:00:00")], [(6, "2024-01-20 00:00:00")])
+
+
+def test_sla_timers(spark, folder):
+    """Hours of P1 are 4: at risk after 3."""
+    from ticketloom import vocab
+
+    assert vocab.SLA_HOURS["P1"] == 4
+    sla_events(spark, folder, *FIRST)
+    # Ticket 2 was resolved between the two times, 3 before both; nothing is certain yet of 1 and 4.
+    assert sla_run(spark, folder, "out") == [(2, "at_risk", "2024-01-01 03:00:00")]
+    sla_events(spark, folder, *SECOND)
+    due = "2024-01-01 04:00:00"
+    second = [(t, alert, at) for t in (1, 4) for alert, at in (("at_risk", "2024-01-01 03:00:00"), ("breach", due))]
+    got = sla_run(spark, folder, "out")
+    assert got == sorted([*second, (2, "at_risk", "2024-01-01 03:00:00")])
+    sla_events(spark, folder, *THIRD)
+    hours = vocab.DEFAULT_SLA_HOURS
+    import datetime as dt
+
+    opened = dt.datetime(2024, 1, 9)
+    sixth = [(6, a, str(opened + dt.timedelta(hours=hours * s))) for a, s in (("at_risk", 0.75), ("breach", 1))]
+    fifth = [(5, "at_risk", "2024-01-09 03:00:00"), (5, "breach", "2024-01-09 04:00:00")]
+    assert sla_run(spark, folder, "out") == sorted([*got, *fifth, *sixth])
+    # From the start in one run, file by file, the table is the same.
+    assert sla_run(spark, folder, "again", files=1) == sorted([*got, *fifth, *sixth])

@@ -133,7 +133,7 @@ def top_label(df: DataFrame, label: str) -> DataFrame:
 def resolution_statistics(df: DataFrame, hours: str = "resolution_hours") -> DataFrame:
     """Total, resolved, resolved share, mean, median and 90th percentile of hours to resolve.
 
-    The hours are written once, because the quantiles read them three times and they often come from a join.
+    The hours are written once, because the quantiles read them more than once and they often come from a join.
     """
     df = sinks.stored(df.select(hours), "resolution-hours")
     base = df.agg(
@@ -143,7 +143,7 @@ def resolution_statistics(df: DataFrame, hours: str = "resolution_hours") -> Dat
         F.round(F.avg(hours), 6).alias("mean_hours"),
     )
     quantiles = ranking.quantile_columns(
-        df, [], hours, {"median_hours": (0.5, "linear"), "p90_hours": (0.9, "linear")}
+        df, [], hours, {"median_hours": (0.5, "linear"), "p90_hours": (0.9, "linear")}, written=True
     )
     return single_row(base, quantiles.select(*[F.round(c, 6).alias(c) for c in quantiles.columns]))
 

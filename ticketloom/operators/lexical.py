@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ticketloom import vocab
 from ticketloom.functions import text as T
 from ticketloom.operators import ranking
-from ticketloom.operators.topk import BLOCK_CELLS, DIGITS, block_best, merge_best
+from ticketloom.operators.topk import BLOCK_CELLS, block_best, merge_best, rounded, rounded_column
 from ticketloom.sources import sinks
 
 #: Largest query side, in (query, term) rows, that is sent to every task. Larger ones are joined on the term.
@@ -61,12 +61,6 @@ def postings(df: DataFrame, key: str, fields: dict[str, str], stop_words: list[s
     return term_counts(df.select(key, F.inline(F.array(*parts))), [key, "weight_class"], "tokens")
 
 
-def write_postings(index: DataFrame, key: str, path: str) -> None:
-    """The index as parquet, range-partitioned and sorted by (term, key): a term is found by file statistics, and a
-    term that occurs in a third of all rows spreads over as many files as it needs."""
-    index.repartitionByRange("term", key).sortWithinPartitions("term", key).write.parquet(path)
-
-
 def tfidf(
     index: DataFrame, key: str, n_docs: Column, min_df: int = 2, max_df: float = 0.95, max_features: int = 10_000
 ) -> DataFrame:
@@ -170,7 +164,7 @@ def _score_batches(batches, sent, weights, average_length, k, min_score, exclude
                 _add_scores(scores, row, term, value, first, queries, member)
             if average_length is None:
                 scores = scores / (scores + 1)
-            scores = np.round(scores, DIGITS)
+            scores = rounded(scores)
             row, query = block_best(scores, keys, k + 1 if exclude_self else k)
             key, score = keys[row], scores[row, query]
             keep = score > min_score
@@ -271,7 +265,7 @@ def _search_joined(
     else:
         damp = F.col("tf") + K1 * (1 - B + B * F.col("_length") / average_length)
         score = F.sum(F.col("idf") * F.col("tf") * (K1 + 1) / damp)
-    scored = hits.groupBy("query_id", "doc_id").agg(F.round(score, DIGITS).alias("score"))
+    scored = hits.groupBy("query_id", "doc_id").agg(rounded_column(score).alias("score"))
     return ranking.rank_hits(
         scored.where(F.col("score") > min_score), "query_id", k, F.col("score").desc(), F.col("doc_id")
     )

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Scores are rounded before ranking, so that equal inputs tie whatever the order of summation.
@@ -15,6 +15,15 @@ BLOCK_CELLS = 4_000_000
 MAX_SENT_HITS = 1_000_000
 
 
+def rounded(scores: np.ndarray) -> np.ndarray:
+    """Scores from 0 up with DIGITS places, halves up; ``rounded_column`` rounds alike."""
+    return np.floor(scores * 10**DIGITS + 0.5) / 10**DIGITS
+
+
+def rounded_column(score: Column) -> Column:
+    return F.floor(score * F.lit(10.0**DIGITS) + F.lit(0.5)) / F.lit(10.0**DIGITS)
+
+
 def attach(hits: DataFrame, table: DataFrame, on: str, queries: DataFrame, k: int) -> DataFrame:
     """Hits with the columns of ``table``, which holds each document once.
 

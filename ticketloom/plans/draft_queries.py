@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from ticketloom import vocab
 from ticketloom.functions import text as T
 from ticketloom.operators import drafts as D
-from ticketloom.operators import lexical
+from ticketloom.operators import posting_index
 from ticketloom.operators.topk import attach
+from ticketloom.plans import indexes
 from ticketloom.plans import sql_parts as P
 from ticketloom.plans.registry import query
 from ticketloom.plans.retrieval_queries import ARTICLE_PARTS, TICKET_PARTS, cover_sql
@@ -28,14 +29,14 @@ HITS_SQL = f"""{P.ARTICLES}, {P.TEXT_TICKETS}, pub AS (SELECT * FROM articles WH
 
 def kb_hits(spark, folder):
     articles = S.articles(spark, folder)
-    hits = lexical.search_articles(articles, S.passages(spark, folder), 5, min_score=LIMIT)
+    hits = posting_index.search_articles(indexes.articles(spark, folder), S.passages(spark, folder), 5, min_score=LIMIT)
     texts = articles.select(F.col("article_id").alias("doc_id"), "title", "content")
     return attach(hits.withColumnRenamed("query_id", "ticket_id"), texts, "doc_id", S.passages(spark, folder), 5)
 
 
 def past_hits(spark, folder):
     tickets = S.text_tickets(spark, folder)
-    hits = lexical.search_tickets(tickets, S.passages(spark, folder), 3, min_score=LIMIT)
+    hits = posting_index.search_tickets(indexes.tickets(spark, folder), S.passages(spark, folder), 3, min_score=LIMIT)
     content = F.concat(F.lit("Subject: "), "subject", F.lit("\n\n"), "body")
     texts = tickets.select(F.col("ticket_id").alias("doc_id"), F.col("subject").alias("title"), content.alias("content"))
     return attach(hits.withColumnRenamed("query_id", "ticket_id"), texts, "doc_id", S.passages(spark, folder), 5)

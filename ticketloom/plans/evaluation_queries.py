@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 from ticketloom import vocab
 from ticketloom.functions import normalize as N
 from ticketloom.operators import aggregates as A
-from ticketloom.operators import containment, lexical
+from ticketloom.operators import containment, posting_index
 from ticketloom.operators import evaluation as E
+from ticketloom.plans import indexes
 from ticketloom.plans import sql_parts as P
 from ticketloom.plans.registry import query
-from ticketloom.plans.retrieval_queries import ARTICLE_PARTS, bm25_sql, cover_sql, dense_hits, dense_sql
+from ticketloom.plans.retrieval_queries import ARTICLE_PARTS, bm25_sql, cover_sql, dense_hits, dense_sql, okapi_hits
 from ticketloom.sources import sinks
 from ticketloom.sources import standins as S
 
@@ -49,9 +50,7 @@ def relevance(spark, folder):
 
 
 def bm25_hits(spark, folder, k=10):
-    return lexical.bm25_search(
-        S.documents(spark, folder), "doc_id", F.col("text"), S.passages(spark, folder), "query_id", "query_text", k
-    )
+    return okapi_hits(spark, folder, k)
 
 
 def rounded(df, *columns):
@@ -102,7 +101,7 @@ def bm25_metric_table(spark, folder):
     {RELEVANT}, {metrics_sql("hits", QUERIES)} {TABLE_SQL}""",
 )
 def cover_rank_metric_table(spark, folder):
-    hits = lexical.search_articles(S.articles(spark, folder), S.passages(spark, folder), 10)
+    hits = posting_index.search_articles(indexes.articles(spark, folder), S.passages(spark, folder), 10)
     return metric_table(spark, folder, hits)
 
 

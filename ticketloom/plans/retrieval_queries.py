@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ticketloom.functions import text as T
-from ticketloom.operators import dense, fusion, lexical
+from ticketloom.operators import dense, fusion, posting_index
 from ticketloom.operators import relational as L
+from ticketloom.plans import indexes
 from ticketloom.plans import sql_parts as P
 from ticketloom.plans.registry import query
-from ticketloom.plans.text_queries import CHUNKS, STOP, article_chunks
+from ticketloom.plans.text_queries import CHUNKS, STOP
 from ticketloom.sources import sinks
 from ticketloom.sources import standins as S
 
@@ -39,11 +40,14 @@ def cover_sql(parts: list[tuple[str, float]], key: str, k: int, where_self: str
       FROM ranked WHERE score > 0 QUALIFY rank <= {k})"""
 
 
+def okapi_hits(spark, folder, k):
+    index = indexes.documents(spark, folder)
+    return posting_index.search(index, S.passages(spark, folder), "query_id", "query_text", k, posting_index.OKAPI)
+
+
 @query("bm25_top_documents", "J10 D12 C9 F1", f"WITH {bm25_sql(10)} SELECT * FROM bm")
 def bm25_top_documents(spark, folder):
-    return lexical.bm25_search(
-        S.documents(spark, folder), "doc_id", F.col("text"), S.passages(spark, folder), "query_id", "query_text", 10
-    )
+    return okapi_hits(spark, folder, 10)
 
 
 ARTICLE_PARTS = [(("pub", P.tokens("title")), 1.0), (("pub", P.tokens("content")), 0.4)]
@@ -55,7 +59,7 @@ ARTICLE_PARTS = [(("pub", P.tokens("title")), 1.0), (("pub", P.tokens("content")
     {cover_sql(ARTICLE_PARTS, "article_id", 5)} SELECT * FROM hits""",
 )
 def cover_rank_articles(spark, folder):
-    return lexical.search_articles(S.articles(spark, folder), S.passages(spark, folder), 5)
+    return posting_index.search_articles(indexes.articles(spark, folder), S.passages(spark, folder), 5)
 
 
 @query(
@@ -64,24 +68,20 @@ def cover_rank_articles(spark, folder):
     {cover_sql(ARTICLE_PARTS, "article_id", 5)} SELECT * FROM hits WHERE score > 0.5""",
 )
 def cover_rank_articles_in_category(spark, folder):
-    return lexical.search_articles(
-        S.articles(spark, folder), S.passages(spark, folder), 5, category="src7", min_score=0.5
+    return posting_index.search_articles(
+        indexes.articles(spark, folder), S.passages(spark, folder), 5, category="src7", min_score=0.5
     )
 
 
 @query(
     "cover_rank_chunks", "J5 D1 A8",
     f"""WITH RECURSIVE {CHUNKS}, {P.ARTICLES},
-    pub AS (SELECT c.article_id * 100000 + c.chunk_index AS chunk_id, a.title, c.content FROM chunks c JOIN articles a USING (article_id) WHERE a.status = 'published'),
-    {cover_sql(ARTICLE_PARTS, "chunk_id", 5)} SELECT * FROM hits""",
+    pub AS (SELECT {{'article_id': c.article_id, 'chunk_index': c.chunk_index}} AS chunk_id, a.title, c.content FROM chunks c JOIN articles a USING (article_id) WHERE a.status = 'published'),
+    {cover_sql(ARTICLE_PARTS, "chunk_id", 5)} SELECT query_id, doc_id.article_id, doc_id.chunk_index, score, rank FROM hits""",
 )
 def cover_rank_chunks(spark, folder):
-    chunks = article_chunks(spark, folder).withColumn("chunk_id", F.col("article_id") * 100000 + F.col("chunk_index"))
-    titles = S.articles(spark, folder).select("article_id", "title", "status")
-    listed = chunks.join(titles, "article_id").where(F.col("status") == "published")
-    return lexical.cover_rank_search(
-        listed, "chunk_id", {"A": F.col("title"), "B": F.col("content")}, S.passages(spark, folder), "query_id", "query_text", 5
-    )
+    hits = posting_index.search_articles(indexes.chunks(spark, folder), S.passages(spark, folder), 5)
+    return hits.select("query_id", "doc_id.article_id", "doc_id.chunk_index", "score", "rank")
 
 
 TICKET_PARTS = [(("done", P.tokens("subject")), 1.0), (("done", P.tokens("body")), 0.4)]
@@ -93,7 +93,7 @@ TICKET_PARTS = [(("done", P.tokens("subject")), 1.0), (("done", P.tokens("body")
     {cover_sql(TICKET_PARTS, "ticket_id", 5, "WHERE query_id <> doc_id")} SELECT * FROM hits""",
 )
 def similar_tickets(spark, folder):
-    return lexical.search_tickets(S.text_tickets(spark, folder), S.passages(spark, folder), 5)
+    return posting_index.search_tickets(indexes.tickets(spark, folder), S.passages(spark, folder), 5)
 
 
 @query(
@@ -105,7 +105,9 @@ def similar_tickets(spark, folder):
     SELECT *, 'kb_chunk' AS source_type FROM a UNION ALL SELECT *, 'ticket' FROM t""",
 )
 def combined_search(spark, folder):
-    return lexical.combined_search(S.articles(spark, folder), S.text_tickets(spark, folder), S.passages(spark, folder))
+    return posting_index.combined_search(
+        indexes.articles(spark, folder), indexes.tickets(spark, folder), S.passages(spark, folder)
+    )
 
 
 CENTROIDS = """dims AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS x, unnest(range(len(embedding))) AS i FROM embeddings),
@@ -214,8 +216,7 @@ def hybrid_hits(spark, folder, k):
         encoded(passages, "query_id", "query_text"), "query_id", "embedding",
         encoded(documents, "doc_id", "text"), "doc_id", "embedding", 2 * k,
     )
-    by_term = lexical.bm25_search(documents, "doc_id", F.col("text"), passages, "query_id", "query_text", 2 * k)
-    return fusion.fuse_ranks(by_vector, by_term, k)
+    return fusion.fuse_ranks(by_vector, okapi_hits(spark, folder, 2 * k), k)
 
 
 @query(

@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 from ticketloom import vocab
 from ticketloom.functions import normalize as N
 from ticketloom.functions import text as T
-from ticketloom.operators import chunking, lexical
+from ticketloom.operators import chunking, lexical, posting_index
 from ticketloom.operators import ranking as R
 from ticketloom.operators.relational import join_unique
+from ticketloom.plans import indexes
 from ticketloom.plans import sql_parts as P
 from ticketloom.plans.registry import query
+from ticketloom.session import scratch_path
 from ticketloom.sources import standins as S
 from ticketloom.sources.layout import spread
 
@@ -147,7 +149,24 @@ def front_matter_fields(spark, folder):
     SELECT ticket_id, weight_class, term, CAST(count(*) AS INTEGER) AS tf FROM f WHERE term NOT IN ({STOP}) GROUP BY ALL""",
 )
 def lexical_index(spark, folder):
-    return lexical.postings(S.text_tickets(spark, folder), "ticket_id", {"A": "subject", "B": "body"})
+    """Written and read back."""
+    fields = {"A": F.col("subject"), "B": F.col("body")}
+    path = scratch_path(spark, "lexical-index")
+    index = posting_index.write_postings(S.text_tickets(spark, folder), F.col("ticket_id"), fields, path, ("category", "status"))
+    return index.postings().withColumnRenamed("key", "ticket_id")
+
+
+@query(
+    "article_row_index", "J2",
+    f"""WITH {P.ARTICLES}, s AS (SELECT article_id, title, content, left(list_filter(list_transform(string_split(content, chr(10) || chr(10)),
+      lambda p: regexp_replace(p, '^\\s+|\\s+$', '', 'g')), lambda p: p <> '')[1], 500) AS summary FROM articles),
+    f AS (SELECT article_id, 'A' AS weight_class, unnest({P.tokens("title")}) AS term FROM s
+      UNION ALL SELECT article_id, 'B', unnest({P.tokens("summary")}) FROM s
+      UNION ALL SELECT article_id, 'C', unnest({P.tokens("content")}) FROM s)
+    SELECT article_id, weight_class, term, CAST(count(*) AS INTEGER) AS tf FROM f WHERE term NOT IN ({STOP}) GROUP BY ALL""",
+)
+def article_row_index(spark, folder):
+    return indexes.article_rows(spark, folder).postings().withColumnRenamed("key", "article_id")
 
 
 @query(

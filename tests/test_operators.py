@@ -64,6 +64,10 @@ def test_merged_sketches(spark):
         for name, p in (("p50", 0.5), ("p95", 0.95)):
             assert abs(sum(v <= got[g][name] for v in vs) / len(vs) - p) < 0.02
     assert (got["few"]["n"], got["few"]["p95"]) == (1, 7.0)
+    wanted = {"p50": (0.5, "linear"), "n95": (0.95, "nearest")}
+    plain = R.quantile_columns(df, ["g"], "v", wanted)
+    refined = R.quantile_columns(df, ["g"], "v", wanted, most_rows=100, sketches=daily)
+    assert sorted(map(tuple, refined.collect())) == sorted(map(tuple, plain.collect()))
 
 
 def test_split_in_narrow_ranges(spark):

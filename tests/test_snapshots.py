@@ -91,3 +91,15 @@ def test_empty_table_and_taken_name(spark, root):
     assert same.folders == after.folders
     with pytest.raises(ValueError):
         snapshots.create(frame(spark, []).withColumn("_bucket", F.lit(1)), root + "x", "k")
+
+
+def test_counts_while_writing(spark, root):
+    table = snapshots.create(frame(spark, STORED), root, "k", 8)
+    batch = [*BATCH, ("k9", "bad", 900), ("y", None, 5), ("y", "good", 6), (None, "bad", 901), ("z", "bad", None)]
+    rules = {"small": F.col("n") < 100, "named": F.col("a").isNotNull()}
+    after, counts = snapshots.insert_checked(table, frame(spark, batch), F.col("n"), rules)
+    assert rows(after.read()) == sorted([*STORED, ("x", "new", 4), ("y", "good", 6), (None, "new", 5)], key=repr)
+    # Skipped are both rows of k7 and that of k8.
+    assert counts == {"total": 10, "inserted": 3, "skipped": 3, "errors": 4, "broken small": 3, "broken named": 1}
+    _, none = snapshots.insert_checked(after, frame(spark, []), F.col("n"), rules)
+    assert set(none.values()) == {0}

@@ -86,6 +86,8 @@ def stratified_split(
 
 #: The first bracket reaches this share of a group to either side of a wanted place; later ones are parts of a bracket.
 BRACKET, PARTS = 0.001, 16
+#: Room that a merged sketch is given to either side of a place.
+SKETCH_ERROR = 0.01
 _RANGE = ["_low", "_high"]
 
 
@@ -104,16 +106,20 @@ def _inside(base: DataFrame, spots: DataFrame, keys: list[str], *more: str) -> D
     return met.select("r.*", *[F.col(f"b.{c}") for c in (*_RANGE, *more)])
 
 
-def _narrowed(base: DataFrame, spots: DataFrame, keys: list[str], shares: list[float]) -> DataFrame:
-    """The spots in smaller brackets: the values at about ``shares`` of each bracket cut it, and counts tell which part holds
-    the place. A spot on a cut has its value."""
-    inside = _inside(base, spots, keys)
-    by = [*keys, *_RANGE]
+def _sketched(base: DataFrame, spots: DataFrame, keys: list[str], shares: list[float]) -> DataFrame:
+    """Values at about ``shares`` of each bracket: (keys, _low, _high, _cuts)."""
     sketch = F.percentile_approx("_v", shares, int(10 / BRACKET))
-    cuts = sinks.stored(inside.groupBy(*by).agg(F.array_distinct(sketch).alias("_cuts")), "quantile-cuts")
+    cut = _inside(base, spots, keys).groupBy(*keys, *_RANGE).agg(F.array_distinct(sketch).alias("_cuts"))
+    return sinks.stored(cut, "quantile-cuts")
+
+
+def _narrowed(base: DataFrame, spots: DataFrame, keys: list[str], cuts: DataFrame, most_cuts: int) -> DataFrame:
+    """The spots in smaller brackets: the ascending ``_cuts`` of each bracket part it, and counts tell which part holds the
+    place. A spot on a cut has its value."""
+    by = [*keys, *_RANGE]
     placed = _inside(base, cuts, keys, "_cuts")
     part = F.lit(0)
-    for i in range(len(shares)):
+    for i in range(most_cuts):
         cut = F.get("_cuts", F.lit(i))
         part = part + F.coalesce(F.when(F.col("_v") > cut, 2).when(F.col("_v") == cut, 1), F.lit(0))
     counts = placed.groupBy(*by, F.col("_cuts"), part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
@@ -132,9 +138,14 @@ def _narrowed(base: DataFrame, spots: DataFrame, keys: list[str], shares: list[f
     )
 
 
+def _around(probs: list[float], error: float) -> list[float]:
+    """Both sides of every probability, ascending."""
+    return sorted(min(1.0, max(0.0, p + e)) for p in probs for e in (-error, error))
+
+
 def exact_quantiles(
     df: DataFrame, keys: list[str], value: str, wanted: dict[str, tuple[float, str]], most_rows: int = MOST_ROWS,
-    written: bool = False,
+    written: bool = False, sketches: DataFrame | None = None,
 ) -> DataFrame:
     """One exact order statistic per group and wanted name -> (probability, method).
 
@@ -145,6 +156,9 @@ def exact_quantiles(
     bracket. Brackets with more than ``most_rows`` rows are cut at values that a sketch proposes, and exact counts, summed
     up in the tasks, tell which part holds the place; this goes on until every bracket is small. Only the rows of those
     brackets are shuffled and sorted, as counts per distinct value. The sketch decides the cost, never the result.
+
+    ``sketches`` (``quantile_sketches`` of these rows, in as many parts as there are) cut the groups first, so that nothing
+    is sketched again.
     """
     base = df.select(*keys, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
     base = base if written else sinks.stored(base, "quantile-values")
@@ -162,12 +176,19 @@ def exact_quantiles(
     spots = spots.select("*", *[open_end.alias(c) for c in (*_RANGE, "_value")])
     spots = sinks.stored(spots, "quantile-places")  # a few rows per group
     probs = sorted({p for p, _ in wanted.values()})
-    shares = sorted({min(1.0, max(0.0, p + e)) for p in probs for e in (-BRACKET, BRACKET)})
+    shares = _around(probs, BRACKET)
+    if sketches is not None:
+        merged = merged_quantiles(sketches, keys, {f"_q{i}": p for i, p in enumerate(_around(probs, SKETCH_ERROR))})
+        cuts = F.array_distinct(F.array(*[f"_q{i}" for i in range(2 * len(probs))]))
+        known = sinks.stored(merged.select(*keys, *[open_end.alias(c) for c in _RANGE], cuts.alias("_cuts")), "quantile-cuts")
+        spots = sinks.stored(_narrowed(base, spots, keys, known, 2 * len(probs)), "quantile-places")
     while True:
         wide = F.col("_value").isNull() & (F.col("_n") > most_rows)
         if spots.where(wide).isEmpty():
             break
-        spots = sinks.stored(spots.where(~wide).unionByName(_narrowed(base, spots.where(wide), keys, shares)), "quantile-places")
+        cuts = _sketched(base, spots.where(wide), keys, shares)
+        narrowed = _narrowed(base, spots.where(wide), keys, cuts, len(shares))
+        spots = sinks.stored(spots.where(~wide).unionByName(narrowed), "quantile-places")
         shares = [i / PARTS for i in range(1, PARTS)]
 
     open_spots = spots.where(F.col("_value").isNull())

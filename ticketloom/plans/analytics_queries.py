@@ -13,6 +13,7 @@ from ticketloom.operators import relational as L
 from ticketloom.plans import reports
 from ticketloom.plans import sql_parts as P
 from ticketloom.plans.registry import query
+from ticketloom.sources import sinks
 from ticketloom.sources import standins as S
 
 LAST_ORDER_DAY = "2001-08-01 00:00:00"
@@ -229,6 +230,23 @@ def latency_quantiles_by_endpoint(spark, folder):
     return out.select("endpoint", F.round("p50_ms", 6).alias("p50_ms"), F.round("p95_ms", 6).alias("p95_ms"))
 
 
+@query(
+    "latency_in_period_from_sketches", "E17 M8 M11",
+    f"""WITH {P.LOGS} SELECT endpoint, count(latency_ms) AS n, round(quantile_cont(latency_ms, 0.5), 6) AS p50_ms,
+    round(quantile_cont(latency_ms, 0.95), 6) AS p95_ms FROM logs, (SELECT max(created_at) AS last FROM logs)
+    WHERE CAST(created_at AS DATE) > CAST(last AS DATE) - 7 GROUP BY endpoint""",
+)
+def latency_in_period_from_sketches(spark, folder):
+    """One stored sketch per day and endpoint; a week's quantiles come from seven of them, made exact by its rows."""
+    logs = S.request_logs(spark, folder).select("endpoint", "latency_ms", F.col("created_at").cast("date").alias("date"))
+    daily = sinks.stored(R.quantile_sketches(logs, ["date", "endpoint"], "latency_ms"), "daily-sketches")
+    week = F.col("date") > F.date_sub(daily.agg(F.max("date")).scalar(), 7)
+    wanted = {"p50_ms": (0.5, "linear"), "p95_ms": (0.95, "linear")}
+    exact = R.quantile_columns(logs.where(week), ["endpoint"], "latency_ms", wanted, sketches=daily.where(week))
+    counts = daily.where(week).groupBy("endpoint").agg(F.sum("n").alias("n"))
+    return exact.join(counts, "endpoint").select("endpoint", "n", *[F.round(c, 6).alias(c) for c in wanted])
+
+
 @query(
     "latency_nearest_rank_p95", "E18",
     f"""WITH {P.LOGS}, r AS (SELECT latency_ms, row_number() OVER (ORDER BY latency_ms) AS i, count(*) OVER () AS n FROM logs)

@@ -14,7 +14,7 @@ from ticketloom.plans.evaluation_queries import RELEVANT, RUN_SQL, full_run, rel
 from ticketloom.plans.registry import query
 from ticketloom.plans.text_queries import CHUNKS
 from ticketloom.session import scratch_path
-from ticketloom.sources import readers, sinks
+from ticketloom.sources import readers, sinks, snapshots
 from ticketloom.sources import standins as S
 
 
@@ -117,6 +117,11 @@ INSERT_SQL = f"""{P.LOGS}, stored AS (SELECT DISTINCT session_user AS k FROM log
       (SELECT k, min(log_id) AS log_id, min_by(endpoint, log_id) AS endpoint FROM batch WHERE k IS NOT NULL AND k NOT IN (SELECT k FROM stored) GROUP BY k))"""
 
 
+def bucketed(stored, key):
+    """The stored rows as a new table in buckets."""
+    return snapshots.create(stored, scratch_path(stored.sparkSession, "table"), key, buckets=8)
+
+
 def insert_parts(spark, folder):
     """Stored keys: users with an error; batch: the other log rows by user, where a view carries no key."""
     logs = S.request_logs(spark, folder)
@@ -128,8 +133,11 @@ def insert_parts(spark, folder):
 
 @query("insert_or_ignore", "B1 D5", f"WITH {INSERT_SQL} SELECT k, log_id, endpoint FROM fresh")
 def insert_or_ignore(spark, folder):
+    """The rows that an insert into a bucketed table adds."""
     stored, batch = insert_parts(spark, folder)
-    return sinks.insert_or_ignore(stored, batch, "k", F.col("log_id"))
+    table = bucketed(stored.select("k", F.lit(None).cast("bigint").alias("log_id"), F.lit(None).cast("string").alias("endpoint")), "k")
+    after = snapshots.insert_new(table, batch, F.col("log_id"))
+    return after.read().where(F.col("log_id").isNotNull())
 
 
 @query(
@@ -142,6 +150,32 @@ def insert_counts(spark, folder):
     return sinks.insert_counts(batch, sinks.insert_or_ignore(stored, batch, "k", F.col("log_id")))
 
 
+@query(
+    "insert_report", "B1 N1",
+    f"""WITH {P.LOGS}, stored AS (SELECT DISTINCT session_user AS k FROM logs WHERE endpoint = 'error' AND session_user IS NOT NULL),
+    batch AS (SELECT CASE WHEN endpoint = 'view' THEN NULL ELSE session_user END AS k, latency_ms <= 90 AS fast, log_id % 7 <> 0 AS numbered
+      FROM logs WHERE endpoint <> 'error'),
+    good AS (SELECT k FROM batch WHERE fast AND numbered),
+    c AS (SELECT (SELECT count(*) FROM batch) AS total,
+      (SELECT count(*) FROM good WHERE k IS NULL) + (SELECT count(DISTINCT k) FROM good WHERE k NOT IN (SELECT k FROM stored)) AS inserted,
+      (SELECT count(*) FROM batch WHERE NOT (fast AND numbered)) AS errors,
+      (SELECT count(*) FROM batch WHERE NOT fast) AS slow, (SELECT count(*) FROM batch WHERE NOT numbered) AS unnumbered)
+    SELECT unnest(['total', 'inserted', 'errors', 'broken fast', 'broken numbered', 'skipped']) AS name,
+      unnest([total, inserted, errors, slow, unnumbered, total - inserted - errors]) AS n FROM c""",
+)
+def insert_report(spark, folder):
+    """The counts of an insert that checks its rows, taken while it writes."""
+    logs = S.request_logs(spark, folder)
+    stored, batch = insert_parts(spark, folder)
+    latency = logs.select("log_id", "latency_ms")
+    columns = ["k", "log_id", "endpoint", "latency_ms"]
+    empty = [F.lit(None).cast(t).alias(c) for c, t in zip(columns[1:], ("bigint", "string", "double"))]
+    table = bucketed(stored.select("k", *empty), "k")
+    rules = {"fast": F.col("latency_ms") <= 90, "numbered": F.col("log_id") % 7 != 0}
+    _, counts = snapshots.insert_checked(table, batch.join(latency, "log_id").select(*columns), F.col("log_id"), rules)
+    return spark.createDataFrame(list(counts.items()), "name string, n long")
+
+
 # Stored articles: all but Spanish. Batch: Spanish and French ones with a new title and category.
 @query(
     "upsert_articles", "B2",
@@ -156,7 +190,7 @@ def upsert_articles(spark, folder):
     fresh = articles.where(F.col("lang").isin("es", "fr")).withColumns(
         {"title": F.lit("new title"), "category": F.lit("new category")}
     )
-    return sinks.upsert_articles(stored, fresh.drop("lang"), F.col("external_id"))
+    return snapshots.upsert_articles(bucketed(stored, "external_id"), fresh.drop("lang"), F.col("external_id")).read()
 
 
 @query(
@@ -169,7 +203,8 @@ def replace_chunks(spark, folder):
     cut = lambda df, version: chunking.chunk_table(df, "article_id", "content").select(
         "article_id", "chunk_index", F.lit(version).alias("version")
     )
-    return sinks.replace_children(cut(articles, "old"), cut(articles.where(F.col("lang") == "fr"), "new"), "article_id")
+    fresh = cut(articles.where(F.col("lang") == "fr"), "new")
+    return snapshots.replace_children(bucketed(cut(articles, "old"), "article_id"), fresh).read()
 
 
 @query(
@@ -187,7 +222,7 @@ def upsert_predictions(spark, folder):
     batch = tickets.where(F.col("priority").isin("P1", "P2")).select(
         "ticket_id", F.lit("Technical").alias("predicted_category"), N.queue_for(F.lit("Technical")).alias("assignee_queue")
     )
-    return sinks.upsert_predictions(stored, batch, F.col("ticket_id"))
+    return snapshots.upsert_predictions(bucketed(stored, "ticket_id"), batch, F.col("ticket_id")).read()
 
 
 @query(
@@ -225,22 +260,26 @@ def request_log_rows(spark, folder):
     return written.select("endpoint", "request_body", F.get_json_object("response_body", "$.raw").alias("raw"), "latency_ms")
 
 
-@query("stored_vectors", "B8", "SELECT vec_id, label, len(embedding) AS dims, embedding[1] AS first FROM embeddings")
+@query(
+    "stored_vectors", "B8",
+    "SELECT vec_id, label, CAST(unnest(range(len(embedding))) AS INTEGER) AS i, unnest(embedding) AS x FROM embeddings",
+)
 def stored_vectors(spark, folder):
     table = sinks.stored(S.vectors(spark, folder), "vectors")
-    return table.select("vec_id", "label", F.size("embedding").cast("bigint").alias("dims"), F.col("embedding")[0].alias("first"))
+    return table.select("vec_id", "label", F.posexplode("embedding").alias("i", "x"))
 
 
 @query(
     "upsert_vectors", "B9 S17",
-    "SELECT vec_id::VARCHAR AS original_id, CASE WHEN label >= 5 THEN 'second' ELSE 'first' END AS version FROM embeddings",
+    """SELECT vec_id::VARCHAR AS original_id, CAST(unnest(range(len(embedding))) AS INTEGER) AS i,
+    unnest(list_transform(embedding, lambda x: CASE WHEN label >= 5 THEN -x ELSE x END)) AS x FROM embeddings""",
 )
 def upsert_vectors(spark, folder):
     rows = S.vectors(spark, folder).select(F.col("vec_id").cast("string").alias("original_id"), "embedding", "label")
     stored = rows.where(F.col("label") < 7).select(V.point_id(F.col("original_id")).alias("id"), "original_id", "embedding")
-    batch = rows.where(F.col("label") >= 5).withColumn("embedding", F.slice("embedding", 1, 8))
-    merged = sinks.upsert_vectors(stored, batch, F.col("original_id"))
-    return merged.select("original_id", F.when(F.size("embedding") == 8, "second").otherwise("first").alias("version"))
+    batch = rows.where(F.col("label") >= 5).withColumn("embedding", F.transform("embedding", lambda x: -x))
+    merged = snapshots.upsert_vectors(bucketed(stored, "id"), batch, F.col("original_id"))
+    return merged.read().select("original_id", F.posexplode("embedding").alias("i", "x"))
 
 
 @query("stored_evaluation_run", "B11", RUN_SQL)
@@ -279,4 +318,5 @@ def upsert_daily_metrics(spark, folder):
     kinds = dict(daily.dtypes)
     old = F.year("date") < 2000
     stale = daily.select("date", *[F.when(old, F.col(c)).otherwise(F.lit(None).cast(kinds[c])).alias(c) for c in metrics])
-    return sinks.upsert(stale.where(F.year("date") < 2001), daily.where(~old), "date", metrics, F.col("date"))
+    table = bucketed(stale.where(F.year("date") < 2001), "date")
+    return snapshots.upsert(table, daily.where(~old), metrics, F.col("date")).read()

@@ -14,8 +14,9 @@ from ticketloom.plans import sql_parts as P
 from ticketloom.plans.analytics_queries import LAST_ORDER_DAY
 from ticketloom.plans.registry import query
 from ticketloom.session import scratch_path
+from ticketloom.sources import sinks
 from ticketloom.sources import standins as S
-from ticketloom.streaming import jobs
+from ticketloom.streaming import jobs, sla
 
 
 def log_stream(spark, folder):
@@ -100,6 +101,35 @@ def stream_triage(spark, folder):
     return jobs.triage_stream(stream, triage).drop("predicted_confidence")
 
 
+@query(
+    "stream_sla_alerts", "T5",
+    f"""WITH {P.RESOLVED}, a AS (
+      SELECT ticket_id, resolved_at, 'at_risk' AS alert, created_at + to_minutes(CAST({P.SLA_HOURS} * 45 AS BIGINT)) AS "at" FROM resolved
+      UNION ALL SELECT ticket_id, resolved_at, 'breach', created_at + to_hours(CAST({P.SLA_HOURS} AS BIGINT)) FROM resolved),
+    w AS (SELECT greatest(max(created_at), max(resolved_at)) - INTERVAL 1 DAY AS passed FROM resolved)
+    SELECT ticket_id, alert, "at" FROM a, w WHERE resolved_at > "at" OR resolved_at IS NULL AND "at" <= passed""",
+)
+def stream_sla_alerts(spark, folder):
+    """Tickets and their resolutions as two streams of files, each file a stretch of time."""
+    path = scratch_path(spark, "sla-events")
+    tickets = sinks.stored(S.resolved_tickets(spark, folder).select("ticket_id", "priority", "created_at", "resolved_at"), "sla-tickets")
+    opened = tickets.select("ticket_id", "priority", "created_at")
+    resolved = tickets.where("resolved_at IS NOT NULL").select("ticket_id", "resolved_at")
+    first, last = tickets.agg(F.min("created_at"), F.max("created_at")).first()
+    ends = [first + (last - first) * i / 4 for i in range(1, 4)]
+    for start, end in zip([None, *ends], [*ends, None]):  # files arrive in order of time
+        for part, at, name in ((opened, "created_at", "opened"), (resolved, "resolved_at", "resolved")):
+            after = F.lit(True) if start is None else F.col(at) >= F.lit(start)
+            before = F.lit(True) if end is None else F.col(at) < F.lit(end)
+            part.where(after & before).coalesce(1).write.mode("append").parquet(f"{path}/{name}")
+    found = sla.run_alerts(
+        jobs.file_stream(spark, f"{path}/opened", opened.schema, files_per_trigger=1),
+        jobs.file_stream(spark, f"{path}/resolved", resolved.schema, files_per_trigger=1),
+        f"{path}/alerts", f"{path}/progress",
+    )
+    return found.withColumn("at", F.col("at").cast("timestamp_ntz"))
+
+
 @query(
     "stream_sla_deadlines", "T5",
     f"""WITH {P.RESOLVED}, d AS (SELECT *, created_at + to_hours(CAST({P.SLA_HOURS} AS BIGINT)) AS deadline FROM resolved)

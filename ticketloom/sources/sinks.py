@@ -9,7 +9,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ticketloom.functions import vectors as V
 from ticketloom.operators import quality
 from ticketloom.session import scratch_path
 
@@ -69,23 +68,6 @@ ARTICLE_UPDATES = ["title", "content", "summary", "updated_at"]
 PREDICTION_UPDATES = ["predicted_category", "predicted_priority", "predicted_confidence", "assignee_queue", "updated_at"]
 
 
-def upsert_articles(stored: DataFrame, batch: DataFrame, order: Column) -> DataFrame:
-    """Articles by external id: category, tags, author and source keep their old values."""
-    return upsert(stored, batch, "external_id", [c for c in ARTICLE_UPDATES if c in stored.columns], order)
-
-
-def upsert_predictions(stored: DataFrame, batch: DataFrame, order: Column) -> DataFrame:
-    """Predictions by ticket id; a ticket seen for the first time is open."""
-    opened = batch.withColumn("status", F.lit("open")) if "status" not in batch.columns else batch
-    return upsert(stored, opened, "ticket_id", [c for c in PREDICTION_UPDATES if c in stored.columns], order)
-
-
-def upsert_vectors(stored: DataFrame, batch: DataFrame, order: Column) -> DataFrame:
-    """Vectors by point id, the original id kept: (id, original_id, embedding)."""
-    points = batch.withColumn("id", V.point_id(F.col("original_id").cast("string")))
-    return upsert(stored, points.select(*stored.columns), "id", ["original_id", "embedding"], order)
-
-
 def replace_children(stored: DataFrame, fresh: DataFrame, key: str) -> DataFrame:
     """Children of touched parents replaced by the new ones."""
     return stored.join(fresh.select(key).distinct(), key, "left_anti").unionByName(fresh)

@@ -8,13 +8,17 @@ as it was, and two writers of the same version cannot both succeed. Rows without
 
 from __future__ import annotations
 
+import functools
+import json
+import operator
 import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ticketloom.functions import vectors as V
 from ticketloom.sources import sinks
 
 #: Buckets of a new table. A bucket should fit a task; a table of many terabytes takes some ten thousand.
@@ -58,14 +62,17 @@ def _bucket_of(key: str, buckets: int) -> Column:
     return F.when(F.col(f"`{key}`").isNull(), buckets).otherwise(F.pmod(F.xxhash64(f"`{key}`"), F.lit(buckets))).cast("int")
 
 
-def _write_buckets(df: DataFrame, root: str, key: str, buckets: int) -> dict[int, tuple[str, ...]]:
-    """Writes the rows to new folders, a bucket in one task, and returns the folders that have rows."""
+def _write_buckets(df: DataFrame, root: str, key: str, buckets: int, watch=None) -> dict[int, tuple[str, ...]]:
+    """Writes the rows to new folders, a bucket in one task, and returns the folders that have rows. ``watch`` gets the rows
+    in the tasks that write, and gives those to be written."""
     name = f"data/{uuid.uuid4().hex}"
     placed = df.withColumn(_BUCKET, _bucket_of(key, buckets))
     # Rows without a key may be many: they are dealt out, not gathered.
     deal = F.when(F.col(_BUCKET) == buckets, F.monotonically_increasing_id()).otherwise(F.col(_BUCKET))
-    placed.repartition(deal).write.partitionBy(_BUCKET).parquet(f"{root}/{name}")
-    written = df.sparkSession.read.schema(StructType(placed.schema.fields)).parquet(f"{root}/{name}")
+    dealt = placed.repartition(deal)
+    dealt = watch(dealt) if watch else dealt
+    dealt.write.partitionBy(_BUCKET).parquet(f"{root}/{name}")
+    written = df.sparkSession.read.schema(dealt.schema).parquet(f"{root}/{name}")
     found = written.select(_BUCKET).distinct().collect()  # at most one row per bucket, from the folders' names
     return {r[0]: (f"{name}/{_BUCKET}={r[0]}",) for r in found}
 
@@ -106,8 +113,6 @@ def at_version(spark: SparkSession, root: str, version: int) -> Snapshot:
     folders: dict[int, tuple[str, ...]] = {}
     for r in sorted((r for r in rows if r["bucket"] is not None), key=lambda r: (r["bucket"], r["path"])):
         folders[r["bucket"]] = (*folders.get(r["bucket"], ()), r["path"])
-    import json
-
     schema = StructType.fromJson(json.loads(head["columns"]))
     return Snapshot(spark, root, version, head["key"], head["buckets"], schema, head["batch"], folders)
 
@@ -154,6 +159,46 @@ def insert_new(table: Snapshot, batch: DataFrame, order: Column, batch_id: int |
     return _next(table, [], _write_buckets(fresh, table.root, table.key, table.buckets), batch_id)
 
 
+def insert_checked(table: Snapshot, batch: DataFrame, order: Column, rules: dict[str, Column]) -> tuple[Snapshot, dict[str, int]]:
+    """``insert_new`` of the rows that meet every rule, and counts taken by the tasks that write: total, inserted, skipped
+    (known or repeated keys), errors (rows that break a rule), and the rows that break each rule.
+
+    A rule that gives NULL is broken. Of a key's rows without errors the first counts. Skipped rows and errors go through
+    the write's shuffle, where a task that runs again is counted once, and are dropped there.
+    """
+    key, names = table.key, table.schema.names
+    broken = [(~F.coalesce(rule, F.lit(False))).alias(f"_broken_{i}") for i, rule in enumerate(rules.values())]
+    marks = [f"_broken_{i}" for i in range(len(broken))]
+    batch = sinks.stored(batch.select(*names, *broken), "insert-batch")
+    wrong = functools.reduce(operator.or_, [F.col(m) for m in marks], F.lit(False))
+    right = batch.where(~wrong)
+    keyed = right.where(F.col(f"`{key}`").isNotNull())
+    rest = [c for c in names if c != key]
+    first = keyed.groupBy(key).agg(F.min_by(F.struct(*rest), order).alias("_row"), F.count(F.lit(1)).alias("_n"))
+    known = table.read(_touched(batch, table)).select(key).distinct().withColumn("_known", F.lit(True))
+    met = first.join(known, key, "left").select(
+        key, *[F.col(f"_row.{c}").alias(c) for c in rest], "_n", F.col("_known").isNull().alias("_fresh")
+    )
+    loose = right.where(F.col(f"`{key}`").isNull()).select(*names, F.lit(1).cast("long").alias("_n"), F.lit(True).alias("_fresh"))
+    errors = batch.where(wrong).select(*names, F.lit(1).cast("long").alias("_n"), F.lit(False).alias("_fresh"), *marks)
+    rows = met.unionByName(loose).unionByName(errors, allowMissingColumns=True)
+    seen = Observation()
+    lost = functools.reduce(operator.or_, [F.coalesce(m, F.lit(False)) for m in marks], F.lit(False))
+    counts = {
+        "total": F.sum("_n"), "inserted": F.count_if("_fresh"), "errors": F.count_if(lost),
+        **{f"broken {name}": F.count_if(m) for name, m in zip(rules, marks)},
+    }
+    columns = [F.coalesce(c, F.lit(0)).cast("long").alias(n) for n, c in counts.items()]
+
+    def watch(dealt: DataFrame) -> DataFrame:
+        return dealt.observe(seen, *columns).where("_fresh").select(*names, _BUCKET)
+
+    after = _next(table, [], _write_buckets(rows, table.root, key, table.buckets, watch), None)
+    found = {name: int(seen.get[name]) for name in counts}
+    found["skipped"] = found["total"] - found["inserted"] - found["errors"]
+    return after, found
+
+
 def replace_children(table: Snapshot, fresh: DataFrame, batch_id: int | None = None) -> Snapshot:
     """The next version with all rows of the touched keys replaced by the fresh ones; other buckets stay."""
     if batch_id is not None and batch_id <= table.batch:
@@ -168,3 +213,20 @@ def compact(table: Snapshot) -> Snapshot:
     """The next version with one folder per bucket, where inserts have left several."""
     many = sorted(b for b, paths in table.folders.items() if len(paths) > 1)
     return _next(table, many, _write_buckets(table.read(many), table.root, table.key, table.buckets), None) if many else table
+
+
+def upsert_articles(table: Snapshot, batch: DataFrame, order: Column) -> Snapshot:
+    """Articles by external id: category, tags, author and source keep their old values."""
+    return upsert(table, batch, [c for c in sinks.ARTICLE_UPDATES if c in table.schema.names], order)
+
+
+def upsert_predictions(table: Snapshot, batch: DataFrame, order: Column, batch_id: int | None = None) -> Snapshot:
+    """Predictions by ticket id; a ticket seen for the first time is open."""
+    opened = batch if "status" in batch.columns else batch.withColumn("status", F.lit("open"))
+    return upsert(table, opened, [c for c in sinks.PREDICTION_UPDATES if c in table.schema.names], order, batch_id)
+
+
+def upsert_vectors(table: Snapshot, batch: DataFrame, order: Column) -> Snapshot:
+    """Vectors by point id, the original id kept: (id, original_id, embedding)."""
+    points = batch.withColumn("id", V.point_id(F.col("original_id").cast("string")))
+    return upsert(table, points, ["original_id", "embedding"], order)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ticketloom.functions import normalize as N
@@ -67,6 +68,67 @@ def tickets_from_json_files(spark, folder):
     return shown(readers.read_tickets(spark, path))
 
 
+@query(
+    "tickets_from_mixed_json", "A2 A3 S1",
+    f"""SELECT *, NULL::VARCHAR AS error FROM ({TICKET_FILE_SQL})
+    UNION ALL SELECT NULL, NULL, NULL, NULL, NULL, NULL, NULL, 'does not close'""",
+)
+def tickets_from_mixed_json(spark, folder):
+    """Arrays over many lines, lines and single objects side by side, and a file that breaks off."""
+    path = scratch_path(spark, "mixed-tickets")
+    rows = ticket_file_rows(spark, folder).withColumn("kind", F.pmod(F.xxhash64("ticket_id"), F.lit(8)))
+    ticket = [c for c in rows.columns if c != "kind"]
+    shelf = F.pmod(F.xxhash64(F.lit("shelf"), "ticket_id"), F.lit(10_000)) % F.lit(20)
+    arrays = rows.where("kind < 6").withColumn("shelf", F.floor(F.row_number().over(Window.partitionBy(shelf).orderBy("ticket_id")) / 100))
+    # A file of an array holds at most 100 tickets.
+    arrays = arrays.withColumn("part", shelf).groupBy("part", "shelf").agg(F.collect_list(F.struct(*ticket)).alias("tickets"))
+    arrays = arrays.select("part", "shelf", F.to_json("tickets", {"pretty": "true"}).alias("value"))
+    arrays.write.partitionBy("part", "shelf").option("lineSep", "\n").text(f"{path}.json/arrays")
+    rows.where("kind = 6").select(F.to_json(F.struct(*ticket)).alias("value")).write.text(f"{path}.json/lines")
+    objects = rows.where("kind = 7").select(F.to_json(F.struct(*ticket), {"pretty": "true"}).alias("value"))
+    objects.write.text(f"{path}.json/objects")
+    spark.range(1).select(F.lit('[{"id": "lost", "subject": "x"},\n{"id": ').alias("value")).coalesce(1).write.text(f"{path}.json/broken")
+    tickets, errors = readers.scan_ticket_json(spark, f"{path}.json")
+    return shown(tickets).unionByName(errors.select("error"), allowMissingColumns=True)
+
+
+ARTICLE_TEXT = "'# Guide ' || item_id || chr(10) || chr(10) || text"
+
+
+def plain_text_sql(expr: str) -> str:
+    """The rules of ``markdown_to_text`` in SQL."""
+    steps = [
+        (r"(?m)^\s{0,3}#{1,6}\s+", ""), (r"(?m)^\s{0,3}>\s?", ""), (r"(?m)^\s*(?:[-*+]|\d+\.)\s+", ""), (r"(?m)^```.*$", ""),
+        (r"!?\[([^\]]*)\]\([^)]*\)", r"\1"), (r"\*\*|__|`", ""), (r"(?s)<[^>]*>", "\n"),
+    ]
+    for pattern, to in steps:
+        expr = f"regexp_replace({expr}, '{pattern}', '{to}', 'g')"
+    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&nbsp;", " "), ("&amp;", "&")):
+        expr = f"replace({expr}, '{entity}', '{char}')"
+    return rf"regexp_replace(regexp_replace({expr}, '\n{{3,}}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g')"
+
+
+@query(
+    "articles_from_folder", "A4 S5 S6 S7 S9",
+    f"""SELECT 'Guide ' || item_id AS title, 'shelf ' || item_id % 5 AS category, 'a|b' AS tags, {plain_text_sql(ARTICLE_TEXT)} AS content,
+      left('Guide ' || item_id, 500) AS summary, NULL::VARCHAR AS error FROM benchmark
+    UNION ALL SELECT NULL, NULL, NULL, NULL, NULL, 'is not UTF-8'""",
+)
+def articles_from_folder(spark, folder):
+    """One Markdown file per passage in nested folders, and one in another encoding. Spark's writers name the files."""
+    path = scratch_path(spark, "kb")
+    item = F.col("query_id").cast("string")
+    shelf = (F.col("query_id") % 5).cast("string")
+    text = F.concat(F.lit("---\ncategory: shelf "), shelf, F.lit("\ntags: [a, b]\n---\n# Guide "), item, F.lit("\n\n"), "query_text")
+    files = S.passages(spark, folder).select(shelf.alias("shelf"), item.alias("article"), text.alias("text"))
+    files.write.partitionBy("shelf", "article").text(f"{path}/guides")
+    other = spark.range(1).select(F.lit("Schön").alias("text")).coalesce(1)
+    other.write.option("extension", "txt").option("encoding", "ISO-8859-1").csv(f"{path}/guides/other")
+    articles, errors = readers.scan_articles(spark, path, "*.txt")
+    listed = articles.select("title", "category", F.array_join("tags", "|").alias("tags"), "content", "summary")
+    return listed.unionByName(errors.select("error"), allowMissingColumns=True)
+
+
 @query(
     "articles_from_markdown", "A4 S5 S6 S7 S9",
     """SELECT md5(item_id || '.md')[1:16] AS external_id, 'Guide ' || item_id AS title, 'guides' AS category, 'a|b' AS tags, NULL::VARCHAR AS author,

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import functools
+from urllib.parse import unquote
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ticketloom.functions import normalize as N
 from ticketloom.functions import text as T
+from ticketloom.sources import records
 
 # The alternate column names per field, in order of preference.
 CSV_ALIASES = {
@@ -55,44 +59,38 @@ def _tickets(df: DataFrame, aliases: dict[str, list[str]], field, compat: bool)
     return out.where((F.col("subject") != "") | (F.col("body") != ""))
 
 
+def _field(names: list[str], name: str) -> Column:
+    return F.col(f"c{names.index(name)}") if name in names else F.lit(None).cast("string")
+
+
+def scan_ticket_csv(spark: SparkSession, path: str, compat: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Tickets of the CSV files below ``path``, and (file, error) for those that cannot be read. Every file has its own
+    header; quoted fields may hold commas, quotes and line breaks; a large file is read by many tasks."""
+    tables, errors = records.csv_records(spark, path)
+    parts = []
+    for names, table in tables:
+        parts.append(_tickets(table, CSV_ALIASES, lambda a, names=names: _field(names, a), compat))
+    if not parts:
+        parts = [_tickets(spark.createDataFrame([], "file string"), CSV_ALIASES, lambda a: _field([], a), compat)]
+    return functools.reduce(DataFrame.unionByName, parts), errors
+
+
 def read_ticket_csv(spark: SparkSession, path: str, compat: bool = False) -> DataFrame:
-    """Tickets from CSV with a header; quoted fields may hold commas, quotes and line breaks."""
-    raw = (
-        spark.read.option("header", True).option("multiLine", True).option("escape", '"')
-        .option("enforceSchema", False).option("caseSensitive", True).csv(path)
-    )
-    names = set(raw.columns)
-    return _tickets(raw, CSV_ALIASES, lambda a: F.col(f"`{a}`") if a in names else None, compat)
+    """Tickets from CSV with a header; files that cannot be read are left out."""
+    return scan_ticket_csv(spark, path, compat)[0]
 
 
-def _by_line(spark: SparkSession, path: str) -> bool:
-    """Whether the first line with content is a JSON value of its own, which may then be read and split line by line."""
-    lines = spark.read.text(path).where(F.trim("value") != "")
-    first = lines.select(F.schema_of_variant(F.try_parse_json("value")).startswith("OBJECT").alias("whole")).first()
-    return bool(first and first["whole"])
+def scan_ticket_json(spark: SparkSession, path: str, compat: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Tickets of the JSON files below ``path``, and (file, error) for those that give none. Every file is an array, a single
+    object, or one object per line by itself; lines that are not JSON are skipped, and values that are not strings are read
+    as their text."""
+    items, errors = records.json_records(spark, path)
+    return _tickets(items, JSON_ALIASES, lambda a: F.try_variant_get("item", f"$.{a}", "string"), compat), errors
 
 
 def read_ticket_json(spark: SparkSession, path: str, compat: bool = False) -> DataFrame:
-    """Tickets from JSON files: an array, a single object, or one object per line.
-
-    Lines that are not JSON are skipped, and values that are not strings are read as their text. Input that begins with an
-    object on a line of its own is split by line. Otherwise a file is one row, as one JSON value over many lines must be.
-    """
-    if _by_line(spark, path):
-        return read_ticket_lines(spark, path, compat)
-    lines = F.filter(F.split("value", "\n"), lambda line: F.trim(line) != "")
-    files = spark.read.text(path, wholetext=True).select("value", lines.alias("lines"))
-    # The JSON parser stops after the first value, so a file whose first line is an object goes by lines.
-    first = F.schema_of_variant(F.try_parse_json(F.try_element_at("lines", F.lit(1))))
-    whole = F.try_parse_json(F.when(first.startswith("OBJECT"), None).otherwise(F.col("value")))
-    items = files.select(
-        F.explode(
-            F.when(F.schema_of_variant(whole).startswith("ARRAY"), F.try_variant_get(whole, "$", "array<variant>"))
-            .when(whole.isNotNull(), F.array(whole))
-            .otherwise(F.transform("lines", lambda line: F.try_parse_json(line)))
-        ).alias("item")
-    ).where(F.schema_of_variant("item").startswith("OBJECT"))
-    return _tickets(items, JSON_ALIASES, lambda a: F.try_variant_get("item", f"$.{a}", "string"), compat)
+    """Tickets from JSON files; files that give none are left out."""
+    return scan_ticket_json(spark, path, compat)[0]
 
 
 def read_ticket_lines(spark: SparkSession, path: str, compat: bool = False) -> DataFrame:
@@ -118,14 +116,23 @@ def read_tickets(spark: SparkSession, path: str, compat: bool = False) -> DataFr
     return READERS[suffix](spark, path, compat)
 
 
-def read_articles(spark: SparkSession, folder: str) -> DataFrame:
-    """Articles from every ``*.md`` file under a folder; unreadable files are left out."""
+def scan_articles(spark: SparkSession, folder: str, pattern: str = "*.md") -> tuple[DataFrame, DataFrame]:
+    """Articles from every file under a folder whose name fits ``pattern``, and (file, error) for files that are not UTF-8 or
+    hold nothing; the others are read all the same."""
     files = (
-        spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.md")
-        .option("ignoreCorruptFiles", True).text(folder, wholetext=True)
-        .select("value", F.col("_metadata.file_path").alias("source_url"), F.col("_metadata.file_name").alias("_name"))
+        spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern)
+        .option("ignoreCorruptFiles", True).load(folder)
+        .select(F.col("_metadata.file_path").alias("file"), F.col("content").cast("string").alias("text"))
     )
-    return parse_articles(files, "value", "_name").drop("value", "_name")
+    bad = F.when(F.trim("text") == "", "is empty").when(~F.is_valid_utf8("text"), "is not UTF-8")
+    errors = files.select("file", bad.alias("error")).where(F.col("error").isNotNull())
+    good = files.where(bad.isNull()).select(F.col("file").alias("source_url"), F.element_at(F.split("file", "/"), -1).alias("_name"), "text")
+    return parse_articles(good, "text", "_name").drop("text", "_name"), errors
+
+
+def read_articles(spark: SparkSession, folder: str) -> DataFrame:
+    """Articles from every ``*.md`` file under a folder; unreadable files are left out."""
+    return scan_articles(spark, folder)[0]
 
 
 def parse_articles(files: DataFrame, content: str, file_name: str) -> DataFrame:
@@ -146,15 +153,28 @@ def parse_articles(files: DataFrame, content: str, file_name: str) -> DataFrame:
     ).drop("_matter", "_source")
 
 
+def _documents(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
+    """JSON documents, one per line or one that fills a file, each file by itself."""
+    kinds, _ = records.json_files(spark, path)
+    files = kinds.where(F.col("kind") != records.BROKEN).collect()  # evaluation data: a file per run
+    parts = []
+    for by_line in (True, False):
+        names = [unquote(f["file"]) for f in files if (f["kind"] == records.LINES) == by_line]
+        if names:
+            reader = spark.read.schema(schema) if schema else spark.read
+            parts.append(reader.option("multiLine", not by_line).json(names))
+    if not parts:
+        raise ValueError(f"no JSON document below {path!r}")
+    return functools.reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+
 def read_samples(spark: SparkSession, path: str, field: str) -> DataFrame:
     """Rows of the array ``field`` of JSON documents, such as training_samples or test_samples: one document per line, or
     one that fills a file."""
-    document = spark.read.option("multiLine", not _by_line(spark, path)).json(path)
-    return document.select(F.explode(field).alias("s")).select("s.*")
+    return _documents(spark, path).select(F.explode(field).alias("s")).select("s.*")
 
 
 def read_relevance(spark: SparkSession, path: str) -> DataFrame:
     """(query, doc_id) from {query, relevant_docs} objects, one per line or in a JSON array that fills a file."""
-    schema = "query string, relevant_docs array<string>"
-    pairs = spark.read.schema(schema).option("multiLine", not _by_line(spark, path)).json(path)
+    pairs = _documents(spark, path, "query string, relevant_docs array<string>")
     return pairs.select("query", F.explode("relevant_docs").alias("doc_id"))

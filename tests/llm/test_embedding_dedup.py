@@ -88,3 +88,11 @@ def test_every_pair_meets_once(spark):
     cells = {i: c for i, _, c in rows}
     want = {(i, j) for i in cells for j in cells if i < j and abs(cells[i] - cells[j]) <= 1}
     assert set(met) == want and set(met.values()) == {1}
+
+
+def test_extreme_sizes(spark):
+    rows = [(1, [1e-170, 2e-170], 0), (2, [1e-170, 2e-170], 0), (3, [1e200, 2e200], 0), (4, [2e200, 4e200], 0), (5, [1.0, 2.0], 0),
+            (6, [5e-324, 0.0], 0), (7, [1.7e308, 1e-300], 0), (8, [0.0, 0.0], 0)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embedding_dedup.linked_vectors(df, "vec_id", "embedding", "label").collect()}
+    assert got == {**{i: (4, 1) for i in range(1, 6)}, 6: (1, 6), 7: (1, 6), 8: (0, 8)}

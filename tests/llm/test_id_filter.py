@@ -24,3 +24,17 @@ def test_without(spark):
     got = sorted(map(tuple, id_filter.without(rows, "k", keys).collect()), key=repr)
     assert got == sorted([(2, "b"), (2, "b"), (None, "c")], key=repr)
     assert id_filter.without(rows, "k", keys.where("k > 9")).count() == 5
+
+
+def test_columns_of_any_names(spark):
+    names = ["k", "_bucket", "_bits", "x.y", "_key", "_row", "bit"]
+    rows = [(i, *(f"{n}{i}" for n in names[1:])) for i in range(20)] + [(None, *names[1:])]
+    df = spark.createDataFrame(rows, ["k", *names[1:]]).withColumn("m", F.create_map(F.lit("a"), F.lit(1)))
+    keys = spark.createDataFrame([(3,), (4,)], "k long")
+    out = id_filter.without(df, "k", keys)
+    assert out.columns == df.columns and dict(out.dtypes) == dict(df.dtypes)
+    want = [r for r in rows if r[0] not in (3, 4)]
+    assert sorted((tuple(r)[:-1] for r in out.collect()), key=repr) == sorted(want, key=repr)
+    made = id_filter.KeyFilter(keys, "k", 2)
+    likely, others = made.split(df, "k")
+    assert likely.columns == others.columns == df.columns and likely.count() + others.count() == 21

@@ -78,3 +78,36 @@ def test_language_stage_asks_the_network(spark, documents):
     mixed = [(None, texts_of("en", 3) + " " + texts_of("fr", 4), None)]  # a blind guess between the two
     got = corpus_pipeline.language_stage(spark, documents(clean + mixed), FOLDER).collect()
     assert sorted((r["doc_id"] for r in got), key=repr) == sorted((r[0] for r in clean), key=repr)
+
+
+STRANGE = [
+    "xq zvk wqpl brfg tnx klw zzx qqp vvb mnm rtrt wkwk jjh " * 3,
+    "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem",
+    "123 456 789 1011 a 55 66 77 8899 1234 555",
+    "Все люди рождаются свободными и равными в своем достоинстве и правах",
+    "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan",
+]
+
+
+def test_language_stage_rejects_what_is_in_no_language(spark):
+    given = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    strange = spark.createDataFrame([(10_000_000 + i, t) for i, t in enumerate(STRANGE)], "doc_id long, text string")
+    docs = given.unionByName(strange, allowMissingColumns=True)
+    kept = {r["doc_id"] for r in corpus_pipeline.language_stage(spark, docs, FOLDER).select("doc_id").collect()}
+    assert not {i for i in kept if i >= 10_000_000}
+    assert len(kept) >= 0.995 * given.count()
+
+
+def test_columns_of_any_names_and_types(spark, documents):
+    from pyspark.sql import functions as F
+
+    text = "these are five or more ordinary words that repeat"
+    names = ["_row", "_bucket", "_bits", "x.y", "_key", "lang_pred", "score", "tile", "a", "b"]
+    docs = documents([(1, text, "en"), (1, text, "en"), (2, text + " again", "en"), (None, text, None)])
+    docs = docs.select("*", *[F.lit("x").alias(n) for n in names], F.create_map(F.lit("k"), F.lit(1)).alias("map"))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, FOLDER)
+        assert out.columns == docs.columns and dict(out.dtypes) == dict(docs.dtypes)
+        rows = out.collect()
+        assert len(rows) == (2 if name == "ngram_join" else 4)
+        assert all(r["x.y"] == "x" and r["map"] == {"k": 1} for r in rows)

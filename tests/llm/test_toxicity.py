@@ -65,3 +65,19 @@ def test_held_out_labels(spark):
     flagged = [r["toxic"] for r in labels if rows[r["doc_id"]]["predicted"]]
     toxic = [rows[r["doc_id"]]["predicted"] for r in labels if r["toxic"]]
     assert sum(flagged) >= 0.97 * len(flagged) and sum(toxic) >= 0.9 * len(toxic)
+
+
+def test_no_term_is_dropped(spark):
+    """Thousands of strong terms: all are learned."""
+    words = [f"vile{a}{b}{c}" for a in "abcdefghijklmnopqrst" for b in "abcdefghijklmnopqrst" for c in "abcdefghijklmnopq"]
+    rows = [(i, " ".join(words[i % 68 :: 68])) for i in range(68 * 6)] + [(10_000 + i, "good plain words here") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k < 10_000)) for k, _ in rows], "doc_id long, toxic int")
+    model = toxicity.learn(docs, labels)
+    covered = toxicity.Matcher(model.terms)
+    assert len(words) > 5_000 and all(covered.hits(f" {w} ") for w in words)
+
+
+def test_shadowed_beginnings_go():
+    found = {" ab": (5, 0, 1.0), " abc": (5, 0, 2.0), " abd": (3, 0, 1.5), " b ": (2, 1, 1.0), " abc ": (4, 0, 2.5)}
+    assert toxicity._without_shadowed(found) == {" abc": 2.0, " abc ": 2.5, " abd": 1.5, " b ": 1.0}

@@ -16,8 +16,9 @@ from ticketloom.sources.sinks import stored
 
 WIDTH = 5
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Rows (24 bytes each) of the index that are sent to all executors; a larger index is joined by a shuffle.
-MOST_SENT = 2_000_000
+#: Rows of the index (24 bytes each) and characters of all shingles that are sent to all executors; a larger table is joined
+#: by a shuffle.
+MOST_SENT, MOST_SENT_TEXT = 2_000_000, 64_000_000
 
 
 def words_of(text: Column) -> Column:
@@ -62,6 +63,10 @@ def _index(items: DataFrame, percent: int) -> DataFrame:
     return smallest.select("item", "h", "q", (F.col("k") - F.col("m") + 1).alias("least"))
 
 
+def _sent(table: DataFrame, small: bool) -> DataFrame:
+    return F.broadcast(table) if small else table
+
+
 def contained_items(
     documents: DataFrame, key: str, text: str, items: DataFrame, item_key: str, item_text: str, percent: int = 75
 ) -> DataFrame:
@@ -76,23 +81,19 @@ def contained_items(
     wanted = items.select(F.col(item_key).alias("item"), words_of(F.col(item_text)).alias("words"))
     wanted = stored(_exploded(wanted.where("item IS NOT NULL"), "item"), "items")
     index = stored(_index(wanted, percent), "item-index")
-    small = index.count() <= MOST_SENT
-
-    def sent(table: DataFrame) -> DataFrame:
-        return F.broadcast(table) if small else table
-
-    hits = _exploded(docs, "doc").select("doc", _hash().alias("h")).join(sent(index), "h")
+    hits = _exploded(docs, "doc").select("doc", _hash().alias("h")).join(_sent(index, index.count() <= MOST_SENT), "h")
     found = hits.groupBy("doc", "item", "h").agg(F.first("least").alias("least"))
     counted = found.groupBy("doc", "item").agg(F.count(F.lit(1)).alias("n"), F.first("least").alias("least"))
     candidates = stored(counted.where("n >= least").select("doc", "item"), "candidates")
 
-    sizes = wanted.select("item", _text().alias("shingle")).distinct()
+    sizes = stored(wanted.select("item", _text().alias("shingle")).distinct(), "item-shingles")
+    few, letters = sizes.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("shingle") + 16), F.lit(0))).first()
     asked = docs.join(candidates.select("doc").distinct(), "doc", "left_semi")
     shingles = _exploded(asked, "doc").select("doc", _text().alias("shingle"))
-    shared = shingles.join(sent(sizes), "shingle").select("doc", "item", "shingle").distinct()
+    shared = shingles.join(_sent(sizes, letters <= MOST_SENT_TEXT), "shingle").select("doc", "item", "shingle").distinct()
     shares = shared.groupBy("doc", "item").agg(F.count(F.lit(1)).alias("shared_shingles"))
     totals = sizes.groupBy("item").agg(F.count(F.lit(1)).alias("item_shingles"))
-    exact = shares.join(candidates, ["doc", "item"]).join(sent(totals), "item")
+    exact = shares.join(candidates, ["doc", "item"]).join(_sent(totals, few <= MOST_SENT), "item")
     enough = F.col("shared_shingles") * 100 >= F.col("item_shingles") * percent
     return exact.where(enough).select(
         F.col("doc").alias(key),

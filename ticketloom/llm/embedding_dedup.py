@@ -20,7 +20,7 @@ from ticketloom.llm.graph import connected_components
 from ticketloom.llm.memory import tidy
 from ticketloom.sources.sinks import stored
 
-BLOCK_DIMENSIONS = 8
+BLOCK_DIMENSIONS = 16
 #: Up to this many dimensions the rotation follows the principal axes; beyond, it is a fixed random one.
 MOST_AXES = 512
 ROWS_PER_CHUNK = 4_000
@@ -38,7 +38,7 @@ def _moments(vectors: DataFrame) -> dict[int, tuple[float, np.ndarray, np.ndarra
             for value in batch.column(0):
                 x = np.array(value.as_py(), dtype=np.float64)
                 if len(x) <= MOST_AXES:
-                    x = np.append(x / np.linalg.norm(x), 1.0)
+                    x = np.append(_normal(x), 1.0)
                     sums.setdefault(len(x) - 1, np.zeros((len(x), len(x))))
                     sums[len(x) - 1] += np.outer(x, x)
         for size, total in sums.items():
@@ -80,9 +80,21 @@ def _plan(size: int, moments: np.ndarray | None, distance: float) -> tuple[np.nd
     return axes, members, distance * share / share.sum() * (1 + _SLACK) + _SLACK
 
 
-def _unit(rows: list[bytes]) -> np.ndarray:
-    x = np.stack([np.frombuffer(r, dtype=np.float64) for r in rows])
-    return x / np.linalg.norm(x, axis=1, keepdims=True)
+def _normal(x: np.ndarray) -> np.ndarray:
+    """The unit vector of each row. A power of two, which rounds nothing, keeps extreme sizes within range before squares."""
+    x = np.ldexp(x, -np.frexp(np.abs(x).max(axis=-1, keepdims=True))[1])
+    return x / np.linalg.norm(x, axis=-1, keepdims=True)
+
+
+def _packed(x: np.ndarray) -> bytes:
+    """The vector's bytes, in single precision where that holds every component exactly."""
+    with np.errstate(over="ignore"):
+        single = x.astype(np.float32)
+    return single.tobytes() if (single == x).all() else x.tobytes()
+
+
+def _unit(rows: list[bytes], size: int) -> np.ndarray:
+    return _normal(np.stack([np.frombuffer(r, dtype=np.float64 if len(r) == 8 * size else np.float32).astype(np.float64) for r in rows]))
 
 
 def _merge(root: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -108,7 +120,7 @@ def _compare(table: pa.Table, plans: dict, threshold: float) -> pa.Table:
     order = np.argsort(table["id"].to_numpy(), kind="stable")
     ids, copies = (table[c].to_numpy()[order] for c in ("id", "copies"))
     own, chunk = (table[c].to_numpy(zero_copy_only=False)[order] for c in ("own", "chunk"))
-    unit = _unit([table["vector"][int(i)].as_py() for i in order])
+    unit = _unit([table["vector"][int(i)].as_py() for i in order], size)
     turned = unit @ axes
     mine = np.ascontiguousarray(turned[:, members[block]])
     square = (mine**2).sum(axis=1)
@@ -150,9 +162,8 @@ def linked_vectors(df: DataFrame, key: str, vector: str, label: str, threshold:
         F.col(key).cast("long").alias("id"), F.col(label).alias("label"), F.col(vector).cast("array<double>").alias("_vector")
     )
     finite = ~F.exists(x, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
-    norm = F.aggregate(x, F.lit(0.0), lambda total, v: total + v * v)
-    usable = F.col("id").isNotNull() & F.col("label").isNotNull() & (F.size(x) > 0) & finite & (norm > 0)
-    marked = base.withColumn("usable", F.coalesce(usable & (norm < float("inf")), F.lit(False)))
+    usable = F.col("id").isNotNull() & F.col("label").isNotNull() & (F.size(x) > 0) & finite & F.exists(x, lambda v: v != 0)
+    marked = base.withColumn("usable", F.coalesce(usable, F.lit(False)))
     marked = marked.withColumns(
         {"size": F.size(x), "h1": F.xxhash64(F.lit(1), x), "h2": F.xxhash64(F.lit(2), x)}
     )
@@ -173,7 +184,7 @@ def linked_vectors(df: DataFrame, key: str, vector: str, label: str, threshold:
             for n in range(batch.num_rows):
                 raw = np.array(batch.column(3)[n].as_py(), dtype=np.float64)
                 axes, members, budget = sent.value[len(raw)]
-                turned = (raw / np.linalg.norm(raw)) @ axes
+                turned = _normal(raw) @ axes
                 lead = np.array([turned[m[0]] for m in members])
                 cells = np.floor(lead / (np.sqrt(budget) * (1 + 1e-6))).astype(np.int64)
                 m = len(members)
@@ -185,7 +196,7 @@ def linked_vectors(df: DataFrame, key: str, vector: str, label: str, threshold:
                         pa.array([len(raw)] * m, pa.int32()),
                         pa.array(np.arange(m), pa.int32()),
                         pa.array(cells),
-                        pa.array([raw.tobytes()] * m, pa.binary()),
+                        pa.array([_packed(raw)] * m, pa.binary()),
                     ],
                     ["label", "id", "copies", "size", "block", "cell", "vector"],
                 )

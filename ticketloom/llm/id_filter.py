@@ -37,12 +37,22 @@ class KeyFilter:
 
     def split(self, df: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
         """The rows whose key may be one of the keys, and the others; a NULL key is never one."""
-        bit = self.place(key) + 1
+        likely, others = self._marked(_packed(df, key))
+        return likely.select("_row.*"), others.select("_row.*")
+
+    def _marked(self, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """``split`` of packed rows."""
+        bit = self.place("_key") + 1
         at = F.bitmap_bit_position(bit)
-        marked = df.withColumn("_bucket", F.bitmap_bucket_number(bit)).join(F.broadcast(self.marks), "_bucket", "left")
+        marked = rows.withColumn("_bucket", F.bitmap_bucket_number(bit)).join(F.broadcast(self.marks), "_bucket", "left")
         byte = F.conv(F.hex(F.substring("_bits", (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-        hit = F.coalesce(F.getbit(byte, (at % 8).cast("int")) == 1, F.lit(False)) & F.col(key).isNotNull()
-        return marked.where(hit).select(*df.columns), marked.where(~hit).select(*df.columns)
+        hit = F.coalesce(F.getbit(byte, (at % 8).cast("int")) == 1, F.lit(False)) & F.col("_key").isNotNull()
+        return marked.where(hit).select("_key", "_row"), marked.where(~hit).select("_key", "_row")
+
+
+def _packed(df: DataFrame, key: str) -> DataFrame:
+    """The key and the whole row as one column, so that the row's columns may have any names."""
+    return df.select(F.col(f"`{key}`").alias("_key"), F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"))
 
 
 def hits(marked: np.ndarray, places: np.ndarray) -> np.ndarray:
@@ -51,9 +61,10 @@ def hits(marked: np.ndarray, places: np.ndarray) -> np.ndarray:
 
 
 def without(df: DataFrame, key: str, keys: DataFrame) -> DataFrame:
-    """The rows of ``df`` whose key is not in the table ``keys``; rows with a NULL key stay.
+    """The rows of ``df`` whose key is not in the table ``keys``; rows with a NULL key stay. Other columns may have any names.
 
     Only rows that the filter marks are joined, so most rows are not shuffled.
     """
-    likely, others = KeyFilter(keys, key, keys.count()).split(df, key)
-    return others.unionByName(likely.join(keys.hint("merge"), key, "left_anti").select(*df.columns))
+    listed = keys.select(F.col(f"`{key}`").alias("_key"))
+    likely, others = KeyFilter(listed, "_key", listed.count())._marked(_packed(df, key))
+    return others.unionByName(likely.join(listed.hint("merge"), "_key", "left_anti")).select("_row.*")

@@ -7,6 +7,7 @@ exceptions. The weighted sum is normalised by the number of words and turned int
 
 from __future__ import annotations
 
+import itertools
 import math
 import re
 import unicodedata
@@ -143,12 +144,12 @@ def folded_texts(df: DataFrame, text: str, *keep: str) -> DataFrame:
 
 def learn(
     documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic",
-    max_rows_per_class: int = 6_000, min_rows: int = 5, min_log_odds: float = 3.0, max_terms: int = 5_000,
-    exceptions: tuple[str, ...] = (),
+    max_rows_per_class: int = 6_000, min_rows: int = 5, min_log_odds: float = 3.0, exceptions: tuple[str, ...] = (),
 ) -> Model:
     """Lexicon, exceptions and fit from at most about ``max_rows_per_class`` labelled rows of each class.
 
-    A term needs ``min_rows`` toxic rows and the given log odds; of terms found in the same rows the longest stays. NULL
+    A term needs ``min_rows`` toxic rows and the given log odds, and all such terms are kept: their number is bounded by the
+    words of the sample. Of terms found in the same rows the longest stays. NULL
     labels, NULL keys and labels without a document are left out; a document labelled twice counts for each label.
     Without toxic rows the lexicon is empty and every score is low. ``exceptions`` are added to the learned ones.
     """
@@ -166,8 +167,7 @@ def learn(
     odds = F.log((F.col("toxic") + 0.1) / (n_toxic + 0.2)) - F.log((F.col("clean") + 0.5) / (n_clean + 1.0))
     tally = _tally(sample, _terms_of).withColumn("weight", odds)
     strong = tally.where((F.col("toxic") >= min_rows) & (F.col("weight") >= min_log_odds))
-    best = strong.orderBy(F.desc(F.col("toxic") * F.col("weight")), "term").limit(max_terms).collect()
-    terms = _without_shadowed({r["term"]: (r["toxic"], r["clean"], r["weight"]) for r in best})
+    terms = _without_shadowed({r["term"]: (r["toxic"], r["clean"], r["weight"]) for r in strong.collect()})
 
     plain = Matcher(terms)
 
@@ -190,7 +190,7 @@ def learn(
     own = seen.where(matched & (F.col("toxic") >= min_rows) & (F.col("weight") >= min_log_odds)).collect()
     terms = {r["term"][len(_MATCHED) :]: r["weight"] for r in own}
     mild = seen.where(~matched & (F.col("clean") >= 3) & (F.col("clean") * n_toxic >= F.col("toxic") * n_clean))
-    learned = [r["term"] for r in mild.orderBy(F.desc("clean"), "term").limit(max_terms).collect()]
+    learned = sorted(r["term"] for r in mild.collect())
     shields = tuple(dict.fromkeys([*learned, *(fold(e) for e in exceptions)]))
     matcher = Matcher(terms, shields)
 
@@ -211,11 +211,12 @@ def learn(
 
 def _without_shadowed(found: dict[str, tuple[int, int, float]]) -> dict[str, float]:
     """Drops a beginning of a word when a longer term occurs in as many rows of both kinds."""
+    ordered = sorted(found)  # the longer terms follow the beginning
     out = {}
-    for term, (toxic, clean, weight) in found.items():
-        if any(other != term and other.startswith(term) and found[other][:2] == (toxic, clean) for other in found):
-            continue
-        out[term] = weight
+    for at, term in enumerate(ordered):
+        longer = itertools.takewhile(lambda other: other.startswith(term), ordered[at + 1 :])
+        if not any(found[other][:2] == found[term][:2] for other in longer):
+            out[term] = found[term][2]
     return out
 
 
@@ -238,7 +239,7 @@ def score(df: DataFrame, key: str, text: str, model: Model, *keep: str, threshol
     NULL and empty texts get the score of a text without hits. Keys may be NULL or repeat; each row is scored by itself.
     Other columns are not read. Nothing is shuffled.
     """
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(key, *keep).schema)
+    schema = df.select(key, *keep).schema.add("score", "double").add("predicted", "integer").add("n_hits", "integer")
     sent = df.sparkSession.sparkContext.broadcast((model.terms, model.exceptions, model.fit))
 
     def run(batches):
@@ -261,5 +262,4 @@ def score(df: DataFrame, key: str, text: str, model: Model, *keep: str, threshol
                 [*batch.schema.names[:-1], "score", "predicted", "n_hits"],
             )
 
-    schema += ", score double, predicted int, n_hits int"
     return df.select(key, *keep, F.col(text).alias("_text")).mapInArrow(tidy(run), schema)

@@ -2,19 +2,19 @@ import math
 from collections import Counter, defaultdict
 
 import numpy as np
+import pytest
 
 from ticketloom.llm import quality_lm
 from ticketloom.llm.queries import op6_quality_lm
 
 
 def brute_model(texts):
-    """log p of the last symbol of a run, by the textbook recursion over dictionaries."""
+    """log p of a byte after the five before it, by the textbook recursion over dictionaries."""
     counts = {quality_lm.ORDER: Counter()}
     for text in texts:
-        s = [*quality_lm.START, *quality_lm.CLASSES[np.frombuffer(text.encode(), dtype=np.uint8)]]
-        for i in range(len(s) - 3):
-            counts[4][tuple(int(x) for x in s[i : i + 4])] += 1
-    for order in (3, 2, 1):
+        s = quality_lm.START + text.encode()
+        counts[quality_lm.ORDER].update(s[i : i + quality_lm.ORDER] for i in range(len(s) - quality_lm.ORDER + 1))
+    for order in range(quality_lm.ORDER - 1, 0, -1):
         counts[order] = Counter(run[1:] for run in counts[order + 1])
     discounts, totals = {}, {}
     for order, table in counts.items():
@@ -37,19 +37,64 @@ def brute_model(texts):
         c = counts[order].get(run, 0)
         return (c - discounts[order][min(c, 3)] if c else 0) / total + held / total * below
 
-    return p
+    def perplexity(text):
+        s = quality_lm.START + text.encode()
+        logs = [math.log(p(s[i : i + quality_lm.ORDER])) for i in range(len(s) - quality_lm.ORDER + 1)]
+        return math.exp(-sum(logs) / len(logs))
 
+    return perplexity
 
-def test_probabilities_match_the_recursion(documents):
-    texts = ["the cat sat on the mat. the dog sat too", "Ça va? The end.", "a a a b", "x"]
-    model = quality_lm.learn(documents(list(enumerate(texts))), "text")
-    table, p = quality_lm.log_probabilities(model), brute_model(texts)
-    assert np.allclose(np.exp(table.astype(float)).reshape(-1, quality_lm.SYMBOLS).sum(axis=1), 1, atol=1e-4)
+
+TEXTS = ["the cat sat on the mat. the dog sat too", "Ça va? The end.", "a a a b", "x", "日本語の本", "the cat sat"]
+
+
+@pytest.mark.parametrize("common", [0, 3, 60, 10**6])
+def test_perplexities_match_the_recursion(documents, monkeypatch, common):
+    """Whatever share of the runs is sent, and in chunks of any size; the rest goes through the join."""
+    monkeypatch.setattr(quality_lm, "COMMON", common)
+    monkeypatch.setattr(quality_lm, "CHUNK", 30)
+    monkeypatch.setattr(quality_lm, "HELD_RUNS", 20)
+    model, brute = quality_lm.learn(documents(list(enumerate(TEXTS))), "text"), brute_model(TEXTS)
+    asked = [*TEXTS, "the dog sat on the cat", "本日", "unseen, all of it", "mat the on sat cat the", "\n\n\n\n\n\n", "z"]
+    rows = [(i, t) for i, t in enumerate(asked)] + [(100, None), (101, "")]
+    got = {r["doc_id"]: r for r in quality_lm.perplexities(documents(rows), "text", model, "doc_id").collect()}
+    assert len(got) == len(rows) and got[100]["perplexity"] is got[101]["perplexity"] is None
+    for i, text in enumerate(asked):
+        assert got[i]["n_symbols"] == len(text.encode())
+        assert math.isclose(got[i]["perplexity"], brute(text), rel_tol=1e-5), text
+
+
+def test_runs_of_texts():
+    texts = [b"ab", b"", b"c", "é".encode(), b""]
+    doc, code = quality_lm.runs_of(texts)
+    want = [(i, (quality_lm.START + t)[k : k + quality_lm.ORDER]) for i, t in enumerate(texts) for k in range(len(t))]
+    assert doc.tolist() == [i for i, _ in want] and code.tolist() == [int.from_bytes(w, "big") for _, w in want]
+    assert len(quality_lm.runs_of([b""])[1]) == 0
+
+
+def test_lookup():
+    rng = np.random.default_rng(1)
+    for n in (0, 1, 5, 3_000):
+        codes = np.unique(rng.integers(0, 1 << 51, n))
+        known = quality_lm._Lookup(codes)
+        asked = np.concatenate([codes, rng.integers(0, 1 << 51, 500)])
+        place = {int(c): i for i, c in enumerate(codes)}
+        assert known.find(asked).tolist() == [place.get(int(c), -1) for c in asked]
+
+
+def test_hashes_are_those_of_spark(spark):
+    codes = np.array([-7, 12345678901, 0, 3], dtype=np.int64)
+    row = spark.sql("SELECT " + ", ".join(f"xxhash64({c}L)" for c in codes)).first()
+    assert quality_lm._spark_hash(codes).view(np.int64).tolist() == list(row)
+
+
+def test_what_is_gathered_grows(spark, documents):
+    """Ten times the text gives more runs, not only higher counts."""
     rng = np.random.default_rng(0)
-    seen = [int(c) for t in texts for c in quality_lm.runs(t)]
-    for code in [*seen, *rng.integers(0, quality_lm.SYMBOLS**4, 200).tolist()]:
-        run = tuple(code >> 6 * k & 63 for k in (3, 2, 1, 0))
-        assert math.isclose(table[code], math.log(p(run)), rel_tol=1e-4, abs_tol=1e-4)
+    words = ["".join(rng.choice(list("abcdefghijklmnop"), rng.integers(2, 9))) for _ in range(4_000)]
+    texts = [" ".join(rng.choice(words, 30)) for _ in range(600)]
+    few, many = (quality_lm.learn(documents(list(enumerate(t))), "text").values.count() for t in (texts[:60], texts))
+    assert many > 4 * few
 
 
 def test_odd_rows(spark, documents):
@@ -67,7 +112,7 @@ def test_odd_rows(spark, documents):
 def test_without_trusted_rows(spark, documents):
     none = spark.createDataFrame([], "doc_id long")
     got = quality_lm.classify(documents([(1, "text", "en")]), "doc_id", "text", "lang", none).collect()
-    assert [(r["keep"], round(r["perplexity"])) for r in got] == [(False, 64)]
+    assert [(r["keep"], round(r["perplexity"])) for r in got] == [(False, 256)]
     assert quality_lm.classify(documents([]), "doc_id", "text", "lang", none).collect() == []
 
 
@@ -79,67 +124,8 @@ def test_separates_labels(spark):
     assert sum(good) >= 0.98 * len(good) and sum(poor) <= 0.4 * len(poor)
 
 
-def brute_words(texts, table):
-    """log probability of a text by the textbook recursion over words, spelled below single words."""
-    counts, spelled = {3: Counter()}, {}
-    for text in texts:
-        _, words, logs, _ = quality_lm.words_of([text], table)
-        spelled |= dict(zip(words.tolist(), logs))
-        s = [0, 0, *words.tolist()]
-        counts[3].update(tuple(s[i : i + 3]) for i in range(len(s) - 2))
-    for order in (2, 1):
-        counts[order] = Counter(run[1:] for run in counts[order + 1])
-    held = {}
-    for order, seen in counts.items():
-        d = [0, *quality_lm._discounts_of({f"n{k}": sum(c == k for c in seen.values()) for k in (1, 2, 3, 4)})]
-        for run, c in seen.items():
-            total, h, _ = held.get(run[:-1], (0, 0, d))
-            held[run[:-1]] = total + c, h + d[min(c, 3)], d
-
-    def p(run, base):
-        if not run:
-            return base
-        below = p(run[1:], base)
-        if run[:-1] not in held:
-            return below
-        total, h, d = held[run[:-1]]
-        c = counts[len(run)].get(run, 0)
-        return (c - d[min(c, 3)]) / total + h / total * below
-
-    def log(text):
-        _, words, logs, sizes = quality_lm.words_of([text], table)
-        s = [0, 0, *words.tolist()]
-        return sum(math.log(p(tuple(s[i : i + 3]), math.exp(logs[i]))) for i in range(len(s) - 2)) / sizes[0]
-
-    return log
-
-
-def test_word_models_match_the_recursion(spark, documents, monkeypatch):
-    monkeypatch.setattr(quality_lm, "COMMON", 3)  # the rest goes through the join
-    texts = ["the cat sat on the mat. the dog sat too", "Ça va? The end.", "the cat sat", "日本語の本", "x"]
-    halves = [0, 1, 1, 0, 1]
-    docs = spark.createDataFrame([(t, h) for t, h in zip(texts, halves)], "text string, half int")
-    model = quality_lm.learn_words(docs)
-    table = quality_lm.log_probabilities(model.spelling.value)
-    asked = [*texts, "the dog sat on the cat", "本日", "unseen, all of it", "mat the on sat cat the"]
-    rows = spark.createDataFrame([(t, m) for t in asked for m in range(3)], "text string, m int")
-    got = {(r["text"], r["m"]): r["perplexity"] for r in quality_lm.perplexities(rows, "text", model, "m", "text", "m").collect()}
-    for m in range(3):
-        log = brute_words([t for t, h in zip(texts, halves) if h != m], table)
-        for text in asked:
-            assert math.isclose(got[text, m], math.exp(-log(text)), rel_tol=1e-6), (text, m)
-
-
-def test_codes_are_those_of_spark(spark):
-    row = spark.sql("SELECT xxhash64(-7L), xxhash64(-7L, 12345678901L), xxhash64(0L, -7L, 3L)").first()
-    w = np.array([-7, 12345678901, 0, 3], dtype=np.int64).view(np.uint64)
-    code = quality_lm.code_of
-    want = [code(w[:1]), code(w[1:2], code(w[:1])), code(w[3:], code(w[:1], code(w[2:3])))]
-    assert [int(x.view(np.int64)[0]) for x in want] == list(row)
-
-
 def test_scripts_and_word_order_count(spark, documents):
-    # Characters 16 apart share their byte classes; shuffled words share nearly all runs of four classes.
+    # Other characters of one script, and the same words in another order.
     seen = [chr(0x4E00 + i) for i in range(16)]
     text = "".join(seen)
     other = "".join(chr(ord(c) + 16) for c in seen)

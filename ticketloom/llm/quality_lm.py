@@ -1,258 +1,59 @@
-"""Text quality by the perplexity of an interpolated modified Kneser-Ney model over words.
+"""Text quality by the perplexity of an interpolated modified Kneser-Ney model over runs of six bytes.
 
-Runs of up to three words are counted over all trusted texts, pre-aggregated per task, so what is gathered grows with
-them; lower orders count the distinct words that precede a run. Discounts, context totals and interpolated probabilities
-come from joins of these count tables. Below single words a word is spelled: a bounded model of the same kind over 64 byte
-classes, four in a row, also learned from all trusted texts, gives unseen words their probability.
+Runs are counted over all trusted texts, pre-aggregated per task, so what is gathered grows with them; lower orders count
+the distinct bytes that precede a run. Discounts, context totals and interpolated probabilities come from joins of these
+count tables, split by run. A run of six bytes reaches over word ends, so it sees spelling and which words meet; every byte
+is its own symbol, so no two scripts or characters are alike. Six bytes and a length fit a whole number: nothing is hashed.
 
-The logarithm of a text's probability is a sum over its words: their spelling, what each context leaves to the lower order,
-and for each seen run the gain over that. Runs that were not seen add nothing, so a filter of the seen ones keeps the rest
-out of the join of a text's distinct runs with the table of gains. The commonest runs are sent to the tasks.
+The logarithm of a text's probability is a sum over its bytes: an even share, the weight that each seen context leaves to
+the lower order, and for each seen run the gain over that. The commonest runs go to the tasks, where nearly all bytes are
+settled. Of the rest each text keeps its distinct runs with their counts; a filter of seen runs leaves out those that add
+nothing, and the others are joined with the table of gains, split by run.
 
-A trusted text would look too good to a model that has read it. So the upper limit comes from trusted texts scored by a
-model of the other half of them, and the lower limit from the full model, which also scores every row.
+A trusted text would look too good to a model that has read it. So a tenth of the trusted texts is not read; it gives the
+upper limits, and all trusted texts give the lower ones.
 """
 
 from __future__ import annotations
 
-import string
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructType
 
 from ticketloom.llm import id_filter
 from ticketloom.llm.memory import tidy
 from ticketloom.sources.sinks import stored
 
-ORDER = 4
-BITS = 6
-SYMBOLS = 1 << BITS
-UPPER, DIGIT, SPACE, BREAK, OTHER, LEAD_C3, LEAD = 26, 27, 28, 29, 30, 31, 32
-PUNCTUATION = ".,;:!?'\"-()|#$%&*@/=+<>_"
-
-
-def _classes() -> np.ndarray:
-    """The class of every byte: each small letter, all capitals, digits, gaps, signs, and accented letters by two bytes."""
-    out = np.full(256, OTHER, dtype=np.uint32)
-    for i, letter in enumerate(string.ascii_lowercase):
-        out[ord(letter)] = i
-        out[ord(letter.upper())] = UPPER
-    out[[ord(d) for d in string.digits]] = DIGIT
-    out[32], out[[9, 10, 11, 12, 13]] = SPACE, BREAK
-    out[192:], out[0xC3] = LEAD, LEAD_C3
-    free = SYMBOLS - LEAD - 1
-    signs = min(len(PUNCTUATION), free - 16)
-    for i, sign in enumerate(PUNCTUATION):
-        out[ord(sign)] = LEAD + 1 + min(i, signs - 1)
-    out[128:192] = LEAD + 1 + signs + np.arange(64) % 16
-    return out
-
-
-CLASSES = _classes()
-START = np.full(ORDER - 1, BREAK, dtype=np.uint32)
-
-
-def runs(text: str) -> np.ndarray:
-    """The code of the run of ORDER symbols that ends at each byte; the text begins after line breaks."""
-    symbols = np.concatenate([START, CLASSES[np.frombuffer(text.encode("utf-8", "replace"), dtype=np.uint8)]])
-    n = len(symbols) - ORDER + 1
-    code = symbols[:n].copy()
-    for k in range(1, ORDER):
-        code <<= np.uint32(BITS)
-        code |= symbols[k : k + n]
-    return code
+ORDER, SYMBOLS = 6, 256
+#: The length of a run stands above its bytes.
+_LENGTH = 48
+#: What a text follows: line breaks.
+START = b"\n" * (ORDER - 1)
+#: Runs whose values go to all tasks (24 MB), trusted keys that do, and bytes of text that a task takes at a time.
+COMMON, MOST_KEYS, CHUNK = 1_000_000, 2_000_000, 2_000_000
+#: Distinct runs that a counting task holds before it gives them on.
+HELD_RUNS = 4_000_000
+#: One trusted text in so many is not read.
+UNREAD = 10
 
 
-def _counts(texts: DataFrame) -> DataFrame:
-    """(code, c): how often each run occurs in the texts. Tasks add up their own texts first."""
-
-    def count(batches):
-        total = np.zeros(SYMBOLS**ORDER, dtype=np.int32)
-        for batch in batches:
-            for value in batch.column(0):
-                code, n = np.unique(runs(value.as_py() or ""), return_counts=True)
-                total[code] += n.astype(np.int32)
-            big = total.max() > 2**30
-            if big:
-                yield from _rows(total)
-                total[:] = 0
-        yield from _rows(total)
-
-    return texts.mapInArrow(tidy(count), "code int, c long").groupBy("code").agg(F.sum("c").alias("c"))
-
-
-def _rows(total: np.ndarray):
-    used = np.flatnonzero(total)
-    for at in range(0, len(used), 100_000):
-        some = used[at : at + 100_000]
-        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(total[some], pa.int64())], ["code", "c"])
-
-
-def _discounts(counts: DataFrame) -> tuple[float, float, float]:
-    """The discounts of runs seen once, twice and more often, from how many runs there are of each."""
-    return _discounts_of(counts.agg(*_rare()).first())
-
-
-def _rare() -> list[Column]:
-    """How many runs occur once, twice, three and four times."""
-    return [F.coalesce(F.sum((F.col("c") == k).cast("long")), F.lit(0)).alias(f"n{k}") for k in (1, 2, 3, 4)]
-
-
-def _discounts_of(row) -> tuple[float, float, float]:
-    n1, n2, n3, n4 = (max(1, row[f"n{k}"]) for k in (1, 2, 3, 4))
-    y = n1 / (n1 + 2 * n2)
-    found = 1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3
-    return tuple(min(max(d, 0.05), limit) for d, limit in zip(found, (0.95, 1.9, 2.85)))
-
-
-def _interpolated(counts: DataFrame, lower: DataFrame | None, order: int) -> tuple[DataFrame, DataFrame]:
-    """(code, p) of the seen runs of this order and (context, rest), the weight each context leaves to the lower order."""
-    d1, d2, d3 = _discounts(counts)
-    c = F.col("c")
-    discount = F.when(c == 1, d1).when(c == 2, d2).otherwise(d3)
-    seen = counts.withColumn("context", F.shiftright("code", BITS))
-    contexts = seen.groupBy("context").agg(F.sum("c").alias("total"), F.sum(discount).alias("held"))
-    contexts = contexts.select("context", "total", (F.col("held") / F.col("total")).alias("rest"))
-    joined = seen.join(contexts, "context")
-    if lower is None:
-        below = F.lit(1.0 / SYMBOLS)
-    else:
-        suffix = F.col("code").bitwiseAND(F.lit((1 << (BITS * (order - 1))) - 1))
-        joined = joined.withColumn("suffix", suffix).join(lower.select(F.col("code").alias("suffix"), F.col("p").alias("q")), "suffix")
-        below = F.col("q")
-    p = (c - discount) / F.col("total") + F.col("rest") * below
-    return joined.select("code", p.alias("p")), contexts.select("context", "rest")
-
-
-def learn(trusted: DataFrame, text: str) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Per order from 1: codes of seen runs, their probabilities, contexts and the weights they leave. At most SYMBOLS to
-    the power of ORDER runs come back. Without trusted text every symbol is equally likely."""
-    counts = {ORDER: stored(_counts(trusted.select(text)), "runs")}
-    for order in range(ORDER - 1, 0, -1):
-        suffix = F.col("code").bitwiseAND(F.lit((1 << (BITS * order)) - 1))
-        counts[order] = counts[order + 1].groupBy(suffix.alias("code")).agg(F.count(F.lit(1)).alias("c"))
-    out, lower = [], None
-    for order in range(1, ORDER + 1):
-        found, contexts = _interpolated(counts[order], lower, order)
-        lower = stored(found, "probabilities")
-        seen, rest = lower.toPandas(), contexts.toPandas()
-        out.append((
-            seen["code"].to_numpy(dtype=np.int32), seen["p"].to_numpy(dtype=np.float64),
-            rest["context"].to_numpy(dtype=np.int32), rest["rest"].to_numpy(dtype=np.float64),
-        ))
-    return out
-
-
-def log_probabilities(model) -> np.ndarray:
-    """The natural logarithm of the probability of the last symbol of every possible run."""
-    p = np.full(SYMBOLS, 1.0 / SYMBOLS, dtype=np.float64)
-    for order, (codes, values, contexts, rest) in enumerate(model, start=1):
-        left = np.ones(SYMBOLS ** (order - 1))
-        left[contexts] = rest
-        if order == 1:
-            p = left[0] * p
-        else:  # a context is one symbol before the context of the lower order
-            p = (left.reshape(SYMBOLS, -1, 1) * p.reshape(1, -1, SYMBOLS)).reshape(-1)
-        p[codes] = values
-    return np.log(p).astype(np.float32)
-
-
-#: Words in a run, the word before a text, and the models: of one half of the trusted texts, of the other, of all.
-WORDS, BEFORE, FULL = 3, 0, 2
-#: Runs whose values go to all tasks, and bytes of text that a task cuts into words at a time.
-COMMON, CHUNK = 100_000, 2_000_000
-_LETTERS, _GAP, _SIGN, _WIDE, _INNER = range(5)
-
-
-def _kinds() -> np.ndarray:
-    """Of every byte: letters and digits, also of two bytes; white space; signs; characters of three bytes or more, each a
-    word, since many scripts have no gaps; and bytes inside a character."""
-    out = np.full(256, _SIGN, dtype=np.uint8)
-    out[[b for b in range(128) if chr(b).isalnum()]] = _LETTERS
-    out[[9, 10, 11, 12, 13, 32]] = _GAP
-    out[128:192], out[0xC3:0xE0], out[0xE0:] = _INNER, _LETTERS, _WIDE
-    return out
-
-
-KINDS = _kinds()
-#: Of a byte: the logarithm of the number of bytes in its class, among which its probability is shared.
-SHARED = np.log(np.bincount(CLASSES, minlength=SYMBOLS)[CLASSES])
-_P1, _P2, _P3, _P4, _P5 = (
-    np.uint64(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5)
-)
-
-
-def _turned(x: np.ndarray, by: int) -> np.ndarray:
-    return x << np.uint64(by) | x >> np.uint64(64 - by)
-
-
-def code_of(words: np.ndarray, seed=42) -> np.ndarray:
-    """Spark's xxhash64 of longs; the code of a longer run takes that of the words before as its seed."""
-    seed = np.asarray(seed, dtype=np.uint64)
-    h = (seed + (_P5 + np.uint64(8))) ^ _turned(words * _P2, 31) * _P1
-    h = _turned(h, 27) * _P1 + _P4
-    h = (h ^ h >> np.uint64(33)) * _P2
-    h = (h ^ h >> np.uint64(29)) * _P3
-    return h ^ h >> np.uint64(32)
-
+def _mask(order: int) -> int:
+    return (1 << 8 * order) - 1
 
-_BYTE_CODES = code_of(np.arange(256, dtype=np.uint64))
 
-
-def words_of(texts: list[str], table: np.ndarray | None = None):
-    """(text number, word, logarithm of its spelling's probability) of every word of the texts, and the texts' bytes.
-
-    A word is a run of letters or of signs with the gap before it, or a wide character; every byte belongs to one. Words are
-    named by a hash of 64 bits. Without a ``table`` of log probabilities spellings are 0.
-    """
-    parts = [t.encode("utf-8", "replace") for t in texts]
-    sizes = np.array([len(p) for p in parts], dtype=np.int64)
-    raw = np.frombuffer(b"".join(parts), dtype=np.uint8)
-    if not len(raw):
-        return np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0), sizes
-    lead = np.flatnonzero(KINDS[raw] != _INNER)
-    kind = KINDS[raw[lead]]
-    begins = np.ones(len(lead), dtype=bool)
-    old, new = kind[:-1], kind[1:]
-    begins[1:] = (old != _GAP) & ((old != new) | (new == _WIDE))
-    first = np.zeros(len(raw), dtype=bool)
-    first[lead[begins]] = True
-    ends = np.cumsum(sizes)
-    heads = (ends - sizes)[sizes > 0]
-    first[heads] = True
-    starts = np.flatnonzero(first)
-    offset = np.arange(len(raw)) - np.repeat(starts, np.diff(np.append(starts, len(raw))))
-    power = np.full(int(offset.max()) + 1, _P3, dtype=np.uint64)
-    power[0] = 1
-    word = code_of(np.add.reduceat(_BYTE_CODES[raw] * np.multiply.accumulate(power)[offset], starts))
-    word[word == BEFORE] = 1
-    spelled = np.zeros(len(starts))
-    if table is not None:
-        symbols = CLASSES[raw]
-        code = symbols.copy()
-        for k in range(1, ORDER):
-            earlier = np.full(len(raw), BREAK, dtype=np.uint32)
-            earlier[k:] = np.where(offset[k:] >= k, symbols[:-k], BREAK)
-            code |= earlier << np.uint32(BITS * k)
-        spelled = np.add.reduceat(table[code] - SHARED[raw], starts)
-    return np.searchsorted(ends, starts, side="right"), word, spelled, sizes
-
-
-def _before(text: np.ndarray, word: np.ndarray, by: int) -> np.ndarray:
-    """The word ``by`` places earlier in the same text."""
-    out = np.full(len(word), BEFORE, dtype=np.uint64)
-    out[by:] = np.where(text[by:] == text[: len(text) - by], word[: len(word) - by], np.uint64(BEFORE))
-    return out
+def _tag(order: int) -> int:
+    return order << _LENGTH
 
 
 def _chunks(values):
-    """(first row, texts) of at most CHUNK characters, but at least one text."""
+    """(first row, texts as bytes) of about CHUNK bytes, but at least one text."""
     at, held, size = 0, [], 0
     for i, value in enumerate(values):
-        held.append(value.as_py() or "")
+        held.append((value.as_py() or "").encode("utf-8", "replace"))
         size += len(held[-1])
         if size >= CHUNK:
             yield at, held
@@ -261,189 +62,247 @@ def _chunks(values):
         yield at, held
 
 
-def _word_counts(texts: DataFrame) -> DataFrame:
-    """(w0, w1, w2, c0, c1): how often each run of three words occurs in either half of the texts (text, half)."""
+def runs_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(text number, run of ORDER bytes that ends there) of every byte of the texts."""
+    sizes = np.array([len(t) for t in texts], dtype=np.int64)
+    raw = np.frombuffer(b"".join(START + t for t in texts), dtype=np.uint8).astype(np.int64)
+    n = max(0, len(raw) - ORDER + 1)
+    code = np.zeros(n, dtype=np.int64)
+    for k in range(ORDER):
+        code <<= 8
+        code |= raw[k : k + n]
+    # Of every text as many windows end in its bytes as it has; those that end in the next one's START are left out.
+    inside = np.ones(n + ORDER - 1, dtype=bool)
+    ends = np.cumsum(sizes + ORDER - 1)
+    inside[(ends[:, None] - np.arange(ORDER - 1) - 1).ravel()] = False
+    return np.repeat(np.arange(len(texts)), sizes), code[inside[:n]]
+
+
+def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    codes, counts = (np.concatenate(x) for x in zip(*parts))
+    order = np.argsort(codes, kind="stable")
+    codes = codes[order]
+    new = np.flatnonzero(np.append(True, codes[1:] != codes[:-1]))
+    return codes[new], np.add.reduceat(counts[order], new)
+
+
+def _counts(texts: DataFrame) -> DataFrame:
+    """(code, c): how often each run of ORDER bytes occurs. Tasks add up their own texts first."""
 
     def count(batches):
+        held, size = [], 0
+
+        def rows():
+            codes, counts = _merged(held)
+            for at in range(0, len(codes), 100_000):
+                some = slice(at, at + 100_000)
+                yield pa.RecordBatch.from_arrays([pa.array(codes[some]), pa.array(counts[some])], ["code", "c"])
+
         for batch in batches:
-            half = batch.column(1).to_numpy()
-            for at, held in _chunks(batch.column(0)):
-                text, word, _, _ = words_of(held)
-                if not len(word):
-                    continue
-                w0, w1, mine = _before(text, word, 2), _before(text, word, 1), half[at + text]
-                order = np.lexsort((mine, word, w1, w0))
-                rows = [x[order] for x in (w0, w1, word, mine)]
-                new = np.append(True, np.any([x[1:] != x[:-1] for x in rows], axis=0))
-                c = np.diff(np.append(np.flatnonzero(new), len(order)))
-                rows = [x[new] for x in rows]
-                for i in range(0, len(c), 100_000):
-                    some = slice(i, i + 100_000)
-                    longs = [pa.array(x[some].view(np.int64)) for x in rows[:3]]
-                    sides = [pa.array(np.where(rows[3][some] == k, c[some], 0)) for k in (0, 1)]
-                    yield pa.RecordBatch.from_arrays([*longs, *sides], ["w0", "w1", "w2", "c0", "c1"])
-
-    found = texts.select("text", "half").mapInArrow(tidy(count), "w0 long, w1 long, w2 long, c0 long, c1 long")
-    return found.groupBy("w0", "w1", "w2").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1"))
-
-
-def _spellings(texts: DataFrame, sent) -> DataFrame:
-    """(w2, spelled): every distinct word and the logarithm of its spelling's probability."""
-
-    def spell(batches):
-        table = log_probabilities(sent.value)
-        for batch in batches:
-            for _, held in _chunks(batch.column(0)):
-                _, word, spelled, _ = words_of(held, table)
-                word, at = np.unique(word, return_index=True)
-                yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(spelled[at])], ["w2", "spelled"])
+            for _, texts in _chunks(batch.column(0)):
+                _, code = runs_of(texts)
+                if len(code):
+                    held.append(np.unique(code, return_counts=True))
+                    size += len(held[-1][0])
+                if size > HELD_RUNS:
+                    held = [_merged(held)]
+                    size = len(held[0][0])
+                    if size > HELD_RUNS // 2:
+                        yield from rows()
+                        held, size = [], 0
+        if held:
+            yield from rows()
+
+    return texts.mapInArrow(tidy(count), "code long, c long").groupBy("code").agg(F.sum("c").alias("c"))
 
-    return texts.select("text").mapInArrow(tidy(spell), "w2 long, spelled double").groupBy("w2").agg(F.max("spelled").alias("spelled"))
+
+def _discounts(counts: DataFrame) -> tuple[float, float, float]:
+    """The discounts of runs seen once, twice and more often, from how many runs there are of each."""
+    rare = [F.coalesce(F.sum((F.col("c") == k).cast("long")), F.lit(0)).alias(f"n{k}") for k in (1, 2, 3, 4)]
+    return discounts_of(counts.agg(*rare).first())
+
+
+def discounts_of(row) -> tuple[float, float, float]:
+    n1, n2, n3, n4 = (max(1, row[f"n{k}"]) for k in (1, 2, 3, 4))
+    y = n1 / (n1 + 2 * n2)
+    found = 1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3
+    return tuple(min(max(d, 0.05), limit) for d, limit in zip(found, (0.95, 1.9, 2.85)))
 
 
 @dataclass
-class WordModel:
-    """``values``: (m, code, gain, rest) of each model's seen runs and contexts. ``left``: what single words leave to
-    spellings, by model. ``common``: codes in order, and per model their gains and rests. ``spelling``: a model, broadcast."""
+class Model:
+    """``values``: (code, gain, rest) of every seen run by its length and bytes: what it adds over the lower order, and the
+    weight it leaves to the lower order as a context, both as logarithms. ``left``: that of the empty context. ``common``:
+    codes in order with their gains and rests, and the whole log probability of those of full length (else NaN). ``seen``: a
+    filter of all codes."""
 
     values: DataFrame
-    left: list[float]
-    common: tuple[np.ndarray, np.ndarray, np.ndarray]
-    spelling: object
+    left: float
+    common: tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
     seen: id_filter.KeyFilter
 
 
-def learn_words(texts: DataFrame) -> WordModel:
-    """From trusted texts (text, half), the models of both halves and of all. Model 0 has read the texts of half 1."""
-    sent = texts.sparkSession.sparkContext.broadcast(learn(texts, "text"))
-    sums = F.col("c1"), F.col("c0"), F.col("c0") + F.col("c1")
-    models = F.array(*[F.struct(F.lit(m).alias("m"), n.alias("c")) for m, n in enumerate(sums)])
-    triples = stored(_word_counts(texts), "words3").select("w0", "w1", "w2", F.inline(models)).where("c > 0")
-    counts = {WORDS: triples.withColumn("raw", F.col("c"))}
-    names = ["w0", "w1", "w2"]
-    for order in range(WORDS - 1, 0, -1):
-        less = counts[order + 1].groupBy("m", *names[WORDS - order :])
-        counts[order] = stored(less.agg(F.count(F.lit(1)).alias("c"), F.sum("raw").alias("raw")), f"words{order}")
-    left, tables, lower = [0.0] * 3, [], None
-    for order in range(1, WORDS + 1):
-        own = names[WORDS - order :]
-        discounts = {r["m"]: _discounts_of(r) for r in counts[order].groupBy("m").agg(*_rare()).collect()}
-        by_model = [F.element_at(F.array(*[F.lit(discounts.get(m, (0.5, 0.5, 0.5))[k]) for m in range(3)]), F.col("m") + 1) for k in range(3)]
+def learn(trusted: DataFrame, text: str) -> Model:
+    """From all texts of the column. Without any every byte is equally likely."""
+    counts = {ORDER: stored(_counts(trusted.select(text)), "runs").withColumn("raw", F.col("c"))}
+    for order in range(ORDER - 1, 0, -1):
+        suffix = F.col("code").bitwiseAND(F.lit(_mask(order)))
+        shorter = counts[order + 1].groupBy(suffix.alias("code")).agg(F.count(F.lit(1)).alias("c"), F.sum("raw").alias("raw"))
+        counts[order] = stored(shorter, f"runs{order}")
+    left, lower, tables = 0.0, None, []
+    for order in range(1, ORDER + 1):
+        d1, d2, d3 = _discounts(counts[order])
         c = F.col("c")
-        discount = F.when(c == 1, by_model[0]).when(c == 2, by_model[1]).otherwise(by_model[2])
-        contexts = counts[order].groupBy("m", *own[:-1]).agg(F.sum("c").alias("total"), F.sum(discount).alias("held"))
-        contexts = contexts.withColumn("rest", F.log(F.col("held") / F.col("total")))
+        discount = F.when(c == 1, d1).when(c == 2, d2).otherwise(d3)
+        seen = counts[order].withColumn("context", F.shiftright("code", 8))
+        contexts = seen.groupBy("context").agg(F.sum("c").alias("total"), F.sum(discount).alias("held"))
+        contexts = contexts.select("context", "total", F.log(F.col("held") / F.col("total")).alias("rest"))
         if order == 1:
-            for r in contexts.collect():
-                left[r["m"]] = r["rest"]
-            joined = counts[1].join(F.broadcast(contexts), "m").join(_spellings(texts, sent).withColumnRenamed("spelled", "below"), "w2")
+            row = contexts.first()
+            left = row["rest"] if row else 0.0
+            total = row["total"] if row else 1
+            joined = seen.withColumns({"total": F.lit(total), "rest": F.lit(left), "below": F.lit(-float(np.log(SYMBOLS)))})
         else:
             contexts = stored(contexts, "contexts")
-            tables.append(contexts.select("m", F.xxhash64(*own[:-1]).alias("code"), F.lit(0.0).alias("gain"), "rest", F.lit(0).cast("long").alias("raw")))
-            joined = counts[order].join(contexts, ["m", *own[:-1]]).join(lower, ["m", *own[1:]])
+            run = (F.lit(_tag(order - 1)) + F.col("context")).alias("code")
+            tables.append(contexts.select(run, F.lit(0.0).alias("gain"), "rest", F.lit(None).cast("double").alias("whole"), F.lit(0).cast("long").alias("raw")))
+            suffix = F.col("code").bitwiseAND(F.lit(_mask(order - 1))).alias("suffix")
+            joined = seen.select("*", suffix).join(contexts, "context").join(lower, "suffix")
         x = F.log((c - discount) / F.col("total")) - F.col("rest") - F.col("below")
         gain = F.when(x > 30, x).otherwise(F.log1p(F.exp(x)))
-        found = joined.select("m", *own, "raw", gain.alias("gain"), (F.col("rest") + F.col("below") + gain).alias("below"))
+        found = joined.select("code", "raw", gain.alias("gain"), (F.col("rest") + F.col("below") + gain).alias("below"))
         found = stored(found, "gains")
-        tables.append(found.select("m", F.xxhash64(*own).alias("code"), "gain", F.lit(0.0).alias("rest"), "raw"))
-        lower = found.select("m", *own, "below")
-    values = tables[0]
+        whole = F.col("below") if order == ORDER else F.lit(None).cast("double")
+        run = (F.lit(_tag(order)) + F.col("code")).alias("code")
+        tables.append(found.select(run, "gain", F.lit(0.0).alias("rest"), whole.alias("whole"), "raw"))
+        lower = found.select(F.col("code").alias("suffix"), "below")
+    parts = tables[0]
     for t in tables[1:]:
-        values = values.unionByName(t)
-    opening = code_of(np.array([BEFORE], dtype=np.uint64))
-    opening = np.concatenate([opening, code_of(np.array([BEFORE], dtype=np.uint64), opening)]).view(np.int64)
-    most = values.where(F.col("m") == FULL).orderBy(F.desc("raw"), "code").limit(COMMON).select("code").toPandas()["code"].to_numpy(dtype=np.int64)
-    codes = np.unique(np.concatenate([most, opening]))
-    rows = values.join(F.broadcast(texts.sparkSession.createDataFrame([(int(x),) for x in codes], "code long")), "code")
-    rows = rows.groupBy("m", "code").agg(F.sum("gain").alias("gain"), F.sum("rest").alias("rest")).toPandas()
-    gains, rests = np.zeros((3, len(codes))), np.zeros((3, len(codes)))
-    place = rows["m"].to_numpy(dtype=int), np.searchsorted(codes, rows["code"].to_numpy(dtype=np.int64))
-    gains[place], rests[place] = rows["gain"], rows["rest"]
-    full = values.where(F.col("m") == FULL).select("code")
-    return WordModel(values.drop("raw"), left, (codes, gains, rests), sent, id_filter.KeyFilter(full, "code", full.count()))
-
-
-def perplexities(df: DataFrame, text: str, model: WordModel, m: str, *keep: str) -> DataFrame:
-    """(``keep`` columns, n_symbols, perplexity) for every row and its whole text, by the model named in column ``m``.
+        parts = parts.unionByName(t)
+    # A run is in the tables as itself and as a context.
+    values = parts.groupBy("code").agg(*[F.sum(c).alias(c) for c in ("gain", "rest", "whole", "raw")])
+    values = stored(values, "values")
+    most = values.orderBy(F.desc("raw"), "code").limit(COMMON).select("code", "gain", "rest", "whole").toPandas()
+    most = most.sort_values("code")
+    common = most["code"].to_numpy(dtype=np.int64), *(most[c].to_numpy(dtype=np.float64).astype(np.float32) for c in ("gain", "rest", "whole"))
+    codes = values.select("code")
+    return Model(values.select("code", "gain", "rest"), left, common, id_filter.KeyFilter(codes, "code", codes.count()))
+
+
+class _Lookup:
+    """Places of codes in a sorted array, found through a table by the codes' hash."""
+
+    def __init__(self, codes: np.ndarray):
+        bits = max(4, int(2 * len(codes)).bit_length())
+        self.shift, self.slots = np.uint64(64 - bits), 1 << bits
+        self.keys = np.full(self.slots, -1, dtype=np.int64)
+        self.place = np.full(self.slots, -1, dtype=np.int32)
+        left, at = np.arange(len(codes)), self._slot(codes)
+        while len(left):
+            _, first = np.unique(at, return_index=True)
+            first = first[self.keys[at[first]] < 0]
+            self.keys[at[first]], self.place[at[first]] = codes[left[first]], left[first]
+            rest = np.ones(len(left), dtype=bool)
+            rest[first] = False
+            left, at = left[rest], (at[rest] + 1) % self.slots
+
+    def _slot(self, codes: np.ndarray) -> np.ndarray:
+        return ((codes.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
+    def find(self, codes: np.ndarray) -> np.ndarray:
+        """The place of every code, -1 where it is not listed."""
+        out = np.full(len(codes), -1, dtype=np.int32)
+        left, at = np.arange(len(codes)), self._slot(codes)
+        while len(left):
+            keys = self.keys[at]
+            hit = keys == codes[left]
+            out[left[hit]] = self.place[at[hit]]
+            on = ~hit & (keys >= 0)
+            left, at = left[on], (at[on] + 1) % self.slots
+        return out
+
+
+def perplexities(df: DataFrame, text: str, model: Model, *keep: str) -> DataFrame:
+    """(``keep`` columns, n_symbols, perplexity) for every row and its whole text.
 
     ``n_symbols`` is the number of bytes. NULL and empty texts have none and a NULL perplexity. Only the distinct runs of a
     text that may be seen and are not common are shuffled.
     """
-    kept = df.select(*keep)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)
-    schema += ", _row long, _m int, n_symbols long, _log double, _runs array<struct<code:long,c:int,f:int>>"
-    marks, bits, left, spelling = model.seen.sent(), model.seen.bits, model.left, model.spelling
+    schema = df.select(*keep).schema.add("_row", "long").add("n_symbols", "long").add("_log", "double")
+    entry = StructType().add("code", "long").add("c", "integer").add("f", "integer")
+    schema = schema.add("_runs", ArrayType(entry))
+    marks, bits, left = model.seen.sent(), model.seen.bits, model.left
     sent = df.sparkSession.sparkContext.broadcast(model.common)
     kind = pa.struct([("code", pa.int64()), ("c", pa.int32()), ("f", pa.int32())])
 
     def run(batches):
-        table = log_probabilities(spelling.value)
-        codes, gains, rests = sent.value
+        codes, gains, rests, whole = sent.value
+        known, even = _Lookup(codes), left - np.log(SYMBOLS)
         for batch in batches:
-            which = batch.column(batch.num_columns - 2).to_numpy()
             for at, held in _chunks(batch.column(batch.num_columns - 1)):
-                n, mine = len(held), which[at : at + len(held)]
-                doc, word, spelled, sizes = words_of(held, table)
-                total = np.bincount(doc, spelled + np.asarray(left)[mine[doc]], n)
-                follows = np.append(doc[1:] == doc[:-1], False) if len(doc) else np.zeros(0, bool)
-                w1, w0 = _before(doc, word, 1), _before(doc, word, 2)
-                runs = [code_of(word), code_of(word, code_of(w1)), code_of(word, code_of(w1, code_of(w0)))]
-                some = np.flatnonzero(sizes)
-                opening = code_of(np.zeros(len(some), dtype=np.uint64))
-                runs += [opening, code_of(np.zeros(len(some), dtype=np.uint64), opening)]
-                code = np.concatenate(runs)
-                owner = np.concatenate([doc, doc, doc, some, some])
-                c = np.repeat([1, 0], [3 * len(doc), 2 * len(some)])
-                f = np.concatenate([follows, follows, np.zeros(len(doc)), np.ones(2 * len(some))]).astype(np.int64)
-                seen = id_filter.hits(marks.value, (code_of(code) & np.uint64(bits - 1)).view(np.int64))
-                seen = np.union1d(seen, np.arange(3 * len(doc), len(code)))
-                code, owner, c, f = code[seen].view(np.int64), owner[seen], c[seen], f[seen]
-                place = np.minimum(np.searchsorted(codes, code), len(codes) - 1)
-                known = codes[place] == code
-                where = mine[owner[known]], place[known]
-                total += np.bincount(owner[known], c[known] * gains[where] + f[known] * rests[where], n)
-                code, owner, c, f = code[~known], owner[~known], c[~known], f[~known]
+                n, (doc, code) = len(held), runs_of(held)
+                place = known.find(code + _tag(ORDER))
+                settled = place >= 0
+                total = np.bincount(doc[settled], whole[place[settled]], n).astype(np.float64)  # of nothing, whole numbers
+                doc, code = doc[~settled], code[~settled]
+                total += even * np.bincount(doc, minlength=n)
+                runs = [(code & _mask(k)) + _tag(k) for k in range(1, ORDER + 1)]
+                before = [((code >> 8) & _mask(k)) + _tag(k) for k in range(1, ORDER)]
+                code, owner = np.concatenate([*runs, *before]), np.tile(doc, 2 * ORDER - 1)
+                as_run = np.repeat([1, 0], [ORDER * len(doc), (ORDER - 1) * len(doc)])
+                place = known.find(code)
+                hit = place >= 0
+                value = np.where(as_run[hit], gains[place[hit]], rests[place[hit]])
+                total += np.bincount(owner[hit], value, n)
+                code, owner, as_run = code[~hit], owner[~hit], as_run[~hit]
+                may = id_filter.hits(marks.value, (_spark_hash(code) & np.uint64(bits - 1)).view(np.int64))
+                code, owner, as_run = code[may], owner[may], as_run[may]
                 order = np.lexsort((code, owner))
-                code, owner = code[order], owner[order]
+                code, owner, as_run = code[order], owner[order], as_run[order]
                 new = np.flatnonzero(np.append(True, (code[1:] != code[:-1]) | (owner[1:] != owner[:-1]))) if len(code) else np.zeros(0, int)
-                c, f = (np.add.reduceat(x[order], new) if len(new) else np.zeros(0, np.int64) for x in (c, f))
+                c, f = (np.add.reduceat(x, new) if len(new) else np.zeros(0, np.int64) for x in (as_run, 1 - as_run))
                 items = pa.StructArray.from_arrays(
                     [pa.array(code[new]), pa.array(c.astype(np.int32)), pa.array(f.astype(np.int32))], fields=list(kind)
                 )
                 offsets = pa.array(np.searchsorted(owner[new], np.arange(n + 1)).astype(np.int32))
+                sizes = pa.array([len(t) for t in held], pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        *[x.slice(at, n) for x in batch.columns[:-1]], pa.array(sizes, pa.int64()), pa.array(total, pa.float64()),
-                        pa.ListArray.from_arrays(offsets, items),
-                    ],
+                    [*[x.slice(at, n) for x in batch.columns[:-1]], sizes, pa.array(total, pa.float64()), pa.ListArray.from_arrays(offsets, items)],
                     [*batch.schema.names[:-1], "n_symbols", "_log", "_runs"],
-                )
+                )
 
-    rows = df.select(*keep, F.monotonically_increasing_id().alias("_row"), F.col(m).cast("int").alias("_m"), F.col(text).alias("_text"))
-    rows = stored(rows.mapInArrow(tidy(run), schema), "word-runs")
-    runs = rows.select("_row", "_m", F.inline("_runs"))
-    values = model.values.withColumnRenamed("m", "_m")
-    added = runs.join(values.hint("merge"), ["_m", "code"]).select("_row", (F.col("c") * F.col("gain") + F.col("f") * F.col("rest")).alias("add"))
+    rows = df.select(*keep, F.monotonically_increasing_id().alias("_row"), F.col(text).alias("_text"))
+    rows = stored(rows.mapInArrow(tidy(run), schema), "text-runs")
+    asked = rows.select("_row", F.inline("_runs"))
+    added = asked.join(model.values.hint("merge"), "code").select("_row", (F.col("c") * F.col("gain") + F.col("f") * F.col("rest")).alias("add"))
     added = added.groupBy("_row").agg(F.sum("add").alias("_add"))
     out = rows.drop("_runs").join(added.hint("merge"), "_row", "left")
     value = F.exp(-(F.col("_log") + F.coalesce(F.col("_add"), F.lit(0.0))) / F.col("n_symbols"))
     return out.select(*keep, "n_symbols", F.when(F.col("n_symbols") > 0, value).alias("perplexity"))
 
 
-def _maybe(texts: DataFrame, key: str, known: DataFrame) -> DataFrame:
-    """The rows that a Bloom filter of the known keys lets through, so that only these are shuffled."""
-    keys = id_filter.KeyFilter(known, key, known.count())
-    marked = keys.sent()
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in texts.schema)
+_P1, _P2, _P3, _P4, _P5 = (
+    np.uint64(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5)
+)
+
+
+def _turned(x: np.ndarray, by: int) -> np.ndarray:
+    return x << np.uint64(by) | x >> np.uint64(64 - by)
+
+
+def _spark_hash(codes: np.ndarray) -> np.ndarray:
+    """Spark's xxhash64 of longs, by which the filter places its marks."""
+    h = (np.uint64(42) + (_P5 + np.uint64(8))) ^ _turned(codes.view(np.uint64) * _P2, 31) * _P1
+    h = _turned(h, 27) * _P1 + _P4
+    h = (h ^ h >> np.uint64(33)) * _P2
+    h = (h ^ h >> np.uint64(29)) * _P3
+    return h ^ h >> np.uint64(32)
 
-    def run(batches):
-        for batch in batches:
-            found = id_filter.hits(marked.value, batch.column(batch.num_columns - 1).to_numpy())
-            for at in range(0, len(found), 1_000):
-                some = pa.array(found[at : at + 1_000])
-                yield pa.RecordBatch.from_arrays([c.take(some) for c in batch.columns[:-1]], batch.schema.names[:-1])
 
-    return texts.select("*", keys.place(key).alias("place")).mapInArrow(tidy(run), schema)
+def _only(texts: DataFrame, key: str, known: DataFrame) -> DataFrame:
+    """The rows with a known key. The keys go to the tasks while they are few, so that no text is shuffled."""
+    few = known.count() <= MOST_KEYS
+    return texts.join(F.broadcast(known) if few else known, key, "left_semi")
 
 
 def classify(
@@ -451,30 +310,31 @@ def classify(
 ) -> DataFrame:
     """(key, lang, n_symbols, perplexity, lowest, highest, keep) for every row.
 
-    ``trusted`` holds the keys of trusted rows. A row is kept when its perplexity lies between the ``low`` quantile of the
-    trusted rows of its language and the ``high`` quantile of what these have by a model of the other half of the trusted
-    texts; equal texts are in the same half. Rows of one NULL language form a language, and a language without trusted rows
-    takes the quantiles of all trusted rows. Empty texts are not kept; without trusted rows nothing is. A key listed twice
-    counts once. Other columns are not read.
+    ``trusted`` holds the keys of trusted rows. A model of nine in ten of their texts scores every row. A row is kept when its
+    perplexity lies between the ``low`` quantile of the trusted rows of its language and the ``high`` quantile of those that
+    the model has not read; equal texts are read or not alike. Rows of one NULL language form a language, and a language
+    without such rows takes the quantiles of all. Where the unread part is empty, all trusted rows give both limits. Empty
+    texts are not kept; without trusted rows nothing is. A key listed twice counts once. Other columns are not read.
     """
-    named = df.select(F.col(key), F.col(text).alias("text"), F.coalesce(F.col(lang), F.lit("")).alias("lang"))
+    unread = F.coalesce(F.pmod(F.xxhash64(F.lit("unread"), text), F.lit(UNREAD)) == 0, F.lit(False))
+    named = df.select(F.col(key), F.col(text).alias("text"), F.coalesce(F.col(lang), F.lit("")).alias("lang"), unread.alias("unread"))
     known = stored(trusted.select(F.col(key)).where(F.col(key).isNotNull()).distinct(), "trusted")
-    # The trusted keys grow with the corpus, so they are not sent to all tasks at any size.
-    half = F.pmod(F.xxhash64(F.lit("half"), "text"), F.lit(2)).cast("int").alias("half")
-    read = stored(_maybe(named, key, known).join(known.hint("merge"), key).select("text", "lang", half), "trusted-texts")
-    model = learn_words(read)
-    scored = stored(perplexities(named.withColumn("m", F.lit(FULL)), "text", model, "m", key, "lang"), "perplexities")
-    unread = perplexities(read, "text", model, "half", "lang").where("perplexity IS NOT NULL")
-    judged = scored.join(known.hint("merge"), key).where("perplexity IS NOT NULL")
+    read = named.where("NOT unread").select(key, "text")
+    model = learn(_only(read, key, known), "text")
+    scored = stored(perplexities(named, "text", model, key, "lang", "unread"), "perplexities")
+    judged = stored(_only(scored.where("perplexity IS NOT NULL"), key, known), "judged")
+    fresh = judged.where("unread")
+    if fresh.isEmpty():
+        fresh = judged
 
     def end(share: float) -> Column:
         return F.percentile_approx("perplexity", share, 10_000).alias("end")
 
     out, everywhere = scored, {}
-    for name, rows, share in (("lowest", judged, low), ("highest", stored(unread, "unread"), high)):
-        limits = rows.groupBy("lang").agg(end(share).alias(f"_{name}"))
+    for name, rows, share in (("lowest", judged, low), ("highest", fresh, high)):
+        limits = stored(rows.groupBy("lang").agg(end(share).alias(f"_{name}")), "limits")  # one row per language
         everywhere[name] = rows.agg(end(share)).first()["end"]
-        out = out.join(F.broadcast(limits), "lang", "left")  # one row per language
+        out = out.join(limits, "lang", "left")
     out = out.withColumns({n: F.coalesce(F.col(f"_{n}"), F.lit(v).cast("double")) for n, v in everywhere.items()})
     keep = F.coalesce(F.col("perplexity").between(F.col("lowest"), F.col("highest")), F.lit(False))
     return out.select(

@@ -2,8 +2,9 @@ import random
 
 import pytest
 
+from tests import oracle
 from ticketloom.llm import quotations
-from ticketloom.llm.queries import op7_quotations
+from ticketloom.llm.queries import OP7_SQL, op7_quotations
 
 SCHEMA = "conv_id long, turn long, role string, text string, parent string"
 
@@ -88,6 +89,57 @@ def test_odd_rows(spark):
 
 
 def test_query(spark, folder):
-    rows = op7_quotations(spark, folder).collect()
-    given = spark.read.parquet(f"{folder}/conversations.parquet").collect()
-    assert sorted((r["conv_id"], r["turn"], r["body"]) for r in rows) == sorted((m["conv_id"], m["turn"], m["text"].strip()) for m in given)
+    found = op7_quotations(spark, folder)
+    assert oracle.difference(found, oracle.connect(folder), OP7_SQL) is None
+    depths = [r["depth"] for r in found.collect()]
+    assert max(depths) >= 2 and sum(d > 0 for d in depths) > len(depths) / 3
+
+
+def test_plain_messages_stay_as_they_are(spark, folder):
+    given = spark.read.parquet(f"{folder}/conversations.parquet")
+    rows = quotations.conversations(given, "conv_id", "turn", "role", "text").collect()
+    assert sorted((r["conv_id"], r["turn"], r["body"]) for r in rows) == sorted((m["conv_id"], m["turn"], m["text"].strip()) for m in given.collect())
+
+
+def brute_assembled(rows, most):
+    """(conv, root, part) -> turns and text, from per-message rows."""
+    threads = {}
+    for r in sorted(rows, key=lambda r: (r["conv_id"], r["root_turn"], r["turn"], r["role"] or "", r["body"])):
+        threads.setdefault((r["conv_id"], r["root_turn"]), []).append(r)
+    return {
+        (*key, at // most): ([m["turn"] for m in t[at : at + most]], "".join(m["formatted"] for m in t[at : at + most]))
+        for key, t in threads.items()
+        for at in range(0, len(t), most)
+    }
+
+
+def test_positions_and_assembled_conversations(spark):
+    """One conversation holds most messages, in a long thread over many partitions."""
+    rng, rows, said = random.Random(5), [], {}
+    for conv, n in ((1, 400), *((c, 6) for c in range(2, 20))):
+        for turn in range(n):
+            own = f"Words {conv} {turn} here."
+            parent = rng.randrange(turn) if turn and rng.random() < 0.97 else None
+            rows.append((conv, turn, rng.choice(["user", "assistant"]), own if parent is None else f"> {said[conv, parent]}\n{own}"))
+            said[conv, turn] = own
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "9")
+    try:
+        df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5)
+        messages = quotations.conversations(df, "conv_id", "turn", "role", "text").cache()
+        got = messages.collect()
+        built = quotations.assembled(messages, "conv_id", "turn", most=25).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    threads = {}
+    for r in got:
+        threads.setdefault((r["conv_id"], r["root_turn"]), []).append((r["position"], r["turn"]))
+        assert r["body"] == said[r["conv_id"], r["turn"]]
+    for t in threads.values():
+        assert sorted(t) == list(enumerate(sorted(turn for _, turn in t)))
+    assert max(map(len, threads.values())) > 100
+    want = brute_assembled(got, 25)
+    assert {(r["conv_id"], r["root_turn"], r["part"]): ([m["turn"] for m in r["messages"]], r["text"]) for r in built} == want
+    assert all(r["n_messages"] == len(r["messages"]) <= 25 for r in built)
+    place = {(r["conv_id"], r["turn"]): r["position"] for r in got}
+    assert all(place[r["conv_id"], r["parent_turn"]] < r["position"] for r in got if r["parent_turn"] is not None)

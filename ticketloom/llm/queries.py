@@ -174,9 +174,55 @@ def op6_quality_lm(spark: SparkSession, folder: str) -> DataFrame:
     return quality_lm.classify(table(spark, folder, "documents"), "doc_id", "text", "lang", trusted)
 
 
-@_query("op7_quotations")
+OP7_SQL = """
+WITH RECURSIVE own AS (
+  SELECT conv_id, turn, role, trim('Message ' || conv_id || ' ' || turn || ' ' ||
+    regexp_replace(coalesce(text, ''), '[^\\p{L}\\p{N}]+', ' ', 'g')) AS body,
+    CASE WHEN (conv_id * 31 + turn * 7) % 5 > 0 AND turn > 0 THEN turn - 1 - (conv_id + turn) % least(turn, 3) END AS asked
+  FROM conversations
+), firsts AS (
+  SELECT conv_id, turn, min(asked) AS asked FROM own GROUP BY conv_id, turn
+), linked AS (
+  SELECT o.*, p.turn AS parent, g.turn AS grand FROM own o LEFT JOIN firsts p ON p.conv_id = o.conv_id AND p.turn = o.asked
+  LEFT JOIN firsts g ON g.conv_id = p.conv_id AND g.turn = p.asked
+), edges AS (
+  SELECT DISTINCT conv_id, turn, parent FROM linked
+), reach AS (
+  SELECT conv_id, turn, turn AS root, 0 AS depth FROM edges WHERE parent IS NULL
+  UNION ALL SELECT e.conv_id, e.turn, r.root, r.depth + 1 FROM edges e JOIN reach r ON r.conv_id = e.conv_id AND r.turn = e.parent
+)
+SELECT conv_id, turn, role, parent AS parent_turn, root AS root_turn, CAST(depth AS INTEGER) AS depth,
+  row_number() OVER (PARTITION BY conv_id, root ORDER BY turn, role, body) - 1 AS position,
+  CASE WHEN parent IS NULL THEN 0 WHEN grand IS NULL THEN 1 ELSE 2 END AS n_quotes, body,
+  '<|' || role || '|>' || chr(10) || body || chr(10) AS formatted
+FROM linked JOIN reach USING (conv_id, turn)
+"""
+
+
+def quoting_messages(messages: DataFrame) -> DataFrame:
+    """The messages of the table, of which most quote an earlier one of their conversation with what that one quoted. A message
+    is one line under its own number, so that every quoted sentence has one writer."""
+    words = F.regexp_replace(F.coalesce("text", F.lit("")), r"[^\p{L}\p{N}]+", " ")
+    body = F.trim(F.concat(F.lit("Message "), F.col("conv_id"), F.lit(" "), F.col("turn"), F.lit(" "), words))
+    back = F.col("turn") - 1 - (F.col("conv_id") + F.col("turn")) % F.least("turn", F.lit(3))
+    asks = ((F.col("conv_id") * 31 + F.col("turn") * 7) % 5 > 0) & (F.col("turn") > 0)
+    own = messages.select("conv_id", "turn", "role", body.alias("body"), F.when(asks, back).alias("asked"))
+    firsts = own.groupBy("conv_id", "turn").agg(F.min("body").alias("quoted"), F.min("asked").alias("asked"))
+
+    def quoted(name: str) -> DataFrame:
+        return firsts.select("conv_id", F.col("turn").alias(f"{name}_turn"), F.col("quoted").alias(name), F.col("asked").alias(f"{name}_asked"))
+
+    out = own.join(quoted("parent").withColumnRenamed("parent_turn", "asked"), ["conv_id", "asked"], "left")
+    out = out.join(quoted("grand").withColumnRenamed("grand_turn", "parent_asked"), ["conv_id", "parent_asked"], "left")
+    deeper = F.when(F.col("grand").isNotNull(), F.concat(F.lit("\n>> "), F.col("grand"))).otherwise("")
+    answer = F.concat(F.lit("Someone wrote:\n> "), F.col("parent"), deeper, F.lit("\n"), F.col("body"))
+    return out.select("conv_id", "turn", "role", F.when(F.col("parent").isNotNull(), answer).otherwise(F.col("body")).alias("text"))
+
+
+@_query("op7_quotations", OP7_SQL)
 def op7_quotations(spark: SparkSession, folder: str) -> DataFrame:
-    return quotations.conversations(table(spark, folder, "conversations"), "conv_id", "turn", "role", "text")
+    messages = quoting_messages(table(spark, folder, "conversations"))
+    return quotations.conversations(messages, "conv_id", "turn", "role", "text")
 
 
 @_query("op8_byte_bpe")

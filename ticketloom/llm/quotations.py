@@ -3,15 +3,17 @@
 Messages are parsed into their own text and quoted passages with nesting levels. Quoted passages and own texts are cut into
 sentences, normalised and hashed; a join inside each conversation finds the message that first wrote a quoted sentence.
 The outermost passage names the message that is answered. Following the answers gives threads, in which every message
-stands after the one it answers.
+stands after the one it answers, and conversations are built from the messages of a thread in that order, without quotes.
 """
 
 from __future__ import annotations
 
 import re
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ticketloom.llm.memory import tidy
@@ -126,23 +128,83 @@ def _roots(answers: DataFrame) -> DataFrame:
         ), "threads")
 
 
+def _numbered(rows: DataFrame, group: list[str], order: list[str]) -> DataFrame:
+    """``rows`` with ``position``: how many rows of the group stand before, in the given order.
+
+    Rows are sorted over range partitions and numbered where they lie, so a group that holds a third of all rows is numbered
+    by many tasks. A task's numbers go on where those of the tasks before it ended; a row per task and group that reaches
+    over several tasks tells where, at most two per task.
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = rows.repartitionByRange(parts, *group, *order).sortWithinPartitions(*group, *order)
+    packed = placed.select(F.xxhash64(*group).alias("_group"), F.struct("*").alias("_row"))
+    schema = packed.select("_row").schema.add("_group", "long").add("_task", "integer").add("_local", "long")
+
+    def run(batches):
+        task, open_group, count = TaskContext.get().partitionId(), None, 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            mine = batch.column(0).to_numpy()
+            edges = np.flatnonzero(np.append(True, mine[1:] != mine[:-1]))
+            local = np.arange(len(mine)) - np.repeat(edges, np.diff(np.append(edges, len(mine))))
+            if mine[0] == open_group:
+                first = edges[1] if len(edges) > 1 else len(mine)
+                local[:first] += count
+            open_group, count = mine[-1], int(local[-1]) + 1
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(1), batch.column(0), pa.array(np.full(len(mine), task), pa.int32()), pa.array(local, pa.int64())],
+                ["_row", "_group", "_task", "_local"],
+            )
+
+    found = stored(packed.mapInArrow(tidy(run), schema), "numbered")
+    sizes = found.groupBy("_group", "_task").agg(F.count(F.lit(1)).alias("n"))
+    wide = sizes.groupBy("_group").agg(F.count(F.lit(1)).alias("tasks")).where("tasks > 1").select("_group")
+    before = Window.partitionBy("_group").orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.join(wide, "_group").withColumn("_start", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
+    joined = found.join(F.broadcast(starts), ["_group", "_task"], "left")
+    return joined.select("_row.*", (F.col("_local") + F.coalesce("_start", F.lit(0))).alias("position"))
+
+
+#: Messages in a row of ``assembled``; a longer thread goes on in the next row.
+MOST_MESSAGES = 500
+
+
+def assembled(messages: DataFrame, conv: str, turn: str, most: int = MOST_MESSAGES) -> DataFrame:
+    """(conv, root_turn, part, n_messages, messages, text): the threads of ``conversations`` as rows of at most ``most``
+    messages (position, turn, role, body) in the order of their positions, and their formatted texts one after the other.
+    A longer thread goes on in its next ``part``, so no row grows with a thread."""
+    part = F.floor(F.col("position") / most).cast("int")
+    entry = F.struct("position", F.col(turn).alias("turn"), "role", "body", "formatted")
+    rows = messages.groupBy(conv, "root_turn", part.alias("part")).agg(F.array_sort(F.collect_list(entry)).alias("m"))
+    plain = F.transform("m", lambda e: F.struct(e["position"].alias("position"), e["turn"].alias("turn"), e["role"].alias("role"), e["body"].alias("body")))
+    return rows.select(
+        conv, "root_turn", "part", F.size("m").alias("n_messages"), plain.alias("messages"),
+        F.array_join(F.transform("m", lambda e: e["formatted"]), "").alias("text"),
+    )
+
+
 def conversations(df: DataFrame, conv: str, turn: str, role: str, text: str) -> DataFrame:
-    """(conv, turn, role, parent_turn, root_turn, depth, n_quotes, body, formatted) for every message.
+    """(conv, turn, role, parent_turn, root_turn, depth, position, n_quotes, body, formatted) for every message.
 
-    In the order (conv, root_turn, turn) each message follows the one it answers. ``parent_turn`` is NULL when nothing it
+    ``position`` counts the messages before it in its thread, in the order of turns, so each message follows the one it
+    answers; messages of equal turns follow each other by role and body. ``parent_turn`` is NULL when nothing it
     quotes was written before in the conversation; such a message begins its own thread at depth 0. A NULL text is empty;
-    messages with a NULL conversation or turn are kept as they are, without links. Rows with equal conversation and turn
-    share their links. ``formatted`` is the body under its role. Other columns are not read.
+    messages with a NULL conversation or turn are kept as they are, without links, and those of a NULL conversation or root
+    are numbered together. Rows with equal conversation and turn share their links. ``formatted`` is the body under its role.
+    Other columns are not read.
     """
     plain = df.select(F.col(conv).alias("conv"), F.col(turn).alias("turn"), F.col(role).alias("role"), F.col(text).alias("text"))
     messages = stored(parsed(plain, "text", "conv", "turn", "role"), "messages")
     answers = stored(_answers(messages), "answers")
     roots = _roots(answers)
     out = messages.join(answers, ["conv", "turn"], "left").join(roots, ["conv", "turn"], "left")
+    out = out.select("conv", F.coalesce("root", "turn").alias("root"), "turn", "role", "body", "parent", "depth", "quotes")
+    out = _numbered(out, ["conv", "root"], ["turn", "role", "body"])
     label = F.coalesce("role", F.lit("unknown"))
     return out.select(
         F.col("conv").alias(conv), F.col("turn").alias(turn), F.col("role").alias(role),
-        F.col("parent").alias("parent_turn"), F.coalesce("root", "turn").alias("root_turn"),
-        F.coalesce("depth", F.lit(0)).alias("depth"), F.size("quotes").alias("n_quotes"), "body",
+        F.col("parent").alias("parent_turn"), F.col("root").alias("root_turn"),
+        F.coalesce("depth", F.lit(0)).alias("depth"), "position", F.size("quotes").alias("n_quotes"), "body",
         F.concat(F.lit("<|"), label, F.lit("|>\n"), "body", F.lit("\n")).alias("formatted"),
     )

@@ -85,6 +85,14 @@ def test_tiles_decide_what_pivots_leave(documents, monkeypatch, chunk):
     assert answer(documents, rows) == brute(rows)
 
 
+@pytest.mark.parametrize("most", [2, 12])
+def test_groups_beyond_a_task(documents, monkeypatch, most):
+    """Members of large groups stay where they are; links and components are the same."""
+    monkeypatch.setattr(ngram_join, "MOST_POSTINGS", most)
+    rows = corpus(random.Random(3))
+    assert answer(documents, rows) == brute(rows)
+
+
 def test_odd_rows(documents):
     rows = [
         (9, "one two three"), (4, "ONE two\tthree"), (3, "one two three four five six seven"), (2, None), (1, ""), (5, " \n "),

@@ -34,6 +34,8 @@ SKETCH = 1 << 16
 WORDS_PER_STEP = 1 << 21
 #: Groups of up to this many sets give all their pairs at once.
 SMALL_GROUP = 8
+#: Members of a group that a task takes at most.
+MOST_POSTINGS = 200_000
 BLOOM_BITS = 1 << 23
 #: Bytes of one of Spark's bitmap buckets.
 BITMAP_BYTES = 4096
@@ -160,25 +162,57 @@ GROUPS = f"tile long, {PAIR}"
 def _groups(classes: DataFrame, limit: Threshold) -> DataFrame:
     """Candidates from classes that share a leading shingle: pairs (a, b) of small groups with a NULL tile, and members b
     of large groups with the tile and its pivot a; n_a and n_b are their sizes. A tile is named by its members, so equal
-    groups are one tile."""
+    groups are one tile.
+
+    A group of up to MOST_POSTINGS lies in one task. The members of a larger one stay where they are: its pivot and name are
+    added up in the tasks and sent to them.
+    """
     postings = classes.select(F.explode("leading").alias("shingle"), "id", "n")
+    hot = _hot(postings)
     parts = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sorted_postings = postings.repartition(parts, "shingle").sortWithinPartitions("shingle", "id")
+    usual = postings if hot is None else postings.join(F.broadcast(hot), "shingle", "left_anti")
+    sorted_postings = usual.repartition(parts, "shingle").sortWithinPartitions("shingle", "id")
 
     def run(batches):
-        rest = None
+        held = []
         for batch in batches:
             columns = [batch.column(k).to_numpy() for k in range(3)]
-            if rest is not None:
-                columns = [np.concatenate([r, c]) for r, c in zip(rest, columns)]
+            if not len(columns[0]):
+                continue
             cut = int(np.searchsorted(columns[0], columns[0][-1]))  # the last group may go on
-            rest = [c[cut:] for c in columns]
-            if cut:
-                yield from _emit([c[:cut] for c in columns], limit)
-        if rest is not None:
-            yield from _emit(rest, limit)
-
-    return sorted_postings.mapInArrow(tidy(run), GROUPS).distinct()
+            if cut or held and held[-1][0][-1] != columns[0][0]:
+                held.append([c[:cut] for c in columns])
+                yield from _emit([np.concatenate(c) for c in zip(*held)], limit)
+                held = []
+            held.append([c[cut:] for c in columns])
+        if held:
+            yield from _emit([np.concatenate(c) for c in zip(*held)], limit)
+
+    found = sorted_postings.mapInArrow(tidy(run), GROUPS)
+    return (found if hot is None else found.unionByName(_members(postings, hot))).distinct()
+
+
+def _hot(postings: DataFrame) -> DataFrame | None:
+    """(shingle) of the groups with more than MOST_POSTINGS members; None without any. Buckets of shingles are counted first,
+    of which there are SKETCH whatever the input, then the shingles of large buckets."""
+    bucket = F.pmod("shingle", F.lit(SKETCH))
+    sizes = postings.groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+    large = [r["bucket"] for r in sizes.where(F.col("n") > MOST_POSTINGS).collect()]
+    if not large:
+        return None
+    counts = postings.where(bucket.isin(large)).groupBy("shingle").agg(F.count(F.lit(1)).alias("n"))
+    hot = stored(counts.where(F.col("n") > MOST_POSTINGS).select("shingle"), "hot-shingles")
+    return None if hot.isEmpty() else hot
+
+
+def _members(postings: DataFrame, hot: DataFrame) -> DataFrame:
+    """The members of large groups beside the tile and its pivot."""
+    mine = postings.join(F.broadcast(hot), "shingle")
+    name = F.xxhash64(F.bit_xor(F.xxhash64("id")), F.bit_xor(F.xxhash64(F.lit(1), "id")), F.count(F.lit(1)))
+    groups = stored(mine.groupBy("shingle").agg(name.alias("tile"), F.min(F.struct("id", "n")).alias("p")), "hot-groups")
+    return mine.join(F.broadcast(groups), "shingle").select(
+        "tile", F.col("p.id").alias("a"), F.col("id").alias("b"), F.col("p.n").alias("n_a"), F.col("n").alias("n_b")
+    )
 
 
 def _emit(columns: list[np.ndarray], limit: Threshold):
@@ -342,12 +376,14 @@ def similar_groups(df: DataFrame, key: str, text: str, limit: Threshold = Thresh
     classes = stored(filled.groupBy(*digest).agg(F.min("id").alias("id")), "classes")
     named = ["id", *digest]
     chosen = filled.join(classes, named, "left_semi").groupBy(*named).agg(F.first("leading").alias("leading"))
+    chosen = stored(chosen, "chosen")
     groups = stored(_groups(chosen, limit), "groups")
     involved = stored(groups.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "involved")
     known = stored(sets.join(classes, named, "left_semi").join(involved, "id", "left_semi")
                    .groupBy("id", "n").agg(F.first("bitmap").alias("bitmap")), "known")
     large = groups.where("tile IS NOT NULL").select("tile", "a", "n_a", F.col("b").alias("id"), F.col("n_b").alias("n"))
-    second = large.groupBy("tile").agg(F.min_by(F.struct("id", "n"), F.xxhash64("id")).alias("p"))
+    # A row per tile; written, so that Spark sends it to the tasks while it is small.
+    second = stored(large.groupBy("tile").agg(F.min_by(F.struct("id", "n"), F.xxhash64("id")).alias("p")), "pivots")
     # Groups with the same two pivots are nearly the same sets; together they are one tile, in which all of them meet.
     merged = large.join(second, "tile").select(
         F.xxhash64("a", "p.id").alias("tile"), "a", "n_a", F.col("p.id").alias("p"), F.col("p.n").alias("n_p"), "id", "n"
@@ -371,6 +407,6 @@ def similar_groups(df: DataFrame, key: str, text: str, limit: Threshold = Thresh
 def _apart(members: DataFrame, components: DataFrame) -> DataFrame:
     """(tile, id, n, component) of the groups whose members are not all in one component yet."""
     tied = members.join(components.withColumnRenamed("node", "id"), "id", "left")
-    tied = tied.select("tile", "id", "n", F.coalesce("component", "id").alias("component"))
+    tied = stored(tied.select("tile", "id", "n", F.coalesce("component", "id").alias("component")), "tied")
     ends = tied.groupBy("tile").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-    return tied.join(ends.where("low != high").select("tile"), "tile")
+    return tied.join(stored(ends.where("low != high").select("tile"), "open-tiles"), "tile")

@@ -182,11 +182,22 @@ def learn(trusted: DataFrame, text: str) -> Model:
     # A run is in the tables as itself and as a context.
     values = parts.groupBy("code").agg(*[F.sum(c).alias(c) for c in ("gain", "rest", "whole", "raw")])
     values = stored(values, "values")
-    most = values.orderBy(F.desc("raw"), "code").limit(COMMON).select("code", "gain", "rest", "whole").toPandas()
-    most = most.sort_values("code")
-    common = most["code"].to_numpy(dtype=np.int64), *(most[c].to_numpy(dtype=np.float64).astype(np.float32) for c in ("gain", "rest", "whole"))
     codes = values.select("code")
-    return Model(values.select("code", "gain", "rest"), left, common, id_filter.KeyFilter(codes, "code", codes.count()))
+    return Model(values.select("code", "gain", "rest"), left, _common(values), id_filter.KeyFilter(codes, "code", codes.count()))
+
+
+def _common(values: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Codes in order, gains, rests and whole log probabilities of all runs that occur more often than some number, which is
+    the least that leaves at most COMMON runs."""
+    often = F.least(F.floor(F.log2(F.greatest("raw", F.lit(1))) * 64), F.lit(64 * 63))
+    sizes = sorted(values.groupBy(often.alias("often")).count().collect(), reverse=True)  # at most 64 * 64 rows
+    reach = np.cumsum([r["count"] for r in sizes])
+    fits = [r["often"] for r, n in zip(sizes, reach) if n <= COMMON]
+    least = fits[-1] if fits else 64 * 64
+    names = ["gain", "rest", "whole"]
+    most = values.where(often >= least).select("code", *[F.col(c).cast("float") for c in names]).toArrow()
+    order = np.argsort(most["code"].to_numpy())
+    return most["code"].to_numpy()[order], *(most[c].to_numpy().astype(np.float32)[order] for c in names)
 
 
 class _Lookup:

@@ -77,3 +77,14 @@ def test_query(spark, folder):
 def test_empty_table(spark, documents, path):
     token_files.write_token_files(documents([]), "doc_id", "text", PATH, path, parts=2)
     assert token_files.read_token_files(spark, path).collect() == []
+
+
+def test_other_definitions_are_refused(tmp_path):
+    with pytest.raises(ValueError):
+        token_files.read_definition(public_tokenizers.path("byte_bpe_50k.json"))
+    text = open(PATH, encoding="utf-8").read()
+    assert token_files.read_definition(PATH) == text
+    other = tmp_path / "other.json"
+    other.write_text(text.replace('"Lowercase"', '"NFD"'), encoding="utf-8")
+    with pytest.raises(ValueError):
+        token_files.read_definition(str(other))

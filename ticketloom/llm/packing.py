@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ticketloom.llm.memory import tidy
-from ticketloom.llm.token_files import _WordCache
+from ticketloom.llm.token_files import _WordCache, read_definition
 
 CAPACITY = 2048
 #: Windows that a task holds open; their ids take at most 32 MB.
@@ -145,8 +145,7 @@ def pack(
         raise ValueError(f"the key column has the name of a result: {key}")
     if capacity < 1 or most_open < 1:
         raise ValueError("a window holds one id at least, and one window is open at least")
-    with open(tokenizer_json, encoding="utf-8") as source:
-        sent = df.sparkSession.sparkContext.broadcast(source.read())
+    sent = df.sparkSession.sparkContext.broadcast(read_definition(tokenizer_json))
     kind = df.schema[key].dataType.simpleString()
     docs = df.select(F.col(key).alias(key), F.coalesce(F.col(text), F.lit("")))
 

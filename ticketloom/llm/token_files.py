@@ -7,6 +7,7 @@ all its words of one selector at once. Spark's writer commits the files, so a ta
 
 from __future__ import annotations
 
+import json
 import os
 import sys
 import types
@@ -24,6 +25,8 @@ from ticketloom.llm.memory import tidy
 from ticketloom.llm.shingles import WordHasher
 
 IDS_PER_BLOCK = 1 << 16
+#: Fixed value: how a definition must cut words.
+WORD_RULE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Text whose distinct words are encoded together, and words sent to the tokenizer at a time.
 CHARS_PER_ROUND = 24_000_000
 WORDS_PER_CALL = 20_000
@@ -31,6 +34,20 @@ WORDS_PER_CALL = 20_000
 MOST_WORDS = 1_000_000
 
 
+def read_definition(path: str) -> str:
+    """The definition in a file of the tokenizers library. Its words must be such that a text's ids are those of its words in
+    turn: lower case, white space dropped, and runs of letters, digits or signs by themselves; others are an error."""
+    with open(path, encoding="utf-8") as source:
+        text = source.read()
+    parts = json.loads(text)
+    kinds = [n.get("type") for n in (parts.get("normalizer") or {}).get("normalizers", [])]
+    split = ((parts.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0]
+    rule = split.get("pattern", {}).get("Regex"), split.get("behavior"), split.get("invert")
+    if kinds != ["NFC", "Replace", "Lowercase"] or rule != (WORD_RULE, "Removed", True) or parts["model"].get("end_of_word_suffix") != "</w>":
+        raise ValueError(f"{path} does not define a vocabulary of lower-case words with ends")
+    return text
+
+
 class _WordCache:
     """Ids of texts, each distinct word encoded once.
 
@@ -199,14 +216,13 @@ def write_token_files(
 ) -> None:
     """Encodes every whole text and writes the ids in ascending order of ``key`` to ``path``.
 
-    ``tokenizer_json`` is the path of a definition for the tokenizers library, read on the driver. Strings of special
+    ``tokenizer_json`` is the path of a definition for the tokenizers library, read and checked on the driver. Strings of special
     tokens inside a text are ordinary text. A NULL text counts as empty: only the end id. Rows with equal keys are
     written each, ordered by the hash of their text; a NULL key comes first. Other columns are not read; an empty table
     writes no block. ``parts`` is the number of range partitions, from the session unless given.
     """
     spark = df.sparkSession
-    with open(tokenizer_json, encoding="utf-8") as source:
-        sent = spark.sparkContext.broadcast(source.read())
+    sent = spark.sparkContext.broadcast(read_definition(tokenizer_json))
     key_type = df.schema[key].dataType.simpleString()
     docs = df.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     docs = docs.withColumn("tie", F.xxhash64("text"))

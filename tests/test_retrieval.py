@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ticketloom.operators import containment, dense, fusion, lexical, posting_index
+from ticketloom.operators import containment, dense, fusion, lexical, posting_index, quantized
 
 WORDS = ["alpha", "beta", "gamma", "delta", "eps", "zeta", "hot"]
 
@@ -303,3 +303,83 @@ def test_rounding_is_one_rule(spark):
     values = [0.0000005, 0.1234565, 2.5000015, 0.1, 1 / 3]
     df = spark.createDataFrame([(v,) for v in values], "v double")
     assert [r[0] for r in df.select(rounded_column(F.col("v"))).collect()] == rounded(np.array(values)).tolist()
+
+
+def brute_dense(vectors, queries, k, exclude_self=False):
+    out = []
+    for q, v in queries:
+        scored = sorted((-round(float(np.dot(v, x)), 6), d) for d, x in vectors if not (exclude_self and d == q))
+        out += [(q, d, -s, r) for r, (s, d) in enumerate(scored[:k], 1)]
+    return sorted(out)
+
+
+@pytest.fixture(scope="module")
+def grouped_points(spark):
+    """Vectors around centres, a third of them copies, with some far out, equal, zero and missing."""
+    rng = np.random.default_rng(8)
+    middle = rng.normal(size=(12, 16))
+    x = middle[rng.integers(0, 12, 900)] + rng.normal(size=(900, 16)) * 0.15
+    x[600:] = x[5]
+    x[7], x[8] = 0, 40 * x[8]
+    points = [(i, [float(v) for v in row]) for i, row in enumerate(x)]
+    return points, spark.createDataFrame([*points, (9_000, None)], "vec_id long, embedding array<double>").repartition(3)
+
+
+@pytest.mark.parametrize("max_sent", [10**7, 500])
+def test_quantized_search_is_exact(spark, grouped_points, index_folder, max_sent):
+    points, df = grouped_points
+    index = quantized.write_index(df, "vec_id", "embedding", index_folder(), cells=9, sample_rows=300)
+    asked = df.where("vec_id % 30 = 0 OR vec_id IN (7, 8, 9000)")
+    for own in (False, True):
+        got = quantized.search(index, asked, "vec_id", "embedding", df, "vec_id", "embedding", 6, own, max_sent)
+        assert rows(got) == brute_dense(points, [p for p in points if p[0] % 30 == 0 or p[0] in (7, 8)], 6, own)
+
+
+def test_quantized_search_reads_few_vectors(spark, index_folder):
+    rng = np.random.default_rng(2)
+    middle = rng.normal(size=(40, 64))
+    x = middle[rng.integers(0, 40, 6_000)] + rng.normal(size=(6_000, 64)) * 0.4
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, row.tolist()) for i, row in enumerate(x)], "vec_id long, embedding array<double>")
+    index = quantized.write_index(df, "vec_id", "embedding", index_folder(), cells=32)
+    asked = df.where("vec_id % 500 = 0")
+    pairs, _ = quantized.candidates(index, asked, "vec_id", "embedding", 5)
+    assert pairs.count() < 0.25 * 12 * 6_000
+    got = quantized.search(index, asked, "vec_id", "embedding", df, "vec_id", "embedding", 5)
+    points = list(enumerate(x))
+    assert rows(got) == brute_dense(points, [p for p in points if p[0] % 500 == 0], 5)
+
+
+def test_quantized_edges(spark, grouped_points, index_folder):
+    points, df = grouped_points
+    none = df.where("false")
+    empty = quantized.write_index(none, "vec_id", "embedding", index_folder())
+    assert quantized.search(empty, df.limit(3), "vec_id", "embedding", none, "vec_id", "embedding").collect() == []
+    few = df.where("vec_id < 3")
+    index = quantized.write_index(few, "vec_id", "embedding", index_folder())
+    assert quantized.search(index, none, "vec_id", "embedding", few, "vec_id", "embedding").collect() == []
+    got = quantized.search(index, few, "vec_id", "embedding", few, "vec_id", "embedding", 10)
+    assert rows(got) == brute_dense(points[:3], points[:3], 10)
+    with pytest.raises(ValueError):
+        quantized.fit_quantizer(df, "embedding", cells=0)
+
+
+def test_tfidf(spark, corpus):
+    from ticketloom.functions import text as T
+
+    docs = [*corpus[0], (5_000, None), (5_001, "only rare words")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    counts = {d: Counter((t or "").split()) for d, t in docs}
+    found = Counter(t for c in counts.values() for t in c)
+    total = sum(counts.values(), Counter())
+    kept = sorted((t for t, n in found.items() if 2 <= n <= 0.95 * len(docs)), key=lambda t: (-total[t], t))[:5]
+    want = {}
+    for d, c in counts.items():
+        weights = {t: c[t] * (math.log((1 + len(docs)) / (1 + found[t])) + 1) for t in kept if c[t]}
+        length = math.sqrt(sum(w * w for w in weights.values()))
+        want |= {(d, t): (c[t], found[t], w / length) for t, w in weights.items()}
+    got = {(r["doc_id"], r["term"]): r for r in lexical.tfidf(df, "doc_id", T.tokens(F.col("text")), max_features=5).collect()}
+    assert set(got) == set(want)
+    for key, (tf, n, weight) in want.items():
+        assert (got[key]["tf"], got[key]["df"]) == (tf, n) and got[key]["weight"] == pytest.approx(weight)
+    assert lexical.tfidf(df.where("false"), "doc_id", T.tokens(F.col("text"))).collect() == []

@@ -103,3 +103,36 @@ def test_counts_while_writing(spark, root):
     assert counts == {"total": 10, "inserted": 3, "skipped": 3, "errors": 4, "broken small": 3, "broken named": 1}
     _, none = snapshots.insert_checked(after, frame(spark, []), F.col("n"), rules)
     assert set(none.values()) == {0}
+
+
+def test_changes_are_applied(spark, root):
+    table = snapshots.create(frame(spark, STORED[:200]), root, "k", 16)
+    gone = spark.createDataFrame([("k3",), ("nobody",)], "k string")
+    after = snapshots.apply_changes(table, frame(spark, [("k7", "new", 1), ("x", "new", 2)]), gone)
+    kept = [r for r in STORED[:200] if r[0] not in ("k3", "k7")]
+    assert rows(after.read()) == sorted([*kept, ("k7", "new", 1), ("x", "new", 2)], key=repr)
+    assert sum(after.folders.get(b) == p for b, p in table.folders.items()) >= 12
+
+
+def test_refresh_encodes_only_changes(spark, root):
+    from ticketloom.operators import chunk_index, dense
+
+    texts = {f"c{i}": f"chunk number {i} of words" for i in range(120)} | {"empty": ""}
+    chunks = lambda given: spark.createDataFrame(list(given.items()), "chunk_id string, content string")
+    table = chunk_index.build(chunks(texts), root, buckets=16)
+    now = {k: (t + " changed" if k in ("c5", "c50") else t) for k, t in texts.items() if k not in ("c7", "empty")} | {"new": "fresh", "none": None}
+    seen = spark.sparkContext.accumulator(0)
+
+    def counting(tokens):
+        seen.add(len(tokens))
+        return dense.hashed_tf_encoder()(tokens)
+
+    after, counts = chunk_index.refresh(table, chunks(now), encoder=counting)
+    assert counts == {"encoded": 4, "removed": 2, "kept": 117} and seen.value == 4
+    whole = chunk_index.build(chunks(now), root + "-whole", buckets=16)
+    plain = lambda t: sorted((r["chunk_id"], r["content_hash"], list(r["embedding"])) for r in t.read().collect())
+    assert plain(after) == plain(whole)
+    assert {r["chunk_id"] for r in after.read().where("refresh = 1").collect()} == {"c5", "c50", "new", "none"}
+    assert sum(after.folders.get(b) == p for b, p in table.folders.items()) >= 8
+    same, counts = chunk_index.refresh(after, chunks(now))
+    assert same is after and counts == {"encoded": 0, "removed": 0, "kept": 121}

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from ticketloom import vocab
+from ticketloom.functions import edits
 
 
 def literal_map(entries: dict) -> Column:
@@ -123,9 +124,9 @@ def preview(text: Column, size: int = 300) -> Column:
 
 
 def modification_share(draft: Column, final: Column) -> Column:
-    """Edit distance over the longer length."""
+    """Edit distance over the longer length, by whole texts of any script."""
     longest = F.greatest(F.length(draft), F.length(final))
-    return F.when(longest == 0, F.lit(0.0)).otherwise(F.levenshtein(draft, final) / longest)
+    return F.when(longest == 0, F.lit(0.0)).otherwise(edits.edit_distance(draft, final) / longest)
 
 
 def acceptance_band(share: Column, rejected: Column | None = None) -> Column:

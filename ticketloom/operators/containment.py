@@ -1,7 +1,9 @@
 """Which passages occur word for word in which documents.
 
-Each passage is represented by one anchor, a run of its inner words, which any text that holds the passage holds too. The
-anchors are joined with all runs of words of the documents by hash, and only the rows that meet are compared as text.
+Each passage is represented by one anchor, a run of its inner words, which any text that holds the passage holds too. A
+passage of one or two words, which may begin or end inside a word, has characters as its anchor: the first of a single word,
+or those around the gap. The anchors are joined with all such runs of the documents by hash, and only the rows that meet are
+compared as text.
 """
 
 from __future__ import annotations
@@ -11,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: Words in an anchor; shorter passages have shorter ones.
 ANCHOR_WORDS = 3
+#: Characters in the anchor of a passage without inner words, on each side of a gap.
+ANCHOR_LETTERS = 3
 #: Characters of passages sent to all tasks; more are joined by a shuffle and compared in a second pass.
 MOST_SENT = 32_000_000
 _GAP = r"\s+"
@@ -24,7 +28,9 @@ def _runs(words: Column, width: int) -> Column:
 
 
 def _anchors(passages: DataFrame) -> DataFrame:
-    """(query_id, query_text, width, anchor): the run of inner words with the most characters; width 0 without inner words.
+    """(query_id, query_text, width, left, right, anchor): the run of inner words with the most characters. Without inner
+    words, width 0 and the anchor of characters: ``left`` from the start of a single word, where ``right`` is NULL, or as many
+    before and after a gap.
 
     The first and the last word may be cut out of longer ones in a document, so they are left out.
     """
@@ -38,7 +44,37 @@ def _anchors(passages: DataFrame) -> DataFrame:
     anchor = F.lit(None).cast("long")
     for k in range(1, ANCHOR_WORDS + 1):
         anchor = F.when(F.col("width") == k, F.xxhash64(*[F.get("_run", i) for i in range(k)])).otherwise(anchor)
-    return chosen.select("query_id", "query_text", "width", anchor.alias("anchor"))
+    first, second = F.get(words, F.lit(0)), F.get(words, F.lit(1))
+    left, right = F.least(F.length(first), F.lit(ANCHOR_LETTERS)), F.least(F.length(second), F.lit(ANCHOR_LETTERS))
+    single = F.col("width").isNotNull() & (F.size(words) == 1)
+    letters = F.when(single, F.xxhash64(F.substring(first, F.lit(1), left))).otherwise(_around_gap(first, second, left, right))
+    short = F.col("width") == 0
+    return chosen.select(
+        "query_id", "query_text", "width", F.when(short, left).alias("left"), F.when(short & ~single, right).alias("right"),
+        F.when(short, letters).otherwise(anchor).alias("anchor"),
+    )
+
+
+def _around_gap(first: Column, second: Column, left: Column, right: Column) -> Column:
+    """Hash of the last ``left`` characters of a word and the first ``right`` of the next."""
+    return F.xxhash64(F.substring(first, F.length(first) - left + 1, left), F.substring(second, F.lit(1), right))
+
+
+def _letters(words: Column, left: int, right: int | None) -> Column:
+    """The anchors of characters that a text offers, each once: all runs of ``left`` characters inside words, or those around
+    its gaps."""
+    if right is None:
+        runs = F.transform(
+            F.filter(words, lambda w: F.length(w) >= left),
+            lambda w: F.transform(
+                F.sequence(F.lit(1), F.length(w) - (left - 1)), lambda i: F.xxhash64(F.substring(w, i, F.lit(left)))
+            ),
+        )
+        return F.array_distinct(F.flatten(runs))
+    after = F.slice(words, F.lit(2), F.greatest(F.size(words) - 1, F.lit(0)))
+    pairs = F.slice(F.arrays_zip(words.alias("a"), after.alias("b")), F.lit(1), F.greatest(F.size(words) - 1, F.lit(0)))
+    wide = F.filter(pairs, lambda p: (F.length(p["a"]) >= left) & (F.length(p["b"]) >= right))
+    return F.array_distinct(F.transform(wide, lambda p: _around_gap(p["a"], p["b"], F.lit(left), F.lit(right))))
 
 
 def contained_passages(docs: DataFrame, key: str, text: str, passages: DataFrame, most_sent: int = MOST_SENT) -> DataFrame:
@@ -48,20 +84,21 @@ def contained_passages(docs: DataFrame, key: str, text: str, passages: DataFrame
     documents lie; more are joined on the anchor and then with the texts. Both ways give the same rows.
     """
     anchored = _anchors(passages)
-    sizes = anchored.groupBy("width").agg(F.sum(F.length("query_text")).alias("n")).collect()  # one row per width
+    # One row per kind of anchor: at most 4 x 5 + 3.
+    sizes = anchored.groupBy("width", "left", "right").agg(F.sum(F.length("query_text")).alias("n")).collect()
     listed = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("_text"), F.split(F.col(text), _GAP).alias("_words"))
     small = sum(r["n"] for r in sizes) <= most_sent
     found = []
-    for width in sorted(r["width"] for r in sizes):
-        mine = anchored.where(F.col("width") == width).drop("width")
-        if width == 0:  # no inner word to look for: each of these few short strings meets every text
-            found.append(listed.join(F.broadcast(mine), F.contains("_text", "query_text")).select("query_id", "doc_id"))
-        elif small:
-            runs = listed.select("doc_id", "_text", F.explode(_runs(F.col("_words"), width)).alias("anchor"))
+    for width, left, right in sorted(((r["width"], r["left"], r["right"]) for r in sizes), key=repr):
+        kind = (F.col("width") == width) & F.col("left").eqNullSafe(left) & F.col("right").eqNullSafe(right)
+        mine = anchored.where(kind).drop("width", "left", "right")
+        offered = _runs(F.col("_words"), width) if width else _letters(F.col("_words"), left, right)
+        if small:
+            runs = listed.select("doc_id", "_text", F.explode(offered).alias("anchor"))
             met = runs.join(F.broadcast(mine), "anchor").where(F.contains("_text", "query_text"))
             found.append(met.select("query_id", "doc_id"))
         else:
-            runs = listed.select("doc_id", F.explode(_runs(F.col("_words"), width)).alias("anchor"))
+            runs = listed.select("doc_id", F.explode(offered).alias("anchor"))
             met = runs.join(mine.select("anchor", "query_id"), "anchor").select("query_id", "doc_id").distinct()
             texts = met.join(listed.select("doc_id", "_text"), "doc_id").join(mine.drop("anchor"), "query_id")
             found.append(texts.where(F.contains("_text", "query_text")).select("query_id", "doc_id"))

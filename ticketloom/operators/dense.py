@@ -204,9 +204,14 @@ def nearest_cells(df: DataFrame, key: str, vector: str, centres: np.ndarray, pro
 
 def approximate_topk(
     queries: DataFrame, query_key: str, query_vector: str, corpus: DataFrame, key: str, vector: str, k: int = 5,
-    cells: int = 16, probes: int = 4, exclude_self: bool = False, seed: int = 42, grid_rows: int = GRID_ROWS,
+    cells: int = 16, probes: int = 12, exclude_self: bool = False, seed: int = 42, grid_rows: int = GRID_ROWS,
 ) -> DataFrame:
-    """Approximate top k for two large sides: each query looks only into its ``probes`` nearest cells."""
+    """Approximate top k for two large sides: each query looks only into its ``probes`` nearest cells.
+
+    Vectors without groups need most cells: on ones like those of the tests the recall of the five best is about 0.6 with 4
+    of 16 cells, 0.86 with 8 and 0.98 with the default of 12. ``quantized.search`` reads less and misses nothing, for a query
+    side that can be sent to the tasks.
+    """
     centres = fit_cells(corpus, vector, cells, seed)
     schema = _hit_schema(queries, query_key, corpus, key)
     placed = nearest_cells(corpus, key, vector, centres).withColumnRenamed(key, "doc_id")

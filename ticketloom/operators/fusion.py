@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ticketloom.operators import ranking
+from ticketloom.operators.topk import attach
 
 #: Weight of the dense side and the rank offset.
 ALPHA = 0.6
@@ -34,3 +35,12 @@ def fuse_ranks(dense: DataFrame, sparse: DataFrame, k: int, alpha: float = ALPHA
         merged.withColumn("score", F.round(score, 9)), "query_id", k,
         F.col("score").desc(), F.col("dense_rank").asc_nulls_last(), F.col("sparse_rank").asc_nulls_last(), F.col("doc_id"),
     )
+
+
+def with_content(fused: DataFrame, dense_rows: DataFrame, sparse_rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """Fused hits with the columns of ``dense_rows`` (doc_id, ...) where the dense side found the document, else those of
+    ``sparse_rows``, which has the same columns. Only the hits' own rows of either table are joined; nothing is broadcast
+    that is larger than the hits."""
+    by_dense = F.col("dense_rank").isNotNull()
+    found = attach(fused.where(by_dense), dense_rows, "doc_id", queries, k)
+    return found.unionByName(attach(fused.where(~by_dense), sparse_rows.select(*dense_rows.columns), "doc_id", queries, k))

@@ -9,7 +9,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ticketloom import vocab
@@ -62,27 +62,40 @@ def postings(df: DataFrame, key: str, fields: dict[str, str], stop_words: list[s
 
 
 def tfidf(
-    index: DataFrame, key: str, n_docs: Column, min_df: int = 2, max_df: float = 0.95, max_features: int = 10_000
+    df: DataFrame, key: str, tokens: Column, min_df: int = 2, max_df: float = 0.95, max_features: int = 10_000
 ) -> DataFrame:
-    """(key, term, tf, df, idf, weight) from postings with one field class: rows scaled to unit length; idf = ln((1 + n) / (1 + df)) + 1.
+    """(key, term, tf, df, idf, weight) of every row's tokens, scaled to unit length; idf = ln((1 + n) / (1 + df)) + 1.
 
-    The vocabulary is the ``max_features`` most frequent terms with min_df <= df <= max_df * n (ties by term), so
-    joining it back is a join with a table of bounded size.
+    The vocabulary is the ``max_features`` most frequent terms with min_df <= df <= max_df * n (ties by term). It is sent to
+    the tasks, which weigh a row and its length where it lies; only the counts of terms are shuffled, summed up in the tasks
+    first.
     """
-    rows = index.select(key, "term", "tf")
-    vocabulary = (
-        rows.groupBy("term")
-        .agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total"))
-        .where((F.col("df") >= min_df) & (F.col("df") <= n_docs * max_df))
-        .orderBy(F.col("total").desc(), "term")
-        .limit(max_features)
-        .select("term", "df", (F.log((1 + n_docs) / (1 + F.col("df"))) + 1).alias("idf"))
-    )
-    if max_features <= MAX_SENT_TERMS:
-        vocabulary = F.broadcast(vocabulary)
-    weighted = rows.join(vocabulary, "term").withColumn("_w", F.col("tf") * F.col("idf"))
-    length = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy(key)))
-    return weighted.withColumn("weight", F.col("_w") / length).drop("_w")
+    rows = df.select(key, tokens.alias("_tokens"))
+    counted = term_counts(rows.select("_tokens"), [], "_tokens")
+    frequent = counted.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total"))
+    n = rows.count()
+    kept = frequent.where((F.col("df") >= min_df) & (F.col("df") <= n * max_df))
+    vocabulary = kept.orderBy(F.col("total").desc(), "term").limit(max_features).toArrow()
+    terms, df_of = vocabulary["term"].combine_chunks(), vocabulary["df"].to_numpy()
+    idf = np.log((1 + n) / (1 + df_of)) + 1
+    sent = df.sparkSession.sparkContext.broadcast((terms, df_of, idf))
+
+    def run(batches):
+        terms, df_of, idf = sent.value
+        for batch in batches if len(terms) else ():
+            row, term, count = _matches(batch.column(1), terms)
+            value = count * idf[term]
+            length = np.sqrt(np.bincount(row, value * value, batch.num_rows))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0).take(pa.array(row)), terms.take(pa.array(term)), pa.array(count.astype(np.int32)),
+                    pa.array(df_of[term]), pa.array(idf[term]), pa.array(value / length[row]),
+                ],
+                [key, "term", "tf", "df", "idf", "weight"],
+            )
+
+    kind = _type(df, key)
+    return rows.mapInArrow(run, f"`{key}` {kind}, term string, tf int, df long, idf double, weight double")
 
 
 def _pack(rows: pa.Table) -> tuple[np.ndarray, pa.Array, np.ndarray, np.ndarray, np.ndarray]:

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from ticketloom import vocab
+from ticketloom.functions import stemming
 from ticketloom.functions import text as T
 from ticketloom.operators import lexical, ranking
 from ticketloom.operators.topk import BLOCK_CELLS, DIGITS, block_best, merge_best, rounded, rounded_column
@@ -37,7 +38,8 @@ COVER, OKAPI = "cover", "okapi"
 
 @dataclass(frozen=True)
 class PostingIndex:
-    """A written index. ``fields`` are its weight classes, ``payload`` the attributes that a search may ask for."""
+    """A written index. ``fields`` are its weight classes, ``payload`` the attributes that a search may ask for; a ``stemmed``
+    one holds English stems in place of tokens."""
 
     spark: SparkSession
     path: str
@@ -46,6 +48,7 @@ class PostingIndex:
     segments: int
     fields: tuple[str, ...]
     payload: tuple[str, ...]
+    stemmed: bool = False
 
     @property
     def blocks(self) -> DataFrame:
@@ -79,12 +82,13 @@ def _okapi(tf: Column, length: Column, average_length: float) -> Column:
 
 def write_postings(
     df: DataFrame, key: Column, fields: dict[str, Column], path: str, payload: tuple[str, ...] = (),
-    stop_words: list[str] | None = None, docs_per_segment: int = DOCS_PER_SEGMENT,
+    stop_words: list[str] | None = None, docs_per_segment: int = DOCS_PER_SEGMENT, stemmed: bool = False,
 ) -> PostingIndex:
     """Writes the index of ``df`` to a new folder. ``fields`` maps a weight class A-D to a text, ``payload`` names columns
     whose values are stored with each posting.
 
-    Every row counts as a document; a NULL text has no tokens. The texts are read twice, once for the number of tokens and
+    Every row counts as a document; a NULL text has no tokens. With ``stemmed``, tokens that are not stop words are stemmed,
+    and so are the terms of searches. The texts are read twice, once for the number of tokens and
     once for the postings, which are shuffled once: the range partitioning by (term, segment) serves the grouping and the
     order of the files. A term that a third of all documents hold has a block per segment, on as many tasks as it needs.
     """
@@ -94,17 +98,20 @@ def write_postings(
     counted = df.select(*tokens).select(sum((F.size(f"_{c}") for c in classes), F.lit(0)).cast("long").alias("n"))
     n_docs, n_tokens = counted.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
     segments = max(1, -(-n_docs // docs_per_segment))
-    index = PostingIndex(spark, path, n_docs, n_tokens, segments, tuple(classes), tuple(payload))
+    index = PostingIndex(spark, path, n_docs, n_tokens, segments, tuple(classes), tuple(payload), stemmed)
 
     kept = [F.col(p).cast("string").alias(f"_p{i}") for i, p in enumerate(payload)]
     docs = df.select(key.alias("key"), *kept, *tokens)
     length = sum((F.size(f"_{c}") for c in classes), F.lit(0)).cast("int")
-    each = F.array(*[
-        F.struct(F.lit(c).alias("class"), lexical.without_stop_words(F.col(f"_{c}"), stop_words).alias("tokens")) for c in classes
-    ])
+    kept_words = {c: lexical.without_stop_words(F.col(f"_{c}"), stop_words) for c in classes}
+    docs = docs.withColumn("length", length)
+    if stemmed:
+        docs = docs.withColumns({f"_{c}": stemming.stems(words) for c, words in kept_words.items()})
+        kept_words = {c: F.col(f"_{c}") for c in classes}
+    each = F.array(*[F.struct(F.lit(c).alias("class"), words.alias("tokens")) for c, words in kept_words.items()])
     carried = ["key", "segment", "length", *[f"_p{i}" for i in range(len(payload))]]
     segment = F.pmod(F.xxhash64("key"), F.lit(segments)).cast("long")
-    parts = docs.withColumns({"segment": segment, "length": length}).select(*carried, F.inline(each))
+    parts = docs.withColumn("segment", segment).select(*carried, F.inline(each))
     rows = lexical.term_counts(parts, [*carried, "class"], "tokens")
     entry = F.struct("key", "class", "tf", "length", *carried[3:])
     most = {c: F.coalesce(F.max(F.when(F.col("class") == c, F.col("tf"))), F.lit(0)) for c in classes}
@@ -127,8 +134,8 @@ def write_postings(
         F.col("e.length").alias("lengths"), *[F.col(f"e._p{i}").alias(f"payload_{p}") for i, p in enumerate(payload)],
     )
     blocks.sortWithinPartitions("term", "segment").write.mode("errorifexists").parquet(f"{path}/blocks")
-    totals = [(n_docs, n_tokens, segments, list(classes), list(payload))]
-    schema = "n_docs long, n_tokens long, segments long, fields array<string>, payload array<string>"
+    totals = [(n_docs, n_tokens, segments, list(classes), list(payload), stemmed)]
+    schema = "n_docs long, n_tokens long, segments long, fields array<string>, payload array<string>, stemmed boolean"
     spark.createDataFrame(totals, schema).coalesce(1).write.mode("errorifexists").parquet(f"{path}/totals")
     return index
 
@@ -136,7 +143,7 @@ def write_postings(
 def open_postings(spark: SparkSession, path: str) -> PostingIndex:
     """An index that was written before."""
     row = spark.read.parquet(f"{path}/totals").first()
-    return PostingIndex(spark, path, row["n_docs"], row["n_tokens"], row["segments"], tuple(row["fields"]), tuple(row["payload"]))
+    return PostingIndex(spark, path, row["n_docs"], row["n_tokens"], row["segments"], tuple(row["fields"]), tuple(row["payload"]), row["stemmed"])
 
 
 def _distinct(keys: pa.Array) -> tuple[pa.Array, np.ndarray]:
@@ -309,6 +316,9 @@ def search(
     if exclude_self and index.blocks.schema["keys"].dataType.elementType.typeName() == "struct":
         raise ValueError("a key of several columns cannot be a query's own")
     terms = lexical.query_terms(queries, query_key, query_text, stop_words)
+    if index.stemmed:
+        words = terms.groupBy("query_id").agg(F.collect_list("term").alias("_words"))
+        terms = words.select("query_id", F.explode(F.array_distinct(stemming.stems(F.col("_words")))).alias("term"))
     order = (F.col("score").desc(), F.col("doc_id"))
     if not lexical._fits(terms, max_sent):
         return ranking.rank_hits(_joined(index, terms, score, min_score, exclude_self, where), "query_id", k, *order)

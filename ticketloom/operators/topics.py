@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ticketloom.operators import features, ranking
+from ticketloom.sources import sinks
 
 #: Vocabulary size, largest document share, fewest tickets, restarts, seed.
 MAX_FEATURES = 500
@@ -120,7 +121,8 @@ def projection(pipeline: PipelineModel | None, tickets: DataFrame, key: str) ->
         kind = tickets.schema[key].dataType.simpleString()
         empty = f"`{key}` {kind}, x double, y double, x_variance double, y_variance double"
         return tickets.sparkSession.createDataFrame([], empty)
-    prepared = features.with_features(pipeline, _with_text(tickets), [key])
+    # Written, because the components take several passes and the result another.
+    prepared = sinks.stored(features.with_features(pipeline, _with_text(tickets), [key]), "topic-vectors")
     model = PCA(k=2, inputCol="features", outputCol="_p").fit(prepared)
     share = model.explainedVariance.toArray()
     point = vector_to_array(F.col("_p"))

@@ -83,8 +83,8 @@ def bm25_metrics_per_query(spark, folder):
     return rounded(rows, "recall", "precision", "ndcg", "reciprocal_rank")
 
 
-def metric_table(spark, folder, hits):
-    known = relevance(spark, folder)
+def metric_table(spark, folder, hits, known=None):
+    known = relevance(spark, folder) if known is None else known
     return rounded(
         E.retrieval_metrics(E.judge(hits, known), E.relevant_counts(known), S.passages(spark, folder)), "value"
     )
@@ -101,8 +101,11 @@ def bm25_metric_table(spark, folder):
     {RELEVANT}, {metrics_sql("hits", QUERIES)} {TABLE_SQL}""",
 )
 def cover_rank_metric_table(spark, folder):
-    hits = posting_index.search_articles(indexes.articles(spark, folder), S.passages(spark, folder), 10)
-    return metric_table(spark, folder, hits)
+    return metric_table(spark, folder, article_hits(spark, folder))
+
+
+def article_hits(spark, folder):
+    return posting_index.search_articles(indexes.articles(spark, folder), S.passages(spark, folder), 10)
 
 
 @query(
@@ -113,9 +116,10 @@ def cover_rank_metric_table(spark, folder):
     SELECT metric, k, a.value AS cover_rank, b.value AS bm25, round(b.value - a.value, 6) AS delta FROM a JOIN b USING (metric, k)""",
 )
 def lexical_methods_compared(spark, folder):
-    section = F.lit("retrieval").alias("section")
-    cover = cover_rank_metric_table(spark, folder).select("*", section)
-    okapi = bm25_metric_table(spark, folder).select("*", section)
+    """Both methods against the same judgements, which are made once."""
+    section, known = F.lit("retrieval").alias("section"), relevance(spark, folder)
+    cover = metric_table(spark, folder, article_hits(spark, folder), known).select("*", section)
+    okapi = metric_table(spark, folder, bm25_hits(spark, folder), known).select("*", section)
     return E.compare_runs(cover, okapi).select(
         "metric", "k", F.col("baseline").alias("cover_rank"), F.col("target").alias("bm25"), F.round("delta", 6).alias("delta")
     )

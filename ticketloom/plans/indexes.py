@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ticketloom.functions import text as T
-from ticketloom.operators import chunking, posting_index
+from ticketloom.operators import chunking, posting_index, quantized
 from ticketloom.session import scratch_path
 from ticketloom.sources import standins as S
 
-_WRITTEN: dict[tuple[str, str, str], str] = {}
+_WRITTEN: dict[tuple[str, str, str], object] = {}
 
 
 def _index(name: str):
@@ -17,10 +17,8 @@ def _index(name: str):
         def opened(spark, folder):
             at = (spark.sparkContext.applicationId, folder, name)
             if at not in _WRITTEN:
-                path = scratch_path(spark, f"index-{name}")
-                write(spark, folder, path)
-                _WRITTEN[at] = path
-            return posting_index.open_postings(spark, _WRITTEN[at])
+                _WRITTEN[at] = write(spark, folder, scratch_path(spark, f"index-{name}"))
+            return _WRITTEN[at]
 
         return opened
 
@@ -35,7 +33,14 @@ def _published(spark, folder):
 def articles(spark, folder, path):
     """Published articles: title class A, content class B."""
     fields = {"A": F.col("title"), "B": F.col("content")}
-    posting_index.write_postings(_published(spark, folder), F.col("article_id"), fields, path, ("category",))
+    return posting_index.write_postings(_published(spark, folder), F.col("article_id"), fields, path, ("category",))
+
+
+@_index("stemmed-articles")
+def stemmed_articles(spark, folder, path):
+    """Published articles by stems."""
+    fields = {"A": F.col("title"), "B": F.col("content")}
+    return posting_index.write_postings(_published(spark, folder), F.col("article_id"), fields, path, ("category",), stemmed=True)
 
 
 @_index("article-rows")
@@ -43,7 +48,7 @@ def article_rows(spark, folder, path):
     """All articles by title (A), summary (B) and content (C)."""
     listed = S.articles(spark, folder).withColumn("summary", T.summary(F.col("content")))
     fields = {"A": F.col("title"), "B": F.col("summary"), "C": F.col("content")}
-    posting_index.write_postings(listed, F.col("article_id"), fields, path, ("category", "status"))
+    return posting_index.write_postings(listed, F.col("article_id"), fields, path, ("category", "status"))
 
 
 @_index("chunks")
@@ -53,17 +58,23 @@ def chunks(spark, folder, path):
     parts = chunking.chunk_table(listed.select("article_id", "content"), "article_id", "content")
     titled = parts.join(listed.select("article_id", "title"), "article_id")
     fields = {"A": F.col("title"), "B": F.col("content")}
-    posting_index.write_postings(titled, F.struct("article_id", "chunk_index"), fields, path)
+    return posting_index.write_postings(titled, F.struct("article_id", "chunk_index"), fields, path)
 
 
 @_index("tickets")
 def tickets(spark, folder, path):
     """Tickets of any status: subject class A, body class B."""
     fields = {"A": F.col("subject"), "B": F.col("body")}
-    posting_index.write_postings(S.text_tickets(spark, folder), F.col("ticket_id"), fields, path, ("category", "status"))
+    return posting_index.write_postings(S.text_tickets(spark, folder), F.col("ticket_id"), fields, path, ("category", "status"))
 
 
 @_index("documents")
 def documents(spark, folder, path):
     """Whole documents in one class, for BM25."""
-    posting_index.write_postings(S.documents(spark, folder), F.col("doc_id"), {"C": F.col("text")}, path)
+    return posting_index.write_postings(S.documents(spark, folder), F.col("doc_id"), {"C": F.col("text")}, path)
+
+
+@_index("vectors")
+def vectors(spark, folder, path):
+    """All vectors, compressed."""
+    return quantized.write_index(S.vectors(spark, folder), "vec_id", "embedding", path)

@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ticketloom.functions import text as T
-from ticketloom.operators import dense, fusion, posting_index
+from ticketloom.operators import chunk_index, dense, fusion, posting_index, quantized
 from ticketloom.operators import relational as L
 from ticketloom.plans import indexes
 from ticketloom.plans import sql_parts as P
 from ticketloom.plans.registry import query
-from ticketloom.plans.text_queries import CHUNKS, STOP
+from ticketloom.plans.text_queries import CHUNKS, STOP, article_chunks
+from ticketloom.session import scratch_path
 from ticketloom.sources import sinks
 from ticketloom.sources import standins as S
 
@@ -84,6 +85,12 @@ def cover_rank_chunks(spark, folder):
     return hits.select("query_id", "doc_id.article_id", "doc_id.chunk_index", "score", "rank")
 
 
+@query("stemmed_articles", "J5 U3")
+def stemmed_articles(spark, folder):
+    """Published articles by cover rank over English stems."""
+    return posting_index.search_articles(indexes.stemmed_articles(spark, folder), S.passages(spark, folder), 5)
+
+
 TICKET_PARTS = [(("done", P.tokens("subject")), 1.0), (("done", P.tokens("body")), 0.4)]
 
 
@@ -181,7 +188,7 @@ def approximate_neighbours(spark, folder):
 
 @query("approximate_recall", "J11", "SELECT count(*) AS queries, TRUE AS recall_reached FROM embeddings")
 def approximate_recall(spark, folder):
-    """Recall of the search in half the cells against the exact one, over all vectors as queries."""
+    """Recall of the search in three quarters of the cells against the exact one, over all vectors as queries."""
     exact = sinks.stored(neighbours(spark, folder, 16), "exact-neighbours").select("query_id", "doc_id")
     found = neighbours(spark, folder, 12).select("query_id", "doc_id", F.lit(1).alias("hit"))
     both = exact.join(found, ["query_id", "doc_id"], "left")
@@ -210,6 +217,25 @@ def encoded_documents(spark, folder):
     )
 
 
+@query(
+    "refreshed_chunk_vectors", "J9 B3 B9 U2",
+    f"""WITH RECURSIVE {CHUNKS}, n AS (SELECT article_id || ':' || chunk_index AS chunk_id, CASE WHEN lang = 'fr' THEN content || ' updated' ELSE content END AS content,
+      CASE WHEN lang IN ('fr', 'de') THEN 1 ELSE 0 END AS refresh FROM chunks JOIN documents ON doc_id = article_id WHERE lang <> 'es'),
+    b AS (SELECT chunk_id, refresh, ('0x' || left(md5(term), 8))::BIGINT % 64 AS i, count(*)::DOUBLE AS n
+      FROM (SELECT chunk_id, refresh, unnest({P.tokens("content")}) AS term FROM n) GROUP BY ALL)
+    SELECT chunk_id, refresh, CAST(i AS INTEGER) AS i, round(CAST(n / sqrt(sum(n * n) OVER (PARTITION BY chunk_id)) AS FLOAT)::DOUBLE, 6) AS x FROM b""",
+)
+def refreshed_chunk_vectors(spark, folder):
+    """Vectors of all chunks but German ones, then brought up to date: French ones changed, Spanish ones gone, German ones new."""
+    listed = article_chunks(spark, folder).join(S.articles(spark, folder).select("article_id", "lang"), "article_id")
+    chunks = sinks.stored(listed.select(F.concat_ws(":", "article_id", "chunk_index").alias("chunk_id"), "content", "lang"), "chunks")
+    table = chunk_index.build(chunks.where("lang <> 'de'"), scratch_path(spark, "chunk-vectors"), buckets=8)
+    text = F.when(F.col("lang") == "fr", F.concat("content", F.lit(" updated"))).otherwise(F.col("content"))
+    after, _ = chunk_index.refresh(table, chunks.where("lang <> 'es'").withColumn("content", text))
+    cells = after.read().select("chunk_id", "refresh", F.posexplode("embedding").alias("i", "x")).where("x > 0")
+    return cells.withColumn("x", F.round(F.col("x").cast("double"), 6))
+
+
 def hybrid_hits(spark, folder, k):
     documents, passages = S.documents(spark, folder), S.passages(spark, folder)
     by_vector = dense.dense_topk(
@@ -219,16 +245,48 @@ def hybrid_hits(spark, folder, k):
     return fusion.fuse_ranks(by_vector, okapi_hits(spark, folder, 2 * k), k)
 
 
-@query(
-    "hybrid_rank_fusion", "J8 D6",
-    f"""WITH {bm25_sql(10)}, {encoded_sql("e", "documents", "doc_id")}, {encoded_sql("b", "benchmark", "item_id")},
+HYBRID_SQL = f"""{bm25_sql(10)}, {encoded_sql("e", "documents", "doc_id")}, {encoded_sql("b", "benchmark", "item_id")},
     ds AS (SELECT b.id AS query_id, e.id AS doc_id, round(sum(b.x * e.x), 6) AS score FROM b JOIN e USING (i) GROUP BY ALL),
     dn AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM ds QUALIFY rank <= 10),
     m AS (SELECT query_id, doc_id, CAST(dn.rank AS INTEGER) AS dense_rank, CAST(bm.rank AS INTEGER) AS sparse_rank,
-      round(coalesce(0.6::DOUBLE / (60 + dn.rank), 0) + coalesce(0.4::DOUBLE / (60 + bm.rank), 0), 9) AS score FROM dn FULL JOIN bm USING (query_id, doc_id))
-    SELECT query_id, doc_id, dense_rank, sparse_rank, score,
+      round(coalesce(0.6::DOUBLE / (60 + dn.rank), 0) + coalesce(0.4::DOUBLE / (60 + bm.rank), 0), 9) AS score FROM dn FULL JOIN bm USING (query_id, doc_id)),
+    fused AS (SELECT query_id, doc_id, dense_rank, sparse_rank, score,
       CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, dense_rank NULLS LAST, sparse_rank NULLS LAST, doc_id) AS INTEGER) AS rank
-    FROM m QUALIFY rank <= 5""",
-)
+    FROM m QUALIFY rank <= 5)"""
+
+
+@query("hybrid_rank_fusion", "J8 D6", f"WITH {HYBRID_SQL} SELECT * FROM fused")
 def hybrid_rank_fusion(spark, folder):
     return hybrid_hits(spark, folder, 5)
+
+
+@query(
+    "hybrid_hits_with_content", "J8 D6",
+    f"""WITH {HYBRID_SQL} SELECT query_id, doc_id, rank, dense_rank IS NOT NULL AS by_vector,
+      CASE WHEN dense_rank IS NOT NULL THEN text ELSE split_part(text, chr(10), 1) END AS content,
+      CASE WHEN dense_rank IS NOT NULL THEN 'vector ' || lang ELSE 'article ' || source END AS metadata
+    FROM fused JOIN documents USING (doc_id)""",
+)
+def hybrid_hits_with_content(spark, folder):
+    """The vector side knows whole texts and languages, the lexical side titles and sources."""
+    documents = S.table(spark, folder, "documents")
+    vector_rows = documents.select("doc_id", F.col("text").alias("content"), F.concat(F.lit("vector "), "lang").alias("metadata"))
+    term_rows = documents.select(
+        "doc_id", T.first_line(F.col("text")).alias("content"), F.concat(F.lit("article "), "source").alias("metadata")
+    )
+    fused = sinks.stored(hybrid_hits(spark, folder, 5), "fused")
+    found = fusion.with_content(fused, vector_rows, term_rows, S.passages(spark, folder), 5)
+    return found.select("query_id", "doc_id", "rank", F.col("dense_rank").isNotNull().alias("by_vector"), "content", "metadata")
+
+
+@query(
+    "quantized_neighbours", "J11",
+    f"""WITH {NEIGHBOURS} SELECT query_id, doc_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank
+    FROM s WHERE query_id % 10 = 0 QUALIFY rank <= 5""",
+)
+def quantized_neighbours(spark, folder):
+    """Every tenth vector asks all others through compressed vectors; the hits are exact."""
+    vectors = S.vectors(spark, folder)
+    index = indexes.vectors(spark, folder)
+    asked = vectors.where(F.col("vec_id") % 10 == 0)
+    return quantized.search(index, asked, "vec_id", "embedding", vectors, "vec_id", "embedding", 5, exclude_self=True)

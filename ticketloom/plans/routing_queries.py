@@ -15,8 +15,9 @@ from ticketloom.sources import standins as S
 
 AS_OF = "2001-08-01 00:00:00"
 
-# Predictions have no SQL form. These queries give the facts about them that SQL can state: which rows were scored, how
-# many classes there are, that probabilities sum to one and that margins recomputed from the coefficients agree.
+# Predictions have no SQL form. The queries with SQL twins give the facts about them that SQL can state: which rows were
+# scored, how many classes there are, that probabilities sum to one and that margins recomputed from the coefficients agree.
+# Those without give the results; tests hold these against a plain version of features and regression.
 
 TRAINING = """labelled AS (SELECT doc_id AS ticket_id, lang AS category, CASE WHEN quality = 1 THEN 'P3' ELSE 'P2' END AS priority
     FROM documents JOIN labels USING (doc_id) WHERE text IS NOT NULL AND lang IS NOT NULL)"""
@@ -99,6 +100,41 @@ def routing_predictions(spark, folder):
     )
 
 
+@query("routing_labels", "K3 K5 K6 S20 S21")
+def routing_labels(spark, folder):
+    """Labels, confidences and triage of all tickets by a router fitted on the labelled ones."""
+    router = routing.fit_router(routing.training_rows(S.labelled_tickets(spark, folder)))
+    out = routing.triage_rules(router.predict(S.text_tickets(spark, folder).select("ticket_id", "subject", "body")))
+    return out.select(
+        "ticket_id", "predicted_category", F.round("category_confidence", 3).alias("category_confidence"),
+        "predicted_priority", F.round("priority_confidence", 3).alias("priority_confidence"), "sla_risk", "suggested_queue",
+    )
+
+
+@query("routing_report", "M6 K3")
+def routing_report(spark, folder):
+    """Precision, recall and F1 on the held-out tickets."""
+    train, test = split_tickets(spark, folder)
+    report = routing.evaluate_router(routing.fit_router(train), test)
+    return report.select("label", *[F.round(c, 4).alias(c) for c in ("precision", "recall", "f1")], "support")
+
+
+@query("routing_reasons", "K9")
+def routing_reasons(spark, folder):
+    """The five terms that speak most for the category of every labelled ticket."""
+    rows = routing.training_rows(S.labelled_tickets(spark, folder))
+    found = routing.fit_router(rows).explain(rows, "ticket_id")
+    return found.select("ticket_id", "rank", "term", F.round("contribution", 3).alias("contribution"))
+
+
+@query("topic_keywords", "K10 K11 F5 F6")
+def topic_keywords(spark, folder):
+    """Size, heaviest terms and an example of every cluster."""
+    tickets = S.text_tickets(spark, folder).select("ticket_id", "subject", "body")
+    profile = topics.profiles(topics.fit_topics(tickets), tickets, "ticket_id")
+    return profile.select("cluster", "size", F.array_join("keywords", ",").alias("keywords"), "example")
+
+
 @query(
     "routing_training_summary", "K4",
     f"""WITH {TRAINING}, c AS (SELECT category, count(*) AS n FROM labelled GROUP BY 1), p AS (SELECT priority, count(*) AS n FROM labelled GROUP BY 1)

@@ -181,9 +181,8 @@ def article_row_index(spark, folder):
       round(tf * idf / sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY doc_id)), 6) AS weight FROM w""",
 )
 def tfidf_weights(spark, folder):
-    documents = S.documents(spark, folder)
-    n = documents.agg(F.count(F.lit(1))).scalar()
-    weights = lexical.tfidf(lexical.postings(documents, "doc_id", {"C": "text"}), "doc_id", n)
+    words = lexical.without_stop_words(T.tokens(F.col("text")))
+    weights = lexical.tfidf(S.documents(spark, folder), "doc_id", words)
     return weights.select(
         "doc_id", "term", "tf", "df", F.round("idf", 6).alias("idf"), F.round("weight", 6).alias("weight")
     )
@@ -214,18 +213,21 @@ def hedging_flags(spark, folder):
     return drafts.select("ticket_id", "draft_no", N.hedging_count(F.col("t")).alias("hedges"))
 
 
-# The SQL twin's edit distance counts bytes, so both sides compare the texts with '?' for each non-ASCII character.
+# The SQL twin's edit distance counts bytes, so there each accented letter of the table is one control character.
+ACCENTED = "ÄÇÈÉÊÍÑÓÖÜßäçèéêíñóöü"
+CONTROLS = "".join(map(chr, [*range(1, 9), *range(14, 27)]))
+
+
 @query(
     "draft_edit_bands", "S27 M9",
-    f"""WITH {P.DRAFTS}, p AS (SELECT ticket_id, draft_no, regexp_replace(draft_text, '[^\x00-\x7f]', '?', 'g') AS t FROM drafts),
+    f"""WITH {P.DRAFTS}, p AS (SELECT ticket_id, draft_no, translate(draft_text, '{ACCENTED}', '{CONTROLS}') AS t FROM drafts),
     l AS (SELECT ticket_id, max_by(t, draft_no) AS final_text FROM p GROUP BY ticket_id),
     s AS (SELECT ticket_id, draft_no, levenshtein(t, final_text) / greatest(length(t), length(final_text))::DOUBLE AS share FROM p JOIN l USING (ticket_id))
     SELECT ticket_id, draft_no, round(share, 6) AS modification_share,
       CASE WHEN share = 0 THEN 'as_is' WHEN share < 0.2 THEN 'minor' ELSE 'major' END AS band FROM s""",
 )
 def draft_edit_bands(spark, folder):
-    ascii_text = F.regexp_replace("draft_text", r"[^\x00-\x7f]", "?")
-    drafts = S.drafts(spark, folder).select("ticket_id", "draft_no", ascii_text.alias("text"))
+    drafts = S.drafts(spark, folder).select("ticket_id", "draft_no", F.col("draft_text").alias("text"))
     final = drafts.groupBy("ticket_id").agg(F.max_by("text", "draft_no").alias("final_text"))
     share = N.modification_share(F.col("text"), F.col("final_text"))
     scored = join_unique(drafts, final, "ticket_id").select("ticket_id", "draft_no", share.alias("share"))

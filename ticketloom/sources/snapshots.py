@@ -209,6 +209,20 @@ def replace_children(table: Snapshot, fresh: DataFrame, batch_id: int | None = N
     return _next(table, buckets, _write_buckets(merged, table.root, table.key, table.buckets), batch_id)
 
 
+def apply_changes(table: Snapshot, fresh: DataFrame, gone: DataFrame, batch_id: int | None = None) -> Snapshot:
+    """The next version with the ``fresh`` rows in place of those with their keys, and without the keys in ``gone``. Keys are
+    not NULL and fresh ones not repeated; buckets without any of them stay."""
+    if batch_id is not None and batch_id <= table.batch:
+        return table
+    key = table.key
+    fresh = sinks.stored(fresh.select(*table.schema.names), "fresh-rows")
+    gone = sinks.stored(gone.select(key), "gone-keys")
+    changed = fresh.select(key).unionByName(gone)
+    buckets = _touched(changed, table)
+    merged = table.read(buckets).join(changed, key, "left_anti").select(*table.schema.names).unionByName(fresh)
+    return _next(table, buckets, _write_buckets(merged, table.root, key, table.buckets), batch_id)
+
+
 def compact(table: Snapshot) -> Snapshot:
     """The next version with one folder per bucket, where inserts have left several."""
     many = sorted(b for b, paths in table.folders.items() if len(paths) > 1)

@@ -12,11 +12,17 @@ from ticketloom.sources import standins as S
 _WRITTEN: dict[tuple[str, str, str], object] = {}
 
 
+def _there(spark, path: str) -> bool:
+    """Whether the index is still in the shared folder, which may be cleared between queries."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
 def _index(name: str):
     def wrap(write):
         def opened(spark, folder):
             at = (spark.sparkContext.applicationId, folder, name)
-            if at not in _WRITTEN:
+            if at not in _WRITTEN or not _there(spark, _WRITTEN[at].path):
                 _WRITTEN[at] = write(spark, folder, scratch_path(spark, f"index-{name}"))
             return _WRITTEN[at]
 

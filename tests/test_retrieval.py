@@ -305,7 +305,7 @@ def test_rounding_is_one_rule(spark):
     assert [r[0] for r in df.select(rounded_column(F.col("v"))).collect()] == rounded(np.array(values)).tolist()
 
 
-def brute_dense(vectors, queries, k, exclude_self=False):
+def brute_inner(vectors, queries, k, exclude_self=False):
     out = []
     for q, v in queries:
         scored = sorted((-round(float(np.dot(v, x)), 6), d) for d, x in vectors if not (exclude_self and d == q))
@@ -332,7 +332,7 @@ def test_quantized_search_is_exact(spark, grouped_points, index_folder, max_sent
     asked = df.where("vec_id % 30 = 0 OR vec_id IN (7, 8, 9000)")
     for own in (False, True):
         got = quantized.search(index, asked, "vec_id", "embedding", df, "vec_id", "embedding", 6, own, max_sent)
-        assert rows(got) == brute_dense(points, [p for p in points if p[0] % 30 == 0 or p[0] in (7, 8)], 6, own)
+        assert rows(got) == brute_inner(points, [p for p in points if p[0] % 30 == 0 or p[0] in (7, 8)], 6, own)
 
 
 def test_quantized_search_reads_few_vectors(spark, index_folder):
@@ -347,7 +347,7 @@ def test_quantized_search_reads_few_vectors(spark, index_folder):
     assert pairs.count() < 0.25 * 12 * 6_000
     got = quantized.search(index, asked, "vec_id", "embedding", df, "vec_id", "embedding", 5)
     points = list(enumerate(x))
-    assert rows(got) == brute_dense(points, [p for p in points if p[0] % 500 == 0], 5)
+    assert rows(got) == brute_inner(points, [p for p in points if p[0] % 500 == 0], 5)
 
 
 def test_quantized_edges(spark, grouped_points, index_folder):
@@ -359,7 +359,7 @@ def test_quantized_edges(spark, grouped_points, index_folder):
     index = quantized.write_index(few, "vec_id", "embedding", index_folder())
     assert quantized.search(index, none, "vec_id", "embedding", few, "vec_id", "embedding").collect() == []
     got = quantized.search(index, few, "vec_id", "embedding", few, "vec_id", "embedding", 10)
-    assert rows(got) == brute_dense(points[:3], points[:3], 10)
+    assert rows(got) == brute_inner(points[:3], points[:3], 10)
     with pytest.raises(ValueError):
         quantized.fit_quantizer(df, "embedding", cells=0)
 

@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ticketloom.operators import ranking
 from ticketloom.operators.dense import MAX_SENT_COMPONENTS, matrix
@@ -105,9 +106,10 @@ class VectorIndex:
     path: str
     quantizer: Quantizer
     radius: np.ndarray
+    schema: StructType
 
     def rows(self, cells: list[int] | None = None) -> DataFrame:
-        table = self.spark.read.parquet(self.path)
+        table = self.spark.read.schema(self.schema).parquet(self.path)
         return table if cells is None else table.where(F.col("cell").isin(*cells))
 
 
@@ -135,7 +137,7 @@ def write_index(corpus: DataFrame, key: str, vector: str, path: str, cells: int
     radius = np.full(len(quantizer.centres), -1.0)  # a cell without rows
     for cell, away in table.groupBy("cell").agg(F.max("away")).collect():  # a row per cell
         radius[cell] = away
-    return VectorIndex(corpus.sparkSession, path, quantizer, radius)
+    return VectorIndex(corpus.sparkSession, path, quantizer, radius, coded.schema)
 
 
 def _reach(index: VectorIndex, queries: np.ndarray) -> np.ndarray:
@@ -204,7 +206,7 @@ def candidates(
     found = None
     for side in sides:
         rows = side.toArrow()
-        if not len(rows):
+        if not len(rows) or not (index.radius >= 0).any():
             continue
         ids, x = rows["query_id"].to_numpy(), matrix(rows["vector"])
         reach = _reach(index, x)

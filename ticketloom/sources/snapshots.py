@@ -14,7 +14,7 @@ import operator
 import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -62,19 +62,24 @@ def _bucket_of(key: str, buckets: int) -> Column:
     return F.when(F.col(f"`{key}`").isNull(), buckets).otherwise(F.pmod(F.xxhash64(f"`{key}`"), F.lit(buckets))).cast("int")
 
 
-def _write_buckets(df: DataFrame, root: str, key: str, buckets: int, watch=None) -> dict[int, tuple[str, ...]]:
-    """Writes the rows to new folders, a bucket in one task, and returns the folders that have rows. ``watch`` gets the rows
-    in the tasks that write, and gives those to be written."""
-    name = f"data/{uuid.uuid4().hex}"
+def _written(df: DataFrame, root: str, name: str, key: str, buckets: int, *parts: str) -> DataFrame:
+    """Writes the rows to folders by ``parts`` and bucket, a bucket in one task, and reads them back."""
     placed = df.withColumn(_BUCKET, _bucket_of(key, buckets))
     # Rows without a key may be many: they are dealt out, not gathered.
     deal = F.when(F.col(_BUCKET) == buckets, F.monotonically_increasing_id()).otherwise(F.col(_BUCKET))
-    dealt = placed.repartition(deal)
-    dealt = watch(dealt) if watch else dealt
-    dealt.write.partitionBy(_BUCKET).parquet(f"{root}/{name}")
-    written = df.sparkSession.read.schema(dealt.schema).parquet(f"{root}/{name}")
-    found = written.select(_BUCKET).distinct().collect()  # at most one row per bucket, from the folders' names
-    return {r[0]: (f"{name}/{_BUCKET}={r[0]}",) for r in found}
+    placed.repartition(deal).write.partitionBy(*parts, _BUCKET).parquet(f"{root}/{name}")
+    return df.sparkSession.read.schema(placed.schema).parquet(f"{root}/{name}")
+
+
+def _folders(written: DataFrame, name: str) -> dict[int, tuple[str, ...]]:
+    """The folders that have rows: at most one row per bucket, from the folders' names."""
+    return {r[0]: (f"{name}/{_BUCKET}={r[0]}",) for r in written.select(_BUCKET).distinct().collect()}
+
+
+def _write_buckets(df: DataFrame, root: str, key: str, buckets: int) -> dict[int, tuple[str, ...]]:
+    """Writes the rows to new folders and returns those that have rows."""
+    name = f"data/{uuid.uuid4().hex}"
+    return _folders(_written(df, root, name, key, buckets), name)
 
 
 def _write_manifest(spark: SparkSession, root: str, version: int, key: str, buckets: int, schema: StructType, batch: int, folders: dict) -> None:
@@ -160,11 +165,12 @@ def insert_new(table: Snapshot, batch: DataFrame, order: Column, batch_id: int |
 
 
 def insert_checked(table: Snapshot, batch: DataFrame, order: Column, rules: dict[str, Column]) -> tuple[Snapshot, dict[str, int]]:
-    """``insert_new`` of the rows that meet every rule, and counts taken by the tasks that write: total, inserted, skipped
-    (known or repeated keys), errors (rows that break a rule), and the rows that break each rule.
+    """``insert_new`` of the rows that meet every rule, and counts from the same write: total, inserted, skipped (known or
+    repeated keys), errors (rows that break a rule), and the rows that break each rule.
 
-    A rule that gives NULL is broken. Of a key's rows without errors the first counts. Skipped rows and errors go through
-    the write's shuffle, where a task that runs again is counted once, and are dropped there.
+    A rule that gives NULL is broken. Of a key's rows without errors the first counts. Skipped keys and errors are written
+    beside the table, in folders that no manifest names, so that a task that runs again is counted once; the counts read
+    marks alone.
     """
     key, names = table.key, table.schema.names
     broken = [(~F.coalesce(rule, F.lit(False))).alias(f"_broken_{i}") for i, rule in enumerate(rules.values())]
@@ -182,19 +188,16 @@ def insert_checked(table: Snapshot, batch: DataFrame, order: Column, rules: dict
     loose = right.where(F.col(f"`{key}`").isNull()).select(*names, F.lit(1).cast("long").alias("_n"), F.lit(True).alias("_fresh"))
     errors = batch.where(wrong).select(*names, F.lit(1).cast("long").alias("_n"), F.lit(False).alias("_fresh"), *marks)
     rows = met.unionByName(loose).unionByName(errors, allowMissingColumns=True)
-    seen = Observation()
+    name = f"data/{uuid.uuid4().hex}"
+    written = _written(rows.withColumn("_fresh", F.col("_fresh").cast("int")), table.root, name, key, table.buckets, "_fresh")
     lost = functools.reduce(operator.or_, [F.coalesce(m, F.lit(False)) for m in marks], F.lit(False))
     counts = {
-        "total": F.sum("_n"), "inserted": F.count_if("_fresh"), "errors": F.count_if(lost),
+        "total": F.sum("_n"), "inserted": F.count_if(F.col("_fresh") == 1), "errors": F.count_if(lost),
         **{f"broken {name}": F.count_if(m) for name, m in zip(rules, marks)},
     }
     columns = [F.coalesce(c, F.lit(0)).cast("long").alias(n) for n, c in counts.items()]
-
-    def watch(dealt: DataFrame) -> DataFrame:
-        return dealt.observe(seen, *columns).where("_fresh").select(*names, _BUCKET)
-
-    after = _next(table, [], _write_buckets(rows, table.root, key, table.buckets, watch), None)
-    found = {name: int(seen.get[name]) for name in counts}
+    found = written.agg(*columns).first().asDict()
+    after = _next(table, [], _folders(written.where("_fresh = 1"), f"{name}/_fresh=1"), None)
     found["skipped"] = found["total"] - found["inserted"] - found["errors"]
     return after, found
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ticketloom import vocab
 from ticketloom.operators import ranking as R
-from ticketloom.operators import routing, topics
+from ticketloom.operators import features, routing, topics
 from ticketloom.plans import sql_parts as P
 from ticketloom.plans.registry import query
 from ticketloom.session import scratch_path
@@ -72,9 +72,27 @@ def split_tickets(spark, folder):
     return marked.where(F.col("split") == "train"), marked.where(F.col("split") == "test")
 
 
+def recomputed(router, tickets, key, target):
+    """(key, label): the class of the largest margin, by joins of the features with the table of coefficients."""
+    classifier, labels = router.classifier(target), router.labels(target)
+    rows = router.pipeline.transform(routing.plain_tickets(tickets)).select(key, "features")
+    weights = routing.weight_table(tickets.sparkSession, classifier, router.vocabulary())
+    parts = features.feature_entries(rows, [key]).join(weights, "index").select(
+        key, "class", (F.col("value") * F.col("weight")).alias("part")
+    )
+    shift = classifier.interceptVector.toArray()
+    shift = shift if len(shift) == len(labels) else [-shift[0], shift[0]]
+    every = F.array(*[F.struct(F.lit(float(c)).alias("class"), F.lit(float(b)).alias("part")) for c, b in enumerate(shift)])
+    parts = parts.unionByName(rows.select(key, F.inline(every)))
+    margins = parts.groupBy(key, "class").agg(F.sum("part").alias("margin"))
+    names = F.array(*[F.lit(v) for v in labels])
+    best = margins.groupBy(key).agg(F.max_by("class", F.struct("margin", -F.col("class"))).cast("int").alias("class"))
+    return best.select(key, names[F.col("class")].alias("label"))
+
+
 def agreement(router, tickets, scored, target):
     """(ticket_id, <target>_agrees): whether the prediction is that of the recomputed margins."""
-    again = router.recomputed(tickets, "ticket_id", target)
+    again = recomputed(router, tickets, "ticket_id", target)
     same = scored.select("ticket_id", f"predicted_{target}").join(again, "ticket_id")
     return same.select("ticket_id", (F.col("label") == F.col(f"predicted_{target}")).alias(f"{target}_agrees"))
 

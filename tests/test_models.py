@@ -27,3 +27,35 @@ def test_topics_cover_all_tickets(spark):
     tickets = spark.createDataFrame(rows, "ticket_id long, subject string, body string")
     profile = topics.profiles(topics.fit_topics(tickets, restarts=2), tickets, "ticket_id").collect()
     assert sum(r["size"] for r in profile) == 40 and all(r["keywords"] and r["example"] for r in profile)
+
+
+def test_heaviest_terms_against_plain_counts(spark):
+    """Counts and rows of words and pairs; equal terms in order of the term, rare words' pairs left out or not."""
+    from collections import Counter
+
+    from ticketloom import vocab
+    from ticketloom.operators import features
+
+    texts = [f"alpha beta beta w{i % 7} alpha the beta w{i % 3} x" + " gamma delta" * (i % 4) for i in range(30)] + ["", "w1"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    lists = []
+    for t in texts:
+        words = [w for w in t.split() if len(w) > 1 and w not in vocab.STOP_WORDS]
+        lists.append(Counter(words + [f"{a} {b}" for a, b in zip(words, words[1:])]))
+    n, rows = sum(lists, Counter()), Counter(t for c in lists for t in c)
+    usable = sorted((t for t in n if 2 <= rows[t] <= 0.9 * len(texts)), key=lambda t: (-n[t], t))
+    for most in (3, 8, 15, 1000):
+        model = features.fit_tfidf(df, "t", most, 2, 0.9)
+        assert features.vocabulary(model) == usable[:most]
+    got = {r["t"]: r["_counts"] for r in model.transform(df).select("t", "_counts").collect()}
+    assert all({usable[i]: v for i, v in zip(got[t].indices, got[t].values)} == {k: c[k] for k in c if k in usable} for t, c in zip(texts, lists))
+
+
+def test_counts_of_terms_keep_nothing_in_memory(spark):
+    from ticketloom.operators import features
+
+    kept = lambda: spark.sparkContext._jsc.sc().getRDDStorageInfo()
+    df = spark.createDataFrame([("one two three two",)] * 5 + [("four five",)] * 5, "t string")
+    before = len(kept())
+    features.fit_tfidf(df, "t", 10, 2, 0.8)
+    assert len(kept()) == before and not hasattr(features, "CountVectorizer")

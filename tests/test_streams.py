@@ -136,3 +136,11 @@ def test_sla_timers(spark, folder):
     assert sla_run(spark, folder, "out") == sorted([*got, *fifth, *sixth])
     # From the start in one run, file by file, the table is the same.
     assert sla_run(spark, folder, "again", files=1) == sorted([*got, *fifth, *sixth])
+
+
+def test_sla_timers_of_many_tickets_in_one_group(spark, folder, monkeypatch):
+    """All tickets share one state and one timer; alerts are those of each ticket by itself."""
+    from ticketloom.streaming import sla
+
+    monkeypatch.setattr(sla, "GROUPS", 1)
+    test_sla_timers(spark, folder)

@@ -110,23 +110,23 @@ def stream_triage(spark, folder):
     SELECT ticket_id, alert, "at" FROM a, w WHERE resolved_at > "at" OR resolved_at IS NULL AND "at" <= passed""",
 )
 def stream_sla_alerts(spark, folder):
-    """Tickets and their resolutions as two streams of files, each file a stretch of time."""
+    """Tickets and their resolutions as two streams of files; one stretch of time arrives after the other."""
     path = scratch_path(spark, "sla-events")
     tickets = sinks.stored(S.resolved_tickets(spark, folder).select("ticket_id", "priority", "created_at", "resolved_at"), "sla-tickets")
     opened = tickets.select("ticket_id", "priority", "created_at")
     resolved = tickets.where("resolved_at IS NOT NULL").select("ticket_id", "resolved_at")
     first, last = tickets.agg(F.min("created_at"), F.max("created_at")).first()
     ends = [first + (last - first) * i / 4 for i in range(1, 4)]
-    for start, end in zip([None, *ends], [*ends, None]):  # files arrive in order of time
+    for start, end in zip([None, *ends], [*ends, None]):
         for part, at, name in ((opened, "created_at", "opened"), (resolved, "resolved_at", "resolved")):
             after = F.lit(True) if start is None else F.col(at) >= F.lit(start)
             before = F.lit(True) if end is None else F.col(at) < F.lit(end)
-            part.where(after & before).coalesce(1).write.mode("append").parquet(f"{path}/{name}")
-    found = sla.run_alerts(
-        jobs.file_stream(spark, f"{path}/opened", opened.schema, files_per_trigger=1),
-        jobs.file_stream(spark, f"{path}/resolved", resolved.schema, files_per_trigger=1),
-        f"{path}/alerts", f"{path}/progress",
-    )
+            part.where(after & before).write.mode("append").parquet(f"{path}/{name}")
+        # All files of the stretch are one batch; the run goes on where the last one ended.
+        found = sla.run_alerts(
+            jobs.file_stream(spark, f"{path}/opened", opened.schema), jobs.file_stream(spark, f"{path}/resolved", resolved.schema),
+            f"{path}/alerts", f"{path}/progress",
+        )
     return found.withColumn("at", F.col("at").cast("timestamp_ntz"))
 
 

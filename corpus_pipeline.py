@@ -28,14 +28,16 @@ def _kept(judged: DataFrame, condition) -> DataFrame:
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that the network has learned. Those that are NULL, empty or hold no letter go, those that no
-    language speaks for, and those that look like none: both limits come from the rows that the network learned from.
-    Without labelled rows there is no network, and documents with a letter stay. Rows with NULL or equal ids are judged each
-    by their own text; columns may have any names. An empty table stays empty."""
+    language speaks for, and those that look like none: both limits come from all rows that the network may learn from. All
+    documents are judged once and written with their scores, from which limits and rows are then read. Without labelled rows
+    there is no network, and documents with a letter stay. Rows with NULL or equal ids are judged each by their own text;
+    columns may have any names. An empty table stays empty."""
     network = language_network(docs)
     if network is None:
         return docs.where(F.col("text").rlike(r"\p{L}"))
-    lowest, strangest = language_id.limits(network, language_rows(docs))
-    judged = language_id.predict(_packed(docs), "doc_id", "text", network, ROW, with_strange=True)
+    judged = stored(language_id.predict(_packed(docs), "doc_id", "text", network, ROW, with_strange=True), "languages")
+    right = F.col(f"{ROW}.text").rlike(r"\p{L}") & (F.col(f"{ROW}.lang").cast("string") == F.col("lang_pred"))
+    lowest, strangest = language_id.limits(network, language_rows(judged).where(right))
     named = F.col("lang_pred") != language_id.UNKNOWN
     return _kept(judged, named & (F.col("score") >= lowest) & (F.col("strange") <= strangest))
 

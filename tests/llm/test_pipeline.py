@@ -111,3 +111,22 @@ def test_columns_of_any_names_and_types(spark, documents):
         rows = out.collect()
         assert len(rows) == (2 if name == "ngram_join" else 4)
         assert all(r["x.y"] == "x" and r["map"] == {"k": 1} for r in rows)
+
+
+def test_language_limits_come_from_all_rows(spark, documents, monkeypatch):
+    """Limits see every labelled row that may teach, also where the network learns from a few."""
+    import functools
+
+    from pyspark.sql import functions as F
+
+    from ticketloom.llm import language_id
+    from ticketloom.llm.queries import language_network, language_rows
+
+    docs = documents([(i, texts_of(("en", "fr")[i % 2], i), ("en", "fr")[i % 2]) for i in range(160)])
+    small = functools.partial(language_id.learn, max_bytes_per_language=3_000)
+    monkeypatch.setattr("ticketloom.llm.queries.language_id.learn", small)
+    seen, plain = [], language_id.limits
+    monkeypatch.setattr(corpus_pipeline.language_id, "limits", lambda net, right: seen.append(right.count()) or plain(net, right))
+    corpus_pipeline.language_stage(spark, docs, FOLDER).collect()
+    named = language_id.predict(language_rows(docs), "doc_id", "text", language_network(docs), "lang")
+    assert seen == [named.where(F.col("lang_pred") == F.col("lang")).count()] and seen[0] > 100

@@ -222,15 +222,10 @@ def learn(
     return train(windows, target, languages, epochs)
 
 
-def limits(
-    net: Network, labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang",
-    max_bytes_per_language: int = 1_500_000, share: float = 0.999,
-) -> tuple[float, float]:
-    """(lowest score, highest ``strange``) of a text in one of the learned languages, from the fit rows that the network names
-    rightly. The score lies half way from a blind guess to their lowest; ``strange`` is what all but 1 - ``share`` of them
-    keep to, but one half at least. ``labelled`` holds the rows that the network learned from."""
-    drawn = _fit_rows(labelled, key, text, lang, max_bytes_per_language)
-    right = predict(drawn, "_key", "_text", net, "_lang", with_strange=True).where("lang_pred = _lang")
+def limits(net: Network, right: DataFrame, share: float = 0.999) -> tuple[float, float]:
+    """(lowest score, highest ``strange``) of a text in one of the learned languages, from ``right``, the (score, strange) of
+    all labelled texts that the network names rightly. The score lies half way from a blind guess to their lowest; ``strange``
+    is what all but 1 - ``share`` of them keep to, but one half at least."""
     lowest, strange = right.agg(F.min("score"), F.percentile_approx("strange", share, 10_000)).first()
     guess = 1 / len(net.languages)
     if lowest is None:

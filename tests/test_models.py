@@ -59,3 +59,28 @@ def test_counts_of_terms_keep_nothing_in_memory(spark):
     before = len(kept())
     features.fit_tfidf(df, "t", 10, 2, 0.8)
     assert len(kept()) == before and not hasattr(features, "CountVectorizer")
+
+
+def test_folds_are_fitted_at_the_same_time(spark, monkeypatch):
+    """All folds wait for each other; their lines are those of folds fitted one after the other."""
+    import threading
+
+    rows = [(i, f"word{i % 3} left", f"word{i % 3} right w{i % 7}", f"c{i % 3}", f"P{2 + i % 2}") for i in range(90)]
+    tickets = spark.createDataFrame(rows, "ticket_id long, subject string, body string, category string, priority string")
+    fit, meeting = routing.fit_router, threading.Barrier(3, timeout=60)
+
+    def fit_together(*args, **options):
+        meeting.wait()
+        return fit(*args, **options)
+
+    monkeypatch.setattr(routing, "fit_router", fit_together)
+    together = sorted(map(tuple, routing.cross_validate(tickets, "ticket_id", 3, max_iter=20).collect()))
+    monkeypatch.setattr(routing, "fit_router", fit)
+    monkeypatch.setattr(routing, "ROWS_AT_ONCE", 1)
+    assert sorted(map(tuple, routing.cross_validate(tickets, "ticket_id", 3, max_iter=20).collect())) == together
+    assert sum(line[1] for line in together) == 90
+
+
+def test_tasks_of_a_fit(spark):
+    cores = spark.sparkContext.defaultParallelism
+    assert [routing._tasks(spark, n) for n in (0, 1, 2_001, 25_000 * cores, 25_000 * (cores + 3))] == [1, 1, 2, cores, cores + 3]

@@ -383,3 +383,45 @@ def test_tfidf(spark, corpus):
     for key, (tf, n, weight) in want.items():
         assert (got[key]["tf"], got[key]["df"]) == (tf, n) and got[key]["weight"] == pytest.approx(weight)
     assert lexical.tfidf(df.where("false"), "doc_id", T.tokens(F.col("text"))).collect() == []
+
+
+def test_search_hits_do_not_grow_with_loose_bounds(spark, index_folder):
+    """Vectors without groups, of which the bounds leave nearly all: tasks give k hits per query, not the pairs that are left."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(2_000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, row.tolist()) for i, row in enumerate(x)], "vec_id long, embedding array<double>").repartition(2)
+    index, asked = quantized.write_index(df, "vec_id", "embedding", index_folder()), df.where("vec_id % 20 = 0")
+    points = list(enumerate(x))
+    got = quantized.search(index, asked, "vec_id", "embedding", df, "vec_id", "embedding", 5, True)
+    assert rows(got) == brute_inner(points, points[::20], 5, True)
+    ids, asking = np.arange(0, 2_000, 20), x[::20]
+    whole = index.rows().join(df.withColumnRenamed("vec_id", "id"), "id").select("id", "codes", "error", "cell", "embedding").coalesce(2)
+    every = np.ones((len(ids), len(index.radius)), dtype=bool)
+    limit = np.sort(asking @ x.T, axis=1)[:, -6]
+    schema = "query_id long, doc_id long, score double"
+    hits = quantized._scored(index, whole, (ids, asking), every, limit, 5, True, schema).count()
+    assert quantized.candidates(index, asked, "vec_id", "embedding", 5, True)[0].count() > 50 * hits
+
+
+@pytest.mark.parametrize("exclude", [False, True])
+def test_best_products(monkeypatch, exclude):
+    """Batches, tiles of queries, copies and a row too long for single precision, against a sort per query."""
+    from ticketloom.operators import topk
+
+    monkeypatch.setattr(topk, "TILE_QUERIES", 7)
+    monkeypatch.setattr(topk, "FIRST_ROWS", 16)
+    monkeypatch.setattr(topk, "BLOCK_CELLS", 350)
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(900, 8))
+    x[300:500] = x[3]
+    keys, queries = rng.permutation(900), x[::40]
+    for rows_ in (x, np.vstack([x[:-1], np.full(8, 1e20)])):
+        best = None
+        for at in range(0, 900, 250):
+            best = topk.best_products(best, keys[at : at + 250], rows_[at : at + 250], keys[::40], queries, 4, exclude)
+        scores = np.round(queries @ rows_.T, 6)
+        for q in range(len(queries)):
+            want = sorted((-s, d) for s, d in zip(scores[q], keys) if not (exclude and d == keys[::40][q]))[:4]
+            assert best[2][best[0] == q].tolist() == [d for _, d in want]
+            assert best[1][best[0] == q] == pytest.approx([-s for s, _ in want])

@@ -425,3 +425,30 @@ def test_best_products(monkeypatch, exclude):
             want = sorted((-s, d) for s, d in zip(scores[q], keys) if not (exclude and d == keys[::40][q]))[:4]
             assert best[2][best[0] == q].tolist() == [d for _, d in want]
             assert best[1][best[0] == q] == pytest.approx([-s for s, _ in want])
+
+
+def test_blocks_are_made_by_segment(spark, index_folder):
+    """What is sorted and dealt are blocks, not postings; keys that repeat, texts that are missing, two classes."""
+    texts = [(i % 40, None if i % 11 == 0 else f"a{i % 5} b b", f"b c{i % 3} a{i % 5} a{i % 5}" if i % 7 else None) for i in range(60)]
+    df = spark.createDataFrame(texts, "id long, t string, c string")
+    index = posting_index.write_postings(df, F.col("id"), {"A": F.col("t"), "B": F.col("c")}, index_folder(), ("id",), [], 16)
+    want = Counter()
+    for number, (i, *fields) in enumerate(texts):
+        for name, text in zip("AB", fields):
+            want.update((number, i, name, w) for w in (text or "").split())
+    blocks = index.blocks.collect()
+    got = [(k, c, b.term, tf) for b in blocks for k, c, tf in zip(b["keys"], b["classes"], b["tfs"])]
+    assert sorted(got) == sorted((i, name, w, tf) for (_, i, name, w), tf in want.items())
+    assert len({(b.term, b.segment) for b in blocks}) == len(blocks) and index.segments == 4
+    for b in blocks:
+        rows_ = list(zip(b["keys"], b["classes"], b["tfs"], b["lengths"]))
+        assert rows_ == sorted(rows_) and b.n_docs == len(set(b["keys"])) and b.payload_id == [str(k) for k in b["keys"]]
+    docs = df.select("id", "t")
+    plan = lambda: posting_index.write_postings(docs, F.col("id"), {"A": F.col("t")}, index_folder())
+    made, make = [], posting_index.lexical.term_counts
+    posting_index.lexical.term_counts = lambda *args: made.append(1) or make(*args)
+    try:
+        plan()
+    finally:
+        posting_index.lexical.term_counts = make
+    assert not made  # no row per posting

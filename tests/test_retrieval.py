@@ -452,3 +452,15 @@ def test_blocks_are_made_by_segment(spark, index_folder):
     finally:
         posting_index.lexical.term_counts = make
     assert not made  # no row per posting
+
+
+def test_quantized_search_of_ids_that_repeat(spark, index_folder):
+    """A hit comes once per pair of rows of either id."""
+    rng = np.random.default_rng(9)
+    rows_ = [(i, rng.normal(size=8).tolist()) for i in range(60)]
+    df = spark.createDataFrame([*rows_, rows_[4], rows_[9]], "vec_id long, embedding array<double>")
+    index = quantized.write_index(df, "vec_id", "embedding", index_folder())
+    got = quantized.search(index, df.where("vec_id IN (4, 5)"), "vec_id", "embedding", df, "vec_id", "embedding", 400)
+    assert Counter((r.query_id, r.doc_id) for r in got.collect()) == {
+        (q, d): (4 if q == 4 else 1) * (4 if d in (4, 9) else 1) for q in (4, 5) for d in range(60)
+    }

@@ -464,3 +464,33 @@ def test_quantized_search_of_ids_that_repeat(spark, index_folder):
     assert Counter((r.query_id, r.doc_id) for r in got.collect()) == {
         (q, d): (4 if q == 4 else 1) * (4 if d in (4, 9) else 1) for q in (4, 5) for d in range(60)
     }
+
+
+def test_texts_are_read_once_for_an_index(spark, index_folder):
+    """Texts are not read for their counts, and blocks lie where they are made; words are those of ``tokens``."""
+    from ticketloom import vocab
+    from ticketloom.functions import text as T
+
+    odd = ["", " ", None, "the", "The end.", "...lead and trail!", "İstanbul ΟΔΟΣ ΟΔΟΣ. Straße_1 x", "a\tb\nc d éf", "𝒳 tail the​the", "１２ ²x ß"]
+    texts = [(i, odd[i % len(odd)], f"w{i % 3} {odd[(i * 7) % len(odd)] or ''}") for i in range(60)]
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(text):
+        read.add(1)
+        return text
+
+    df = spark.createDataFrame(texts, "id long, t string, c string").repartition(3)
+    counted = df.withColumn("c", F.udf(seen, "string")("c"))
+    fields = {"A": F.col("t"), "B": F.col("c")}
+    index = posting_index.write_postings(counted, F.col("id"), fields, index_folder(), ("t",), docs_per_segment=8)
+    assert read.value == 60
+    words = df.select("id", T.tokens(F.col("t")).alias("t"), T.tokens(F.col("c")).alias("c")).collect()
+    lengths = {r.id: len(r.t) + len(r.c) for r in words}
+    want = Counter((r.id, name, w) for r in words for name, line in (("A", r.t), ("B", r.c)) for w in line if w not in vocab.STOP_WORDS)
+    assert {(r.key, r.weight_class, r.term): r.tf for r in index.postings().collect()} == want
+    assert (index.n_docs, index.n_tokens, index.segments) == (60, sum(lengths.values()), 8)
+    assert posting_index.open_postings(spark, index.path) == index
+    for b in index.blocks.collect():
+        assert b["lengths"] == [lengths[k] for k in b["keys"]] and b.payload_t == [texts[k][1] for k in b["keys"]]
+        own = [tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n / index.average_length)) for tf, n in zip(b["tfs"], b["lengths"])]
+        assert b.most_okapi >= max(own) - 1e-9

@@ -494,3 +494,46 @@ def test_texts_are_read_once_for_an_index(spark, index_folder):
         assert b["lengths"] == [lengths[k] for k in b["keys"]] and b.payload_t == [texts[k][1] for k in b["keys"]]
         own = [tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n / index.average_length)) for tf, n in zip(b["tfs"], b["lengths"])]
         assert b.most_okapi >= max(own) - 1e-9
+
+
+def test_postings_hold_numbers_only(spark, index_folder):
+    """Classes and payloads are stored as places; values that are missing, repeat or differ between rows of one key."""
+    rows_ = [(i % 30, f"w{i % 4} x", f"y w{i % 3}", None if i % 5 == 0 else f"s{i % 3}", "all") for i in range(60)]
+    df = spark.createDataFrame(rows_, "id long, t string, c string, status string, kind string")
+    fields = {"B": F.col("c"), "A": F.col("t")}
+    index = posting_index.write_postings(df, F.col("id"), fields, index_folder(), ("status", "kind"), [], 16)
+    stored = spark.read.parquet(f"{index.path}/blocks")
+    types = {c: stored.schema[c].dataType.elementType.typeName() for c in ("classes", "payload_status", "payload_kind")}
+    assert types == {"classes": "byte", "payload_status": "integer", "payload_kind": "integer"}
+    assert all(r.values_kind == ["all"] for r in stored.where("term IS NULL").collect())
+    want = Counter()
+    for i, t, c, status, kind in rows_:
+        for name, text in (("A", t), ("B", c)):
+            want.update(((i, name, w, status, kind) for w in text.split()))
+    got = Counter()
+    for b in index.blocks.collect():
+        for k, c, tf, status, kind in zip(b["keys"], b["classes"], b["tfs"], b.payload_status, b.payload_kind):
+            got[k, c, b.term, status, kind] += tf
+    assert got == want
+    for way in WAYS:
+        asked = spark.createDataFrame([(1, "w1 w2")], "query_id long, query_text string")
+        hits = posting_index.search(
+            index, asked, "query_id", "query_text", 99, where={"status": ["s1", "s9"], "kind": ["all"]}, stop_words=[], **way
+        )
+        found = {k for k, t, c, status, _ in rows_ if status == "s1" and {"w1", "w2"} & set(f"{t} {c}".split())}
+        assert {r.doc_id for r in hits.collect()} == found
+
+
+def test_many_queries_read_an_index_once(spark, index_folder, monkeypatch):
+    """A first phase reads a segment per query; where that is most of them, the blocks are read once and hits are the same."""
+    texts = [(i, f"common t{i % 7} t{i % 11}") for i in range(200)]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    index = posting_index.write_postings(df, F.col("doc_id"), {"C": F.col("text")}, index_folder(), docs_per_segment=5)
+    asked = spark.createDataFrame([(q, f"common t{q}") for q in range(12)], "query_id long, query_text string")
+    phases, cells = [], posting_index._Search.cells
+    monkeypatch.setattr(posting_index._Search, "cells", lambda self: phases.append(1) or cells(self))
+    one = index_rows(index, asked, k=3)
+    assert index.segments == 40 and not phases
+    assert index_rows(index, asked, k=3, one_phase=0) == one and phases
+    del phases[:]
+    assert index_rows(index, asked.where("query_id = 3"), k=3) and phases

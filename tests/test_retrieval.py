@@ -1,6 +1,7 @@
 """Ranked search against brute force, on both ways of joining the query side."""
 
 import math
+import re
 import random
 from collections import Counter
 
@@ -537,3 +538,15 @@ def test_many_queries_read_an_index_once(spark, index_folder, monkeypatch):
     assert index_rows(index, asked, k=3, one_phase=0) == one and phases
     del phases[:]
     assert index_rows(index, asked.where("query_id = 3"), k=3) and phases
+
+
+def test_runs_of_words_take_no_copy_of_their_text(spark):
+    """Every word of a text offers a run; an uncompiled step would copy the whole text for each."""
+    docs = spark.createDataFrame([(1, "a b c d e f"), (2, None), (3, ""), (4, "b c"), (5, "x a b c d y"), (5, "a b c d")], "doc_id long, text string")
+    for text, held in (("a b c d e", {1}), ("b c d", {1, 5}), ("x a b", {5}), ("b c", {1, 4, 5}), ("b", {1, 4, 5}), ("e f", {1}), ("", set())):
+        passages = spark.createDataFrame([(7, text), (8, None)], "query_id long, query_text string")
+        for sent in (100, 0):
+            found = containment.contained_passages(docs, "doc_id", "text", passages, sent)
+            assert sorted((r.query_id, r.doc_id) for r in found.collect()) == [(7, d) for d in sorted(held)]
+            plan = [line for line in found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].splitlines() if "Generate " in line]
+            assert (plan or not text) and all(re.search(r"\*\(\d+\) Generate ", line) for line in plan if "_w" in line or "_anchors" in line)

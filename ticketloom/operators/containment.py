@@ -20,11 +20,16 @@ MOST_SENT = 32_000_000
 _GAP = r"\s+"
 
 
-def _runs(words: Column, width: int) -> Column:
-    """Hashes of every run of ``width`` words."""
+def _runs(listed: DataFrame, width: int, *kept: str) -> DataFrame:
+    """(kept, anchor): hashes of every run of ``width`` words of ``_words``.
+
+    Only plain expressions, which Spark compiles together with the join that follows: otherwise every run would get a copy
+    of its text.
+    """
+    words = F.col("_words")
     shifted = [F.slice(words, k + 1, F.greatest(F.size(words) - k, F.lit(0))).alias(f"w{k}") for k in range(width)]
-    count = F.greatest(F.size(words) - (width - 1), F.lit(0))
-    return F.transform(F.slice(F.arrays_zip(*shifted), 1, count), lambda r: F.xxhash64(*[r[f"w{k}"] for k in range(width)]))
+    runs = listed.select(*kept, F.inline_outer(F.arrays_zip(*shifted))).where(F.col(f"w{width - 1}").isNotNull())
+    return runs.select(*kept, F.xxhash64(*[f"w{k}" for k in range(width)]).alias("anchor"))
 
 
 def _anchors(passages: DataFrame) -> DataFrame:
@@ -77,6 +82,15 @@ def _letters(words: Column, left: int, right: int | None) -> Column:
     return F.array_distinct(F.transform(wide, lambda p: _around_gap(p["a"], p["b"], F.lit(left), F.lit(right))))
 
 
+def _offered(listed: DataFrame, width: int, left: int | None, right: int | None, *kept: str) -> DataFrame:
+    """(kept, anchor): all anchors of one kind that the texts offer."""
+    if width:
+        return _runs(listed, width, *kept)
+    # As a column of its own, or every anchor would get a copy of its text.
+    anchors = listed.select(*kept, _letters(F.col("_words"), left, right).alias("_anchors"))
+    return anchors.select(*kept, F.explode_outer("_anchors").alias("anchor")).where(F.col("anchor").isNotNull())
+
+
 def contained_passages(docs: DataFrame, key: str, text: str, passages: DataFrame, most_sent: int = MOST_SENT) -> DataFrame:
     """(query_id, doc_id) for every passage (query_id, query_text) that occurs in a document.
 
@@ -92,13 +106,12 @@ def contained_passages(docs: DataFrame, key: str, text: str, passages: DataFrame
     for width, left, right in sorted(((r["width"], r["left"], r["right"]) for r in sizes), key=repr):
         kind = (F.col("width") == width) & F.col("left").eqNullSafe(left) & F.col("right").eqNullSafe(right)
         mine = anchored.where(kind).drop("width", "left", "right")
-        offered = _runs(F.col("_words"), width) if width else _letters(F.col("_words"), left, right)
         if small:
-            runs = listed.select("doc_id", "_text", F.explode(offered).alias("anchor"))
+            runs = _offered(listed, width, left, right, "doc_id", "_text")
             met = runs.join(F.broadcast(mine), "anchor").where(F.contains("_text", "query_text"))
             found.append(met.select("query_id", "doc_id"))
         else:
-            runs = listed.select("doc_id", F.explode(offered).alias("anchor"))
+            runs = _offered(listed, width, left, right, "doc_id")
             met = runs.join(mine.select("anchor", "query_id"), "anchor").select("query_id", "doc_id").distinct()
             texts = met.join(listed.select("doc_id", "_text"), "doc_id").join(mine.drop("anchor"), "query_id")
             found.append(texts.where(F.contains("_text", "query_text")).select("query_id", "doc_id"))

@@ -84,3 +84,53 @@ def test_folds_are_fitted_at_the_same_time(spark, monkeypatch):
 def test_tasks_of_a_fit(spark):
     cores = spark.sparkContext.defaultParallelism
     assert [routing._tasks(spark, n) for n in (0, 1, 2_001, 25_000 * cores, 25_000 * (cores + 3))] == [1, 1, 2, cores, cores + 3]
+
+
+TEXTS = ["Ship late invoice", "refund the refund", "", None, "login password login", "Émile's paper, printer paper", "late late ship"] * 6
+
+
+def test_texts_are_read_once_for_topics(spark):
+    """Vocabulary, clusters, profiles and trends come from one reading of the texts, after that of the first few."""
+    read = spark.sparkContext.accumulator(0)
+
+    def body(i):
+        read.add(1)
+        return TEXTS[i]
+
+    numbers = spark.range(len(TEXTS)).repartition(4)
+    made = F.udf(body, "string").asNondeterministic()(F.col("id").cast("int"))
+    day = F.make_timestamp(F.lit(2001), F.lit(1), F.col("id").cast("int") % 28 + 1, F.lit(0), F.lit(0), F.lit(0))
+    tickets = numbers.select(F.col("id").alias("ticket_id"), F.lit("word").alias("subject"), made.alias("body"), day.alias("at"))
+    table = topics.topic_table(topics.fit_topics(tickets, restarts=2), tickets, "ticket_id", "at", "2001-02-01 00:00:00").collect()
+    assert sum(r["size"] for r in table) == sum(r["recent"] for r in table) == len(TEXTS)
+    assert read.value <= 2 * len(TEXTS)
+
+
+def test_clusters_of_fitted_tickets_are_those_of_any(spark):
+    rows = [(i, "word", t) for i, t in enumerate(TEXTS)] + [(None, None, "late paper"), (3, "twice", "late ship")]
+    tickets = spark.createDataFrame(rows, "ticket_id long, subject string, body string").repartition(3)
+    found = topics.fit_topics(tickets, restarts=2)
+    once = found.assign(tickets, ["ticket_id", "subject"])
+    again = found.assign(tickets.select("*"), ["ticket_id", "subject"])
+    assert sorted(map(str, once.collect())) == sorted(map(str, again.collect()))
+
+
+def test_features_made_of_counted_words(spark, monkeypatch):
+    """The features of written words are those of the stages, in whatever portions; with too many words to send, too."""
+    from ticketloom.operators import features
+
+    df = spark.createDataFrame([(i, t and t.lower()) for i, t in enumerate(TEXTS)], "id long, t string").repartition(3)
+
+    def held(rows):
+        return {r["id"]: (list(r["features"].indices), [round(v, 12) for v in r["features"].values]) for r in rows.collect()}
+
+    for most, bigrams in ((1000, True), (4, True), (1000, False)):
+        first = features.fit_parts(df, "t", ["id"], max_features=most, bigrams=bigrams)[0]
+        want = held(features.with_features(first.pipeline, df.fillna("", ["t"]), ["id"]))
+        assert held(first.rows()) == want and len(want) == len(TEXTS)
+        for name, value in (("CHARS_AT_ONCE", 7), ("MOST_SENT_WORDS", 1)):
+            with monkeypatch.context() as changed:
+                changed.setattr(features, name, value)
+                other = features.fit_parts(df, "t", ["id"], max_features=most, bigrams=bigrams)[0]
+                assert features.vocabulary(other.pipeline) == features.vocabulary(first.pipeline)
+                assert held(other.rows()) == want

@@ -134,3 +134,41 @@ def test_features_made_of_counted_words(spark, monkeypatch):
                 other = features.fit_parts(df, "t", ["id"], max_features=most, bigrams=bigrams)[0]
                 assert features.vocabulary(other.pipeline) == features.vocabulary(first.pipeline)
                 assert held(other.rows()) == want
+
+
+def test_parts_left_out(spark):
+    """One counting for all folds gives what each fold's own rows give; rows without a fold are in none."""
+    from ticketloom.operators import features
+
+    rows = [(None if i == 5 else i % 3, f"red w{i % 4} blue w{i % 6} red" if i % 5 else "green red w1") for i in range(60)]
+    df = spark.createDataFrame(rows, "part int, t string").repartition(4)
+    for size in (5, 1000):
+        for out, fitted in zip((0, 1, 2), features.fit_parts(df, "t", ["part"], "part", [0, 1, 2], size)):
+            alone = features.fit_tfidf(df.where(F.col("part") != out), "t", size)
+            assert features.vocabulary(fitted.pipeline) == features.vocabulary(alone)
+            assert fitted.pipeline.stages[-2].getScalingVec() == alone.stages[-2].getScalingVec()
+            assert fitted.rows().count() == 60
+
+
+def test_words_are_found_once_for_all_folds(spark, monkeypatch):
+    """The folds share the words of the tickets; their lines are those of routers fitted on the other folds alone."""
+    read, plain = spark.sparkContext.accumulator(0), routing.plain_tickets
+
+    def same(text):
+        read.add(1)
+        return text
+
+    rows = [(i, "left", f"word{i % 3} right w{i % 7}", f"c{i % 3}", f"P{2 + i % 2}") for i in range(90)]
+    tickets = spark.createDataFrame(rows, "ticket_id long, subject string, body string, category string, priority string")
+    seen = F.udf(same, "string").asNondeterministic()
+    with monkeypatch.context() as changed:
+        changed.setattr(routing, "plain_tickets", lambda t: plain(t).withColumn("_text", seen("_text")))
+        lines = {r["fold"]: r for r in routing.cross_validate(tickets, "ticket_id", 3, max_iter=20).collect()}
+    assert read.value == 90
+    slot = F.conv(F.substring(routing.hash_order("ticket_id", 42), 1, 8), 16, 10).cast("bigint")
+    marked = tickets.withColumn("fold", F.floor(slot * 3 / 2**32).cast("int"))
+    for fold, line in lines.items():
+        router = routing.fit_router(marked.where(F.col("fold") != fold), max_iter=20)
+        scored = router.predict(marked.where(F.col("fold") == fold)).collect()
+        right = sum(r["category"] == r["predicted_category"] for r in scored)
+        assert line["samples"] == len(scored) > 0 and abs(line["category_accuracy"] - right / len(scored)) < 1e-9
